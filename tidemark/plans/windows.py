@@ -188,7 +188,7 @@ b AS (SELECT *, last_value(flow IGNORE NULLS) OVER p AS lv, first_value(flow IGN
   first_value(CASE WHEN flow IS NOT NULL THEN q END IGNORE NULLS) OVER n AS ri FROM g
   WINDOW p AS (PARTITION BY entity ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
          n AS (PARTITION BY entity ORDER BY q ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
-SELECT entity, q, coalesce(flow, CASE WHEN q - li = 1 THEN lv + (rv - lv) / (ri - li) END) AS flow FROM b""", "flow:3")
+SELECT entity, q, coalesce(flow, CASE WHEN q - li = 1 THEN lv + (rv - lv) / (ri - li) END) AS flow FROM b""", "flow:5")
 def _(s, d):
     from tidemark.operators.joins import cross_join_grid
 
