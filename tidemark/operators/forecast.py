@@ -9,3 +9,30 @@ from pyspark.sql import functions as F
 def combine_weighted(base: Column, other: Column, w: Column) -> Column:
     """base + w (other - base), exactly ``other`` at w = 1."""
     return F.when(w == 1, other).otherwise(base + w * (other - base))
+
+
+def ols_predict(df: DataFrame, *, y: str, xs: list[str], train: str, out: str = "fit") -> DataFrame:
+    """OLS with intercept on the training rows (one or two regressors), prediction for every row.
+
+    Centred moments are one aggregation; the coefficients enter as a one-row scalar."""
+    from tidemark.functions.linear import solve2
+    from tidemark.functions.scalars import ratio
+
+    t = df.where(F.col(train))
+    m = t.agg(
+        F.avg(y).alias("my"),
+        *[F.avg(x).alias(f"m_{x}") for x in xs],
+        *[F.covar_pop(x, y).alias(f"c_{x}") for x in xs],
+        *[F.covar_pop(a, b).alias(f"g_{a}_{b}") for i, a in enumerate(xs) for b in xs[i:]],
+    )
+    if len(xs) == 1:
+        beta = [ratio(f"c_{xs[0]}", f"g_{xs[0]}_{xs[0]}")]
+    else:
+        a, b = xs
+        beta = solve2(F.col(f"g_{a}_{a}"), F.col(f"g_{a}_{b}"), F.col(f"g_{b}_{b}"), F.col(f"c_{a}"), F.col(f"c_{b}"), tol=0.0)
+    coef = m.select(F.struct("my", *[f"m_{x}" for x in xs], *[c.alias(f"b_{x}") for c, x in zip(beta, xs)])).scalar()
+    k = df.withColumn("_k", coef)
+    fit = F.col("_k.my")
+    for x in xs:
+        fit = fit + F.col(f"_k.b_{x}") * (F.col(x) - F.col(f"_k.m_{x}"))
+    return k.withColumn(out, fit).drop("_k")

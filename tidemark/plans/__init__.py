@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["windows", "sources", "relational"]
+MODULES = ["windows", "sources", "relational", "composition"]
 
 
 def load_all() -> None:

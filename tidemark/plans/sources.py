@@ -156,13 +156,13 @@ def _nation_files(s, d, name):
 
 
 @query("content_manifest", """
-SELECT n_nationkey AS file, v.fetch, length(n_name) + 1 AS bytes, sha256(n_name || chr(10)) AS sha256, CAST(v.fetch = 2 AS INT) AS unchanged, 1 AS first_seen
-FROM nation, (VALUES (1), (2)) v(fetch)""")
+SELECT n_nationkey AS file, v.round_no AS round_no, length(n_name) + 1 AS bytes, sha256(n_name || chr(10)) AS sha256, CAST(v.round_no = 2 AS INT) AS unchanged, 1 AS first_seen
+FROM nation, (VALUES (1), (2)) v(round_no)""")
 def _(s, d):
-    a = _nation_files(s, d, "fetch1").withColumn("fetch", F.lit(1))
-    b = _nation_files(s, d, "fetch2").withColumn("fetch", F.lit(2))
-    m = RD.flag_unchanged(a.unionByName(b), name="file", fetched="fetch")
-    return m.select("file", "fetch", "bytes", "sha256", F.col("unchanged").cast("int"), "first_seen")
+    a = _nation_files(s, d, "fetch1").withColumn("round_no", F.lit(1))
+    b = _nation_files(s, d, "fetch2").withColumn("round_no", F.lit(2))
+    m = RD.flag_unchanged(a.unionByName(b), name="file", fetched="round_no")
+    return m.select("file", "round_no", "bytes", "sha256", F.col("unchanged").cast("int"), "first_seen")
 
 
 @query("manifest_check", "SELECT n_nationkey AS file, sha256(n_name || chr(10)) AS want FROM nation")
