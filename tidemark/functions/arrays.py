@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,18 +28,33 @@ def interp(x: Column, xs: Column, ys: Column) -> Column:
     )
 
 
-def isotonic(a: Column) -> Column:
-    """Least-squares non-decreasing fit of a short array by the min-max formula:
-    fit_i = max over a <= i of min over b >= i of mean(a..b)."""
-    n = F.size(a)
-    cum = F.aggregate(
-        a, F.array(F.lit(0.0)), lambda s, x: F.array_append(s, F.element_at(s, -1) + x)
-    )
-    idx = lambda lo, hi: F.sequence(lo, hi)
-    mean = lambda i, j: (F.element_at(cum, j + 1) - F.element_at(cum, i)) / (j - i + 1)
-    return F.transform(
-        idx(F.lit(1), n),
-        lambda i: F.array_max(
-            F.transform(idx(F.lit(1), i), lambda lo: F.array_min(F.transform(idx(i, n), lambda hi: mean(lo, hi))))
-        ),
-    )
+def make_pool_adjacent():
+    """Pool adjacent violators on sorted blocks; pooling is associative, so blocks of blocks are exact.
+
+    Returned as a local function so that it travels to the workers by value."""
+
+    def pool_adjacent(x_lo, x_hi, y, w):
+        out = []
+        for a, b, v, k in zip(x_lo, x_hi, y, w):
+            out.append([a, b, v, k])
+            while len(out) > 1 and out[-2][2] >= out[-1][2]:
+                p, q = out[-2], out.pop()
+                t = p[3] + q[3]
+                out[-1] = [p[0], q[1], (p[2] * p[3] + q[2] * q[3]) / t, t]
+        return out
+
+    return pool_adjacent
+
+
+def isotonic(vector: Column) -> Column:
+    """Least-squares non-decreasing fit of a short vector (at most 99 levels), Arrow-batched."""
+    pool = make_pool_adjacent()
+
+    def fit_one(v):
+        blocks = pool(range(len(v)), range(len(v)), v, [1.0] * len(v))
+        return [m for lo, hi, m, _ in blocks for _ in range(hi - lo + 1)]
+
+    def fit_all(vectors: pd.Series) -> pd.Series:
+        return vectors.map(fit_one, na_action="ignore")
+
+    return F.pandas_udf(fit_all, "array<double>")(vector)
