@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 
 def combine_weighted(base: Column, other: Column, w: Column) -> Column:
     """base + w (other - base), exactly ``other`` at w = 1."""
@@ -291,6 +293,7 @@ def panel_quantile_regression(df: DataFrame, *, y: str, xs: list[str], levels: l
 
     names = ["_one", *xs]
     base = df.select(F.col(y).alias("_y"), F.lit(1.0).alias("_one"), *xs).where(" AND ".join(f"{c} IS NOT NULL" for c in ["_y", *xs]))
+    base = cut_lineage(base, "irls")
     g, h, _, _ = gram_matrix(base, names, "_y")
     beta = {t: np.linalg.solve(g, h) for t in levels}
     p = len(names)
@@ -419,7 +422,7 @@ def eb_shrink_mixture(df: DataFrame, *, x: str, s: str, grid: list[float], iters
     from tidemark.functions.scalars import normal_cdf
 
     comp = [F.exp(-F.col(x) ** 2 / (2 * (F.col(s) ** 2 + t * t))) / F.sqrt(F.col(s) ** 2 + t * t) for t in grid]
-    lik = df.select("*", F.array(*comp).alias("_l"))
+    lik = cut_lineage(df.select("*", F.array(*comp).alias("_l")), "em")
     w = [1.0 / len(grid)] * len(grid)
     for _ in range(iters):
         num = [F.lit(w[k]) * F.col("_l")[k] for k in range(len(grid))]
