@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.arrays import arr_sum, interp
 from tidemark.functions.scalars import normal_cdf, normal_pdf, ratio, two_sided_p
@@ -80,18 +81,21 @@ def empirical_crps(sample: DataFrame, obs: DataFrame, *, keys: list[str], x: str
 
     Sorted-sample identities replace the n x n pairs: both terms follow from running totals
     over the pooled distinct values."""
-    a = sample.groupBy(*keys, F.col(x).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("m")).select(*keys, "v", "m", (F.col("m") * F.col("v")).alias("mv"), F.lit(0).cast("long").alias("k"))
-    b = obs.groupBy(*keys, F.col(y).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("k")).select(*keys, "v", F.lit(0).cast("long").alias("m"), F.lit(0.0).alias("mv"), "k")
-    c = prefix_totals(a.unionByName(b), keys, "v", ["m", "mv", "k"])
-    m, t = F.col("total_m"), F.col("total_mv")
-    below_n, below_s = F.col("before_m"), F.col("before_mv")
-    above_s = t - below_s - F.col("mv")
-    above_n = m - below_n - F.col("m")
-    e1 = F.col("v") * below_n - below_s + above_s - F.col("v") * above_n
-    # sum over ordered pairs |x_i - x_j| = 2 sum_v n_v (v * below_n - below_s)
+    zero = F.lit(0).cast("long")
+    a = sample.groupBy(*keys, F.col(x).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_m"))
+    a = a.select(*keys, "_v", "_m", (F.col("_m") * F.col("_v")).alias("_mv"), zero.alias("_k"))
+    b = obs.groupBy(*keys, F.col(y).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    b = b.select(*keys, "_v", zero.alias("_m"), F.lit(0.0).alias("_mv"), "_k")
+    c = prefix_totals(a.unionByName(b), keys, "_v", ["_m", "_mv", "_k"])
+    v, m = F.col("_v"), F.col("total__m")
+    below_n, below_s = F.col("before__m"), F.col("before__mv")
+    above_n = m - below_n - F.col("_m")
+    above_s = F.col("total__mv") - below_s - F.col("_mv")
+    e1 = v * below_n - below_s + above_s - v * above_n
+    # the sum over ordered pairs |x_i - x_j| is twice the sum of n_v (v * below_n - below_s)
     g = c.groupBy(*keys).agg(
-        F.sum(F.col("k") * e1 / m).alias("_e1"), F.sum("k").alias("n_obs"), F.max(m).alias("_m"), F.sum(2 * F.col("m") * (F.col("v") * below_n - below_s)).alias("_pp"))
-    return g.select(*keys, (F.col("_e1") / F.col("n_obs") - F.col("_pp") / (2 * F.col("_m") * F.col("_m"))).alias("crps"), "n_obs")
+        F.sum(F.col("_k") * e1 / m).alias("_e1"), F.sum("_k").alias("n_obs"), F.max(m).alias("_tm"), F.sum(2 * F.col("_m") * (v * below_n - below_s)).alias("_pp"))
+    return g.select(*keys, (F.col("_e1") / F.col("n_obs") - F.col("_pp") / (2 * F.col("_tm") * F.col("_tm"))).alias("crps"), "n_obs")
 
 
 def auc(df: DataFrame, *, label: str, score: str, by: list[str] = []) -> DataFrame:
@@ -249,8 +253,8 @@ def mean_shift_test(per: DataFrame, *, period: str, breaks: list[int], d: str =
     x = x.withColumn("n0", F.col("T") - F.col("n1"))
     x = x.withColumn("f", F.when(F.col("D") == 1, (F.col("d") - F.col("m1")) / F.col("n1")).otherwise(-(F.col("d") - F.col("m0")) / F.col("n0")))
     lag = x.select("brk", "i", "f", "T", "n0", "n1", "m0", "m1", F.explode(F.sequence(F.lit(0), F.floor(F.sqrt("T")).cast("int"))).alias("l"))
-    o = x.select("brk", F.col("i").alias("j"), F.col("f").alias("v"))
-    p = lag.join(o, (lag["brk"] == o["brk"]) & (F.col("i") - F.col("l") == F.col("j"))).drop(o["brk"])
+    o = x.select(F.col("brk").alias("brk2"), F.col("i").alias("j"), F.col("f").alias("v"))
+    p = lag.join(o, (F.col("brk") == F.col("brk2")) & (F.col("i") - F.col("l") == F.col("j")))
     k = F.when(F.col("l") == 0, 1.0).otherwise(2 * (1 - F.col("l") / (F.floor(F.sqrt("T")) + 1)))
     g = p.groupBy("brk", "T", "n0", "n1", "m0", "m1").agg(F.sum(k * F.col("f") * F.col("v")).alias("v"))
     z = (F.col("m1") - F.col("m0")) / F.sqrt("v")
@@ -329,7 +333,7 @@ def rescore_frozen_scale(cases: DataFrame, scales: DataFrame, *, score: str, sca
 
 def drop_and_rescore(cases: DataFrame, flags: DataFrame, *, entity="entity", period="target", spill: int = 1, quarters: list[int] = []) -> DataFrame:
     """Remove flagged (entity, period) targets and the next ``spill`` periods, and whole listed periods."""
-    bad = flags.select(entity, F.explode(F.sequence(F.col(period), F.col(period) + spill)).cast(cases.schema[period].dataType).alias(period)).distinct()
+    bad = flags.select(entity, F.explode(F.sequence(F.col(period), F.col(period) + spill).cast(T.ArrayType(cases.schema[period].dataType))).alias(period)).distinct()
     out = cases.join(bad, [entity, period], "left_anti")
     return out.where(~F.col(period).isin(*quarters)) if quarters else out
 

@@ -63,3 +63,352 @@ def profile_significance(df: DataFrame, profiles: dict[str, list[float]], *, ent
     j = e.join(a, "profile", "left").fillna(0.0, ["assigned"]).withColumn("n", total)
     z = (F.ceil("assigned") - 0.5 - F.col("expected")) / F.sqrt(F.col("expected") * (1 - F.col("expected") / F.col("n")))
     return j.select("profile", "assigned", "expected", (1 - normal_cdf(z)).alias("p_upper"))
+
+
+# ------------------------------------------------------------------ pairs without pairing
+
+
+def grade_values(df: DataFrame, x: str, limit: int = 64) -> list:
+    """The distinct grades of a graded column; a column with more than ``limit`` values is not graded."""
+    got = [r[0] for r in df.select(x).where(F.col(x).isNotNull()).distinct().limit(limit + 1).collect()]
+    if len(got) > limit:
+        raise ValueError(f"{x} has more than {limit} distinct values: grade it first (for example with quintile_symbols)")
+    return sorted(got)
+
+
+def graded_cells(df: DataFrame, *, block: list[str], x: str, y: str, grades: list) -> DataFrame:
+    """Per (block, distinct y): rows of every grade at y, below y and in the block.
+
+    Running totals over y give, for each row, how many rows of each grade lie below it: the
+    statistics of all pairs inside a block follow without forming one pair."""
+    from tidemark.operators.ranks import prefix_totals
+
+    cols = [f"_n{k}" for k in range(len(grades))]
+    src = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        *block, F.col(y).cast("double").alias("_y"), *[(F.col(x) == F.lit(g)).cast("long").alias(c) for g, c in zip(grades, cols)])
+    return prefix_totals(src, block, "_y", cols)
+
+
+def graded_pair_counts(df: DataFrame, *, block: list[str], x: str, y: str) -> DataFrame:
+    """For grades a < b: pairs (i in a, j in b) of one block, those with y_i < y_j, and ties."""
+    grades = grade_values(df, x)
+    c = graded_cells(df, block=block, x=x, y=y, grades=grades)
+    one = []
+    for ia, a in enumerate(grades):
+        for ib, b in enumerate(grades):
+            if ia < ib:
+                one.append(F.struct(F.lit(a).alias("xa"), F.lit(b).alias("xb"), (F.col(f"_n{ib}") * F.col(f"before__n{ia}")).alias("less"), (F.col(f"_n{ib}") * F.col(f"_n{ia}")).alias("tie"), (F.col(f"_n{ib}") * F.col(f"total__n{ia}")).alias("n")))
+    e = c.select(*block, F.explode(F.array(*one)).alias("e")).select(*block, "e.*")
+    return e.groupBy(*block, "xa", "xb").agg(F.sum("less").alias("less"), F.sum("tie").alias("tie"), F.sum("n").alias("n"))
+
+
+def concordance(df: DataFrame, *, block: list[str], x: str, y: str) -> DataFrame:
+    """Share of concordant pairs within block among pairs with different grades, ties at one half."""
+    p = graded_pair_counts(df, block=block, x=x, y=y)
+    return p.groupBy(*block).agg(ratio(F.sum("less") + 0.5 * F.sum("tie"), F.sum("n")).alias("concordance"), F.sum("n").alias("n_pairs"))
+
+
+def _newton(rows: list[tuple[float, float, float]], iters: int = 60) -> float:
+    """Logit slope from (difference, pairs, favourable) totals."""
+    b = 0.0
+    for _ in range(iters):
+        u = h = 0.0
+        for z, n, s in rows:
+            p = 1 / (1 + math.exp(-b * z))
+            u += z * (s - n * p)
+            h += z * z * n * p * (1 - p)
+        step = u / h
+        b += step
+        if abs(step) < 1e-14:
+            break
+    return b
+
+
+def pim_fit(df: DataFrame, *, block: list[str], x: str, y: str) -> tuple[float, DataFrame]:
+    """Probabilistic index model logit P(y_i < y_j) = beta (x_j - x_i) over all pairs inside blocks.
+
+    The score and information depend on the data only through the grade table, at most 64 x 64
+    numbers, which is what the Newton steps see.  Returns (beta, grade table)."""
+    t = graded_pair_counts(df, block=block, x=x, y=y).groupBy("xa", "xb").agg(F.sum("less").alias("less"), F.sum("tie").alias("tie"), F.sum("n").alias("n"))
+    rows = [(float(r["xb"] - r["xa"]), float(r["n"]), float(r["less"]) + 0.5 * float(r["tie"])) for r in t.collect()]
+    return _newton(rows), t
+
+
+def pim_vcov(df: DataFrame, *, block: list[str], x: str, y: str) -> dict[str, float]:
+    """Slope and its observation-clustered sandwich variance.
+
+    The score of a row sums over all its pairs; rows with equal (block, x, y) share it, and it comes
+    from the running grade counts.  The double-counted pair term comes from the grade table."""
+    beta, t = pim_fit(df, block=block, x=x, y=y)
+    grades = grade_values(df, x)
+    cells = graded_cells(df, block=block, x=x, y=y, grades=grades)
+    terms = []
+    for i, a in enumerate(grades):
+        s = F.lit(0.0)
+        for j, b in enumerate(grades):
+            z = float(b - a)
+            if z != 0.0:
+                p = 1 / (1 + math.exp(-beta * z))
+                above = F.col(f"total__n{j}") - F.col(f"before__n{j}") - F.col(f"_n{j}")
+                s = s + F.lit(z) * (above + 0.5 * F.col(f"_n{j}") - F.col(f"total__n{j}") * p)
+        terms.append(F.col(f"_n{i}") * s * s)
+    total = terms[0]
+    for k in terms[1:]:
+        total = total + k
+    meat = float(cells.agg(F.sum(total)).first()[0])
+    info = pair = 0.0
+    for r in t.collect():
+        z, n, less, tie = float(r["xb"] - r["xa"]), float(r["n"]), float(r["less"]), float(r["tie"])
+        p = 1 / (1 + math.exp(-beta * z))
+        info += n * z * z * p * (1 - p)
+        pair += z * z * (less * (1 - p) ** 2 + tie * (0.5 - p) ** 2 + (n - less - tie) * p * p)
+    return {"beta": beta, "variance": (meat - pair) / info**2, "information": info}
+
+
+# ------------------------------------------------------------------ graded dominance
+
+
+def _cumulate(grid: DataFrame, keys: list[str], axes: list[tuple[str, bool]], value: str, out: str) -> DataFrame:
+    """Running sum along each axis in turn (up = towards larger grades); the grid is dense and small."""
+    names = [a for a, _ in axes]
+    x = grid.withColumn(out, F.col(value))
+    for a, up in axes:
+        others = [n for n in x.columns if n in keys or (n in names and n != a)]
+        w = Window.partitionBy(*others).orderBy(F.col(a).asc() if up else F.col(a).desc()).rowsBetween(Window.unboundedPreceding, 0)
+        x = x.withColumn(out, F.sum(out).over(w))
+    return x
+
+
+def dense_grid(df: DataFrame, *, block: list[str], axes: list[str]) -> DataFrame:
+    """Counts on the full product of the grades: an explode of literal grade lists per block."""
+    g = df.dropna(subset=axes).groupBy(*block, *axes).agg(F.count(F.lit(1)).alias("n"))
+    d = df.select(*block).distinct()
+    for a in axes:
+        d = d.withColumn(a, F.explode(F.array(*[F.lit(v) for v in grade_values(df, a)])))
+    return d.join(g, [*block, *axes], "left").fillna(0, ["n"])
+
+
+def dominance_counts(df: DataFrame, *, block: list[str], axes: list[str]) -> DataFrame:
+    """Per graded cell: rows strictly below (no larger on any axis, smaller on one) and strictly above."""
+    g = dense_grid(df, block=block, axes=axes)
+    g = _cumulate(g, block, [(a, True) for a in axes], "n", "_b")
+    g = _cumulate(g, block, [(a, False) for a in axes], "n", "_a")
+    return g.select(*block, *axes, "n", (F.col("_b") - F.col("n")).alias("below"), (F.col("_a") - F.col("n")).alias("above"))
+
+
+def dominance_summary(df: DataFrame, *, block: list[str], axes: list[str], outcome: str) -> DataFrame:
+    """Comparable share, and among dominance pairs the share where the upper row has the smaller graded outcome."""
+    g = dense_grid(df, block=block, axes=[*axes, outcome])
+    up = [(a, True) for a in axes]
+    # rows below on the axes at the same outcome, and at any larger outcome
+    g = _cumulate(g, [*block, outcome], up, "n", "_same")
+    w = Window.partitionBy(*block, *axes).orderBy(F.col(outcome).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    g = g.withColumns({"_ge": F.coalesce(F.sum("_same").over(w), F.lit(0)), "_eq": F.coalesce(F.sum("n").over(w), F.lit(0))})
+    conc = F.col("n") * ((F.col("_ge") - F.col("_eq")) + 0.5 * (F.col("_same") - F.col("n")))
+    c = g.groupBy(*block).agg(F.sum(conc).alias("_c"))
+    d = dominance_counts(df, block=block, axes=axes).groupBy(*block).agg(F.sum(F.col("n") * F.col("below")).alias("dominance_pairs"), F.sum("n").alias("n"))
+    j = d.join(c, block)
+    return j.select(*block, "n", "dominance_pairs", ratio(2 * F.col("dominance_pairs"), F.col("n") * (F.col("n") - 1)).alias("comparable_share"), ratio("_c", "dominance_pairs").alias("concordance"))
+
+
+def dominance_transitions(df: DataFrame, *, entity: str, year: str, axes: list[str]) -> DataFrame:
+    """Year-to-year fate of dominance pairs among entities present in both years: kept, flipped, lost, gained.
+
+    The pairs of two years are counted on the product grid of both years' grades."""
+    a = df.select(entity, year, *axes)
+    b = df.select(entity, (F.col(year) - 1).alias(year), *[F.col(x).alias(f"{x}_n") for x in axes])
+    nx = [f"{x}_n" for x in axes]
+    g = dense_grid(a.join(b, [entity, year]).drop(entity), block=[year], axes=[*axes, *nx])
+    up_a, up_b, dn_b = [(x, True) for x in axes], [(x, True) for x in nx], [(x, False) for x in nx]
+    g = _cumulate(g, [year], up_a + up_b, "n", "_k4")
+    g = _cumulate(g, [year], up_a + dn_b, "n", "_f4")
+    g = _cumulate(g, [year, *nx], up_a, "n", "_a2")
+    g = _cumulate(g, [year, *axes], up_b, "n", "_b2")
+    g = _cumulate(g, [year, *axes], dn_b, "n", "_d2")
+    n = F.col("n")
+    kept = n * (F.col("_k4") - F.col("_a2") - F.col("_b2") + n)
+    flip = n * (F.col("_f4") - F.col("_a2") - F.col("_d2") + n)
+    s = g.groupBy(year).agg(F.sum(kept).alias("kept"), F.sum(flip).alias("flipped"))
+    both = a.join(b, [entity, year])
+    now = dominance_counts(both, block=[year], axes=axes).groupBy(year).agg(F.sum(F.col("n") * F.col("below")).alias("_now"))
+    nxt = dominance_counts(both, block=[year], axes=nx).groupBy(year).agg(F.sum(F.col("n") * F.col("below")).alias("_nxt"))
+    j = s.join(now, year).join(nxt, year)
+    return j.select(year, "kept", "flipped", (F.col("_now") - F.col("kept") - F.col("flipped")).alias("lost"), (F.col("_nxt") - F.col("kept") - F.col("flipped")).alias("gained"))
+
+
+def average_rank_local(df: DataFrame, *, block: list[str], axes: list[str], entity: str) -> DataFrame:
+    """Approximate average rank (below + 1)(n + 1) / (n + 1 - incomparable)."""
+    c = dominance_counts(df, block=block, axes=axes)
+    t = c.groupBy(*block).agg(F.sum("n").alias("_t"))
+    c = c.where("n > 0").join(t, block)
+    inc = F.col("_t") - 1 - F.col("below") - F.col("above")
+    c = c.select(*block, *axes, "below", "above", inc.alias("incomparable"), ((F.col("below") + 1) * (F.col("_t") + 1) / (F.col("_t") + 1 - inc)).alias("avg_rank"))
+    return df.select(entity, *block, *axes).join(c, [*block, *axes])
+
+
+# ------------------------------------------------------------------ interstructure, composites, hierarchy
+
+
+def rank_correlation_matrix(df: DataFrame, *, block: str, entity: str, values: list[str]) -> DataFrame:
+    """Spearman matrix per block in long form (i <= j both ways included)."""
+    from tidemark.operators.ranks import rank_average
+
+    long = df.dropna(subset=values).select(block, entity, *[F.col(v).cast("double").alias(v) for v in values]).unpivot([block, entity], values, "var", "v")
+    r = rank_average(long, [block, "var"], "v", "r")
+    wide = r.groupBy(block, entity).agg(*[F.max(F.when(F.col("var") == v, F.col("r"))).alias(v) for v in values])
+    cells = [F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), (F.corr(a, b) if a != b else F.lit(1.0)).alias("c")) for a in values for b in values]
+    return wide.groupBy(block).agg(F.array(*cells).alias("m")).select(block, F.explode("m").alias("e")).select(block, "e.*")
+
+
+def double_center(m: DataFrame, *, block: str) -> DataFrame:
+    """Subtract row and column means of each V x V matrix, add the grand mean."""
+    r = Window.partitionBy(block, "i")
+    c = Window.partitionBy(block, "j")
+    g = Window.partitionBy(block)
+    return m.withColumn("c", F.col("c") - F.avg("c").over(r) - F.avg("c").over(c) + F.avg("c").over(g))
+
+
+def rv_coefficient(m: DataFrame, *, block: str, modified: bool = False) -> DataFrame:
+    """RV between every two blocks' matrices (blocks are calendar years): sums of entry products."""
+    x = m.where("i <> j") if modified else m
+    a = x.select(F.col(block).alias("b1"), "i", "j", F.col("c").alias("c1"))
+    b = x.select(F.col(block).alias("b2"), "i", "j", F.col("c").alias("c2"))
+    p = a.join(b, ["i", "j"]).groupBy("b1", "b2").agg(F.sum(F.col("c1") * F.col("c2")).alias("s"))
+    own = p.where("b1 = b2")
+    o1 = own.select("b1", F.col("s").alias("s1"))
+    o2 = own.select(F.col("b1").alias("b2"), F.col("s").alias("s2"))
+    return p.where("b1 < b2").join(o1, "b1").join(o2, "b2").select("b1", "b2", (F.col("s") / F.sqrt(F.col("s1") * F.col("s2"))).alias("rv"))
+
+
+def statis_compromise(m: DataFrame, *, block: str) -> tuple[DataFrame, DataFrame]:
+    """Weights of the blocks (first eigenvector of the RV matrix) and the weighted compromise matrix.
+
+    The K x K RV table and the V x V block norms are the driver step; the compromise is summed in Spark."""
+    import numpy as np
+
+    spark = m.sparkSession
+    c = double_center(m, block=block)
+    ent = c.collect()  # blocks x V x V numbers
+    blocks = sorted({r[block] for r in ent})
+    names = sorted({r["i"] for r in ent})
+    at = {v: k for k, v in enumerate(names)}
+    mats = {b: np.zeros((len(names), len(names))) for b in blocks}
+    for r in ent:
+        mats[r[block]][at[r["i"]], at[r["j"]]] = r["c"]
+    norm = {b: float(np.linalg.eigvalsh(mats[b])[-1]) for b in blocks}
+    rv = np.array([[np.sum(mats[a] * mats[b]) / math.sqrt(np.sum(mats[a] ** 2) * np.sum(mats[b] ** 2)) for b in blocks] for a in blocks])
+    u = np.linalg.eigh(rv)[1][:, -1]
+    alpha = u * np.sign(u.sum()) / abs(u.sum())
+    w = spark.createDataFrame([(b, float(a), norm[b]) for b, a in zip(blocks, alpha)], f"`{block}` {m.schema[block].dataType.simpleString()}, weight double, norm double")
+    comp = c.join(F.broadcast(w), block).groupBy("i", "j").agg(F.sum(F.col("weight") * F.col("c") / F.col("norm")).alias("compromise"))
+    dist = c.join(F.broadcast(w), block).join(comp, ["i", "j"]).groupBy(block).agg(F.first("weight").alias("weight"), F.sqrt(F.sum((F.col("c") / F.col("norm") - F.col("compromise")) ** 2)).alias("distance"))
+    return dist, comp
+
+
+def composite_score(df: DataFrame, *, block: list[str], values: list[str], out: str = "composite") -> DataFrame:
+    """Equal-weight mean of population z-scores inside the block."""
+    m = df.groupBy(*block).agg(*[F.avg(v).alias(f"_m_{v}") for v in values], *[F.stddev_pop(v).alias(f"_s_{v}") for v in values])
+    z = [ratio(F.col(v) - F.col(f"_m_{v}"), F.col(f"_s_{v}")) for v in values]
+    return df.join(m, block).withColumns({**{f"z_{v}": c for v, c in zip(values, z)}, out: sum(z[1:], z[0]) / len(values)}).drop(*[f"_m_{v}" for v in values], *[f"_s_{v}" for v in values])
+
+
+def first_component(df: DataFrame, *, values: list[str], sign_of: str, out: str = "pc1") -> DataFrame:
+    """First principal component of standardised columns, signed like ``sign_of``."""
+    from pyspark.ml.feature import PCA, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    v = VectorAssembler(inputCols=values, outputCol="_v").transform(df.dropna(subset=values))
+    p = PCA(k=1, inputCol="_v", outputCol="_p").fit(v).transform(v).withColumn(out, vector_to_array("_p")[0])
+    s = p.agg(F.signum(F.corr(out, sign_of))).scalar()
+    return p.withColumn(out, F.col(out) * s).drop("_v", "_p")
+
+
+def neighbour_gap(df: DataFrame, *, levels: list[str], weights: list[float], value: str) -> DataFrame:
+    """Value minus the weighted mean of its relatives in a label hierarchy (levels from near to far).
+
+    Relatives at a level are those that share that label but not the nearer one; their means come
+    from group sums, so no n x n weight matrix is formed."""
+    x = df
+    for k, lv in enumerate(levels):
+        g = df.groupBy(*levels[k:]).agg(F.sum(value).alias(f"_s{k}"), F.count(value).alias(f"_n{k}"))
+        x = x.join(g, levels[k:])
+    num, den = F.lit(0.0), F.lit(0.0)
+    for k, w in enumerate(weights):
+        s_in = F.col(value) if k == 0 else F.col(f"_s{k - 1}")
+        n_in = F.lit(1) if k == 0 else F.col(f"_n{k - 1}")
+        num = num + F.lit(w) * (F.col(f"_s{k}") - s_in)
+        den = den + F.lit(w) * (F.col(f"_n{k}") - n_in)
+    x = x.withColumn("neighbour_mean", ratio(num, den))
+    return x.withColumn("gap", F.col(value) - F.col("neighbour_mean")).drop(*[f"_{p}{k}" for k in range(len(levels)) for p in "sn"])
+
+
+def local_moran(df: DataFrame, *, levels: list[str], weights: list[float], value: str) -> DataFrame:
+    """Local index z_i x (weighted mean of the relatives' z)."""
+    m = df.agg(F.struct(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"))).scalar()
+    z = df.withColumn("_k", m).withColumn("z", (F.col(value) - F.col("_k.m")) / F.col("_k.s")).drop("_k")
+    n = neighbour_gap(z, levels=levels, weights=weights, value="z")
+    return n.withColumn("local_i", F.col("z") * F.col("neighbour_mean"))
+
+
+def global_moran(local: DataFrame) -> DataFrame:
+    return local.where("neighbour_mean IS NOT NULL").agg((F.sum("local_i") / F.sum(F.col("z") * F.col("z"))).alias("moran_i"), F.count(F.lit(1)).alias("n"))
+
+
+def anova_r2(df: DataFrame, *, factor: str, value: str) -> DataFrame:
+    """Between-group over total sum of squares from group sums."""
+    g = df.groupBy(factor).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) ** 2).alias("ss"))
+    t = g.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(F.col("s") ** 2 / F.col("n")).alias("b"), F.count(F.lit(1)).alias("n_groups"))
+    c = F.col("s") ** 2 / F.col("n")
+    return t.select(((F.col("b") - c) / (F.col("ss") - c)).alias("r2"), "n", "n_groups")
+
+
+# ------------------------------------------------------------------ text neighbours
+
+
+def tfidf_weights(df: DataFrame, *, id: str, text: str, ngrams: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """(id, term, weight): 1-2 gram term frequency x smoothed inverse document frequency, unit length per document.
+
+    The whole text is tokenised; counts and document frequencies are grouped sums, and no vocabulary
+    is collected."""
+    from functools import reduce
+
+    tok = df.select(id, F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 1).alias("_w"))
+    grams = []
+    for n in ngrams:
+        if n == 1:
+            grams.append(F.col("_w"))
+        else:
+            idx = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1)).otherwise(F.array().cast("array<int>"))
+            grams.append(F.transform(idx, lambda i, n=n: F.array_join(F.slice("_w", i, n), " ")))
+    terms = tok.select(id, F.explode(reduce(lambda a, b: F.concat(a, b), grams)).alias("term"))
+    tf = terms.groupBy(id, "term").agg(F.count(F.lit(1)).alias("tf"))
+    n = df.agg(F.count(F.lit(1))).scalar()
+    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("dfreq"))
+    w = tf.join(idf, "term").withColumn("_x", F.col("tf") * (F.log((1 + n) / (1 + F.col("dfreq"))) + 1))
+    norm = w.groupBy(id).agg(F.sqrt(F.sum(F.col("_x") ** 2)).alias("_n"))
+    return w.join(norm, id).select(id, "term", (F.col("_x") / F.col("_n")).alias("weight"))
+
+
+def tfidf_neighbours(weights: DataFrame, *, id: str, tables: int = 6, reach: int = 2, seed: int = 3) -> DataFrame:
+    """Best cosine neighbour of every document among sorted neighbours on several random projections.
+
+    Each table orders the documents by a hashed-sign projection and compares every document with the
+    next ``reach`` ones, so the work is linear in the documents even when a third of them are near
+    copies; the result is an approximate nearest neighbour, like a locality-sensitive hash join."""
+    from tidemark.functions.hashing import draw_int
+    from tidemark.operators.ranks import row_positions
+
+    sign = [F.sum(F.col("weight") * F.when(draw_int(seed + t, F.col("term")) % 2 == 0, 1.0).otherwise(-1.0)) for t in range(tables)]
+    proj = weights.groupBy(id).agg(*[s.alias(f"p{t}") for t, s in enumerate(sign)])
+    cand = None
+    for t in range(tables):
+        o = row_positions(proj.select(id, f"p{t}"), [], f"p{t}", id, "pos").select(id, "pos")
+        nxt = o.select(F.col(id).alias("other"), F.explode(F.sequence(F.col("pos") - reach, F.col("pos") - 1)).alias("pos"))
+        c = o.join(nxt, "pos").select(id, "other")
+        cand = c if cand is None else cand.unionByName(c)
+    cand = cand.select(F.least(id, "other").alias("a"), F.greatest(id, "other").alias("b")).distinct()
+    va = weights.select(F.col(id).alias("a"), "term", F.col("weight").alias("wa"))
+    vb = weights.select(F.col(id).alias("b"), "term", F.col("weight").alias("wb"))
+    cos = cand.join(va, "a").join(vb, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
+    both = cos.select(F.col("a").alias(id), F.col("b").alias("neighbour"), "cosine").unionByName(cos.select(F.col("b").alias(id), F.col("a").alias("neighbour"), "cosine"))
+    return both.groupBy(id).agg(F.max_by("neighbour", F.struct(F.col("cosine"), -F.col("neighbour"))).alias("neighbour"), F.max("cosine").alias("cosine"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["windows", "sources", "relational", "composition", "distribution", "forecast", "scoring"]
+MODULES = ["windows", "sources", "relational", "composition", "distribution", "forecast", "scoring", "events"]
 
 
 def load_all() -> None:
