@@ -247,17 +247,17 @@ def mean_shift_test(per: DataFrame, *, period: str, breaks: list[int], d: str =
     so its long-run variance needs one short series per break."""
     w = Window.partitionBy("brk").orderBy(period)
     x = per.select(period, F.col(d).alias("d"), F.explode(F.array(*[F.lit(b) for b in breaks])).alias("brk"))
-    x = x.withColumn("D", (F.col(period) >= F.col("brk")).cast("double"))
+    x = x.withColumn("aft", (F.col(period) >= F.col("brk")).cast("double"))
     full = Window.partitionBy("brk")
-    x = x.withColumns({"n1": F.sum("D").over(full), "T": F.count(F.lit(1)).over(full), "m1": F.avg(F.when(F.col("D") == 1, F.col("d"))).over(full), "m0": F.avg(F.when(F.col("D") == 0, F.col("d"))).over(full), "i": F.row_number().over(w)})
+    x = x.withColumns({"n1": F.sum("aft").over(full), "T": F.count(F.lit(1)).over(full), "m1": F.avg(F.when(F.col("aft") == 1, F.col("d"))).over(full), "m0": F.avg(F.when(F.col("aft") == 0, F.col("d"))).over(full), "i": F.row_number().over(w)})
     x = x.withColumn("n0", F.col("T") - F.col("n1"))
-    x = x.withColumn("f", F.when(F.col("D") == 1, (F.col("d") - F.col("m1")) / F.col("n1")).otherwise(-(F.col("d") - F.col("m0")) / F.col("n0")))
+    x = x.withColumn("f", F.when(F.col("aft") == 1, (F.col("d") - F.col("m1")) / F.col("n1")).otherwise(-(F.col("d") - F.col("m0")) / F.col("n0")))
     lag = x.select("brk", "i", "f", "T", "n0", "n1", "m0", "m1", F.explode(F.sequence(F.lit(0), F.floor(F.sqrt("T")).cast("int"))).alias("l"))
     o = x.select(F.col("brk").alias("brk2"), F.col("i").alias("j"), F.col("f").alias("v"))
     p = lag.join(o, (F.col("brk") == F.col("brk2")) & (F.col("i") - F.col("l") == F.col("j")))
     k = F.when(F.col("l") == 0, 1.0).otherwise(2 * (1 - F.col("l") / (F.floor(F.sqrt("T")) + 1)))
     g = p.groupBy("brk", "T", "n0", "n1", "m0", "m1").agg(F.sum(k * F.col("f") * F.col("v")).alias("v"))
-    z = (F.col("m1") - F.col("m0")) / F.sqrt("v")
+    z = F.try_divide(F.col("m1") - F.col("m0"), F.sqrt("v"))
     return g.select("brk", F.col("n0").cast("long").alias("n_before"), F.col("n1").cast("long").alias("n_after"), (F.col("m1") - F.col("m0")).alias("shift"), F.sqrt("v").alias("se"), z.alias("z"), two_sided_p(z).alias("p"))
 
 

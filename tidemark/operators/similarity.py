@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import arr_sum
 from tidemark.functions.scalars import ratio
+from tidemark.session import cut_lineage
 
 
 def _series(df: DataFrame, n: int, entity: str, index: str, value: str) -> DataFrame:
@@ -105,7 +106,8 @@ def graded_pair_counts(df: DataFrame, *, block: list[str], x: str, y: str) -> Da
 def concordance(df: DataFrame, *, block: list[str], x: str, y: str) -> DataFrame:
     """Share of concordant pairs within block among pairs with different grades, ties at one half."""
     p = graded_pair_counts(df, block=block, x=x, y=y)
-    return p.groupBy(*block).agg(ratio(F.sum("less") + 0.5 * F.sum("tie"), F.sum("n")).alias("concordance"), F.sum("n").alias("n_pairs"))
+    g = p.groupBy(*block).agg(ratio(F.sum("less") + 0.5 * F.sum("tie"), F.sum("n")).alias("concordance"), F.sum("n").alias("n_pairs"))
+    return g.where("n_pairs > 0")
 
 
 def _newton(rows: list[tuple[float, float, float]], iters: int = 60) -> float:
@@ -389,7 +391,7 @@ def tfidf_weights(df: DataFrame, *, id: str, text: str, ngrams: tuple[int, ...]
     return w.join(norm, id).select(id, "term", (F.col("_x") / F.col("_n")).alias("weight"))
 
 
-def tfidf_neighbours(weights: DataFrame, *, id: str, tables: int = 6, reach: int = 2, seed: int = 3) -> DataFrame:
+def tfidf_neighbours(weights: DataFrame, *, id: str, tables: int = 4, reach: int = 1, seed: int = 3) -> DataFrame:
     """Best cosine neighbour of every document among sorted neighbours on several random projections.
 
     Each table orders the documents by a hashed-sign projection and compares every document with the
@@ -399,7 +401,7 @@ def tfidf_neighbours(weights: DataFrame, *, id: str, tables: int = 6, reach: int
     from tidemark.operators.ranks import row_positions
 
     sign = [F.sum(F.col("weight") * F.when(draw_int(seed + t, F.col("term")) % 2 == 0, 1.0).otherwise(-1.0)) for t in range(tables)]
-    proj = weights.groupBy(id).agg(*[s.alias(f"p{t}") for t, s in enumerate(sign)])
+    proj = cut_lineage(weights.groupBy(id).agg(*[s.alias(f"p{t}") for t, s in enumerate(sign)]), "projection")
     cand = None
     for t in range(tables):
         o = row_positions(proj.select(id, f"p{t}"), [], f"p{t}", id, "pos").select(id, "pos")

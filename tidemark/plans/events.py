@@ -321,14 +321,14 @@ def _(s, d):
     return E.granger_f(pair_weekly(s, d), by=["series"], index="t", x="v", y="y")
 
 
-GR = """gr AS (SELECT l_suppkey AS entity, CAST(year(l_shipdate) AS BIGINT) AS y, least(CAST(floor(sum(l_quantity) / 400) AS INT), 4) AS g1, least(CAST(floor(count(*) / 16e0) AS INT), 4) AS g2, least(CAST(floor(sum(l_extendedprice * 1e0) / count(*) / 8e3) AS INT), 6) AS o, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 1e2 AS flow FROM lineitem WHERE year(l_shipdate) < 2001 GROUP BY ALL)"""
+GR = """gr AS (SELECT l_suppkey AS entity, CAST(year(l_shipdate) AS BIGINT) AS y, least(CAST(floor(sum(l_quantity) / 600) AS INT), 5) AS g1, least(CAST(floor(count(*) / 22e0) AS INT), 6) AS g2, least(CAST(floor(sum(l_extendedprice * 1e0) / count(*) / 8e3) AS INT), 6) AS o, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 1e2 AS flow FROM lineitem WHERE year(l_shipdate) < 2001 GROUP BY ALL)"""
 
 
 def graded(s, d):
     l = table(s, d, "lineitem").where("l_shipdate < DATE'2001-01-01'")
     cap = lambda c, k: F.least(F.floor(c).cast("int"), F.lit(k))
     return l.groupBy(F.col("l_suppkey").alias("entity"), F.year("l_shipdate").alias("y")).agg(
-        cap(F.sum("l_quantity") / 400, 4).alias("g1"), cap(F.count(F.lit(1)) / 16.0, 4).alias("g2"), cap(F.avg("l_extendedprice") / 8e3, 6).alias("o"),
+        cap(F.sum("l_quantity") / 600, 5).alias("g1"), cap(F.count(F.lit(1)) / 22.0, 6).alias("g2"), cap(F.avg("l_extendedprice") / 8e3, 6).alias("o"),
         (F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).cast("double") / 100.0).alias("flow"))
 
 
@@ -365,7 +365,7 @@ def _(s, d):
 
 @query("dominance_summary", f"WITH {GR}, p AS (SELECT b.y, count(*) AS dp, avg(CASE WHEN b.o < a.o THEN 1e0 WHEN b.o = a.o THEN 5e-1 ELSE 0e0 END) AS c FROM gr a JOIN gr b ON a.y = b.y AND {DOM} GROUP BY ALL) SELECT y, (SELECT count(*) FROM gr WHERE gr.y = p.y) AS n, dp AS dominance_pairs, 2e0 * dp / ((SELECT count(*) FROM gr WHERE gr.y = p.y) * ((SELECT count(*) FROM gr WHERE gr.y = p.y) - 1)) AS comparable_share, c AS concordance FROM p", "comparable_share:7 concordance:7")
 def _(s, d):
-    return SM_.dominance_summary(graded(s, d), block=["y"], axes=["g1", "g2"], outcome="o")
+    return SM_.dominance_summary(graded(s, d), block=["y"], axes=["g1", "g2"], outcome="o").where("dominance_pairs > 0")
 
 
 @query("dominance_transitions", f"""WITH {GR}, b2 AS (SELECT a.y, a.entity, a.g1, a.g2, n.g1 AS h1, n.g2 AS h2 FROM gr a JOIN gr n ON a.entity = n.entity AND n.y = a.y + 1), p AS (SELECT a.y, ({DOM}) AS now, (a.h1 <= b.h1 AND a.h2 <= b.h2 AND (a.h1 < b.h1 OR a.h2 < b.h2)) AS up, (a.h1 >= b.h1 AND a.h2 >= b.h2 AND (a.h1 > b.h1 OR a.h2 > b.h2)) AS down FROM b2 a JOIN b2 b ON a.y = b.y)
@@ -407,7 +407,7 @@ NB = "sum(w * b.{v}) / nullif(sum(w), 0)"
 NBJ = "FROM {t} a JOIN (SELECT * FROM {t}) b ON a.s_suppkey <> b.s_suppkey CROSS JOIN LATERAL (SELECT CASE WHEN a.nat = b.nat THEN 1e0 WHEN a.reg = b.reg THEN 5e-1 ELSE 0e0 END AS w) GROUP BY a.s_suppkey, a.{v}"
 
 
-@query("neighbour_gap", f"WITH {SUP} SELECT a.s_suppkey, {NB.format(v='v')} AS neighbour_mean, a.v - {NB.format(v='v')} AS gap {NBJ.format(t='su', v='v')}", "neighbour_mean:7 gap:7")
+@query("neighbour_gap", f"WITH {SUP} SELECT a.s_suppkey, {NB.format(v='v')} AS neighbour_mean, a.v - {NB.format(v='v')} AS gap {NBJ.format(t='su', v='v')}", "neighbour_mean:9 gap:9")
 def _(s, d):
     return SM_.neighbour_gap(hierarchy(s, d), levels=["nat", "reg"], weights=[1.0, 0.5], value="v").select("s_suppkey", "neighbour_mean", "gap")
 

@@ -79,7 +79,7 @@ def _(s, d):
 
 
 @query("empirical_crps", f"""WITH {SP}, t AS (SELECT entity % 5 AS k, stock AS x FROM sp WHERE q < 8000), o AS (SELECT entity % 5 AS k, stock AS y FROM sp WHERE q >= 8000),
-a AS (SELECT o.k, avg(abs(x - y)) AS e1 FROM o JOIN t USING (k) GROUP BY o.k), b AS (SELECT p.k, avg(abs(p.x - r.x)) AS e2 FROM t p JOIN t r USING (k) GROUP BY p.k) SELECT k, e1 - e2 / 2 AS crps, (SELECT count(*) FROM o WHERE o.k = a.k) AS n_obs FROM a JOIN b USING (k)""", "crps:5")
+a AS (SELECT o.k, avg(abs(x - y)) AS e1 FROM o JOIN t USING (k) GROUP BY o.k), b AS (SELECT p.k, avg(abs(p.x - r.x)) AS e2 FROM t p JOIN t r USING (k) GROUP BY p.k) SELECT k, e1 - e2 / 2 AS crps, (SELECT count(*) FROM o WHERE o.k = a.k) AS n_obs FROM a JOIN b USING (k)""", "crps:8")
 def _(s, d):
     p = supplier_panel(s, d).withColumn("k", F.col("entity") % 5)
     return S.empirical_crps(p.where("q < 8000"), p.where("q >= 8000"), keys=["k"], x="stock", y="stock")
