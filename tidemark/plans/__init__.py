@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["windows", "sources", "relational", "composition", "distribution", "forecast", "scoring", "events", "tasks"]
+MODULES = ["windows", "sources", "relational", "composition", "distribution", "forecast", "scoring", "events", "tasks", "streams"]
 
 
 def load_all() -> None:
