@@ -238,7 +238,7 @@ def _(s, d):
     return J.outer_composition_join(a, b, ["series", "date"], "value").select("series", F.col("date").cast("string"), "value_prev", "value_cur", F.col("in_prev").cast("int"), F.col("in_cur").cast("int"))
 
 
-@query("month_before_join", """
+@query("range_join_month_before", """
 WITH m AS (SELECT o_custkey AS k, date_trunc('month', o_orderdate) AS m, count(*) AS n FROM orders GROUP BY ALL)
 SELECT o_orderkey, m.n AS n_prev FROM orders LEFT JOIN m ON m.k = o_custkey AND m.m = date_trunc('month', o_orderdate) - INTERVAL 1 MONTH""")
 def _(s, d):

@@ -10,9 +10,16 @@ from tidemark.plans.registry import query
 from tidemark.session import scratch_path
 from tidemark.streaming import jobs as J
 
-BANDS = F.floor(F.least(F.col("value"), F.lit(299.0)) / 50).cast("int")
+
+def bands():
+    return F.floor(F.least(F.col("value"), F.lit(299.0)) / 50).cast("int")
+
+
+def cents():
+    return F.round(F.col("value") * 100).cast("long")
+
+
 BSQL = "CAST(floor(least(value, 299) / 50) AS INT)"
-CENT = F.round(F.col("value") * 100).cast("long")
 WM = "(SELECT max(ts) FROM events)"
 
 
@@ -29,14 +36,14 @@ def ts(c):
 @query("stream_weekly_mix", f"""WITH w AS (SELECT event_type AS kind, {BSQL} AS bucket, CAST(ts AS DATE) + CAST((12 - isodow(ts)) % 7 AS INT) AS week, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS amount, count(*) AS n FROM events GROUP BY ALL)
 SELECT kind, bucket, CAST(week AS VARCHAR) AS week, amount, n FROM w WHERE CAST(week + 1 AS TIMESTAMP) <= {WM} - INTERVAL 1 DAY""")
 def _(s, d):
-    e = events(s, d).withColumn("cents", CENT)
-    return J.drain(J.weekly_mix(e, time="ts", kind="event_type", bucket=BANDS, amount="cents"), "weekly").withColumn("week", F.col("week").cast("string"))
+    e = events(s, d).withColumn("cents", cents())
+    return J.drain(J.weekly_mix(e, time="ts", kind="event_type", bucket=bands(), amount="cents"), "weekly").withColumn("week", F.col("week").cast("string"))
 
 
 @query("stream_weekly_provisional", f"""SELECT event_type AS kind, {BSQL} AS bucket, CAST(CAST(ts AS DATE) + CAST((12 - isodow(ts)) % 7 AS INT) AS VARCHAR) AS week, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS amount, count(*) AS n, 1 AS provisional, 0 AS usable FROM events GROUP BY ALL""")
 def _(s, d):
-    e = events(s, d).withColumn("cents", CENT)
-    out = J.provisional_weeks(e, "provisional", time="ts", kind="event_type", bucket=BANDS, amount="cents")
+    e = events(s, d).withColumn("cents", cents())
+    out = J.provisional_weeks(e, "provisional", time="ts", kind="event_type", bucket=bands(), amount="cents")
     return out.select("kind", "bucket", F.col("week").cast("string"), "amount", "n", F.col("provisional").cast("int"), F.col("usable").cast("int"))
 
 
