@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import log_ratio, ratio
+from tidemark.session import cut_lineage
 
 
 def _by(entity: str, period: str):
@@ -210,7 +211,7 @@ def running_max_step(df: DataFrame, *, keys: list[str], x: str, y: str, out: str
     """Cumulative maximum of y ordered by x, one row per distinct x, split over slices of x."""
     from tidemark.operators.ranks import slice_bounds, slice_of
 
-    base = df.groupBy(*keys, x).agg(F.max(y).alias("_y"))
+    base = cut_lineage(df.groupBy(*keys, x).agg(F.max(y).alias("_y")), "distinct")
     cuts = slice_bounds(base, x)
     base = base.withColumn("_s", slice_of(F.col(x).cast("double"), cuts))
     wk = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))

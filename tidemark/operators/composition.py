@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.linear import solve2, solve3
 from tidemark.functions.scalars import ratio
 from tidemark.operators.ranks import rank_average
+from tidemark.session import cut_lineage
 
 PD, PT = "period", "part"
 
@@ -334,6 +335,7 @@ def ca_axes(df: DataFrame, *, period=PD, part=PT, amount="amount", axes: int = 2
     import numpy as np
 
     spark = df.sparkSession
+    df = cut_lineage(df.select(period, part, amount), "mix")  # the period x part table is read four times
     n = df.agg(F.sum(amount)).first()[0]
     r = df.groupBy(period).agg((F.sum(amount) / n).alias("_r"))
     c = df.groupBy(part).agg((F.sum(amount) / n).alias("_c"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.arrays import arr_sum, interp, isotonic, make_pool_adjacent
 from tidemark.functions.scalars import clip, normal_cdf, normal_ppf, ratio
 from tidemark.operators.ranks import exact_quantiles, rank_average
+from tidemark.session import cut_lineage
 
 U99 = [round(i / 100, 2) for i in range(1, 100)]
 U19 = [round(i / 20, 2) for i in range(1, 20)]
@@ -333,7 +334,8 @@ def isotonic_fit(df: DataFrame, *, keys: list[str], x: str, y: str, increasing:
 
     sgn = 1.0 if increasing else -1.0
     base = df.groupBy(*keys, F.col(x).cast("double").alias("x_lo")).agg((sgn * F.avg(y)).alias("fit"), F.count(F.lit(1)).cast("double").alias("weight"))
-    base = base.withColumn("x_hi", F.col("x_lo")).withColumn("_s", slice_of(F.col("x_lo"), slice_bounds(base, "x_lo", 16)))
+    base = cut_lineage(base.withColumn("x_hi", F.col("x_lo")), "points")
+    base = base.withColumn("_s", slice_of(F.col("x_lo"), slice_bounds(base, "x_lo", 16)))
     kt = ", ".join(f"`{k}` {base.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{kt + ', ' if kt else ''}x_lo double, x_hi double, fit double, weight double"
 
@@ -380,6 +382,7 @@ def _weighted_isotonic(base: DataFrame, keys: list[str], x: str, y: str, w: str)
     from tidemark.operators.ranks import slice_bounds, slice_of
 
     b = base.select(*keys, F.col(x).cast("double").alias("x"), (-F.col(y)).alias("fit"), F.col(w).cast("double").alias("weight"))
+    b = cut_lineage(b, "points")
     b = b.withColumn("_s", slice_of(F.col("x"), slice_bounds(b, "x", 16)))
     kt = ", ".join(f"`{k}` {b.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{kt}, x_lo double, x_hi double, fit double, weight double"

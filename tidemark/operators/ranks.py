@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 SLICES = 32
 
 
@@ -26,26 +28,22 @@ def slice_bounds(df: DataFrame, order: str, slices: int = SLICES) -> list[float]
 
 
 def slice_of(order, bounds: list[float]):
-    """Index of the slice that a value falls in: the number of cut points below it."""
-    if not bounds:
-        return F.lit(0)
-    arr = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.size(F.filter(arr, lambda b: b < order))
+    """Index of the slice that a value falls in: the number of cut points below it (a balanced
+    tree of comparisons, so five tests for 31 cut points)."""
 
+    def tree(lo: int, hi: int):
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(order > F.lit(float(bounds[mid])), tree(mid + 1, hi)).otherwise(tree(lo, mid))
 
-def prefix_totals(
-    df: DataFrame,
-    keys: list[str],
-    order: str,
-    measures: list[str],
-    bounds: list[float] | None = None,
-) -> DataFrame:
-    """Sums over all strictly smaller values of ``order`` within ``keys``.
+    return tree(0, len(bounds))
 
-    One row per distinct (keys, order): the summed ``measures``, ``before_<m>`` and
-    ``total_<m>`` of the whole group.
-    """
-    base = df.groupBy(*keys, order).agg(*[F.sum(m).alias(m) for m in measures])
+
+def _sliced(df: DataFrame, keys: list[str], order: str, measures: list[str], bounds: list[float] | None):
+    """(rows reduced to distinct (keys, order) with their slice, offsets and totals per (keys, slice))."""
+    # written once: the cut points, the slice totals and the rows all read this reduced table
+    base = cut_lineage(df.groupBy(*keys, order).agg(*[F.sum(m).alias(m) for m in measures]), "distinct")
     cuts = slice_bounds(base, order) if bounds is None else bounds
     base = base.withColumn("_s", slice_of(F.col(order).cast("double"), cuts))
     per = base.groupBy(*keys, "_s").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
@@ -54,9 +52,27 @@ def prefix_totals(
     off = per.select(
         *keys,
         "_s",
+        *[f"_t_{m}" for m in measures],
         *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures],
         *[F.sum(f"_t_{m}").over(wk).alias(f"total_{m}") for m in measures],
     )
+    return base, off
+
+
+def prefix_totals(
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    measures: list[str],
+    bounds: list[float] | None = None,
+) -> DataFrame:
+    """Sums over all strictly smaller values of ``order`` within ``keys``.
+
+    One row per distinct (keys, order): the summed ``measures``, ``before_<m>`` and
+    ``total_<m>`` of the whole group.
+    """
+    base, off = _sliced(df, keys, order, measures, bounds)
+    off = off.drop(*[f"_t_{m}" for m in measures])
     inner = (
         Window.partitionBy(*keys, "_s").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -87,8 +103,10 @@ def row_positions(df: DataFrame, keys: list[str], order: str, tie: str, out: str
     """1-based position by (order, tie) within keys, and the group size ``n_<out>``.
 
     The positions of tied rows are resolved inside one (key, value, tie-slice)."""
+    if bounds is None:
+        df = cut_lineage(df, "positions")  # read for the cut points, the slice counts and the rows
     cuts = slice_bounds(df, order) if bounds is None else bounds
-    tagged = df.withColumn("_s", slice_of(F.col(order).cast("double"), cuts))
+    tagged = df.withColumn("_s", slice_of(F.col(order).cast("double"), cuts))  # uniform hashes need no data pass
     per = tagged.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_t"))
     wk = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     off = per.select(
@@ -121,19 +139,18 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, levels: list[flo
     Running counts give every distinct value the order statistics it covers; only the
     two values around each level are kept, so nothing group-sized is ever held."""
     src = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    c = prefix_totals(src.withColumn("_n", F.lit(1).cast("long")), keys, "_v", ["_n"])
+    base, off = _sliced(src.withColumn("_n", F.lit(1).cast("long")), keys, "_v", ["_n"], None)
     lev = F.array(*[F.lit(float(t)) for t in levels])
     pos = lambda t: t * (F.col("total__n") - 1)
-    covers = lambda p: (p >= F.col("before__n")) & (p < F.col("before__n") + F.col("_n"))
-    lows = F.transform(
-        F.filter(lev, lambda t: covers(F.floor(pos(t)))),
-        lambda t: F.struct(t.alias("tau"), F.lit(0).alias("side"), (pos(t) - F.floor(pos(t))).alias("w")),
-    )
-    highs = F.transform(
-        F.filter(lev, lambda t: covers(F.ceil(pos(t)))),
-        lambda t: F.struct(t.alias("tau"), F.lit(1).alias("side"), (pos(t) - F.floor(pos(t))).alias("w")),
-    )
-    hit = c.select(*keys, "_v", F.explode(F.concat(lows, highs)).alias("h"))
+    side = lambda t, k, p: F.struct(t.alias("tau"), F.lit(k).alias("side"), p.alias("p"), (pos(t) - F.floor(pos(t))).alias("w"))
+    both = F.concat(F.transform(lev, lambda t: side(t, 0, F.floor(pos(t)))), F.transform(lev, lambda t: side(t, 1, F.ceil(pos(t)))))
+    # each slice carries only the order statistics that fall inside it
+    inside = lambda e: (e["p"] >= F.col("_o__n")) & (e["p"] < F.col("_o__n") + F.col("_t__n"))
+    off = off.withColumn("_want", F.filter(both, inside)).where(F.size("_want") > 0)
+    run = Window.partitionBy(*keys, "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    c = base.join(off.select(*keys, "_s", "_o__n", "_want"), [*keys, "_s"])
+    c = c.withColumn("_b", F.col("_o__n") + F.coalesce(F.sum("_n").over(run), F.lit(0)))
+    hit = c.select(*keys, "_v", F.explode(F.filter("_want", lambda e: (e["p"] >= F.col("_b")) & (e["p"] < F.col("_b") + F.col("_n")))).alias("h"))
     agg = hit.groupBy(*keys, F.col("h.tau").alias("tau")).agg(
         F.max(F.when(F.col("h.side") == 0, F.col("_v"))).alias("lo"),
         F.max(F.when(F.col("h.side") == 1, F.col("_v"))).alias("hi"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.hashing import draw_int, draw_unit
 from tidemark.functions.scalars import ratio
 from tidemark.operators.ranks import row_positions
+from tidemark.session import cut_lineage
 
 HASH_BOUNDS = [i / 16 * 4294967296.0 for i in range(1, 16)]
 
@@ -33,7 +34,7 @@ def hashed_positions(df: DataFrame, *, block: list[str], ids: list[str], seed: i
 
 def within_block_permutation(df: DataFrame, *, block: list[str], ids: list[str], value: str, seed: int, reps: int, out: str = "permuted") -> DataFrame:
     """Permute ``value`` inside each block: rows in id order receive values in hash order."""
-    x = replicate(df.select(*block, *ids, value), reps)
+    x = replicate(cut_lineage(df.select(*block, *ids, value), "permute"), reps)
     give = hashed_positions(x, block=block, ids=ids, seed=seed, out="pos").select("rep", *block, "pos", F.col(value).alias(out))
     take = hashed_positions(x, block=block, ids=ids, seed=seed + 1, out="pos").select("rep", *block, *ids, "pos", value)
     return take.join(give, ["rep", *block, "pos"]).drop("pos")
@@ -46,8 +47,8 @@ def pooled_permutation(df: DataFrame, *, ids: list[str], value: str, seed: int,
 
 def permutation_correlation(df: DataFrame, *, block: list[str], ids: list[str], x: str, y: str, seed: int, reps: int) -> DataFrame:
     """Observed correlation and its within-block permutation p (two-sided): five sums per replicate."""
-    obs = df.agg(F.corr(x, y)).scalar()
-    base = df.select(*block, *ids, x, y)
+    base = cut_lineage(df.select(*block, *ids, x, y), "pairs")
+    obs = base.agg(F.corr(x, y)).scalar()
     perm = within_block_permutation(base, block=block, ids=ids, value=y, seed=seed, reps=reps).drop(y)
     null = perm.join(base.drop(y), [*block, *ids]).groupBy("rep").agg(F.corr(x, "permuted").alias("r"))
     n = null.withColumn("obs", obs)

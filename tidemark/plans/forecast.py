@@ -14,6 +14,7 @@ from tidemark.plans.composition import MK, SH, _market
 from tidemark.plans.distribution import XS, cross_section
 from tidemark.plans.registry import query
 from tidemark.plans.relational import sql_cdf
+from tidemark.session import cut_lineage
 
 LG = "max(flow) OVER (PARTITION BY entity ORDER BY q RANGE BETWEEN {k} PRECEDING AND {k} PRECEDING)"
 DESIGN = f"""{SP}, d0 AS (SELECT entity, q, flow AS y, stock, {LG.format(k=1)} AS y1, {LG.format(k=3)} AS y3, {LG.format(k=4)} AS y4,
@@ -28,11 +29,12 @@ cases AS (SELECT entity, d.q AS origin, d.q + 1 AS target, yn AS actual, y AS na
 
 
 def design(s, d):
-    return M.design(supplier_panel(s, d), value="flow", size="stock")
+    """The panel is written once: the design reads it for the lags and for the top-k."""
+    return M.design(cut_lineage(supplier_panel(s, d), "panel"), value="flow", size="stock")
 
 
 def cases(s, d):
-    return M.forecast_cases(design(s, d))
+    return M.forecast_cases(cut_lineage(design(s, d), "design"))
 
 
 @query("naive", f"WITH {DESIGN} SELECT entity, q + 1 AS target, y AS naive, yn AS actual FROM d WHERE sel AND yn IS NOT NULL", "naive:4 actual:4")

@@ -14,6 +14,7 @@ from tidemark.plans.distribution import QF, XS, cross_section, quantile_function
 from tidemark.plans.forecast import CASES, LV, cases
 from tidemark.plans.registry import query
 from tidemark.plans.relational import sql_cdf
+from tidemark.session import cut_lineage
 
 LONG = f"{CASES}, lg AS (SELECT entity, origin, target, method, actual, forecast FROM (SELECT entity, origin, target, actual, naive, seasonal_naive, pooled_ar FROM cases) UNPIVOT (forecast FOR method IN (naive, seasonal_naive, pooled_ar)))"
 
@@ -21,7 +22,7 @@ LONG = f"{CASES}, lg AS (SELECT entity, origin, target, method, actual, forecast
 @query("point_metrics", f"""WITH {LONG}, sc AS (SELECT 'all' AS scope, * FROM lg UNION ALL SELECT CAST(target // 4 AS VARCHAR), * FROM lg), e AS (SELECT scope, method, forecast - actual AS e, CASE WHEN actual <> 0 THEN abs(forecast - actual) / abs(actual) END AS ape FROM sc)
 SELECT scope, method, count(e) AS n, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, 100 * avg(ape) AS mape, count(ape) AS n_mape, 100 * median(ape) AS mdape FROM e GROUP BY ALL""", "mae:2 rmse:2 mape:6 mdape:6")
 def _(s, d):
-    long = M.melt_methods(cases(s, d))
+    long = M.melt_methods(cut_lineage(cases(s, d), "cases"))
     return S.point_metrics(S.with_overall(long, F.floor(F.col("target") / 4)), by=["scope", "method"])
 
 
@@ -110,11 +111,12 @@ DIFF = f"{CASES}, dd AS (SELECT entity, origin, target, abs(naive - actual) / 1e
 
 
 def losses(s, d):
-    return cases(s, d).select("entity", "origin", "target", (F.abs(F.col("naive") - F.col("actual")) / 1e4).alias("s_ref"), (F.abs(F.col("pooled_ar") - F.col("actual")) / 1e4).alias("s_alt"))
+    return cut_lineage(cases(s, d), "cases").select("entity", "origin", "target", (F.abs(F.col("naive") - F.col("actual")) / 1e4).alias("s_ref"), (F.abs(F.col("pooled_ar") - F.col("actual")) / 1e4).alias("s_alt"))
 
 
 def per_target(s, d):
-    return S.per_period_losses(losses(s, d), period="target", ref="s_ref", alt="s_alt")
+    """One row per target period, written once because the tests read it several times."""
+    return cut_lineage(S.per_period_losses(losses(s, d), period="target", ref="s_ref", alt="s_alt"), "periods")
 
 
 @query("clustered_dm", f"""WITH {DIFF}, x AS (SELECT 'all' AS scope, target, s_ref - s_alt AS d FROM dd UNION ALL SELECT CAST(target // 4 AS VARCHAR), target, s_ref - s_alt FROM dd), mm AS (SELECT scope, avg(d) AS md, count(*) AS n, count(DISTINCT target) AS g FROM x GROUP BY scope),

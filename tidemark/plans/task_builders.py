@@ -15,6 +15,7 @@ from tidemark.functions.scalars import clip, ratio
 from tidemark.operators.aggregates import filtered_share, hhi, mode_by_value, share_of_total, weighted_mean
 from tidemark.operators.calendar import cumcount_age, pct_change_k, rolling_stat
 from tidemark.operators.joins import asof_join, asof_join_shifted, cross_join_grid, leave_one_out_peer, month_before_join, period_shift_join
+from tidemark.session import cut_lineage
 
 
 def june_avail(year):
@@ -36,6 +37,8 @@ def branch_features(branch: DataFrame) -> DataFrame:
 def task_deposit_decline(bank: DataFrame, branch: DataFrame, lending: DataFrame, complaints: DataFrame, macro: DataFrame) -> DataFrame:
     """bank(entity, q, dep, asset, holdco), branch(...), lending(entity, year, purpose, n),
     complaints(entity, month, n), macro(date, value).  Label: next quarter's deposits fall."""
+    # each reduced input is written once; the features read them several times
+    bank, branch, macro = cut_lineage(bank, "bank"), cut_lineage(branch, "branch"), cut_lineage(macro, "macro")
     w = Window.partitionBy("entity").orderBy("q")
     f = pct_change_k(bank, value="dep", ks=[1, 4]).withColumns({"s_dep_g": F.col("dep_g1"), "s_dep_g_l4": F.col("dep_g4")})
     f = f.withColumns({
@@ -54,6 +57,7 @@ def task_deposit_decline(bank: DataFrame, branch: DataFrame, lending: DataFrame,
     f = asof_join(f, ln, on="cutoff", right_on="avail", cols=["r_lend_n", "r_lend_refi_share"], by=["entity"], bucket="year")
     cm = rolling_stat(complaints.groupBy("entity", "month").agg(F.sum("n").alias("n")), value="n", n=3, stat="sum", min_periods=1, out="r_cmp_3m", period="month")
     f = month_before_join(f, cm, cutoff="cutoff", month="month", keys=["entity"], cols=["r_cmp_3m"])
+    f = cut_lineage(f, "features")
     cuts = f.select("cutoff").distinct()
     mc = asof_join_shifted(cuts, macro, on="cutoff", right_on="date", col="value", shift_days=91, out="r_macro_3m", bucket="month").withColumnRenamed("value", "r_macro")
     f = f.join(mc, "cutoff", "left").where("label IS NOT NULL")
@@ -64,6 +68,7 @@ def task_deposit_decline(bank: DataFrame, branch: DataFrame, lending: DataFrame,
 def task_branch_closure(branch: DataFrame) -> DataFrame:
     """branch(entity, branch, year, state, dep, lat, lon, holdco): closed next year, parent alive, no branch
     of the same parent at the same rounded place."""
+    branch = cut_lineage(branch, "branch")
     place = lambda d: d.withColumn("k", F.concat_ws("_", F.round(F.col("lat") * 1000).cast("long"), F.round(F.col("lon") * 1000).cast("long")))
     br = place(branch)
     nxt = br.withColumn("year", F.col("year") - 1)
@@ -95,6 +100,7 @@ def task_branch_closure(branch: DataFrame) -> DataFrame:
 def task_spike(counts: DataFrame) -> DataFrame:
     """counts(company, month, product, n), month an index: next month at least twice the trailing median
     and at least ``floor``; own lags and ratios; product mix momentum and concentration."""
+    counts = cut_lineage(counts, "counts")
     tot = counts.groupBy("company", "month").agg(F.sum("n").alias("n"))
     g = cross_join_grid(tot, entity="company", period="month", fill={"n": 0})
     w = Window.partitionBy("company").orderBy("month")
@@ -121,6 +127,7 @@ def task_share_drop(lending: DataFrame, purposes: list[str], min_n: int = 50) ->
 
     Previous share and number of states come from the unfiltered table (the stated intent), not
     from the rows that pass the size filter."""
+    lending = cut_lineage(lending, "lending")
     a = lending.groupBy("lender", "state", "year").agg(F.sum("n").alias("n"), F.sum("amount").alias("amt"))
     a = share_of_total(a, by=["state", "year"], value="n")
     x = period_shift_join(a, a, keys=["lender", "state"], period="year", k=1, cols={"share": "share_next"})
@@ -141,7 +148,7 @@ def task_share_drop(lending: DataFrame, purposes: list[str], min_n: int = 50) ->
 
 def task_growth_regression(hold: DataFrame, min_dep: float) -> DataFrame:
     """hold(holdco, state, year, dep): log growth to next year, clipped to [-1, 1]."""
-    h = hold.groupBy("holdco", "state", "year").agg(F.sum("dep").alias("dep"))
+    h = cut_lineage(hold.groupBy("holdco", "state", "year").agg(F.sum("dep").alias("dep")), "hold")
     x = period_shift_join(h, h, keys=["holdco", "state"], period="year", k=1, cols={"dep": "dep_next"}, how="inner")
     x = x.where((F.col("dep") >= min_dep) & (F.col("dep_next") > 0))
     for k in (1, 2):
