@@ -400,8 +400,10 @@ def tfidf_neighbours(weights: DataFrame, *, id: str, tables: int = 4, reach: int
     from tidemark.functions.hashing import draw_int
     from tidemark.operators.ranks import row_positions
 
-    sign = [F.sum(F.col("weight") * F.when(draw_int(seed + t, F.col("term")) % 2 == 0, 1.0).otherwise(-1.0)) for t in range(tables)]
-    proj = cut_lineage(weights.groupBy(id).agg(*[s.alias(f"p{t}") for t, s in enumerate(sign)]), "projection")
+    # one draw per row: bit t of the term's hash is its sign on table t
+    signed = weights.withColumn("_h", draw_int(seed, F.col("term")))
+    sign = [F.sum(F.col("weight") * (2 * F.getbit("_h", F.lit(t)) - 1)) for t in range(tables)]
+    proj = cut_lineage(signed.groupBy(id).agg(*[s.alias(f"p{t}") for t, s in enumerate(sign)]), "projection")
     cand = None
     for t in range(tables):
         o = row_positions(proj.select(id, f"p{t}"), [], f"p{t}", id, "pos").select(id, "pos")

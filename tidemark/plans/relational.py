@@ -273,7 +273,7 @@ def _(s, d):
 
 
 @query("group_agg", """SELECT o_orderpriority, count(*) AS n, count(DISTINCT o_custkey) AS n_cust, sum(CAST(round(o_totalprice * 100) AS BIGINT))::DOUBLE / 1e2 AS total,
- avg(o_totalprice) AS mean, min(o_totalprice) AS lo, max(o_totalprice) AS hi, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_key, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_key FROM orders GROUP BY 1""", "total:2 mean:4 lo:2 hi:2")
+ avg(o_totalprice) AS mean, min(o_totalprice) AS lo, max(o_totalprice) AS hi, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS first_key, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS last_key FROM orders GROUP BY 1""", "total:2 mean:6 lo:2 hi:2")
 def _(s, d):
     o = table(s, d, "orders")
     k = F.struct("o_orderdate", "o_orderkey")
@@ -485,7 +485,7 @@ def _(s, d):
     return p.groupBy("q").agg(*gram_columns({"c": F.lit(1.0), "x": F.log("p")}, F.log("flow")))
 
 
-@query("rollup_levels", "SELECT year(o_orderdate) AS y, quarter(o_orderdate) AS k, count(*) AS n, avg(o_totalprice) AS mean FROM orders GROUP BY ROLLUP (1, 2)", "mean:4")
+@query("rollup_levels", "SELECT year(o_orderdate) AS y, quarter(o_orderdate) AS k, count(*) AS n, avg(o_totalprice) AS mean FROM orders GROUP BY ROLLUP (1, 2)", "mean:6")
 def _(s, d):
     o = table(s, d, "orders").select(F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("k"), "o_totalprice")
     return o.rollup("y", "k").agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean"))
