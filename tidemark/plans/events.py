@@ -18,6 +18,7 @@ from tidemark.plans.composition import SH
 from tidemark.plans.distribution import XS, cross_section
 from tidemark.plans.registry import query
 from tidemark.plans.scoring import DIFF, losses
+from tidemark.session import cut_lineage, spread
 
 DR = sql_draw_int
 
@@ -432,7 +433,6 @@ def _(s, d):
 
 @query("tfidf_neighbours")
 def _(s, d):
-    w = SM_.tfidf_weights(table(s, d, "documents").select("doc_id", "text"), id="doc_id", text="text")
-    from tidemark.session import cut_lineage
-
+    docs = spread(table(s, d, "documents").select("doc_id", "text"), "doc_id")
+    w = SM_.tfidf_weights(docs, id="doc_id", text="text")
     return SM_.tfidf_neighbours(cut_lineage(w, "tfidf"), id="doc_id")

@@ -49,6 +49,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Shuffle once over all cores when the input has fewer splits than cores (few, small files);
+    a table with enough splits passes through."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that a lost executor
     re-reads files instead of recomputing, and every reader sees the same rows."""
