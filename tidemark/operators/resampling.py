@@ -66,7 +66,8 @@ def cyclic_shift_null(df: DataFrame, *, by: list[str], index: str, n: int, u: st
     m = df.groupBy(*by).agg(F.covar_samp(u, v).alias("_c"), F.var_samp(u).alias("_vu"), F.var_samp(v).alias("_vv"), F.avg(u).alias("_mu"), F.avg(v).alias("_mv"))
     rot = b.withColumn("s", s).withColumn(index, F.pmod(F.col("_j") + F.col("s"), F.lit(n)))
     cross = rot.join(a, [*by, index]).groupBy(*by, "s").agg(F.sum(F.col("_u") * F.col("_v")).alias("_x"), F.count(F.lit(1)).alias("_n"))
-    j = cross.join(m, by) if by else cross.crossJoin(F.broadcast(m))
+    one = F.struct("_c", "_vu", "_vv", "_mu", "_mv")
+    j = cross.join(m, by) if by else cross.withColumn("_m1", m.select(one).scalar()).select("*", "_m1.*")
     den = F.col("_vu") + F.col("_vv")
     null = 2 * (F.col("_x") - F.col("_n") * F.col("_mu") * F.col("_mv")) / (F.col("_n") - 1) / den
     j = j.withColumns({"_null": null, "obs": 2 * F.col("_c") / den})
