@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash
+from . import langid, mixing, multiset, packing, simhash
 from .common import table
 
 
@@ -26,6 +26,19 @@ def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_best_fit_packing, op4_simhash_near_duplicates)}
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its predicted language."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and its edited text with their fingerprints and likeness."""
+    return multiset.edited_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mix_sources, op2_best_fit_packing, op4_simhash_near_duplicates, op5_language_id, op10_multiset_fingerprints)
+}
 
 ORACLES: dict[str, str] = {}
