@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, multiset, packing, simhash
+from . import ann, langid, mixing, multiset, packing, simhash, warc
 from .common import table
 
 
@@ -31,6 +31,16 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector among all others."""
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it comes back from its archive."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and its edited text with their fingerprints and likeness."""
     return multiset.edited_documents(table(spark, sf_dir, "documents"))
@@ -38,7 +48,24 @@ def op10_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_best_fit_packing, op4_simhash_near_duplicates, op5_language_id, op10_multiset_fingerprints)
+    for f in (
+        op1_mix_sources,
+        op2_best_fit_packing,
+        op4_simhash_near_duplicates,
+        op5_language_id,
+        op6_forest_search,
+        op8_warc_round_trip,
+        op10_multiset_fingerprints,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_warc_round_trip": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY ALL)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM p LEFT JOIN f USING (payload_digest)
+    """,
+}
