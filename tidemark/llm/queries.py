@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, mixing, multiset, packing, simhash, warc
+from . import ann, langid, mixing, multiset, packing, simhash, substring, warc
 from .common import table
 
 
@@ -41,6 +41,11 @@ def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of a document that an earlier document holds too."""
+    return substring.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and its edited text with their fingerprints and likeness."""
     return multiset.edited_documents(table(spark, sf_dir, "documents"))
@@ -55,6 +60,7 @@ QUERIES = {
         op5_language_id,
         op6_forest_search,
         op8_warc_round_trip,
+        op9_shared_passages,
         op10_multiset_fingerprints,
     )
 }
