@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, mixing, multiset, packing, simhash, substring, warc
+from . import ann, chat, langid, mixing, multiset, packing, simhash, substring, warc, wrapper
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with its preference pair, rendered and masked."""
+    return chat.preferences(table(spark, sf_dir, "conversations"))
+
+
 def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and the smallest document that it reaches."""
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -36,6 +41,11 @@ def op6_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as it comes back from its archive."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
@@ -56,9 +66,11 @@ QUERIES = {
     for f in (
         op1_mix_sources,
         op2_best_fit_packing,
+        op3_preference_pairs,
         op4_simhash_near_duplicates,
         op5_language_id,
         op6_forest_search,
+        op7_main_text,
         op8_warc_round_trip,
         op9_shared_passages,
         op10_multiset_fingerprints,
@@ -66,6 +78,38 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_preference_pairs": """
+        WITH c AS (
+            SELECT conv_id, list({'role': coalesce(role, 'user'), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, 'user'), coalesce(text, '')) AS turns
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        m AS (
+            SELECT conv_id, turns, conv_id - ((conv_id % 2 + 2) % 2) + 1 - ((conv_id % 2 + 2) % 2) AS want,
+                   list_max(list_filter(range(1, len(turns) + 1), lambda k: turns[k].role = 'assistant')) AS cut FROM c),
+        p AS (
+            SELECT a.conv_id, a.turns AS chosen, CASE WHEN a.cut IS NOT NULL AND b.cut IS NOT NULL THEN b.conv_id END AS partner,
+                   CASE WHEN a.cut IS NOT NULL AND b.cut IS NOT NULL THEN a.turns[1:a.cut - 1] || [b.turns[b.cut]] END AS rejected
+            FROM m a LEFT JOIN m b ON a.want = b.conv_id),
+        n AS (
+            SELECT *, CASE WHEN rejected IS NULL THEN 0 ELSE coalesce(list_min(list_filter(range(1, least(len(chosen), len(rejected)) + 1),
+                   lambda k: chosen[k] IS DISTINCT FROM rejected[k])) - 1, least(len(chosen), len(rejected))) END AS shared FROM p),
+        s AS (SELECT *, chosen[shared + 1:] AS c2, rejected[shared + 1:] AS r2 FROM n),
+        t AS (
+            SELECT *, list_transform(c2, lambda t: '<|im_start|>' || t.role || chr(10)) AS ch, list_transform(c2, lambda t: t.text || '<|im_end|>' || chr(10)) AS cb,
+                   list_transform(r2, lambda t: '<|im_start|>' || t.role || chr(10)) AS rh, list_transform(r2, lambda t: t.text || '<|im_end|>' || chr(10)) AS rb FROM s),
+        u AS (
+            SELECT *, [k for k in range(1, len(c2) + 1) if c2[k].role = 'assistant'] AS ck, [k for k in range(1, len(r2) + 1) if r2[k].role = 'assistant'] AS rk FROM t)
+        SELECT conv_id, partner, CAST(shared AS INTEGER) AS shared_turns,
+               coalesce(array_to_string(list_transform(chosen[1:shared], lambda t: '<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10)), ''), '') AS prompt,
+               coalesce(array_to_string([ch[k] || cb[k] for k in range(1, len(c2) + 1)], ''), '') AS chosen_text,
+               CASE WHEN rejected IS NOT NULL THEN coalesce(array_to_string([rh[k] || rb[k] for k in range(1, len(r2) + 1)], ''), '') END AS rejected_text,
+               '[' || array_to_string(['{"start":' || CAST(coalesce(list_sum([length(ch[j]) + length(cb[j]) for j in range(1, k)]), 0) + length(ch[k]) AS BIGINT)
+                   || ',"length":' || length(cb[k]) || '}' for k in ck], ',') || ']' AS chosen_loss,
+               CASE WHEN rejected IS NOT NULL THEN '[' || array_to_string(['{"start":' || CAST(coalesce(list_sum([length(rh[j]) + length(rb[j]) for j in range(1, k)]), 0) + length(rh[k]) AS BIGINT)
+                   || ',"length":' || length(rb[k]) || '}' for k in rk], ',') || ']' END AS rejected_loss,
+               CAST(coalesce(list_sum([length(cb[k]) for k in ck]), 0) AS INTEGER) AS chosen_loss_chars,
+               CASE WHEN rejected IS NOT NULL THEN CAST(coalesce(list_sum([length(rb[k]) for k in rk]), 0) AS INTEGER) END AS rejected_loss_chars
+        FROM u
+    """,
     "op8_warc_round_trip": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY ALL)
