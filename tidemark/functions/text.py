@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.periods import ColumnOrName, _c
 
-# Legal-form words dropped when names are matched.
-LEGAL_WORDS = ("INC", "LLC", "LTD", "CORP", "CO", "COMPANY", "CORPORATION", "NA", "NATIONAL", "ASSOCIATION", "THE")
+# Legal forms and filler dropped when names are matched, phrases first.
+LEGAL_WORDS = (
+    "NATIONAL ASSOCIATION", "N A", "NA", "INC", "INCORPORATED", "CORP", "CORPORATION", "CO", "COMPANY", "LLC", "LTD", "THE", "AND",
+    "HOLDING", "HOLDINGS", "GROUP", "FSB", "USA", "FINANCIAL", "SERVICES",
+)
+# Fixed value: shorter keys are too ambiguous to match on.
+MIN_KEY = 4
 
 
 def name_normalise(name: ColumnOrName, drop: tuple[str, ...] = LEGAL_WORDS) -> Column:
@@ -19,6 +24,12 @@ def name_normalise(name: ColumnOrName, drop: tuple[str, ...] = LEGAL_WORDS) -> C
     return F.trim(F.regexp_replace(x, " +", " "))
 
 
+def name_key(name: ColumnOrName, drop: tuple[str, ...] = LEGAL_WORDS, shortest: int = MIN_KEY) -> Column:
+    """The normalised name, NULL if it is too short to match on."""
+    x = name_normalise(name, drop)
+    return F.when(F.length(x) >= shortest, x)
+
+
 def geo_key(lat: ColumnOrName, lon: ColumnOrName, digits: int = 3) -> Column:
     """Rounded coordinate pair, about 100 m at three digits."""
     return F.concat_ws("_", F.round(_c(lat), digits).cast("string"), F.round(_c(lon), digits).cast("string"))

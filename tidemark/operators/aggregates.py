@@ -92,9 +92,9 @@ def weekly_bucket_mix(
         F.count_distinct(date).alias("valid_days"), arr("_d").alias("D"), arr("_n").alias("N")
     )
     if all_weeks:
-        span = daily.agg(F.min("week"), F.max("week"))
-        lo, hi = daily.agg(F.min("week")).scalar(), daily.agg(F.max("week")).scalar()
-        spine = obs.select(kind).distinct().select(kind, F.explode(F.sequence(lo, hi, F.expr("interval 7 days"))).alias("week"))
+        lo, wall = daily.agg(F.min("week")).scalar(), daily.agg(F.max(date)).scalar()
+        span = F.sequence(lo, F.greatest(lo, wall), F.expr("interval 7 days"))
+        spine = obs.select(kind).distinct().select(kind, F.explode(span).alias("week")).where(F.col("week") <= wall)
         zero = F.transform(F.array(*[F.lit(b) for b in buckets]), lambda _: F.lit(0))
         g = spine.join(g, [kind, "week"], "left").select(
             kind, "week",
@@ -145,8 +145,17 @@ def coverage_report(df: DataFrame, *, by: str, columns: list[str], flags: list[s
     return base.join(cut, by, "left")
 
 
-def mad_scale(df: DataFrame, *, keys: list[str], value: str, min_obs: int = 12, floor_q: float | None = 0.10, out: str = "scale") -> DataFrame:
-    """1.4826 x median absolute deviation, NULL under ``min_obs`` values, floored at a quantile of the population.
+def trailing_origins(df: DataFrame, *, index: str, span: int, out: str = "origin") -> DataFrame:
+    """Every row once for each origin whose trailing ``span`` periods hold it, up to the last period of the table."""
+    last = df.agg(F.max(index)).scalar()
+    return df.withColumn(out, F.explode(F.sequence(F.col(index), F.least(F.col(index) + span - 1, last))))
+
+
+def mad_scale(
+    df: DataFrame, *, keys: list[str], value: str, min_obs: int = 12, floor_q: float | None = 0.10, out: str = "scale", floor_by: list[str] = []
+) -> DataFrame:
+    """1.4826 x median absolute deviation, NULL under ``min_obs`` values, floored at a quantile of the population
+    (of each ``floor_by`` group).
 
     Groups are bounded series (a window of periods), so the built-in exact percentile is used."""
     med = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.median(value).alias("_m"), F.count(value).alias("n_obs"))
@@ -155,14 +164,19 @@ def mad_scale(df: DataFrame, *, keys: list[str], value: str, min_obs: int = 12,
     raw = raw.withColumn("raw", F.when(F.col("n_obs") >= min_obs, F.col("raw")))
     if floor_q is None:
         return raw.withColumnRenamed("raw", out)
+    if floor_by:
+        floors = exact_quantiles(raw.where(F.col("raw").isNotNull()), floor_by, "raw", [floor_q], "_f").drop("tau")
+        floored = raw.join(floors, floor_by, "left")
+        return floored.withColumn(out, F.when(F.col("raw").isNotNull(), F.greatest("raw", "_f"))).drop("_f")
     floor = exact_quantiles(raw, [], "raw", [floor_q], "_f").select("_f").scalar()
     return raw.withColumn(out, F.when(F.col("raw").isNotNull(), F.greatest(F.col("raw"), floor)))
 
 
-def histogram_bins(df: DataFrame, *, value: str, bins: int = 10, by: list[str] = []) -> DataFrame:
-    """Counts over equal bins of [0, 1], the last bin closed."""
+def histogram_bins(df: DataFrame, *, value: str, bins: int = 10, by: list[str] = [], weight: str | None = None) -> DataFrame:
+    """Counts (or sums of ``weight``) over equal bins of [0, 1], the last bin closed."""
     b = F.least(F.floor(F.col(value) * bins), F.lit(bins - 1)).cast("int")
-    return df.where(F.col(value).between(0, 1)).groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    return df.where(F.col(value).between(0, 1)).groupBy(*by, b.alias("bin")).agg(n.alias("n"))
 
 
 def crosstab_share(df: DataFrame, *, row: str, col: str) -> DataFrame:
@@ -179,11 +193,11 @@ def argmin_tie_low(df: DataFrame, *, keys: list[str], loss: str, order: str) ->
 
 
 def quantile_outlier_filter(df: DataFrame, *, values: list[str], level: float = 0.9999) -> DataFrame:
-    """Keep rows where every |value| is at most its whole-table quantile."""
+    """Keep rows where every |value| is strictly below its whole-table quantile."""
     out = df
     for v in values:
         cut = exact_quantiles(df.select(F.abs(F.col(v)).alias("_a")), [], "_a", [level], "_q").select("_q").scalar()
-        out = out.where(F.abs(F.col(v)) <= cut)
+        out = out.where(F.abs(F.col(v)) < cut)
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,19 +138,40 @@ def max_gap_days(df: DataFrame, *, by: list[str], date: str) -> DataFrame:
     return d.withColumn("_g", gap).groupBy(*by).agg(F.max("_g").alias("max_gap"), F.count(F.lit(1)).alias("n_days"))
 
 
+#: What the first record of a chain names as its predecessor.
+CHAIN_START = "0" * 64
+
+
+def record_hash(previous: Column, fields: list[Column]) -> Column:
+    """Hash of a record together with its predecessor's hash; an edit breaks every later record."""
+    return F.sha2(F.concat_ws("|", previous, *[f.cast("string") for f in fields]), 256)
+
+
+@F.udf("array<string>", useArrow=True)
+def _chain(contents):
+    """The hashes of a chain from the joined fields of its records, in order."""
+    out, last = [], CHAIN_START
+    for c in contents:
+        last = hashlib.sha256(f"{last}|{c}".encode()).hexdigest()
+        out.append(last)
+    return out
+
+
 def chain_ledger(df: DataFrame, *, by: list[str], order: str, fields: list[str]) -> DataFrame:
-    """Attach the record hash and the hash of the previous record of the same chain."""
-    h = F.sha2(F.concat_ws("|", *[F.col(f).cast("string") for f in fields]), 256)
-    w = Window.partitionBy(*by).orderBy(order)
-    return df.withColumn("hash", h).withColumn("prev_hash", F.lag("hash").over(w))
+    """Attach ``prev_hash`` and ``hash``.  A chain is sequential, so each one is walked within its key."""
+    record = F.struct(F.col(order).alias("_o"), F.concat_ws("|", *[F.col(f).cast("string") for f in fields]).alias("_f"), F.struct(*df.columns).alias("_r"))
+    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(record)).alias("_c")).withColumn("_h", _chain(F.col("_c._f")))
+    before = F.concat(F.array(F.lit(CHAIN_START)), F.slice("_h", F.lit(1), F.size("_h") - 1))
+    out = rows.select(F.explode(F.arrays_zip(F.col("_c._r").alias("r"), F.col("_h").alias("h"), before.alias("p"))).alias("_e"))
+    return out.select("_e.r.*", F.col("_e.h").alias("hash"), F.col("_e.p").alias("prev_hash"))
 
 
 def ledger_chain_verify(df: DataFrame, *, by: list[str], order: str, fields: list[str], made: str, due: str, key: list[str]) -> DataFrame:
-    """Per row: content hash holds, link to the previous record holds, made before due; duplicate keys counted."""
-    h = F.sha2(F.concat_ws("|", *[F.col(f).cast("string") for f in fields]), 256)
+    """Per row: the hash covers content and predecessor, the link holds, made before due; duplicate keys counted."""
     w = Window.partitionBy(*by).orderBy(order)
-    x = df.withColumn("hash_ok", F.col("hash") == h).withColumn(
-        "link_ok", F.col("prev_hash").eqNullSafe(F.lag("hash").over(w))
+    held = F.coalesce(F.col("hash") == record_hash(F.col("prev_hash"), [F.col(f) for f in fields]), F.lit(False)) & F.col("prev_hash").isNotNull()
+    x = df.withColumn("hash_ok", held).withColumn(
+        "link_ok", F.col("prev_hash").eqNullSafe(F.coalesce(F.lag("hash").over(w), F.lit(CHAIN_START)))
     ).withColumn("time_ok", F.col(made) <= F.col(due))
     dups = x.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     return x.join(dups, key).withColumn("key_ok", F.col("_n") == 1).drop("_n")

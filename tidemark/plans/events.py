@@ -46,16 +46,24 @@ def _(s, d):
     return RS.permutation_correlation(x, block=["q"], ids=["entity"], x="stock", y="r", seed=5, reps=19)
 
 
-@query("cyclic_shift_null", f"""WITH {SP}, i AS (SELECT entity, q - 7980 AS i, ln(flow) AS u, ln(stock) AS v FROM sp), m AS (SELECT entity, covar_samp(u, v) AS c, var_samp(u) + var_samp(v) AS dn, avg(u) AS mu, avg(v) AS mv, count(*) AS n FROM i GROUP BY entity),
-x AS (SELECT a.entity, s.s, sum(a.u * b.v) AS x, count(*) AS n FROM i a, range(4, 25) s(s) JOIN i b ON a.entity = b.entity AND a.i = (b.i + s.s) % 28 GROUP BY ALL), j AS (SELECT x.entity, 2 * (x.x - x.n * mu * mv) / (x.n - 1) / dn AS nl, 2 * c / dn AS o FROM x JOIN m USING (entity))
+def span(df, index: str = "q") -> tuple[int, int]:
+    """First period and number of periods of a table: two numbers."""
+    r = df.agg(F.min(index).alias("lo"), F.max(index).alias("hi")).first()
+    return r.lo, r.hi - r.lo + 1
+
+
+@query("cyclic_shift_null", f"""WITH {SP}, i AS (SELECT entity, q - (SELECT min(q) FROM sp) AS i, ln(flow) AS u, ln(stock) AS v FROM sp), m AS (SELECT entity, covar_samp(u, v) AS c, var_samp(u) + var_samp(v) AS dn, avg(u) AS mu, avg(v) AS mv, count(*) AS n FROM i GROUP BY entity),
+x AS (SELECT a.entity, s.s, sum(a.u * b.v) AS x, count(*) AS n FROM i a, (SELECT unnest(range(4, (SELECT max(q) - min(q) + 1 FROM sp) - 3)) AS s) s JOIN i b ON a.entity = b.entity AND a.i = (b.i + s.s) % (SELECT max(q) - min(q) + 1 FROM sp) GROUP BY ALL), j AS (SELECT x.entity, 2 * (x.x - x.n * mu * mv) / (x.n - 1) / dn AS nl, 2 * c / dn AS o FROM x JOIN m USING (entity))
 SELECT entity, max(o) AS observed, (1 + count(*) FILTER (abs(nl) >= abs(o) - 1e-12)) / (1 + count(*)) AS p, count(*) AS n_shifts FROM j GROUP BY entity""", "observed:7 p:7")
 def _(s, d):
-    x = supplier_panel(s, d).select("entity", (F.col("q") - 7980).alias("i"), F.log("flow").alias("u"), F.log("stock").alias("v"))
-    return RS.cyclic_shift_null(x, by=["entity"], index="i", n=28, u="u", v="v")
+    p = supplier_panel(s, d)
+    first, n = span(p)
+    x = p.select("entity", (F.col("q") - first).alias("i"), F.log("flow").alias("u"), F.log("stock").alias("v"))
+    return RS.cyclic_shift_null(x, by=["entity"], index="i", n=n, u="u", v="v")
 
 
 @query("cluster_bootstrap", f"""WITH {DIFF}, u AS (SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT entity FROM dd)), sm AS (SELECT entity, sum(s_ref - s_alt) AS nu, sum(s_ref) AS de FROM dd GROUP BY entity),
-sl AS (SELECT rep, {DR(21, 'rep', 'k')} % (SELECT max(n) FROM u) AS i FROM range(40) a(rep), range(2000) b(k) WHERE k < (SELECT max(n) FROM u)), st AS (SELECT rep, sum(nu) / sum(de) AS st FROM sl JOIN u USING (i) JOIN sm USING (entity) GROUP BY rep)
+sl AS (SELECT rep, {DR(21, 'rep', 'k')} % (SELECT max(n) FROM u) AS i FROM range(40) a(rep), (SELECT unnest(range((SELECT max(n) FROM u))) AS k) b), st AS (SELECT rep, sum(nu) / sum(de) AS st FROM sl JOIN u USING (i) JOIN sm USING (entity) GROUP BY rep)
 SELECT quantile_cont(st, 0.025) AS lower, quantile_cont(st, 0.5) AS median, quantile_cont(st, 0.975) AS upper FROM st""", "lower:7 median:7 upper:7")
 def _(s, d):
     x = losses(s, d).groupBy("entity").agg(F.sum(F.col("s_ref") - F.col("s_alt")).alias("nu"), F.sum("s_ref").alias("de"))
@@ -69,18 +77,22 @@ def _(s, d):
     return b.groupBy("rep", "q").agg(F.avg("r").alias("mean_r"), F.count(F.lit(1)).alias("n"), F.count_distinct("entity").alias("n_distinct"))
 
 
-@query("block_bootstrap", f"""WITH {SP}, t AS (SELECT q - 7980 AS pos, sum(stock) AS v FROM sp GROUP BY q), b AS (SELECT rep, b, {DR(41, 'rep', 'b')} % 25 AS s FROM range(20) a(rep), range(7) c(b)), e AS (SELECT rep, b * 4 + o AS slot, s + o AS pos FROM b, range(4) d(o))
-SELECT rep, avg(v) AS mean_v, count(*) AS n FROM e JOIN t USING (pos) WHERE slot < 28 GROUP BY rep""", "mean_v:5")
+@query("block_bootstrap", f"""WITH {SP}, t AS (SELECT q - (SELECT min(q) FROM sp) AS pos, sum(stock) AS v FROM sp GROUP BY q), b AS (SELECT rep, b, {DR(41, 'rep', 'b')} % ((SELECT max(q) - min(q) + 1 FROM sp) - 3) AS s FROM range(20) a(rep), (SELECT unnest(range(CAST(ceil((SELECT max(q) - min(q) + 1 FROM sp) / 4e0) AS BIGINT))) AS b) c), e AS (SELECT rep, b * 4 + o AS slot, s + o AS pos FROM b, range(4) d(o))
+SELECT rep, avg(v) AS mean_v, count(*) AS n FROM e JOIN t USING (pos) WHERE slot < (SELECT max(q) - min(q) + 1 FROM sp) GROUP BY rep""", "mean_v:5")
 def _(s, d):
-    t = supplier_panel(s, d).groupBy((F.col("q") - 7980).alias("pos")).agg(F.sum("stock").alias("v"))
-    return RS.block_bootstrap(t, n=28, length=4, seed=41, reps=20).groupBy("rep").agg(F.avg("v").alias("mean_v"), F.count(F.lit(1)).alias("n"))
+    p = supplier_panel(s, d)
+    first, n = span(p)
+    t = p.groupBy((F.col("q") - first).alias("pos")).agg(F.sum("stock").alias("v"))
+    return RS.block_bootstrap(t, n=n, length=4, seed=41, reps=20).groupBy("rep").agg(F.avg("v").alias("mean_v"), F.count(F.lit(1)).alias("n"))
 
 
-@query("geometric_block_bootstrap", f"""WITH {SP}, t AS (SELECT q - 7980 AS pos, sum(stock) AS v FROM sp GROUP BY q), z AS (SELECT rep, i, i = 0 OR {DR(43, 'rep', 'i')} / 4294967296e0 < 1e0 / 6 AS nw, {DR(44, 'rep', 'i')} % 28 AS f FROM range(20) a(rep), range(28) b(i)),
-w AS (SELECT rep, i, last_value(CASE WHEN nw THEN i END IGNORE NULLS) OVER k AS a, last_value(CASE WHEN nw THEN f END IGNORE NULLS) OVER k AS f FROM z WINDOW k AS (PARTITION BY rep ORDER BY i)) SELECT rep, avg(v) AS mean_v, count(*) AS n FROM w JOIN t ON t.pos = (w.f + w.i - w.a) % 28 GROUP BY rep""", "mean_v:5")
+@query("geometric_block_bootstrap", f"""WITH {SP}, t AS (SELECT q - (SELECT min(q) FROM sp) AS pos, sum(stock) AS v FROM sp GROUP BY q), z AS (SELECT rep, i, i = 0 OR {DR(43, 'rep', 'i')} / 4294967296e0 < 1e0 / 6 AS nw, {DR(44, 'rep', 'i')} % (SELECT max(q) - min(q) + 1 FROM sp) AS f FROM range(20) a(rep), (SELECT unnest(range((SELECT max(q) - min(q) + 1 FROM sp))) AS i) b),
+w AS (SELECT rep, i, last_value(CASE WHEN nw THEN i END IGNORE NULLS) OVER k AS a, last_value(CASE WHEN nw THEN f END IGNORE NULLS) OVER k AS f FROM z WINDOW k AS (PARTITION BY rep ORDER BY i)) SELECT rep, avg(v) AS mean_v, count(*) AS n FROM w JOIN t ON t.pos = (w.f + w.i - w.a) % (SELECT max(q) - min(q) + 1 FROM sp) GROUP BY rep""", "mean_v:5")
 def _(s, d):
-    t = supplier_panel(s, d).groupBy((F.col("q") - 7980).alias("pos")).agg(F.sum("stock").alias("v"))
-    return RS.geometric_block_bootstrap(t, n=28, mean_length=6, seed=43, reps=20).groupBy("rep").agg(F.avg("v").alias("mean_v"), F.count(F.lit(1)).alias("n"))
+    p = supplier_panel(s, d)
+    first, n = span(p)
+    t = p.groupBy((F.col("q") - first).alias("pos")).agg(F.sum("stock").alias("v"))
+    return RS.geometric_block_bootstrap(t, n=n, mean_length=6, seed=43, reps=20).groupBy("rep").agg(F.avg("v").alias("mean_v"), F.count(F.lit(1)).alias("n"))
 
 
 @query("sign_flip_null", f"""WITH {SH}, x AS (SELECT period, part, clr - lag(clr) OVER w AS dd, first_value(clr) OVER w AS v0 FROM sh WINDOW w AS (PARTITION BY part ORDER BY period)), r AS (SELECT x.*, rep, CASE WHEN {DR(51, 'rep', 'period')} % 2 = 0 THEN 1e0 ELSE -1e0 END AS sg FROM x, range(5) t(rep))
@@ -204,15 +216,16 @@ def _(s, d):
 
 
 @query("event_coincidence_pvalue", f"""WITH {HR}, w AS (SELECT *, sum(b) OVER (ORDER BY h RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING) AS p FROM ab), g AS (SELECT count(*) FILTER (a = 1 AND p > 0) AS k, count(*) FILTER (a = 1) AS n, 1 - pow(1 - 3e0 / (count(*) - 1), count(*) FILTER (b = 1)) AS pp FROM w)
-SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(pp) + (n - i) * ln(1 - pp))) AS p_precursor FROM g, range(0, 1000) r(i) WHERE i >= k AND i <= n""", "p_precursor:7")
+SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(pp) + (n - i) * ln(1 - pp))) AS p_precursor FROM g, (SELECT unnest(range((SELECT max(n) + 1 FROM g))) AS i) r WHERE i >= k""", "p_precursor:7")
 def _(s, d):
     return E.event_coincidence(two(s, d), by=[], index="h", a="a", b="b", tol=2, tau=1).select("p_precursor")
 
 
-@query("rolling_coincidence", f"""WITH {HR}, st AS (SELECT unnest(generate_series(0, 616, 24)) AS s), x AS (SELECT st.s AS start, h, a, b FROM ab JOIN st ON h BETWEEN s AND s + 103), w AS (SELECT *, sum(b) OVER (PARTITION BY start ORDER BY h RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS p FROM x)
+@query("rolling_coincidence", f"""WITH {HR}, st AS (SELECT unnest(generate_series(0, (SELECT max(h) FROM ab) - 103, 24)) AS s), x AS (SELECT st.s AS start, h, a, b FROM ab JOIN st ON h BETWEEN s AND s + 103), w AS (SELECT *, sum(b) OVER (PARTITION BY start ORDER BY h RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS p FROM x)
 SELECT start, sum(a)::BIGINT AS n_a, sum(b)::BIGINT AS n_b, count(*) FILTER (a = 1 AND p > 0) / sum(a) AS rate FROM w GROUP BY start""", "rate:7")
 def _(s, d):
-    return E.rolling_coincidence(two(s, d), by=[], index="h", a="a", b="b", tol=1, width=104, step=24, first=0, last=719)
+    ab = two(s, d)
+    return E.rolling_coincidence(ab, by=[], index="h", a="a", b="b", tol=1, width=104, step=24, first=0, last=ab.agg(F.max("h")).first()[0])
 
 
 @query("event_lag_scan", f"""WITH {HR}, l AS (SELECT unnest([0, 1, 2, 3, 6, 12, 24]) AS tau), w AS (SELECT tau, count(*) FILTER (x.a = 1 AND EXISTS (SELECT 1 FROM ab y WHERE y.b = 1 AND y.h BETWEEN x.h - tau - 1 AND x.h - tau)) AS k, count(*) FILTER (x.a = 1) AS n FROM ab x, l GROUP BY tau) SELECT tau, k / n AS precursor_rate FROM w""", "precursor_rate:7")
@@ -277,11 +290,12 @@ def _(s, d):
     return E.recurrence_profile(symbol_pairs(s, d), by=["series"], index="t", a="a", b="b", lags=[-3, -2, -1, 0, 1, 2, 3])
 
 
-@query("recurrence_determinism", f"""WITH {SY}, wn AS (SELECT unnest([0, 7]) AS win), x AS (SELECT b.series, win, a.t AS t, a.sym AS a, b.sym AS b FROM sy a JOIN sy b USING (t) JOIN wn ON t BETWEEN win AND win + 20 WHERE a.series = 'click' AND b.series <> 'click'), p AS (SELECT i.series, i.win, i.t AS i, j.t AS j, j.t - i.t AS d FROM x i JOIN x j ON i.series = j.series AND i.win = j.win AND i.a = j.b),
+@query("recurrence_determinism", f"""WITH {SY}, wn AS (SELECT unnest(generate_series(0, (SELECT max(t) FROM sy) - 20, 7)) AS win), x AS (SELECT b.series, win, a.t AS t, a.sym AS a, b.sym AS b FROM sy a JOIN sy b USING (t) JOIN wn ON t BETWEEN win AND win + 20 WHERE a.series = 'click' AND b.series <> 'click'), p AS (SELECT i.series, i.win, i.t AS i, j.t AS j, j.t - i.t AS d FROM x i JOIN x j ON i.series = j.series AND i.win = j.win AND i.a = j.b),
 r AS (SELECT *, i - row_number() OVER (PARTITION BY series, win, d ORDER BY i) AS g FROM p), ln AS (SELECT series, win, d, g, count(*) AS len FROM r GROUP BY ALL), n AS (SELECT series, win, count(*) AS n FROM x GROUP BY ALL)
 SELECT series, win, sum(len) / (max(n) * max(n)) AS recurrence_rate, sum(CASE WHEN len >= 2 THEN len ELSE 0 END) / sum(len) AS determinism FROM ln JOIN n USING (series, win) GROUP BY ALL""", "recurrence_rate:7 determinism:7")
 def _(s, d):
-    w = E.sliding_windows(symbol_pairs(s, d), index="t", width=21, step=7, first=0, last=29)
+    x = symbol_pairs(s, d)
+    w = E.sliding_windows(x, index="t", width=21, step=7, first=0, last=x.agg(F.max("t")).first()[0])
     return E.recurrence_determinism(w, by=["series", "win"], index="t", a="a", b="b")
 
 

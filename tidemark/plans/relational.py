@@ -115,7 +115,7 @@ def _(s, d):
     return supplier_panel(s, d).select("entity", "q", S.clip(g, -0.25, 0.25).alias("g"))
 
 
-@query("quantile_outlier_filter", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE abs(l_extendedprice) <= (SELECT quantile_cont(abs(l_extendedprice), 0.999) FROM lineitem) AND abs(l_quantity) <= (SELECT quantile_cont(abs(l_quantity), 0.999) FROM lineitem)")
+@query("quantile_outlier_filter", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE abs(l_extendedprice) < (SELECT quantile_cont(abs(l_extendedprice), 0.999) FROM lineitem) AND abs(l_quantity) < (SELECT quantile_cont(abs(l_quantity), 0.999) FROM lineitem)")
 def _(s, d):
     l = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
     return A.quantile_outlier_filter(l, values=["l_extendedprice", "l_quantity"], level=0.999).select("l_orderkey", "l_linenumber")
@@ -399,7 +399,7 @@ cells AS (SELECT kind, week, band, sum(u)::DOUBLE AS u, count(*) AS n FROM wk GR
 SELECT s.kind, CAST(s.week AS VARCHAR) AS week, CAST(s.band AS INT) AS band, coalesce(d.valid_days, 0) AS valid_days, coalesce(c.n, 0) AS n,
  CAST(coalesce(d.valid_days >= 3 AND d.n >= 40 AND d.tot > 0, FALSE) AS INT) AS usable,
  CASE WHEN d.valid_days >= 3 AND d.n >= 40 AND d.tot > 0 THEN coalesce(c.u, 0) / d.tot END AS share
-FROM spine s LEFT JOIN days d USING (kind, week) LEFT JOIN cells c USING (kind, week, band)""", "share:8")
+FROM spine s LEFT JOIN days d USING (kind, week) LEFT JOIN cells c USING (kind, week, band) WHERE s.week <= (SELECT max(date) FROM wk)""", "share:8")
 def _(s, d):
     w = A.weekly_bucket_mix(_weekly_obs(s, d), min_count=40, **_weekly_args())
     z = w.select("kind", F.col("week").cast("string"), "valid_days", "N", F.col("usable").cast("int").alias("usable"), F.coalesce("mix", F.transform("D", lambda _: F.lit(None).cast("double"))).alias("mix"))
@@ -454,11 +454,14 @@ def _(s, d):
     return R.exact_quantiles(table(s, d, "lineitem"), ["l_returnflag"], "l_extendedprice", LEVELS)
 
 
-@query("mad_scale", f"""WITH {SP}, w AS (SELECT * FROM sp WHERE q BETWEEN 7985 AND 8000), m AS (SELECT entity, median(flow) AS m, count(*) AS n_obs FROM w GROUP BY 1),
-r0 AS (SELECT entity, n_obs, median(abs(flow - m)) AS dev FROM w JOIN m USING (entity) GROUP BY entity, n_obs), r AS (SELECT entity, n_obs, CASE WHEN n_obs >= 12 THEN 1.4826e0 * dev END AS raw FROM r0)
-SELECT entity, n_obs, raw, CASE WHEN raw IS NOT NULL THEN greatest(raw, (SELECT quantile_cont(raw, 0.1) FROM r)) END AS scale FROM r""", "raw:4 scale:4")
+@query("mad_scale", f"""WITH {SP}, w AS (SELECT o.q AS origin, sp.entity, sp.flow FROM (SELECT DISTINCT q FROM (SELECT unnest(generate_series((SELECT min(q) FROM sp), (SELECT max(q) FROM sp))) AS q)) o JOIN sp ON sp.q BETWEEN o.q - 15 AND o.q),
+m AS (SELECT origin, entity, median(flow) AS m, count(*) AS n_obs FROM w GROUP BY ALL),
+r0 AS (SELECT origin, entity, n_obs, median(abs(flow - m)) AS dev FROM w JOIN m USING (origin, entity) GROUP BY ALL), r AS (SELECT origin, entity, n_obs, CASE WHEN n_obs >= 12 THEN 1.4826e0 * dev END AS raw FROM r0),
+f AS (SELECT origin, quantile_cont(raw, 0.1) AS f FROM r GROUP BY origin)
+SELECT origin, entity, n_obs, raw, CASE WHEN raw IS NOT NULL THEN greatest(raw, f) END AS scale FROM r JOIN f USING (origin)""", "raw:4 scale:4")
 def _(s, d):
-    return A.mad_scale(supplier_panel(s, d).where("q BETWEEN 7985 AND 8000"), keys=["entity"], value="flow")
+    w = A.trailing_origins(supplier_panel(s, d), index="q", span=16)
+    return A.mad_scale(w, keys=["origin", "entity"], value="flow", floor_by=["origin"])
 
 
 @query("histogram_bins", "SELECT o_orderpriority, least(CAST(floor(p * 10) AS INT), 9) AS bin, count(*) AS n FROM (SELECT o_orderpriority, percent_rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) AS p FROM orders) GROUP BY ALL")
@@ -467,8 +470,7 @@ def _(s, d):
     n = r.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n0"))
     ties = r.groupBy("o_orderpriority", "r").agg(F.count(F.lit(1)).alias("t"))
     x = ties.join(n, "o_orderpriority").withColumn("p", (F.col("r") - (F.col("t") + 1) / 2.0) / (F.col("n0") - 1))
-    h = x.withColumn("bin", F.least(F.floor(F.col("p") * 10), F.lit(9)).cast("int"))
-    return h.groupBy("o_orderpriority", "bin").agg(F.sum("t").alias("n"))
+    return A.histogram_bins(x, value="p", by=["o_orderpriority"], weight="t")
 
 
 @query("crosstab_share", "SELECT l_returnflag, l_linestatus, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY l_returnflag) AS share FROM lineitem GROUP BY 1, 2", "share")
@@ -559,10 +561,14 @@ def _(s, d):
     return table(s, d, "orders").select("o_orderkey", P.publication_avail("o_orderdate", 45).cast("string").alias("a45"), P.publication_avail("o_orderdate", 120).cast("string").alias("a120"), P.april_first_next_year(F.year("o_orderdate")).cast("string").alias("april"))
 
 
-@query("name_normalise", r"""SELECT c_custkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper('The ' || c_name || ' & Co., Inc.'), '&', ' AND ', 'g'), '[^A-Z0-9 ]', ' ', 'g'),
- '\b(INC|LLC|LTD|CORP|CO|COMPANY|CORPORATION|NA|NATIONAL|ASSOCIATION|THE)\b', ' ', 'g'), ' +', ' ', 'g')) AS norm FROM customer""")
+@query("name_normalise", r"""WITH n AS (SELECT c_custkey, 'The ' || c_name || CASE c_custkey % 4 WHEN 0 THEN ' & Co., Inc.' WHEN 1 THEN ' National Bank, N.A.' WHEN 2 THEN ' National Association Holdings' ELSE ' Financial Services Group' END AS name FROM customer),
+x AS (SELECT c_custkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(name), '&', ' AND ', 'g'), '[^A-Z0-9 ]', ' ', 'g'),
+ '\b(NATIONAL ASSOCIATION|N A|NA|INC|INCORPORATED|CORP|CORPORATION|CO|COMPANY|LLC|LTD|THE|AND|HOLDING|HOLDINGS|GROUP|FSB|USA|FINANCIAL|SERVICES)\b', ' ', 'g'), ' +', ' ', 'g')) AS norm FROM n)
+SELECT c_custkey, norm, CASE WHEN length(norm) >= 4 THEN norm END AS name_key FROM x""")
 def _(s, d):
-    return table(s, d, "customer").select("c_custkey", X.name_normalise(F.concat(F.lit("The "), "c_name", F.lit(" & Co., Inc."))).alias("norm"))
+    tail = F.expr("element_at(array(' & Co., Inc.', ' National Bank, N.A.', ' National Association Holdings', ' Financial Services Group'), CAST(c_custkey % 4 + 1 AS INT))")
+    name = F.concat(F.lit("The "), "c_name", tail)
+    return table(s, d, "customer").select("c_custkey", X.name_normalise(name).alias("norm"), X.name_key(name).alias("name_key"))
 
 
 @query("geo_key", """SELECT c_custkey, format('{:.3f}', round(30 + (c_custkey % 1999) / 100e0, 3)) || '_' || format('{:.3f}', round(-70 - (c_custkey % 777) / 50e0, 3)) AS k3,
@@ -654,12 +660,14 @@ def _(s, d):
     return Q.assert_unique_key(table(s, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"])
 
 
-@query("accounting_identity", f"""WITH {SP}, y AS (SELECT entity, q // 4 AS y, sum(flow) AS total, sum(CASE WHEN q % 4 = 0 THEN flow END) AS a, sum(CASE WHEN q % 4 > 0 THEN flow END) AS b FROM sp GROUP BY ALL)
-SELECT y, count(a + b) AS n_checked, max(abs(total - (a + b))) AS max_abs_gap, avg((abs(total - (a + b)) <= 1e0)::INT::DOUBLE) AS share_within FROM y GROUP BY y""", "max_abs_gap:3 share_within")
+@query("accounting_identity", """WITH p AS (SELECT l_orderkey, sum(CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT)) * (100 + CAST(round(l_tax * 100) AS BIGINT)))::DOUBLE / 1e6 AS parts FROM lineitem GROUP BY 1)
+SELECT year(o_orderdate) AS y, count(parts) AS n_checked, max(abs(o_totalprice - parts)) AS max_abs_gap, avg((abs(o_totalprice - parts) <= 1e0)::INT::DOUBLE) AS share_within FROM orders LEFT JOIN p ON l_orderkey = o_orderkey GROUP BY 1""", "max_abs_gap:3 share_within")
 def _(s, d):
-    p = supplier_panel(s, d)
-    y = p.groupBy("entity", F.floor(F.col("q") / 4).alias("y")).agg(F.sum("flow").alias("total"), F.sum(F.when(F.col("q") % 4 == 0, F.col("flow"))).alias("a"), F.sum(F.when(F.col("q") % 4 > 0, F.col("flow"))).alias("b"))
-    return Q.accounting_identity(y, total="total", parts=F.col("a") + F.col("b"), by=["y"], tol=1.0)
+    cents = lambda c: F.round(F.col(c) * 100).cast("long")
+    line = cents("l_extendedprice") * (100 - cents("l_discount")) * (100 + cents("l_tax"))
+    parts = table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg((F.sum(line).cast("double") / 1e6).alias("parts"))
+    o = table(s, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"), "o_totalprice").join(parts, "o_orderkey", "left")
+    return Q.accounting_identity(o, total="o_totalprice", parts=F.col("parts"), by=["y"], tol=1.0)
 
 
 @query("completeness_check", "SELECT o_custkey, year(o_orderdate) AS y, count(DISTINCT o_orderpriority) AS n_items, CAST(count(DISTINCT o_orderpriority) = 5 AS INT) AS complete FROM orders GROUP BY ALL")
@@ -712,12 +720,13 @@ def _(s, d):
     return fix(a).unionByName(fix(b))
 
 
-@query("rebuild_parity", f"""WITH {CP} SELECT count(*) AS n_matched, CAST(0 AS BIGINT) AS n_unmatched, 0e0 AS max_abs_diff FROM cp WHERE q % 4 = 0 OR EXISTS (SELECT 1 FROM cp b WHERE b.entity = cp.entity AND b.q = cp.q - 1)""", "max_abs_diff:3")
+@query("rebuild_parity", f"""WITH {CP}, y AS (SELECT entity, q, flow, sum(flow) OVER (PARTITION BY entity, q // 4 ORDER BY q) AS ytd FROM cp),
+r AS (SELECT a.entity, a.q, CASE WHEN a.q % 4 = 0 THEN a.ytd ELSE a.ytd - b.ytd END AS f FROM y a LEFT JOIN y b ON b.entity = a.entity AND b.q = a.q - 1)
+SELECT count(f) AS n_matched, count(*) - count(f) AS n_unmatched, max(abs(flow - f)) AS max_abs_diff FROM cp LEFT JOIN r USING (entity, q)""", "max_abs_diff:3")
 def _(s, d):
     stored = customer_panel(s, d)
     rebuilt = decumulate(running_ytd(stored, value="flow", out="ytd")).where("flow_q IS NOT NULL")
-    keep = stored.join(rebuilt.select("entity", "q"), ["entity", "q"], "left_semi")
-    return Q.rebuild_parity(keep, rebuilt.select("entity", "q", F.col("flow_q").alias("flow")), ["entity", "q"], "flow")
+    return Q.rebuild_parity(stored, rebuilt.select("entity", "q", F.col("flow_q").alias("flow")), ["entity", "q"], "flow")
 
 
 @query("merger_flags", f"""WITH {SP}, l AS (SELECT *, {LAG.format(v='stock', k=1)} AS p FROM sp), f AS (SELECT entity, q, coalesce(abs(stock / nullif(p, 0) - 1) > 15e-2, FALSE) AS j, (entity % 10 = 3 AND q = 7996) AS e FROM l)
@@ -735,12 +744,14 @@ def _(s, d):
     return Q.max_gap_days(table(s, d, "orders").select(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("d")), by=["k"], date="d")
 
 
-LEDGER = f"""{CP}, h AS (SELECT entity, q, n, sha256(entity || '|' || q || '|' || n) AS hash FROM cp), c AS (SELECT *, lag(hash) OVER (PARTITION BY entity ORDER BY q) AS prev_hash FROM h),
+LEDGER = f"""{CP}, o AS (SELECT entity, q, n, row_number() OVER (PARTITION BY entity ORDER BY q) AS i FROM cp),
+c AS (SELECT entity, q, n, i, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || '|' || entity || '|' || q || '|' || n) AS hash FROM o WHERE i = 1
+ UNION ALL SELECT o.entity, o.q, o.n, o.i, c.hash, sha256(c.hash || '|' || o.entity || '|' || o.q || '|' || o.n) FROM c JOIN o ON o.entity = c.entity AND o.i = c.i + 1),
 t AS (SELECT entity, q, CASE WHEN entity % 50 = 0 THEN n + 1 ELSE n END AS n, hash, CASE WHEN entity % 70 = 0 THEN NULL ELSE prev_hash END AS prev_hash FROM c)"""
 
 
-@query("ledger_chain_verify", f"""WITH {LEDGER} SELECT entity, q, CAST(hash = sha256(entity || '|' || q || '|' || n) AS INT) AS hash_ok,
- CAST(prev_hash IS NOT DISTINCT FROM lag(hash) OVER (PARTITION BY entity ORDER BY q) AS INT) AS link_ok, CAST(q + n <= 8004 AS INT) AS time_ok, 1 AS key_ok FROM t""")
+@query("ledger_chain_verify", f"""WITH RECURSIVE {LEDGER} SELECT entity, q, CAST(coalesce(hash = sha256(prev_hash || '|' || entity || '|' || q || '|' || n), FALSE) AS INT) AS hash_ok,
+ CAST(prev_hash IS NOT DISTINCT FROM coalesce(lag(hash) OVER (PARTITION BY entity ORDER BY q), repeat('0', 64)) AS INT) AS link_ok, CAST(q + n <= 8004 AS INT) AS time_ok, 1 AS key_ok FROM t""")
 def _(s, d):
     p = Q.chain_ledger(customer_panel(s, d).select("entity", "q", "n"), by=["entity"], order="q", fields=["entity", "q", "n"])
     # tampered on purpose: some contents and some links
