@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import cut_lineage
 
@@ -99,33 +100,46 @@ def rank_average(df: DataFrame, keys: list[str], value: str, out: str = "rank",
     return df.join(counts.select(*cols), [*keys, value], "left")
 
 
-def row_positions(df: DataFrame, keys: list[str], order: str, tie: str, out: str = "pos", bounds=None) -> DataFrame:
+def row_positions(df: DataFrame, keys: list[str], order: str, tie: str, out: str = "pos", bounds=None, heavy_ties: bool = False) -> DataFrame:
     """1-based position by (order, tie) within keys, and the group size ``n_<out>``.
 
-    The positions of tied rows are resolved inside one (key, value, tie-slice)."""
+    Rows are numbered inside one (key, slice of ``order``).  With ``heavy_ties`` (for columns of few distinct
+    values and a numeric ``tie``) a slice is cut again by value and by slices of ``tie``, so that
+    rows tied on ``order`` spread too."""
     if bounds is None:
         df = cut_lineage(df, "positions")  # read for the cut points, the slice counts and the rows
     cuts = slice_bounds(df, order) if bounds is None else bounds
     tagged = df.withColumn("_s", slice_of(F.col(order).cast("double"), cuts))  # uniform hashes need no data pass
-    per = tagged.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_t"))
+    cell = ["_s"]
+    if heavy_ties:
+        tagged = tagged.withColumn("_u", F.col(order)).withColumn("_v", slice_of(F.col(tie).cast("double"), slice_bounds(df, tie)))
+        cell = ["_s", "_u", "_v"]
+    per = tagged.groupBy(*keys, *cell).agg(F.count(F.lit(1)).alias("_t"))
+    if heavy_ties:
+        # offsets of the cells of a slice within it, then of the slices
+        low = Window.partitionBy(*keys, "_s").orderBy("_u", "_v").rowsBetween(Window.unboundedPreceding, -1)
+        per = per.withColumn("_i", F.coalesce(F.sum("_t").over(low), F.lit(0)))
     wk = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    off = per.select(
+    slices = per.groupBy(*keys, "_s").agg(F.sum("_t").alias("_t"))
+    off = slices.select(
         *keys,
         "_s",
         F.coalesce(F.sum("_t").over(wk.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"),
         F.sum("_t").over(wk).alias(f"n_{out}"),
     )
-    inner = Window.partitionBy(*keys, "_s").orderBy(order, tie)
+    if heavy_ties:
+        off = per.drop("_t").join(off, [*keys, "_s"]).withColumn("_o", F.col("_o") + F.col("_i")).drop("_i")
+    inner = Window.partitionBy(*keys, *cell).orderBy(order, tie)
     return (
-        tagged.join(off, [*keys, "_s"])
+        tagged.join(off, [*keys, *cell])
         .withColumn(out, (F.col("_o") + F.row_number().over(inner)).cast("long"))
-        .drop("_s", "_o")
+        .drop(*cell, "_o")
     )
 
 
 def quintile_symbols(df: DataFrame, keys: list[str], value: str, tie: str, k: int = 5, out: str = "symbol") -> DataFrame:
     """k equal-count classes by rank, earlier rows first among ties (the first n % k classes hold one more)."""
-    p = row_positions(df.where(F.col(value).isNotNull()), keys, value, tie, "_p")
+    p = row_positions(df.where(F.col(value).isNotNull()), keys, value, tie, "_p", heavy_ties=isinstance(df.schema[tie].dataType, T.NumericType))
     n, i = F.col("n__p"), F.col("_p") - 1
     small = F.floor(n / k)
     big = n % k
