@@ -18,10 +18,15 @@ def binarize_quantile(df: DataFrame, *, by: list[str], value: str, level: float,
 
 
 def binomial_tail(k: Column, n: Column, p: Column) -> Column:
-    """P(X >= k) for X ~ Bin(n, p) as a sum of terms in log space (n is a count of calendar events)."""
-    lg = lambda m: F.aggregate(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
-    term = lambda i: F.exp(lg(n) - F.when(i > 0, lg(i)).otherwise(0.0) - F.when(n - i > 0, lg(n - i)).otherwise(0.0) + i * F.log(p) + (n - i) * F.log1p(-p))
-    s = F.aggregate(F.sequence(k, n), F.lit(0.0), lambda a, i: a + term(i))
+    """P(X >= k) for X ~ Bin(n, p): the term at k in log space, then each term from the one before it."""
+    lg = lambda m: F.aggregate(F.sequence(F.lit(1), F.greatest(m, F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
+    low = F.least(F.greatest(k, F.lit(0)), n).cast("int")
+    first = lg(n) - lg(low) - lg(n - low) + low * F.log(p) + (n - low) * F.log1p(-p)
+    odds = F.log(p) - F.log1p(-p)
+    start = F.struct(first.cast("double").alias("t"), F.exp(first).cast("double").alias("s"))
+    step = lambda a, i: a["t"] + F.log((n - i + 1).cast("double") / i) + odds
+    rest = F.when(low < n, F.sequence(low + 1, n.cast("int"))).otherwise(F.array().cast("array<int>"))
+    s = F.aggregate(rest, start, lambda a, i: F.struct(step(a, i).alias("t"), (a["s"] + F.exp(step(a, i))).alias("s")), lambda a: a["s"])
     return F.when(k <= 0, 1.0).when(k > n, 0.0).when(p >= 1, 1.0).when(p <= 0, 0.0).otherwise(s)
 
 

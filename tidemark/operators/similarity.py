@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,22 +49,24 @@ def profile_assign(df: DataFrame, profiles: dict[str, list[float]], *, entity: s
 
 
 def profile_significance(df: DataFrame, profiles: dict[str, list[float]], *, entity: str, index: str, value: str) -> DataFrame:
-    """Assigned and expected counts (mean over all column permutations of the n points) and a binomial
-    upper tail by the normal approximation with continuity correction.
+    """Assigned and expected counts (mean over all column permutations of the n points) and the exact
+    binomial upper tail of the assigned count.
 
-    Every permutation is an expression on the packed row, so the series are read once."""
-    from tidemark.functions.scalars import normal_cdf
+    The permutations are one constant array that every packed row runs through, so the series are read once."""
+    from tidemark.operators.events import binomial_tail
 
     n = len(next(iter(profiles.values())))
     s = _series(df, n, entity, index, value)
-    perms = list(itertools.permutations(range(n)))
-    p = F.array(*[F.array(*[F.element_at("x", i + 1) - F.element_at("x", q[0] + 1) for i in q]) for q in perms])
-    e = _assign(s.select(entity, F.explode(p).alias("x")), profiles).groupBy("profile").agg((F.sum("weight") / len(perms)).alias("expected"))
+    perms = list(itertools.permutations(range(1, n + 1)))
+    each = F.from_json(F.lit(json.dumps(perms)), "array<array<int>>")
+    moved = F.transform(each, lambda q: F.transform(q, lambda i: F.element_at("x", i) - F.element_at("x", F.element_at(q, 1))))
+    e = _assign(s.select(entity, F.explode(moved).alias("x")), profiles).groupBy("profile").agg((F.sum("weight") / len(perms)).alias("expected"))
     a = profile_assign(df, profiles, entity=entity, index=index, value=value)
     total = s.agg(F.count(F.lit(1))).scalar()
     j = e.join(a, "profile", "left").fillna(0.0, ["assigned"]).withColumn("n", total)
-    z = (F.ceil("assigned") - 0.5 - F.col("expected")) / F.sqrt(F.col("expected") * (1 - F.col("expected") / F.col("n")))
-    return j.select("profile", "assigned", "expected", (1 - normal_cdf(z)).alias("p_upper"))
+    # ties split one series over profiles: the count is rounded up but for rounding noise
+    tail = binomial_tail(F.ceil(F.col("assigned") - 1e-9).cast("int"), F.col("n").cast("int"), F.col("expected") / F.col("n"))
+    return j.select("profile", "assigned", "expected", tail.alias("p_upper"))
 
 
 # ------------------------------------------------------------------ pairs without pairing

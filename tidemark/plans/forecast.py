@@ -313,7 +313,15 @@ def _(s, d):
 PROFILES = {"up": [0.0, 1.0, 2.0, 3.0], "down": [0.0, -1.0, -2.0, -3.0], "hump": [0.0, 1.0, 1.0, 0.0], "dip": [0.0, -1.0, -1.0, 0.0]}
 
 
-@query("profile_significance")
+@query("profile_significance", f"""WITH {SP}, m AS (SELECT entity, (q % 4) AS k, avg(ln(flow)) AS v FROM sp GROUP BY ALL), f AS (SELECT * FROM m WHERE entity IN (SELECT entity FROM m GROUP BY entity HAVING count(v) = 4)),
+pm AS (SELECT a.i * 64 + b.i * 16 + c.i * 4 + d.i AS pid, [a.i, b.i, c.i, d.i] AS o FROM range(4) a(i), range(4) b(i), range(4) c(i), range(4) d(i) WHERE len(list_distinct([a.i, b.i, c.i, d.i])) = 4),
+x AS (SELECT entity, pid, t.k, v FROM pm, range(4) t(k) JOIN f ON f.k = pm.o[t.k + 1]),
+pr(p, k, x) AS (VALUES ('up', 0, 0e0), ('up', 1, 1e0), ('up', 2, 2e0), ('up', 3, 3e0), ('down', 0, 0e0), ('down', 1, -1e0), ('down', 2, -2e0), ('down', 3, -3e0), ('hump', 0, 0e0), ('hump', 1, 1e0), ('hump', 2, 1e0), ('hump', 3, 0e0), ('dip', 0, 0e0), ('dip', 1, -1e0), ('dip', 2, -1e0), ('dip', 3, 0e0)),
+c AS (SELECT entity, pid, p, corr(v, pr.x) AS r FROM x JOIN pr USING (k) GROUP BY ALL), t AS (SELECT *, r >= max(r) OVER (PARTITION BY entity, pid) - 1e-9 AS w FROM c),
+w AS (SELECT entity, pid, p, 1e0 / count(*) OVER (PARTITION BY entity, pid) AS w FROM t WHERE w),
+g AS (SELECT p AS profile, coalesce(sum(w) FILTER (pid = 27), 0) AS assigned, sum(w) / 24 AS expected, (SELECT count(DISTINCT entity) FROM f) AS n FROM w GROUP BY p)
+SELECT profile, assigned, expected, CASE WHEN ceil(assigned - 1e-9) <= 0 THEN 1e0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(expected / n) + (n - i) * ln(1 - expected / n)))
+ FROM (SELECT unnest(range((SELECT max(n) + 1 FROM g))) AS i) WHERE i >= ceil(assigned - 1e-9) AND i <= n) END AS p_upper FROM g""", "assigned:6 expected:6 p_upper:6")
 def _(s, d):
     from tidemark.operators.similarity import profile_significance
 
