@@ -1,7 +1,10 @@
 """SimHash links and components against brute force over all pairs."""
 
+import itertools
+import math
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -18,20 +21,52 @@ def signed(v):
     return v - 2**64 if v >> 63 else v
 
 
-@pytest.mark.parametrize("crowd", [4, 64])
-def test_links_equal_brute_force(spark, crowd):
+def groups(links):
+    """The partition that links make, without single vertices."""
+    of = {}
+    for a, b in links:
+        x, y = of.get(a, {a}), of.get(b, {b})
+        for v in x | y:
+            of[v] = x | y
+        both = x | y
+        for v in both:
+            of[v] = both
+    return {frozenset(g) for g in of.values()}
+
+
+@pytest.mark.parametrize("distance,crowd", [(2, 8), (2, 256), (9, 128)])
+def test_links_tie_what_close_pairs_tie(spark, distance, crowd):
     r = random.Random(3)
     fps = [r.getrandbits(64) for _ in range(60)]
-    centre = r.getrandbits(64)
-    for _ in range(200):  # a dense ball of near copies
-        v = centre
-        for b in r.sample(range(64), r.randint(0, 4)):
-            v ^= 1 << b
-        fps.append(v)
+    for start, most in ((r.getrandbits(64), 4), (r.getrandbits(64), 12)):
+        for _ in range(200):  # a dense ball and a looser one
+            v = start
+            for b in r.sample(range(64), r.randint(0, most)):
+                v ^= 1 << b
+            fps.append(v)
     fps = sorted({signed(v) for v in fps})
     df = spark.createDataFrame([(v,) for v in fps], "fp long")
-    got = {(x.a, x.b) for x in simhash.near_links(df, 2, crowd=crowd).collect()}
-    assert got == brute(fps, 2)
+    got = {(x.a, x.b) for x in simhash.near_links(df, distance, crowd=crowd).collect()}
+    assert groups(got) == groups(brute(fps, distance))
+
+
+def test_thresholds_sum_to_the_goal_at_the_least_cost():
+    r = np.random.default_rng(1)
+    counts, widths = r.integers(1, 200, (50, 4)).astype(float), [16, 16, 16, 16]
+    t = simhash.allocate(counts, widths, 5000, 5)
+    assert (t.sum(axis=1) == 2).all() and t.min() >= -1
+
+    def cost(row, ts):
+        total = 0.0
+        for c, w, x in zip(row, widths, ts):
+            if x >= 0:
+                p = sum(math.comb(w, k) for k in range(x + 1))
+                total += c + p + (p - 1) * 5000 / 2.0**w
+        return total
+
+    for row, ts in zip(counts, t):
+        least = min(cost(row, v) for v in itertools.product(range(-1, 6), repeat=4) if sum(v) == 2)
+        assert abs(cost(row, ts) - least) < 1e-9
 
 
 def test_components_of_chains_and_stars(spark):

@@ -4,12 +4,13 @@ Bits are grouped into partitions so that correlated bits sit together.  If thres
 fingerprint sum to distance - m + 1, every fingerprint within the distance agrees with it in some
 partition up to t_i bits; -1 means that a partition is not probed at all.  A dynamic program gives each
 fingerprint its own thresholds: it avoids partitions whose value is frequent and probes rare ones further.
-Probes meet the index by an equi-join and survivors are verified by their differing bits.
+Probes meet the index in buckets by key, and pairs are verified by their differing bits; a bucket gives at
+most one link for each of its members, enough to tie what its pairs tie.
 
-A bucket that is still crowded is cut again: its fingerprints agree in the bits of the key, so the
-remaining bits are split into distance + 1 parts of which one must agree; keys grow until buckets are
-small or hold no more bits.  No pair is lost and no bucket is expanded whole.  Equal fingerprints are one
-vertex, so copies never meet each other.
+A bucket that is crowded is cut again: its fingerprints agree in the bits of the key, so the remaining
+bits are split into distance + 1 parts of which one must agree; keys grow until buckets are small.  No
+link is lost and no bucket is expanded into pairs.  Equal fingerprints are one vertex, so copies never meet
+each other.
 
 Edge cases: null, empty and blank texts have no words and fingerprint zero, which is linked like any
 other; texts of fewer words than a shingle hash as one sequence; repeated rows and ids are kept; an empty
@@ -18,6 +19,8 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
+import math
 from typing import Iterator
 
 import numpy as np
@@ -32,8 +35,9 @@ from .components import components
 
 BITS = 64
 #: A bucket with more fingerprints than this is cut by further bits.
-CROWD = 64
-PARTITIONS = 3
+CROWD = 256
+#: So is one with so many times more that ask for it.
+ASKS = 32
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -76,7 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(make, schema)
 
 
-def bit_groups(fps: DataFrame, m: int = PARTITIONS) -> list[list[int]]:
+def bit_groups(fps: DataFrame, m: int = 3) -> list[list[int]]:
     """Bits in ``m`` groups of nearly equal size; a group starts at a free bit and takes the free bits that
     are most correlated with it.  Moments are summed in the tasks: the driver sees 64 x 64 numbers."""
 
@@ -118,77 +122,138 @@ def mask(bits: list[int]) -> int:
     return v - (1 << 64) if v >> 63 else v
 
 
-def allocate(counts: list[Column], widths: list[int], total: int, distance: int) -> Column:
-    """Thresholds of one fingerprint by dynamic programming over the partitions, as an array of ints.
+def allocate(counts: np.ndarray, widths: list[int], total: int, distance: int) -> np.ndarray:
+    """Thresholds of fingerprints (rows) in partitions (columns), by dynamic programming on estimated candidates.
 
-    ``counts``: how many fingerprints share its value in each partition.  Estimated candidates: none at
-    -1, the count at 0, the count and one average bucket per flipped bit at 1.  Few partitions and small
-    sums make the table of the program a handful of expressions; a state is (cost, thresholds)."""
-    levels = range(-1, distance + 1)
-    goal = distance - len(counts) + 1
+    ``counts``: how many fingerprints share a row's value in each partition.  A partition at -1 costs nothing;
+    at t it costs its own bucket, one probe for every value within t bits, and an average bucket for each
+    flipped value.  The thresholds of a row sum to distance - partitions + 1 at the least total cost."""
+    n, m = counts.shape
+    goal, levels = distance - m + 1, range(-1, distance + 1)
 
-    def cost(i: int, t: int) -> Column:
+    def cost(i: int, t: int) -> np.ndarray:
         if t < 0:
-            return F.lit(0.0)
-        flips = [1, widths[i], widths[i] * (widths[i] - 1) // 2, widths[i] ** 3][: t + 1]
-        return counts[i].cast("double") + F.lit(float(sum(flips)) + sum(flips[1:]) * total / 2.0 ** widths[i])
-
-    best: dict[int, Column] = {0: F.struct(F.lit(0.0).alias("c"), F.array().cast("array<int>").alias("t"))}
-    for i in range(len(counts)):
-        grown: dict[int, list[Column]] = {}
-        for at, state in best.items():
+            return np.zeros(n)
+        probes = sum(math.comb(widths[i], k) for k in range(t + 1))
+        return counts[:, i] + probes + (probes - 1) * total / 2.0 ** widths[i]
+
+    costs = [{t: cost(i, t) for t in levels} for i in range(m)]
+    best, picks = {0: np.zeros(n)}, []
+    for i in range(m):
+        after = m - i - 1
+        grown: dict[int, np.ndarray] = {}
+        pick: dict[int, np.ndarray] = {}
+        for at, so_far in best.items():
             for t in levels:
-                # the partitions still to come add between -1 and `distance` each
-                rest = len(counts) - i - 1
-                if at + t - rest <= goal <= at + t + rest * distance:
-                    step = F.struct((state["c"] + cost(i, t)).alias("c"), F.concat(state["t"], F.array(F.lit(t))).alias("t"))
-                    grown.setdefault(at + t, []).append(step)
-        best = {at: F.least(*s) if len(s) > 1 else s[0] for at, s in grown.items()}
-    return best[goal]["t"]
+                to = at + t
+                if not to - after <= goal <= to + after * distance:
+                    continue
+                c = so_far + costs[i][t]
+                if to not in grown:
+                    grown[to], pick[to] = c, np.full(n, t)
+                else:
+                    better = c < grown[to]
+                    pick[to] = np.where(better, t, pick[to])
+                    grown[to] = np.minimum(c, grown[to])
+        best = grown
+        picks.append(pick)
+    out, at = np.empty((n, m), np.int64), np.full(n, goal)
+    for i in range(m - 1, -1, -1):
+        for to, pick in picks[i].items():
+            here = at == to
+            out[here, i] = pick[here]
+        at = at - out[:, i]
+    return out
+
+
+def flips(bits: list[int], most: int) -> np.ndarray:
+    """All masks of at most ``most`` of the bits, by number of bits: row t holds where the masks of t + 1 bits begin."""
+    masks = [0]
+    for k in range(1, most + 1):
+        masks += [sum(1 << b for b in c) for c in itertools.combinations(bits, k)]
+    return np.array(masks, np.uint64)
+
+
+def probe_rows(planned: DataFrame, groups: list[list[int]], total: int, distance: int) -> DataFrame:
+    """(fp, path, key): each fingerprint with every value that it probes in each partition (path)."""
+    m, widths = len(groups), [len(g) for g in groups]
+    masks = np.array([sum(1 << b for b in g) for g in groups], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.asarray(batch.column(0)).astype(np.int64).view(np.uint64)
+            counts = np.column_stack([np.asarray(c) for c in batch.columns[1:]]).astype(float)
+            t = allocate(counts, widths, total, distance)
+            for i in range(m):
+                for level in range(int(t[:, i].max(initial=-1)) + 1):
+                    mine = fps[t[:, i] == level]
+                    change = flips(groups[i], level)
+                    step = max(1, (1 << 19) // len(change))
+                    for k in range(0, len(mine), step):
+                        some = mine[k : k + step]
+                        keys = (some & masks[i])[:, None] ^ change[None, :]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.repeat(some, len(change)).view(np.int64)), pa.array(np.full(keys.size, i, np.int32)), pa.array(keys.ravel().view(np.int64))], ["fp", "path", "key"]
+                        )
+
+    return planned.mapInArrow(run, "fp long, path int, key long")
+
+
+def linked(x: np.ndarray, y: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that tie together what pairs within ``distance`` tie together, at most one for each of ``x`` and ``y``."""
+    near = np.bitwise_count(x[:, None] ^ y[None, :]) <= distance
+    top = len(y)
+    label = np.arange(top)
+    while True:
+        of_x = np.where(near, label[None, :], top).min(axis=1, initial=top)
+        fresh = np.minimum(label, np.where(near, of_x[:, None], top).min(axis=0, initial=top))
+        if (fresh == label).all():
+            break
+        label = fresh
+    has = of_x < top
+    a, b = np.concatenate([x[has], y]), np.concatenate([y[of_x[has]], y[label]])
+    return a[a != b], b[a != b]
 
 
-def near_links(fps: DataFrame, distance: int = 2, m: int = PARTITIONS, crowd: int = CROWD) -> DataFrame:
-    """Links (a, b), a < b, between distinct fingerprints (column fp) that differ in at most ``distance`` bits."""
+def bucket_links(rows: DataFrame, distance: int) -> DataFrame:
+    """(a, b): links of buckets; each row holds the fingerprints that ask and those that are there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.empty((2, 0), np.uint64)]
+            for asks, there in zip(batch.column(0), batch.column(1)):
+                x, y = (np.unique(np.asarray(v.values).astype(np.int64)).view(np.uint64) for v in (asks, there))
+                found.append(np.stack(linked(x, y, distance)))
+            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+    return rows.select("asks", "there").mapInArrow(run, "a long, b long")
+
+
+def near_links(fps: DataFrame, distance: int = 2, m: int | None = None, crowd: int = CROWD) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp): every pair that differs in at most ``distance``
+    bits is tied, directly or over other links, and no link ties what such pairs do not."""
+    m = m or max(3, (distance + 1) // 2)
     groups = bit_groups(fps, m)
-    masks, widths = [mask(g) for g in groups], [len(g) for g in groups]
     total = fps.count()
-
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(k)) for k in masks])).alias("i", "key"))
-    count = keyed.groupBy("i", "key").agg(F.count("*").alias("n"))
+    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(mask(g))) for g in groups])).alias("path", "key"))
+    count = keyed.groupBy("path", "key").agg(F.count("*").alias("n"))
     # every fingerprint with the size of its bucket in each partition
-    per = keyed.join(count, ["i", "key"]).groupBy("fp").agg(*[F.max(F.when(F.col("i") == i, F.col("n"))).alias(f"n{i}") for i in range(m)])
-    planned = per.withColumn("t", allocate([F.col(f"n{i}") for i in range(m)], widths, total, distance))
-
-    def probes(i: int) -> Column:
-        """Keys of partition i within t_i bits; index rows have no flips."""
-        own = F.col("fp").bitwiseAND(F.lit(masks[i]))
-        one = [F.lit(mask([b])) for b in groups[i]]
-        none = F.array().cast("array<bigint>")
-        flips = [none, F.array(F.lit(0).cast("long"))]
-        flips.append(F.concat(flips[-1], F.array(*one)))
-        for _ in range(2, distance + 1):
-            last = flips[-1]
-            flips.append(F.array_distinct(F.flatten(F.transform(last, lambda x: F.transform(F.array(*one), lambda y: x.bitwiseXOR(y))))))
-        t = F.element_at("t", i + 1)
-        pick = flips[0]
-        for level in range(distance + 1):
-            pick = F.when(t >= level, flips[level + 1]).otherwise(pick)
-        return F.transform(pick, lambda x: F.struct(F.lit(i).alias("i"), x.bitwiseXOR(own).alias("key")))
-
-    asks = planned.select("fp", F.explode(F.flatten(F.array(*[probes(i) for i in range(m)]))).alias("p")).select("fp", "p.i", "p.key")
-    asks = written(asks, "probes")
-    index = keyed.select("fp", "i", "key")
-    found, paths = [], {i: set(g) for i, g in enumerate(groups)}
-    asks = asks.withColumnRenamed("i", "path")
-    index = keyed.select("fp", F.col("i").alias("path"), "key")
-    order = [b for g in groups for b in g]
+    per = keyed.join(count, ["path", "key"]).groupBy("fp").agg(*[F.max(F.when(F.col("path") == i, F.col("n"))).alias(f"n{i}") for i in range(m)])
+    asks, index = written(probe_rows(per, groups, total, distance), "probes"), keyed.select("fp", "path", "key")
+    order, paths, found = [b for g in groups for b in g], {i: set(g) for i, g in enumerate(groups)}, []
     while True:
-        size = index.groupBy("path", "key").agg(F.count("*").alias("n"))
-        hot = written(size.filter(F.col("n") > crowd).select("path", "key"), "crowded")
-        x, y = asks.withColumnRenamed("fp", "x"), index.join(hot, ["path", "key"], "left_anti").withColumnRenamed("fp", "y")
-        near = (F.col("x") != F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= distance)
-        pairs = x.join(y, (x["path"] == y["path"]) & (x["key"] == y["key"]) & near)
-        found.append(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        both = asks.withColumn("ask", F.lit(True)).unionByName(index.withColumn("ask", F.lit(False)))
+        size = both.groupBy("path", "key").agg(F.count(F.when(~F.col("ask"), 1)).alias("there"), F.count(F.when(F.col("ask"), 1)).alias("asks"))
+        # what is left of a path with fewer free bits than parts holds few values and is met as it is
+        free = [k for k, fixed in paths.items() if BITS - len(fixed) > distance]
+        many = (F.col("there") > crowd) | ((F.col("there") > 0) & (F.col("asks") > ASKS * crowd))
+        hot = written(size.filter(many & F.col("path").isin(free)).select("path", "key"), "crowded")
+        met = both.join(hot, ["path", "key"], "left_anti").groupBy("path", "key")
+        buckets = met.agg(F.collect_list(F.when(F.col("ask"), F.col("fp"))).alias("asks"), F.collect_list(F.when(~F.col("ask"), F.col("fp"))).alias("there"))
+        # a fingerprint alone in its bucket asks itself only
+        buckets = buckets.filter((F.size("there") > 0) & (F.size("asks") > 0) & (F.size(F.array_union("asks", "there")) > 1))
+        found.append(written(bucket_links(buckets, distance), "links"))
         if hot.isEmpty():
             break
         # One row per way of cutting: it depends on the bits that are used up, never on the data.
@@ -210,7 +275,7 @@ def near_links(fps: DataFrame, distance: int = 2, m: int = PARTITIONS, crowd: in
     links = found[0]
     for more in found[1:]:
         links = links.union(more)
-    return links.distinct()
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, distance: int = 2) -> DataFrame:
