@@ -11,10 +11,6 @@ def arr_sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
-def arr_mean(a: Column) -> Column:
-    return F.try_divide(arr_sum(a), F.size(a).cast("double"))
-
-
 def interp(x: Column, xs: Column, ys: Column) -> Column:
     """Piecewise-linear value at x on increasing knots, flat beyond the ends."""
     n = F.size(xs)

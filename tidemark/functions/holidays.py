@@ -57,13 +57,6 @@ def release_timestamp(date: ColumnOrName, hour: int = 13, zone: str = "America/N
     return F.to_utc_timestamp(local, zone)
 
 
-def last_business_day_of_week(friday: ColumnOrName) -> Column:
-    d = _c(friday)
-    days = F.reverse(F.sequence(F.date_sub(d, 4), d))
-    hits = F.filter(days, lambda x: is_business_day(x))
-    return F.when(F.size(hits) > 0, F.element_at(hits, 1))
-
-
 def filing_due_date(q: ColumnOrName) -> Column:
     """Quarter end + 40 days (45 for Q4), rolled to a business day."""
     lag = F.when(period_quarter(q) == 4, 45).otherwise(40)

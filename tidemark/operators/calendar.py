@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.scalars import log_ratio, ratio
 from tidemark.session import cut_lineage
@@ -137,30 +138,29 @@ def standardise(df: DataFrame, *, by: list[str], value: str, ddof: int = 1, out:
     return df.join(m, by).withColumn(out, ratio(F.col(value) - F.col("_m"), F.col("_s"))).drop("_m", "_s")
 
 
-def exp_smoothing(df: DataFrame, *, value: str, alpha: float = 0.3, out: str = "level", entity="entity", period="q") -> DataFrame:
+@F.udf(T.ArrayType(T.DoubleType()), useArrow=True)
+def _smoothed(values, alpha):
+    """Levels of one ordered series, in one pass."""
+    out, level = [], None
+    for v in values:
+        if v is not None:
+            level = v if level is None else alpha * v + (1 - alpha) * level
+        out.append(level)
+    return out
+
+
+def exp_smoothing(df: DataFrame, *, value: str, alpha: float | str = 0.3, out: str = "level", entity: str | list[str] = "entity", period="q") -> DataFrame:
     """l = alpha x + (1 - alpha) l, started at the first observed value, unchanged on a missing one.
 
-    The ordered array of one entity is bounded by the calendar."""
+    ``alpha`` is a number or one of the ``entity`` columns.  The ordered array of one entity is bounded by the
+    calendar and walked once."""
+    keys = [entity] if isinstance(entity, str) else list(entity)
     series = F.array_sort(F.collect_list(F.struct(F.col(period).alias("p"), F.col(value).cast("double").alias("v"))))
-    step = lambda acc, x: F.struct(
-        F.when(x["v"].isNull(), acc["l"]).when(acc["l"].isNull(), x["v"]).otherwise(alpha * x["v"] + (1 - alpha) * acc["l"]).alias("l"),
-        F.array_append(acc["out"], F.struct(
-            x["p"].alias("p"),
-            F.when(x["v"].isNull(), acc["l"]).when(acc["l"].isNull(), x["v"]).otherwise(alpha * x["v"] + (1 - alpha) * acc["l"]).alias("l"),
-        )).alias("out"),
-    )
-    ptype = df.schema[period].dataType.simpleString()
-    zero = F.struct(
-        F.lit(None).cast("double").alias("l"),
-        F.array().cast(f"array<struct<p:{ptype},l:double>>").alias("out"),
-    )
-    lev = (
-        df.groupBy(entity)
-        .agg(series.alias("_a"))
-        .select(entity, F.explode(F.aggregate("_a", zero, step, lambda a: a["out"])).alias("_e"))
-        .select(entity, F.col("_e.p").alias(period), F.col("_e.l").alias(out))
-    )
-    return df.join(lev, [entity, period])
+    gain = F.col(alpha) if isinstance(alpha, str) else F.lit(float(alpha))
+    packed = df.groupBy(*keys).agg(series.alias("_a")).withColumn("_l", _smoothed(F.col("_a.v"), gain))
+    points = F.arrays_zip(F.col("_a.p").alias("p"), F.col("_l").alias("l"))
+    lev = packed.select(*keys, F.explode(points).alias("_e")).select(*keys, F.col("_e.p").alias(period), F.col("_e.l").alias(out))
+    return df.join(lev, [*keys, period])
 
 
 def expanding_mean(df: DataFrame, *, value: str, out: str = "climatology", by: list[str], order: str, min_periods: int = 1) -> DataFrame:
@@ -169,12 +169,6 @@ def expanding_mean(df: DataFrame, *, value: str, out: str = "climatology", by: l
     return df.withColumn(out, F.when(F.count(value).over(w) >= min_periods, F.avg(value).over(w)))
 
 
-def moving_mean_past(df: DataFrame, *, value: str, n: int, out: str, by: list[str], order: str) -> DataFrame:
-    """Mean of the previous n values."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(-n, -1)
-    return df.withColumn(out, F.when(F.count(value).over(w) == n, F.avg(value).over(w)))
-
-
 def gap_interpolate(df: DataFrame, *, value: str, out: str | None = None, entity="entity", period="q") -> DataFrame:
     """Fill a single missing value that has both neighbours with their mean; longer runs keep one fill
     at their left end only (limit 1, inside)."""

@@ -468,12 +468,9 @@ def local_level_decompose(df: DataFrame, *, value: str, x: str, gains: list[floa
 
     m = df.groupBy(by).agg(F.avg(value).alias("_my"), F.avg(x).alias("_mx"), ratio(F.covar_pop(x, value), F.var_pop(x)).alias("_b"))
     j = df.join(m, by).withColumn("market", F.col("_b") * (F.col(x) - F.col("_mx"))).withColumn("_z", F.col(value) - F.col("_my") - F.col("market"))
-    parts = None
-    for g in gains:
-        lv = exp_smoothing(j.select(by, period, "_z", "market"), value="_z", alpha=g, out="sticky", entity=by, period=period)
-        prev = F.lag("sticky").over(Window.partitionBy(by).orderBy(period))
-        lv = lv.withColumn("gain", F.lit(float(g))).withColumn("_e", F.col("_z") - prev)
-        parts = lv if parts is None else parts.unionByName(lv)
+    each = j.select(by, period, "_z", "market", F.explode(F.array(*[F.lit(float(g)) for g in gains])).alias("gain"))
+    parts = exp_smoothing(each, value="_z", alpha="gain", out="sticky", entity=[by, "gain"], period=period)
+    parts = parts.withColumn("_e", F.col("_z") - F.lag("sticky").over(Window.partitionBy(by, "gain").orderBy(period)))
     best = parts.groupBy(by, "gain").agg(F.sum(F.col("_e") ** 2).alias("sse")).groupBy(by).agg(F.min_by("gain", F.struct("sse", "gain")).alias("gain"))
     return parts.join(best, [by, "gain"]).select(by, period, "gain", "market", "sticky", (F.col("_z") - F.col("sticky")).alias("transient"))
 

@@ -13,11 +13,6 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
-    """Hint a broadcast only when the stated row bound times the row width is small."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
-
-
 def left_join_flag(left: DataFrame, right: DataFrame, keys: list[str], value: str, default: Column, flag: str = "fallback") -> DataFrame:
     """Left join; where the right side is absent use ``default`` and set the flag."""
     r = right.select(*keys, F.col(value).alias("_v"), F.lit(True).alias("_hit"))

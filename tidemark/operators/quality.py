@@ -6,6 +6,7 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.scalars import ratio
 
@@ -19,10 +20,6 @@ def assert_unique_key(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.where(F.when(dup.scalar() == 0, True).otherwise(F.raise_error(F.lit(msg)).cast("boolean")))
 
 
-def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
-
-
 def accounting_identity(df: DataFrame, *, total: str, parts: Column, by: list[str], tol: float) -> DataFrame:
     """Gap between a stored total and the sum of its parts: largest, and share within tolerance."""
     gap = F.abs(F.col(total) - parts)
@@ -147,7 +144,7 @@ def record_hash(previous: Column, fields: list[Column]) -> Column:
     return F.sha2(F.concat_ws("|", previous, *[f.cast("string") for f in fields]), 256)
 
 
-@F.udf("array<string>", useArrow=True)
+@F.udf(T.ArrayType(T.StringType()), useArrow=True)
 def _chain(contents):
     """The hashes of a chain from the joined fields of its records, in order."""
     out, last = [], CHAIN_START

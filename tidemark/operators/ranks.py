@@ -175,12 +175,3 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, levels: list[flo
 
 def group_medians(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
     return exact_quantiles(df, keys, value, [0.5], out).drop("tau")
-
-
-def scalar_quantile(df: DataFrame, value: str, level: float):
-    """A whole-table quantile as a scalar subquery, usable in any expression."""
-    return exact_quantiles(df, [], value, [level], "_q").select("_q").scalar()
-
-
-def and_all(conds):
-    return reduce(lambda a, b: a & b, conds)

@@ -49,8 +49,8 @@ def _(s, d):
 
 @query("stream_dedup_revisions", "SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, max(event_id) AS vintage, arg_max(value, event_id) AS value FROM events GROUP BY ALL", "value:2")
 def _(s, d):
-    e = events(s, d).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    return J.dedup_revisions(e, "revisions", keys=["user_id", "day"], time="ts", vintage="event_id", value="value")
+    r = J.dedup_revisions(events(s, d), "revisions", keys=["user_id"], time="ts", period="1 day", vintage="event_id", value="value")
+    return r.select("user_id", F.date_format("start", "yyyy-MM-dd").alias("day"), "vintage", "value")
 
 
 @query("stream_event_coincidence", """WITH a AS (SELECT DISTINCT user_id, date_trunc('hour', ts) AS tick FROM events WHERE event_type = 'purchase'), b AS (SELECT DISTINCT user_id, date_trunc('hour', ts) AS tick FROM events WHERE event_type IN ('view', 'click'))
@@ -72,9 +72,10 @@ def _(s, d):
 @query("stream_exp_smoothing", f"""WITH {DE}, o AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date) AS j FROM de) SELECT a.series AS key, CAST(a.date AS VARCHAR) AS ord, sum(b.value * CASE WHEN b.j = 1 THEN pow(0.7e0, a.j - 1) ELSE 0.3e0 * pow(0.7e0, a.j - b.j) END) AS level FROM o a JOIN o b ON a.series = b.series AND b.j <= a.j GROUP BY ALL""", "level:7")
 def _(s, d):
     path = scratch_path(s, "daily")
-    daily_events(s, d).select("series", F.col("date").cast("string").alias("date"), "value").coalesce(1).write.parquet(path)
-    st = J.file_stream(s, path, T.StructType([T.StructField("series", T.StringType()), T.StructField("date", T.StringType()), T.StructField("value", T.DoubleType())]))
-    return J.drain(J.exp_smoothing(st, key="series", order="date", value="value", alpha=0.3), "smoothing")
+    daily_events(s, d).select("series", F.col("date").cast("timestamp").alias("date"), "value").write.parquet(path)
+    st = J.file_stream(s, path, T.StructType([T.StructField("series", T.StringType()), T.StructField("date", T.TimestampType()), T.StructField("value", T.DoubleType())]))
+    levels = J.drain(J.exp_smoothing(st, key="series", order="date", value="value", alpha=0.3), "smoothing")
+    return levels.withColumn("ord", F.date_format("ord", "yyyy-MM-dd"))
 
 
 @query("stream_late_data_audit", """WITH e AS (SELECT event_type, ts + to_hours(CAST(event_id % 9 AS INT)) > date_trunc('day', ts) + INTERVAL 24 HOUR AS bad FROM events) SELECT event_type, CASE WHEN bad THEN 'rejected' ELSE 'accepted' END AS side, count(*) AS n FROM e GROUP BY ALL""")

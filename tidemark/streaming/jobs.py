@@ -73,16 +73,19 @@ def provisional_weeks(stream: DataFrame, name: str, **kw) -> DataFrame:
     return last.select("kind", "bucket", "week", "r.*", F.lit(True).alias("provisional"), F.lit(False).alias("usable"))
 
 
-def dedup_revisions(stream: DataFrame, name: str, *, keys: list[str], time: str, vintage: str, value: str, delay: str = "2 days") -> DataFrame:
-    """Last vintage wins per key: a max_by state in update mode, one table of changes per batch."""
-    agg = stream.withWatermark(time, delay).groupBy(*keys).agg(F.max(vintage).alias("vintage"), F.max_by(value, vintage).alias("value"))
+def dedup_revisions(stream: DataFrame, name: str, *, keys: list[str], time: str, period: str, vintage: str, value: str, delay: str = "2 days") -> DataFrame:
+    """Last vintage wins per key and ``period`` of event time: a max_by state in update mode, one table of changes per
+    batch.  The period is part of the key, so its state goes when the watermark has passed it."""
+    span = F.window(time, period)
+    agg = stream.withWatermark(time, delay).groupBy(*keys, span.alias("w")).agg(F.max(vintage).alias("vintage"), F.max_by(value, vintage).alias("value"))
+    agg = agg.select(*keys, F.col("w.start").alias("start"), "vintage", "value")
 
     def write(batch, i, root):
         batch.write.mode("overwrite").parquet(f"{root}/data/b={i}")
 
     root = drain_batches(agg, name, write)
     out = stream.sparkSession.read.schema(agg.schema).parquet(f"{root}/data/b=*")
-    return out.groupBy(*keys).agg(F.max("vintage").alias("vintage"), F.max_by("value", "vintage").alias("value"))
+    return out.groupBy(*keys, "start").agg(F.max("vintage").alias("vintage"), F.max_by("value", "vintage").alias("value"))
 
 
 def event_coincidence(a: DataFrame, b: DataFrame, *, key: str, time: str, tick: str = "1 hour", tol: int = 1, delay: str = "2 hours") -> DataFrame:
@@ -109,11 +112,18 @@ def rolling_rate(stream: DataFrame, *, time: str, kind: str, hit, width: str, st
     )
 
 
-def exp_smoothing(stream: DataFrame, *, key: str, order: str, value: str, alpha: float) -> DataFrame:
-    """Keyed state = current level; unchanged on a missing value, started at the first observed one."""
+def exp_smoothing(stream: DataFrame, *, key: str, order: str, value: str, alpha: float, delay: str = "7 days", idle: str = "400 days") -> DataFrame:
+    """Keyed state = current level; unchanged on a missing value, started at the first observed one.
+
+    ``order`` is the event time.  A key that stays silent for ``idle`` of event time loses its level."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    keep = int(pd.Timedelta(idle).total_seconds() * 1000)
+
     def step(k: tuple, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         level = state.get[0] if state.exists else None
         rows = pd.concat(list(chunks)).sort_values(order)  # rows of one key in one micro-batch
         out = []
@@ -123,10 +133,13 @@ def exp_smoothing(stream: DataFrame, *, key: str, order: str, value: str, alpha:
             out.append((k[0], o, level))
         if level is not None:
             state.update((level,))
+            last = int(pd.Timestamp(rows[order].iloc[-1]).timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + keep)
         yield pd.DataFrame(out, columns=["key", "ord", "level"])
 
     kt, ot = stream.schema[key].dataType.simpleString(), stream.schema[order].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(step, f"key {kt}, ord {ot}, level double", "level double", "append", GroupStateTimeout.NoTimeout)
+    timed = stream.withWatermark(order, delay)
+    return timed.groupBy(key).applyInPandasWithState(step, f"key {kt}, ord {ot}, level double", "level double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def late_data_audit(stream: DataFrame, name: str, *, stamped: str, deadline) -> tuple[DataFrame, DataFrame]:
