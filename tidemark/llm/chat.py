@@ -63,13 +63,15 @@ def loss_spans(turns: Column) -> Column:
 def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """``pairs`` with shared_turns, prompt, and text and loss spans of both completions.
 
-    ``chosen`` and ``rejected`` are arrays of turns; ``rejected`` may be null."""
+    ``chosen`` and ``rejected`` are arrays of turns; ``rejected`` may be null.  A column with the name of a
+    result gives way to it."""
     rows = pairs.withColumn("shared_turns", F.when(F.col(rejected).isNull(), F.lit(0)).otherwise(common_prefix(chosen, rejected)))
     n = F.col("shared_turns")
     rest = lambda c: F.slice(F.col(c), n + 1, F.greatest(F.lit(0), F.size(c) - n))
     rows = rows.withColumn("__c", rest(chosen)).withColumn("__r", rest(rejected))
+    new = ("shared_turns", "prompt", "chosen_text", "chosen_loss", "rejected_text", "rejected_loss")
     return rows.select(
-        *pairs.columns,
+        *[c for c in pairs.columns if c not in new],
         "shared_turns",
         render(F.slice(F.col(chosen), F.lit(1), n)).alias("prompt"),
         render(F.col("__c")).alias("chosen_text"),

@@ -15,6 +15,7 @@ an empty result; other columns pass through untouched.
 
 from __future__ import annotations
 
+import json
 from collections import deque
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,7 @@ from .common import word_count, written
 
 WEIGHTS = (3, 1, 2)
 BUCKET_BITS = 12
+RESULT = ("source_size", "target", "routes", "copies", "taken")
 
 
 def water_fill(sizes: list[int], weights: list[float], total: float, max_repeats: int = 2) -> list[float]:
@@ -65,19 +67,19 @@ def route(patterns: list[tuple[tuple, int]], quotas: dict, max_repeats: int = 2)
                     continue
                 back[s] = q
                 if room[s] > 0:
-                    return s, back
+                    return True, s, back
                 for r in takers[s]:
                     if r not in seen and flow[r, s] > 0:
                         seen.add(r)
                         back[("p", r)] = s
                         todo.append(r)
-        return None, back
+        return False, None, back
 
     for layer in range(1, max_repeats + 1):
         for p, (_, size) in enumerate(patterns):
             while used[p] < layer * size:
-                end, back = path(p)
-                if end is None:
+                reached, end, back = path(p)
+                if not reached:
                     break
                 steps, s, amount = [], end, min(room[end], layer * size - used[p])
                 while True:
@@ -96,17 +98,24 @@ def route(patterns: list[tuple[tuple, int]], quotas: dict, max_repeats: int = 2)
 
 
 def source_plan(docs: DataFrame, members: str, size: str, weights=WEIGHTS, share: float = 1.5, max_repeats: int = 2):
-    """Patterns with their sizes, and size and target of every source.  Sources are taken in code-point
+    """Patterns with their sizes, size and target of every source, and the patterns' keys.  Sources are taken in code-point
     order, null last, with ``weights`` repeating; targets share ``share`` times all words.
 
     The driver receives one row per pattern, not per document."""
-    rows = docs.groupBy(F.col(members).alias("m")).agg(F.sum(size).alias("n")).collect()
-    patterns = sorted(((tuple(r.m), int(r.n or 0)) for r in rows), key=lambda x: [(s is None, s or "") for s in x[0]])
+    rows = docs.groupBy(pattern_key(members)).agg(F.sum(size).alias("n")).collect()
+    named = sorted(((tuple(json.loads(r["__m"])), int(r.n or 0), r["__m"]) for r in rows), key=lambda x: [(s is None, s or "") for s in x[0]])
+    patterns, keys = [x[:2] for x in named], [x[2] for x in named]
     sources = sorted({s for m, _ in patterns for s in m}, key=lambda s: (s is None, s or ""))
     sizes = [sum(n for m, n in patterns if s in m) for s in sources]
     w = [weights[i % len(weights)] for i in range(len(sources))]
     targets = water_fill(sizes, w, share * sum(n for _, n in patterns), max_repeats)
-    return patterns, dict(zip(sources, sizes)), dict(zip(sources, targets))
+    return patterns, dict(zip(sources, sizes)), dict(zip(sources, targets)), keys
+
+
+def pattern_key(members: str) -> Column:
+    """A set of sources as text, by which tables meet; a null source is told apart from one of that name."""
+    held = F.col(members)
+    return F.to_json(F.when(held.isNull() | (F.size(held) == 0), F.array(F.lit(None).cast("string"))).otherwise(held)).alias("__m")
 
 
 def membership(*sources: Column) -> Column:
@@ -120,14 +129,15 @@ def mix(
     """``docs`` with ``copies`` (times the mix takes the document), ``taken`` (words, repeats counted),
     ``routes`` (the source that each copy counts for), ``source_size`` and ``target`` (of the first source).
 
-    ``docs`` is read several times; pass a table or thin columns.  ``draw`` names the columns whose hash
-    with ``seed`` orders the draw.
+    ``docs`` is read several times; pass a table or thin columns.  A column with the name of a result gives way to it.
+    ``draw`` names the columns whose hash with ``seed`` orders the draw.
     """
     spark = docs.sparkSession
-    patterns, sizes, targets = source_plan(docs, members, size, weights, share, max_repeats)
+    docs = docs.drop(*[c for c in RESULT if c not in (members, size, *draw)])
+    patterns, sizes, targets, keys = source_plan(docs, members, size, weights, share, max_repeats)
     flow = route(patterns, {s: round(t) for s, t in targets.items()}, max_repeats)
     h = F.xxhash64(F.lit(seed), *[F.col(c) for c in draw])
-    rows = docs.select(F.col(members).alias("__m"), F.col(size).alias("__n"), h.alias("__h"))
+    rows = docs.select(pattern_key(members), F.col(size).alias("__n"), h.alias("__h"))
 
     # Where each source's run of words ends, as (pattern, layer, words into the layer, source, last of its pattern).
     cuts = []
@@ -136,33 +146,31 @@ def mix(
         for s in m:
             at += flow[p, s]
             if flow[p, s]:
-                cuts.append((p, list(m), (at - 1) // n, at - (at - 1) // n * n, n, s, at == end))
-    spec = "p int, m array<string>, layer int, rest long, whole long, source string, last boolean"
-    part = spark.createDataFrame([c for c in cuts if c[3] < c[4]], spec)
+                cuts.append((p, keys[p], (at - 1) // n, at - (at - 1) // n * n, n, s, at == end))
+    part = spark.createDataFrame([(k, c[1], c[3]) for k, c in enumerate(cuts) if c[3] < c[4]], "cut int, m string, rest long")
 
     bucket = F.shiftright("__h", 64 - BUCKET_BITS)
     hist = rows.groupBy("__m", bucket.alias("__b")).agg(F.sum("__n").alias("n"))
     cum = F.sum("n").over(_by(["__m"], "__b"))
     hist = hist.withColumn("hi", cum).withColumn("lo", F.col("hi") - F.col("n"))
-    at = hist.join(F.broadcast(part), hist["__m"].eqNullSafe(part["m"]) & (F.col("rest") >= F.col("lo")) & (F.col("rest") < F.col("hi")))
-    at = at.select("__m", "__b", "p", "layer", "rest", "source", "last", (F.col("rest") - F.col("lo")).alias("need"))
+    at = hist.join(F.broadcast(part), (hist["__m"] == part["m"]) & (F.col("rest") >= F.col("lo")) & (F.col("rest") < F.col("hi")))
+    at = at.select("__m", "__b", "cut", (F.col("rest") - F.col("lo")).alias("need"))
     # Only rows of the bucket that a cut falls in are put in order.
-    near = rows.withColumn("__b", bucket).join(F.broadcast(at.drop("rest")), ["__m", "__b"])
-    near = near.withColumn("c", F.sum("__n").over(_by(["__m", "__b", "p", "layer", "source"], "__h", True)))
-    first_out = near.filter(F.col("c") > F.col("need")).groupBy("p", "layer", "source").agg(F.min("__h").alias("h"))
-    inside = near.filter(F.col("c") <= F.col("need")).groupBy("p", "layer", "source").agg(F.max("c").alias("c"))
-    found = at.join(first_out, ["p", "layer", "source"]).join(inside, ["p", "layer", "source"], "left") if cuts else None
+    near = rows.withColumn("__b", bucket).join(F.broadcast(at), ["__m", "__b"])
+    near = near.withColumn("c", F.sum("__n").over(_by(["cut"], "__h", True)))
+    out_of = F.min(F.when(F.col("c") > F.col("need"), F.col("__h")))
+    held = F.coalesce(F.max(F.when(F.col("c") <= F.col("need"), F.col("c"))), F.lit(0))
     ends = {}
-    if found is not None:
-        for r in found.select("p", "layer", first_out["source"], "last", "h", (F.col("need") - F.coalesce("c", F.lit(0))).alias("short")).collect():
-            ends[r.p, r.source] = (r.layer, r.h, r.last, r.short)
+    for r in near.groupBy("cut").agg(out_of.alias("h"), (F.max("need") - held).alias("short")).collect() if cuts else []:
+        p, _, layer, _, _, s, last = cuts[r["cut"]]
+        ends[p, s] = (layer, r.h, last, r.short)
 
     # The words still missing at the end of a pattern go to the one document left whose size is nearest.
-    wanted = [(p, list(patterns[p][0]), e[1], e[3]) for (p, s), e in ends.items() if e[2] and e[3] > 0]
+    wanted = [(p, keys[p], e[1], e[3]) for (p, s), e in ends.items() if e[2] and e[3] > 0]
     extra = {}
     if wanted:
-        want = spark.createDataFrame(wanted, "p int, m array<string>, h long, short long")
-        left = rows.join(F.broadcast(want), rows["__m"].eqNullSafe(want["m"]) & (F.col("__h") >= F.col("h")) & (F.col("__n") > 0))
+        want = spark.createDataFrame(wanted, "p int, m string, h long, short long")
+        left = rows.join(F.broadcast(want), (rows["__m"] == want["m"]) & (F.col("__h") >= F.col("h")) & (F.col("__n") > 0))
         best = left.groupBy("p").agg(F.min(F.struct(F.abs(F.col("__n") - F.col("short")).alias("off"), F.col("__h").alias("h"), F.col("short"))).alias("b"))
         extra = {r.p: r.b.h for r in best.collect() if r.b.off < r.b.short}
 
@@ -173,10 +181,10 @@ def mix(
             layer, h_end, _, _ = ends.get((p, c[5]), (c[2], None, None, None))
             runs.append((layer, h_end, c[5]))
         deep = max((layer for layer, _, _ in runs), default=-1)
-        plan.append((list(m), sizes[m[0]], targets[m[0]], runs, extra.get(p), deep, runs[-1][2] if runs else None))
-    kind = "m array<string>, source_size long, target double, runs array<struct<layer:int,h:long,source:string>>, extra long, deep int, tail string"
+        plan.append((keys[p], sizes[m[0]], targets[m[0]], runs, extra.get(p), deep, runs[-1][2] if runs else None))
+    kind = "m string, source_size long, target double, runs array<struct<layer:int,h:long,source:string>>, extra long, deep int, tail string"
     plan = spark.createDataFrame(plan, kind)
-    out = docs.withColumn("__h", h).join(F.broadcast(plan), F.col(members).eqNullSafe(plan["m"]), "left")
+    out = docs.select("*", h.alias("__h"), pattern_key(members)).join(F.broadcast(plan), F.col("__m") == plan["m"], "left")
 
     def run_of(layer: Column) -> Column:
         """The first run that reaches past this document in this layer."""
@@ -189,7 +197,7 @@ def mix(
     routes = F.transform(F.filter(F.array(*layers), lambda r: r.isNotNull()), lambda r: r["source"])
     out = out.withColumn("routes", routes).withColumn("copies", F.size("routes").cast("long"))
     out = out.withColumn("taken", F.col("copies") * F.col(size))
-    return out.drop("__h", "m", "runs", "extra", "deep", "tail")
+    return out.drop("__h", "__m", "m", "runs", "extra", "deep", "tail")
 
 
 def _by(keys: list[str], order: str, ranged: bool = False):
