@@ -11,6 +11,17 @@ from tidemark.session import cut_lineage
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of one batch of rows that goes to Python.
+ARROW_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session hands rows to Python in batches of at most about ``ARROW_BYTES``, so that long texts do
+    not add up in a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

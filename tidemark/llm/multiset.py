@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_width
+from .common import shuffle_width, small_batches
 
 EXACT, WIDE, SHINGLE = 4, 256, 3
 BYTES = EXACT * 8 + WIDE * 2
@@ -131,7 +131,7 @@ def next_rows(rows: DataFrame, order: list[str], carry: Column, name: str) -> Da
 def edited_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    base = small_batches(docs).select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     rows = next_rows(base, ["doc_id", "h"], F.col("text"), "next")
     size = F.char_length("text")
     swap = F.floor(size / 4).cast("int")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import small_batches, written
 from .components import components
 
 BITS = 64
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 fps.append(fingerprint(b.to_pybytes() if b is not None else b"", shingle, seed))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(make, schema)
+    return small_batches(docs).select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(make, schema)
 
 
 def bit_groups(fps: DataFrame, m: int = 3) -> list[list[int]]:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import scratch_path
 
-from .common import written
+from .common import small_batches, written
 
 #: Payloads below this many bytes are never revisits.
 REVISIT_BYTES = 100
@@ -146,7 +146,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = small_batches(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
     return files.select("content").mapInArrow(walk, RECORD)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import small_batches, written
 
 GROUP = 400
 #: Counters of a node's summary of frequent texts.
@@ -297,9 +297,8 @@ def templates(pages: DataFrame, host: str = "host", html_col: str = "html") -> D
     rows = written(rows, "page-trees")
     while True:
         most = rows.groupBy("host").count().agg(F.max("count")).first()[0] or 0
-        # a group of about GROUP trees by a hash of the tree, of each host's own number of groups
-        groups = rows.groupBy("host").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("g"))
-        salted = rows.join(groups, "host").withColumn("s", F.pmod(F.xxhash64("template"), F.col("g")))
+        # groups of at most about GROUP trees by a hash of the tree; smaller hosts are merged on the last level
+        salted = rows.withColumn("s", F.pmod(F.xxhash64("template"), F.lit(-(-most // GROUP) or 1)))
         lists = salted.groupBy("host", "s").agg(F.array_sort(F.collect_list("template")).alias("ts"))
         rows = lists.select("host", "ts").mapInArrow(merged, kinds)
         rows = written(rows, "templates")
@@ -400,7 +399,7 @@ def main_text(html: str, wrapper: Wrapper) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars): the main text of every page."""
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(url_col).alias("host"))
+    rows = small_batches(pages).select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(url_col).alias("host"))
     induced = templates(rows)
     schema = T.StructType([rows.schema["page_id"], rows.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
