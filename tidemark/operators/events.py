@@ -182,44 +182,55 @@ def cross_map_skill(df: DataFrame, *, by: list[str], index: str, source: str, ta
     return p.withColumn("_p", num / den).groupBy(*by, "size").agg(F.corr("_p", "_y").alias("skill"), F.count(F.lit(1)).alias("n"))
 
 
-def lagged_moments(df: DataFrame, *, by: list[str], index: str, names: list[str]) -> list:
-    """Moments of (x_t, x_{t+1}) per group for a VAR(1): d x d numbers per group, no rows."""
+def lagged_moments(df: DataFrame, *, by: list[str], index: str, names: list[str]) -> DataFrame:
+    """Moments of (x_t, x_{t+1}) per group for a VAR(1): one row of d x d numbers per group."""
     w = Window.partitionBy(*by).orderBy(index)
     x = df.withColumns({f"n_{c}": F.max(c).over(w.rangeBetween(1, 1)) for c in names}).dropna(subset=[*names, *[f"n_{c}" for c in names]])
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.avg(c).alias(f"m_{c}") for c in names] + [F.avg(f"n_{c}").alias(f"mn_{c}") for c in names]
-    aggs += [F.covar_pop(a, b).alias(f"c_{a}_{b}") for a in names for b in names]
-    aggs += [F.covar_pop(a, f"n_{b}").alias(f"x_{a}_{b}") for a in names for b in names]
-    aggs += [F.covar_pop(f"n_{a}", f"n_{b}").alias(f"y_{a}_{b}") for a in names for b in names]
-    return x.groupBy(*by).agg(*aggs).collect()
+    grid = lambda left, right: F.array(*[F.covar_pop(a, b) for a in left for b in right])
+    ahead = [f"n_{c}" for c in names]
+    return x.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.avg(c) for c in names]).alias("m"), grid(names, names).alias("c"), grid(names, ahead).alias("x"), grid(ahead, ahead).alias("y")
+    )
 
 
 def information_flow(df: DataFrame, *, by: list[str], index: str, names: list[str], dt: float = 1.0) -> DataFrame:
-    """Information flow T[i <- j] = a_ij C_ij / C_ii of a VAR(1), normalised, with standard errors.
+    """Information flow T[i <- j] = a_ij C_ij / C_ii of a VAR(1), normalised.
 
-    Groups are a few labelled windows; Spark reduces each to d x d moments and the driver solves d x d."""
+    ``se`` and ``p`` take the inverse of the uncentred second moments, as the method is published; ``se_ols`` and ``p_ols`` those of
+    least squares with an intercept.  A group is reduced to d x d moments, and each row of moments is solved where it is."""
     import numpy as np
+    import pandas as pd
+
+    from tidemark.functions.scalars import two_sided_p
 
     d = len(names)
-    out = []
-    for r in lagged_moments(df, by=by, index=index, names=names):
-        n = r["n"]
-        c = np.array([[r[f"c_{a}_{b}"] for b in names] for a in names])
-        x = np.array([[r[f"x_{a}_{b}"] for b in names] for a in names])
-        y = np.array([[r[f"y_{a}_{b}"] for b in names] for a in names])
-        beta = np.linalg.solve(c, x)  # next = beta' now
-        a = (beta.T - np.eye(d)) / dt
-        cs = c * n / (n - 1)
-        t = a * cs / np.diag(cs)[:, None]
-        resid = (y - beta.T @ x) * n / (n - d - 1)
-        noise = np.diag(np.abs(resid)) / dt / (2 * np.diag(cs))
-        z = np.abs(t).sum(axis=1) + np.abs(noise)
-        se = np.sqrt(np.outer(np.diag(resid), np.diag(np.linalg.inv(c * n)))) * np.abs(cs / np.diag(cs)[:, None]) / dt
-        for i in range(d):
-            for j in range(d):
-                out.append((*[r[k] for k in by], names[j], names[i], float(t[i, j]), float(t[i, j] / z[i]), float(se[i, j]), int(n)))
-    kt = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by)
-    return df.sparkSession.createDataFrame(out, f"{kt + ', ' if kt else ''}source string, target string, flow double, flow_norm double, se double, n long")
+
+    def solve(frames):
+        for f in frames:
+            out = []
+            for r in f.to_dict("records"):
+                n = r["n"]
+                c, x, y = (np.asarray(r[k], float).reshape(d, d) for k in ("c", "x", "y"))
+                m = np.asarray(r["m"], float)
+                beta = np.linalg.solve(c, x)  # next = beta' now
+                a = (beta.T - np.eye(d)) / dt
+                cs = c * n / (n - 1)
+                share = cs / np.diag(cs)[:, None]
+                t = a * share
+                resid = (y - beta.T @ x) * n / (n - d - 1)
+                z = np.abs(t).sum(axis=1) + np.abs(np.diag(np.abs(resid)) / dt / (2 * np.diag(cs)))
+                spread = lambda inverse: np.sqrt(np.outer(np.diag(resid), np.diag(inverse))) * np.abs(share) / dt
+                se, ols = spread(np.linalg.inv(c * n + n * np.outer(m, m))), spread(np.linalg.inv(c * n))
+                for i in range(d):
+                    for j in range(d):
+                        out.append((*[r[k] for k in by], names[j], names[i], t[i, j], t[i, j] / z[i], se[i, j], ols[i, j], n))
+            yield pd.DataFrame(out, columns=[*by, "source", "target", "flow", "flow_norm", "se", "se_ols", "n"])
+
+    moments = lagged_moments(df, by=by, index=index, names=names)
+    kt = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in by)
+    # a group needs more pairs than parameters
+    rows = moments.where(F.col("n") > d + 1).mapInPandas(solve, f"{kt}source string, target string, flow double, flow_norm double, se double, se_ols double, n long")
+    return rows.withColumn("p", two_sided_p(F.col("flow") / F.col("se"))).withColumn("p_ols", two_sided_p(F.col("flow") / F.col("se_ols")))
 
 
 def granger_f(df: DataFrame, *, by: list[str], index: str, x: str, y: str) -> DataFrame:

@@ -324,10 +324,36 @@ def _(s, d):
     return E.cross_map_skill(pair_weekly(s, d), by=["series"], index="t", source="v", target="y", dim=2, library=[40, 160], exclusion=4)
 
 
+def _three_weekly(s, d):
+    return weekly(s, d).groupBy("t").agg(*[F.max(F.when(F.col("series") == p, F.col("v"))).alias(n) for p, n in (("1-URGENT", "a"), ("2-HIGH", "b"), ("5-LOW", "c"))]).dropna()
+
+
 @query("information_flow")
 def _(s, d):
-    w = weekly(s, d).groupBy("t").agg(*[F.max(F.when(F.col("series") == p, F.col("v"))).alias(n) for p, n in (("1-URGENT", "a"), ("2-HIGH", "b"), ("5-LOW", "c"))]).dropna()
-    return E.information_flow(w.withColumn("half", (F.col("t") >= 172).cast("int")), by=["half"], index="t", names=["a", "b", "c"])
+    w = _three_weekly(s, d)
+    r = w.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
+    return E.information_flow(w.withColumn("half", (F.col("t") > (r.lo + r.hi) / 2).cast("int")), by=["half"], index="t", names=["a", "b", "c"])
+
+
+@query("information_flow_rolling")
+def _(s, d):
+    w = _three_weekly(s, d)
+    r = w.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
+    x = E.sliding_windows(w, index="t", width=104, step=4, first=r.lo, last=r.hi)
+    return E.information_flow(x, by=["win"], index="t", names=["a", "b", "c"])
+
+
+# Cramer's rule for the flow between two series: a = (C^-1 X)' - I, T[i <- j] = a_ij C_ij / C_ii.
+@query("information_flow_pair", f"""WITH {WK}, z AS (SELECT a.series, y.v AS u0, y1.v AS u1, a.v AS v0, a1.v AS v1 FROM wk a JOIN wk y ON y.series = '1-URGENT' AND y.t = a.t JOIN wk a1 ON a1.series = a.series AND a1.t = a.t + 1 JOIN wk y1 ON y1.series = '1-URGENT' AND y1.t = a.t + 1 WHERE a.series <> '1-URGENT'),
+m AS (SELECT series, count(*) AS n, var_pop(u0) AS cu, var_pop(v0) AS cv, covar_pop(u0, v0) AS c, covar_pop(u0, u1) AS uu, covar_pop(v0, u1) AS vu, covar_pop(u0, v1) AS uv, covar_pop(v0, v1) AS vv FROM z GROUP BY series)
+SELECT series, 'v' AS source, 'u' AS target, (cu * vu - c * uu) / (cu * cv - c * c) * c / cu AS flow, n FROM m UNION ALL
+SELECT series, 'u', 'v', (cv * uv - c * vv) / (cu * cv - c * c) * c / cv, n FROM m""", "flow:7")
+def _(s, d):
+    w = weekly(s, d)
+    one = w.where("series = '1-URGENT'").select("t", F.col("v").alias("u"))
+    x = w.where("series <> '1-URGENT'").select("series", "t", "v").join(one, "t")
+    f = E.information_flow(x, by=["series"], index="t", names=["u", "v"])
+    return f.where("source <> target").select("series", "source", "target", "flow", "n")
 
 
 @query("granger_f", f"""WITH {WK}, z AS (SELECT a.series, a.v - 0 AS x0, y.v AS y, x1.v AS x1, y1.v AS y1 FROM wk a JOIN wk y ON y.series = '1-URGENT' AND y.t = a.t JOIN wk x1 ON x1.series = a.series AND x1.t = a.t - 1 JOIN wk y1 ON y1.series = '1-URGENT' AND y1.t = a.t - 1 WHERE a.series <> '1-URGENT'),
