@@ -132,19 +132,25 @@ def _(s, d):
     return M.past_error_quantiles(x, centre="r", error="e", levels=LV, scale="sc")
 
 
+LV19 = [k / 20 for k in range(1, 20)]
+NINETEEN = ", ".join(f"{v:.2f}" for v in LV19)
+
+
 @query("members_b0_b3", f"""WITH {XS}, x AS (SELECT entity, q, r, row_number() OVER (PARTITION BY entity ORDER BY q) AS j FROM xs WHERE r IS NOT NULL),
 sm AS (SELECT a.entity, a.q, sum(b.r * CASE WHEN b.j = 1 THEN pow(0.7e0, a.j - 1) ELSE 0.3e0 * pow(0.7e0, a.j - b.j) END) AS l FROM x a JOIN x b ON a.entity = b.entity AND b.j <= a.j GROUP BY ALL),
 y AS (SELECT entity, q, r, l, max(r) OVER (PARTITION BY entity ORDER BY q RANGE BETWEEN 3 PRECEDING AND 3 PRECEDING) AS r3, max(r) OVER (PARTITION BY entity ORDER BY q RANGE BETWEEN 4 PRECEDING AND 4 PRECEDING) AS r4, max(r) OVER (PARTITION BY entity ORDER BY q RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS r1, max(l) OVER (PARTITION BY entity ORDER BY q RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS l1 FROM x JOIN sm USING (entity, q)),
-w AS (SELECT entity, q, r, r3, l, count(r) OVER w8 AS c0, quantile_cont(r, 0.9) OVER w8 AS b0, count(r - r4) OVER k AS n1, quantile_cont(r - r4, 0.9) OVER k AS e1, count(r - r1) OVER k AS n2, quantile_cont(r - r1, 0.9) OVER k AS e2, count(r - l1) OVER k AS n3, quantile_cont(r - l1, 0.9) OVER k AS e3 FROM y
- WINDOW k AS (PARTITION BY entity ORDER BY q), w8 AS (PARTITION BY entity ORDER BY q ROWS BETWEEN 7 PRECEDING AND CURRENT ROW))
-SELECT entity, q, 'B0' AS member, b0 AS qv FROM w WHERE c0 = 8 UNION ALL SELECT entity, q, 'B1', r3 + e1 FROM w WHERE n1 >= 8 AND r3 IS NOT NULL UNION ALL SELECT entity, q, 'B2', r + e2 FROM w WHERE n2 >= 8 UNION ALL SELECT entity, q, 'B3', l + e3 FROM w WHERE n3 >= 8""", "qv:7")
+w AS (SELECT entity, q, r, r3, l, count(r) OVER w8 AS c0, quantile_cont(r, [{NINETEEN}]) OVER w8 AS b0, count(r - r4) OVER k AS n1, quantile_cont(r - r4, [{NINETEEN}]) OVER k AS e1, count(r - r1) OVER k AS n2, quantile_cont(r - r1, [{NINETEEN}]) OVER k AS e2, count(r - l1) OVER k AS n3, quantile_cont(r - l1, [{NINETEEN}]) OVER k AS e3 FROM y
+ WINDOW k AS (PARTITION BY entity ORDER BY q), w8 AS (PARTITION BY entity ORDER BY q ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)),
+l AS (SELECT unnest(range(1, 20)) AS i)
+SELECT entity, q, 'B0' AS member, i / 20e0 AS tau, b0[i] AS qv FROM w, l WHERE c0 = 8 UNION ALL SELECT entity, q, 'B1', i / 20e0, r3 + e1[i] FROM w, l WHERE n1 >= 8 AND r3 IS NOT NULL
+ UNION ALL SELECT entity, q, 'B2', i / 20e0, r + e2[i] FROM w, l WHERE n2 >= 8 UNION ALL SELECT entity, q, 'B3', i / 20e0, w.l + e3[i] FROM w, l WHERE n3 >= 8""", "tau:2 qv:7")
 def _(s, d):
     x = cross_section(s, d)
     c = M.member_centres(x, value="r")
-    out = M.member_b0(x, value="r", levels=[0.9]).select("entity", "q", F.lit("B0").alias("member"), "qv")
+    out = M.member_b0(x, value="r", levels=LV19).select("entity", "q", F.lit("B0").alias("member"), "tau", "qv")
     for i in (1, 2, 3):
-        q = M.past_error_quantiles(c, centre=f"c{i}", error=f"e{i}", levels=[0.9])
-        out = out.unionByName(q.select("entity", "q", F.lit(f"B{i}").alias("member"), "qv"))
+        q = M.past_error_quantiles(c, centre=f"c{i}", error=f"e{i}", levels=LV19)
+        out = out.unionByName(q.select("entity", "q", F.lit(f"B{i}").alias("member"), "tau", "qv"))
     return out
 
 

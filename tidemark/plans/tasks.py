@@ -190,7 +190,7 @@ def _(s, d):
     return gbt_baseline_ladder(t, iters=5)
 
 
-@query("register_forecaster", f"""WITH {SP}, h AS (SELECT entity, q, flow, avg(flow) OVER (PARTITION BY entity ORDER BY q ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS f FROM sp) SELECT entity, o.origin, f AS forecast FROM h JOIN (SELECT unnest([7995, 7999, 8003]) AS origin) o ON h.q = o.origin""", "forecast:3")
+@query("register_forecaster", f"""WITH {SP}, h AS (SELECT entity, q, flow, avg(flow) OVER (PARTITION BY entity ORDER BY q ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS f FROM sp) SELECT entity, q AS origin, f AS forecast FROM h""", "forecast:3")
 def _(s, d):
     """A user-supplied model over every (entity, origin) history: grouped map on calendar-bounded groups."""
     from tidemark.operators.callbacks import register_forecaster
@@ -198,4 +198,7 @@ def _(s, d):
     def last_four(history):
         return float(history["value"].tail(4).mean())
 
-    return register_forecaster(supplier_panel(s, d), last_four, origins=[7995, 7999, 8003], value="flow")
+    p = supplier_panel(s, d)
+    r = p.agg(F.min("q").alias("lo"), F.max("q").alias("hi")).first()
+    every = register_forecaster(p, last_four, origins=list(range(r.lo, r.hi + 1)), value="flow")
+    return every.join(p.select("entity", F.col("q").alias("origin")), ["entity", "origin"], "left_semi")
