@@ -41,27 +41,31 @@ def asof_join(
     by: list[str] | None = None,
     bucket: str = "month",
     order_tie: str | None = None,
+    salts: int | None = None,
 ) -> DataFrame:
     """For every left row the latest right row with ``right_on <= on`` (inclusive), by key or globally.
 
     Both sides are cut into (key, calendar bucket).  Inside a bucket one sort finds the
     latest right row so far; for rows before the first right row of their bucket the last
     right row of the earlier buckets is carried in from a table with one row per bucket.
-    No range join, no nested loop, and a hot key is spread over its buckets."""
+    No range join, no nested loop, and a hot key is spread over its buckets.  Left rows of a bucket are spread over
+    ``salts`` parts more (16 without a key, else 1), each of which gets the right rows of the bucket."""
     keys = by or []
+    salts = salts or (1 if keys else 16)
     fields = [F.col(c) for c in cols]
     tie = F.col(order_tie) if order_tie else F.lit(0)
-    lt = left.select("*", F.col(on).alias("_t"), F.lit(1).alias("_side"), F.lit(None).alias("_tie0"))
+    lt = left.select("*", F.col(on).alias("_t"), F.lit(1).alias("_side"), F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int").alias("_z"))
     r = right.select(
         *keys,
         F.col(right_on).alias("_t"),
         F.lit(0).alias("_side"),
         tie.alias("_tie"),
         F.struct(*fields).alias("_r"),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_z"),
     ).where(F.col("_t").isNotNull())
-    u = lt.drop("_tie0").unionByName(r, allowMissingColumns=True).withColumn("_b", F.date_trunc(bucket, F.col("_t")))
+    u = lt.unionByName(r, allowMissingColumns=True).withColumn("_b", F.date_trunc(bucket, F.col("_t")))
     w = (
-        Window.partitionBy(*keys, "_b")
+        Window.partitionBy(*keys, "_b", "_z")
         .orderBy("_t", "_side", "_tie")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
