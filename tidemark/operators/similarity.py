@@ -106,11 +106,72 @@ def graded_pair_counts(df: DataFrame, *, block: list[str], x: str, y: str) -> Da
     return e.groupBy(*block, "xa", "xb").agg(F.sum("less").alias("less"), F.sum("tie").alias("tie"), F.sum("n").alias("n"))
 
 
+def _cross_counts(x, y) -> tuple[int, int]:
+    """Pairs with x_i < x_j and y_i < y_j, and those with y_i = y_j, by halving the ranks of x."""
+    import numpy as np
+
+    rank = np.unique(x, return_inverse=True)[1]
+    order = np.argsort(rank, kind="stable")
+    rank, y = rank[order], np.asarray(y)[order]
+    less = tie = 0
+    todo = [(0, len(rank))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < 2 or rank[lo] == rank[hi - 1]:
+            continue
+        mid = lo + int(np.searchsorted(rank[lo:hi], (rank[lo] + rank[hi - 1]) // 2, "right"))
+        left = np.sort(y[lo:mid])
+        below = np.searchsorted(left, y[mid:hi], "left")
+        less += int(below.sum())
+        tie += int((np.searchsorted(left, y[mid:hi], "right") - below).sum())
+        todo += [(lo, mid), (mid, hi)]
+    return less, tie
+
+
+def rank_pair_counts(df: DataFrame, *, block: list[str], x: str, y: str) -> DataFrame:
+    """Per block: pairs with x_i < x_j (``n``), those of them with y_i < y_j (``less``) and with y_i = y_j (``tie``).
+
+    Any columns will do, graded or continuous.  Both axes are cut at quantiles.  A pair in different slices of both is
+    counted on the grid of slices; a pair in one slice of x, or in one of y only, is counted inside that slice by
+    merging, so no task holds a block and no pair is formed."""
+    import numpy as np
+    import pandas as pd
+
+    from tidemark.operators.ranks import slice_bounds, slice_of
+
+    src = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*block, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    src = cut_lineage(src, "pairs")
+    rows = src.withColumns({"_s": slice_of(F.col("_x"), slice_bounds(src, "_x")), "_t": slice_of(F.col("_y"), slice_bounds(src, "_y"))})
+    kinds = ", ".join(f"`{b}` {df.schema[b].dataType.simpleString()}" for b in block) + ", less long, tie long"
+
+    def one(first: pd.DataFrame, less: int, tie: int) -> pd.DataFrame:
+        return pd.DataFrame([[*first[block].iloc[0], less, tie]], columns=[*block, "less", "tie"])
+
+    def within_x(g: pd.DataFrame) -> pd.DataFrame:
+        return one(g, *_cross_counts(g["_x"], g["_y"]))
+
+    def within_y(g: pd.DataFrame) -> pd.DataFrame:
+        return one(g, *_cross_counts(g["_s"], g["_y"]))
+
+    def grid(g: pd.DataFrame) -> pd.DataFrame:
+        n = np.zeros((g["_s"].max() + 1, g["_t"].max() + 1), np.int64)
+        n[g["_s"], g["_t"]] = g["n"]
+        lower = np.zeros_like(n)
+        lower[1:, 1:] = n.cumsum(axis=0).cumsum(axis=1)[:-1, :-1]
+        return one(g, int((n * lower).sum()), 0)
+
+    cells = rows.groupBy(*block, "_s", "_t").agg(F.count(F.lit(1)).alias("n"))
+    parts = rows.groupBy(*block, "_s").applyInPandas(within_x, kinds)
+    parts = parts.unionByName(rows.groupBy(*block, "_t").applyInPandas(within_y, kinds)).unionByName(cells.groupBy(*block).applyInPandas(grid, kinds))
+    alike = src.groupBy(*block, "_x").agg(F.count(F.lit(1)).alias("k")).groupBy(*block).agg(F.sum("k").alias("m"), F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("same"))
+    n = (F.col("m") * (F.col("m") - 1) / 2 - F.col("same")).cast("long")
+    return parts.groupBy(*block).agg(F.sum("less").alias("less"), F.sum("tie").alias("tie")).join(alike, block).select(*block, "less", "tie", n.alias("n"))
+
+
 def concordance(df: DataFrame, *, block: list[str], x: str, y: str) -> DataFrame:
-    """Share of concordant pairs within block among pairs with different grades, ties at one half."""
-    p = graded_pair_counts(df, block=block, x=x, y=y)
-    g = p.groupBy(*block).agg(ratio(F.sum("less") + 0.5 * F.sum("tie"), F.sum("n")).alias("concordance"), F.sum("n").alias("n_pairs"))
-    return g.where("n_pairs > 0")
+    """Share of concordant pairs within block among pairs with different x, ties at one half."""
+    p = rank_pair_counts(df, block=block, x=x, y=y).where("n > 0")
+    return p.select(*block, ratio(F.col("less") + 0.5 * F.col("tie"), F.col("n")).alias("concordance"), F.col("n").alias("n_pairs"))
 
 
 def _newton(rows: list[tuple[float, float, float]], iters: int = 60) -> float:

@@ -383,6 +383,12 @@ def _(s, d):
     return SM_.concordance(graded(s, d), block=["y"], x="g1", y="flow")
 
 
+@query("concordance_continuous", "WITH g AS (SELECT l_suppkey AS entity, year(l_shipdate) AS y, avg(l_discount) AS x, sum(l_quantity) AS v FROM lineitem GROUP BY ALL), r AS (SELECT y, round(x, 9) AS x, v FROM g) SELECT CAST(a.y AS BIGINT) AS y, avg(CASE WHEN a.v < b.v THEN 1e0 WHEN a.v = b.v THEN 5e-1 ELSE 0e0 END) AS concordance, count(*) AS n_pairs FROM r a JOIN r b ON a.y = b.y AND a.x < b.x GROUP BY a.y", "concordance:7")
+def _(s, d):
+    g = table(s, d, "lineitem").groupBy("l_suppkey", F.year("l_shipdate").cast("long").alias("y")).agg(F.round(F.avg("l_discount"), 9).alias("x"), F.sum("l_quantity").alias("v"))
+    return SM_.concordance(g, block=["y"], x="x", y="v")
+
+
 @query("pim_fit")
 def _(s, d):
     b, t = SM_.pim_fit(graded(s, d), block=["y"], x="g2", y="o")
