@@ -97,9 +97,9 @@ def task_branch_closure(branch: DataFrame) -> DataFrame:
     return df.select(F.concat_ws("_", "entity", "branch", "year").alias("row_id"), "entity", "branch", "year", "cutoff", "label", *keep)
 
 
-def task_spike(counts: DataFrame) -> DataFrame:
-    """counts(company, month, product, n), month an index: next month at least twice the trailing median
-    and at least ``floor``; own lags and ratios; product mix momentum and concentration."""
+def task_spike(counts: DataFrame, *, min_volume: int = 60, floor: int = 20) -> DataFrame:
+    """counts(company, month, product, n), month an index, of companies with ``min_volume`` in the trailing six
+    months: next month at least twice the trailing median and at least ``floor``; own lags and ratios; product mix momentum and concentration."""
     counts = cut_lineage(counts, "counts")
     tot = counts.groupBy("company", "month").agg(F.sum("n").alias("n"))
     g = cross_join_grid(tot, entity="company", period="month", fill={"n": 0})
@@ -108,8 +108,8 @@ def task_spike(counts: DataFrame) -> DataFrame:
         g = rolling_stat(g, value="n", n=k, stat=stat, min_periods=mp, out=name, entity="company", period="month")
     g = g.withColumns({f"s_lag{k}": F.lag("n", k).over(w) for k in (1, 2, 3, 6, 12)})
     g = g.withColumns({"s_lag0": F.col("n"), "nxt": F.lead("n").over(w), "s_ratio_med6": F.col("n") / F.greatest(F.col("_m6"), F.lit(1.0)), "s_ratio_mean12": F.col("n") / F.greatest(F.col("_a12"), F.lit(1.0))})
-    f = g.where("vol6 >= 8 AND nxt IS NOT NULL")
-    f = f.withColumn("label", ((F.col("nxt") >= 2 * F.greatest(F.col("med6"), F.lit(1.0))) & (F.col("nxt") >= 3)).cast("double"))
+    f = g.where((F.col("vol6") >= min_volume) & F.col("nxt").isNotNull())
+    f = f.withColumn("label", ((F.col("nxt") >= 2 * F.greatest(F.col("med6"), F.lit(1.0))) & (F.col("nxt") >= floor)).cast("double"))
     pm = counts.groupBy("company", "month", "product").agg(F.sum("n").alias("n"))
     mk = pct_change_k(counts.groupBy("product", "month").agg(F.sum("n").alias("mkt")), value="mkt", ks=[1, 3], entity="product", period="month")
     sh = share_of_total(pm, by=["company", "month"], value="n", out="w").join(mk, ["product", "month"])

@@ -76,7 +76,7 @@ def _(s, d):
     return TB.task_branch_closure(branches(s, d)).withColumn("cutoff", F.col("cutoff").cast("string"))
 
 
-SPK = "ct AS (SELECT o_custkey % 50 AS company, CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS BIGINT) AS month, o_orderpriority AS product, count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '2001-08-01' GROUP BY ALL)"
+SPK = "ct AS (SELECT o_custkey % 50 AS company, CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS BIGINT) AS month, o_orderpriority AS product, count(*) AS n FROM orders WHERE o_orderdate < (SELECT date_trunc('month', CAST(max(o_orderdate) AS DATE) + 1) FROM orders) GROUP BY ALL)"
 
 
 @query("task_spike", f"""WITH {SPK}, tt AS (SELECT company, month, sum(n)::BIGINT AS n FROM ct GROUP BY ALL), ms AS (SELECT unnest(generate_series((SELECT min(month) FROM tt), (SELECT max(month) FROM tt))) AS month), g AS (SELECT c.company, ms.month, coalesce(tt.n, 0) AS n FROM (SELECT DISTINCT company FROM tt) c CROSS JOIN ms LEFT JOIN tt USING (company, month)),
@@ -88,8 +88,11 @@ SELECT r.company || '_' || r.month AS row_id, r.company, r.month, CASE WHEN nx >
  mx.a AS r_mix_mkt_g, mx.b AS r_mix_mkt_g3, mx.h AS r_prod_hhi, mx.np AS r_nprod, mx.top AS r_top_product, am.n AS r_all_n, am.g AS r_all_g FROM r LEFT JOIN mx USING (company, month) LEFT JOIN am USING (month) WHERE vol6 >= 8 AND nx IS NOT NULL""",
        "label:0 s_ratio_med6 s_ratio_mean12 r_mix_mkt_g r_mix_mkt_g3 r_prod_hhi r_all_g")
 def _(s, d):
-    ct = table(s, d, "orders").where("o_orderdate < TIMESTAMP'2001-08-01'").groupBy((F.col("o_custkey") % 50).alias("company"), (F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1).alias("month"), F.col("o_orderpriority").alias("product")).agg(F.count(F.lit(1)).alias("n"))
-    return TB.task_spike(ct)
+    o = table(s, d, "orders")
+    # a last month that is not over is left out
+    wall = o.agg(F.date_trunc("month", F.date_add(F.max("o_orderdate"), 1))).scalar()
+    ct = o.where(F.col("o_orderdate") < wall).groupBy((F.col("o_custkey") % 50).alias("company"), (F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1).alias("month"), F.col("o_orderpriority").alias("product")).agg(F.count(F.lit(1)).alias("n"))
+    return TB.task_spike(ct, min_volume=8, floor=3)  # fifty companies over few orders
 
 
 @query("task_share_drop", f"""WITH {LN}, a AS (SELECT entity AS lender, state, year, sum(n)::BIGINT AS n, sum(amount) AS amt FROM ln_ GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY state, year) AS share, sum(n) OVER (PARTITION BY lender, year) AS ltot, count(*) OVER (PARTITION BY lender, year) AS nst FROM a),
