@@ -28,10 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import small_batches, written
 
 ORDER = 3
-SYMBOLS = 48
+SYMBOLS = 40
 SAMPLE = 1500
 #: Bytes scored at once.
 BLOCK = 1 << 19
@@ -96,15 +96,24 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     classes[65:91] = classes[97:123]  # folded before they are looked up
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, np.ndarray] = {}
+        waiting: dict[str, list[np.ndarray]] = {}
+        size = 0
+
+        def flush():
+            for lang, parts in waiting.items():
+                k, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(n)], ["lang", "gram", "n"])
+            waiting.clear()
+
         for batch in batches:
             for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = _classes(b" " * order + t, classes)
-                got = np.bincount(grams(data, order, symbols), minlength=symbols ** (order + 1))
-                seen[lang] = seen[lang] + got if lang in seen else got
-        for lang, n in seen.items():
-            k = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.astype(np.int32)), pa.array(n[k])], ["lang", "gram", "n"])
+                found = grams(_classes(b" " * order + t, classes), order, symbols)
+                waiting.setdefault(lang, []).append(found)
+                size += len(found)
+                if size > 1 << 21:
+                    yield from flush()
+                    size = 0
+        yield from flush()
 
     counted = rows.select("lang", F.col("text").cast("binary")).mapInArrow(count, "lang string, gram int, n long")
     table = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
@@ -123,9 +132,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def code_lengths(counts: np.ndarray, order: int, symbols: int, shared: int) -> np.ndarray:
     """Bits of every (context, byte) of one language, flat.  ``shared``: bytes in the last class."""
-    below = np.full((1, symbols), 1.0 / symbols)
+    below = np.full((1, symbols), 1.0 / symbols, np.float32)
     for k in range(order + 1):
-        n = counts.reshape(-1, symbols**k, symbols).sum(axis=0).astype(float)  # a context is its last k bytes
+        n = counts.reshape(-1, symbols**k, symbols).sum(axis=0)  # a context is its last k bytes
         total, kinds = n.sum(axis=1, keepdims=True), (n > 0).sum(axis=1, keepdims=True)
         lower = np.tile(below, (symbols, 1)) if k else below
         seen = n > 0
@@ -133,7 +142,7 @@ def code_lengths(counts: np.ndarray, order: int, symbols: int, shared: int) -> n
         escape = np.where(kinds == symbols, 0.0, kinds / np.maximum(total + kinds, 1.0))
         escape = np.where(total == 0, 1.0, escape)
         kept = np.where(kinds == symbols, total, total + kinds)
-        below = np.where(seen, n / np.maximum(kept, 1.0), escape * lower / np.maximum(rest, 1e-12))
+        below = np.where(seen, n / np.maximum(kept, 1.0), escape * lower / np.maximum(rest, 1e-6)).astype(np.float32)
     bits = -np.log2(np.maximum(below, 1e-30))
     bits[:, symbols - 1] += np.log2(max(shared, 1))
     return bits.astype(np.float32).ravel()
@@ -146,7 +155,7 @@ def compiled(model: dict) -> np.ndarray:
     out = np.empty((size, len(model["langs"])), np.float32)
     for k in range(len(model["langs"])):
         mine = model["lang"] == k
-        counts = np.zeros(size)
+        counts = np.zeros(size, np.float32)
         counts[model["gram"][mine]] = model["n"][mine]
         out[:, k] = code_lengths(counts, model["order"], model["symbols"], shared)
     return out
@@ -197,7 +206,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(lang, pa.string()), pa.array(sure, pa.float64()), pa.array(rate, pa.float64())], schema.names)
 
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*kept, F.col(text_col).cast("binary").alias("__text"), letter.alias("__letter")).mapInArrow(run, schema)
+    return small_batches(docs).select(*kept, F.col(text_col).cast("binary").alias("__text"), letter.alias("__letter")).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

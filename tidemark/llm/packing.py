@@ -24,14 +24,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import small_batches, written
 
 CAPACITY = 2048
-#: Cached words of one Python worker; a full cache starts anew.
-CACHE_WORDS, CACHE_BYTES = 800_000, 24_000_000
-#: The tokenizer's own runs, as they are within plain lower-case words: printable ASCII and Latin-1 letters.
-_RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+").findall
-_PLAIN = re.compile(r"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+#: Cached parts of texts of one Python worker; a full cache starts anew.
+CACHE_PARTS, CACHE_BYTES = 400_000, 8_000_000
+#: The tokenizer's own runs, as they are within plain lower-case text.
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
+_RUNS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\x09-\x0d\x20{_LETTERS}0-9]+").findall
+_PLAIN = re.compile("[\x09-\x0d\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*").fullmatch
 CHUNK = 1 << 17
 
 
@@ -96,6 +97,7 @@ def best_fit_pack(pieces: DataFrame, length: str = "length", capacity: int = CAP
     The rows are written once with the task and place that made them; a rank within a length is the rank
     within (length, task) plus the count of earlier tasks, so no task ever holds a whole length."""
     spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset")  # columns of these names give way to the result
     rows = written(pieces.withColumn("__part", F.spark_partition_id()).withColumn("__pos", F.monotonically_increasing_id()), "pieces")
     per_task = rows.groupBy(length, "__part").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(length).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -120,10 +122,12 @@ def best_fit_pack(pieces: DataFrame, length: str = "length", capacity: int = CAP
 
 
 class WordEncoder:
-    """Token ids of whole texts through a cache of words.
+    """Token ids of whole texts through a cache.
 
-    The tokenizer drops white space and lets no token span it, so the ids of a text are those of its
-    words in a row; a word is encoded by the tokenizer once and then looked up."""
+    The tokenizer drops white space and lets no token span it, so the ids of a text are those of its parts in
+    a row.  A plain text (printable ASCII, Latin-1 letters and the six white-space characters, no special token) is cut
+    into the pre-tokenizer's own runs, and the tokenizer's model merges each new run once; another text is cut
+    into words, and the whole tokenizer encodes each new word once."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -137,51 +141,38 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.runs: dict[str, list[int]] = {}
+        self.index: dict[str | bytes, int] = {}  # runs are str, words bytes
         self.bytes = 0
         self.flat, self.start = array("I"), array("q", [0])
 
-    def _plain(self, word: str) -> list[int]:
-        """Ids of a word of plain characters: the pre-tokenizer's runs are taken here, and the
-        tokenizer's model merges each new run."""
-        out: list[int] = []
-        for run in _RUNS(word.lower()):
-            ids = self.runs.get(run)
-            if ids is None:
-                ids = self.runs[run] = [t.id for t in self.tokenizer.model.tokenize(run.translate(self.spelt))]
-            out += ids
-        return out
-
-    def _keep(self, word: bytes, ids: list[int]) -> int:
-        n = len(self.index)
-        self.flat.extend(ids)
-        self.start.append(len(self.flat))
-        self.index[word] = n
-        self.bytes += len(word)
-        return n
-
-    def _learn(self, words: list[bytes]) -> None:
-        other = []
-        for w in words:
-            s = w.decode("utf-8", "replace")
-            if _PLAIN(s) and "<|" not in s:
-                self._keep(w, self._plain(s))
+    def _learn(self, parts) -> None:
+        words, index, flat, start, merge, spelt = [], self.index, self.flat, self.start, self.tokenizer.model.tokenize, self.spelt
+        for p in parts:
+            if isinstance(p, str):
+                flat.extend([t.id for t in merge(p if p.isascii() else p.translate(spelt))])
+                start.append(len(flat))
+                index[p] = len(index)
             else:
-                other.append((w, s))
-        for k in range(0, len(other), 2048):
-            some = other[k : k + 2048]
-            for (w, _), e in zip(some, self.tokenizer.encode_batch_fast([s for _, s in some], add_special_tokens=False)):
-                self._keep(w, e.ids)
+                words.append(p)
+            self.bytes += len(p)
+        for k in range(0, len(words), 2048):
+            some = words[k : k + 2048]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)):
+                flat.extend(e.ids)
+                start.append(len(flat))
+                index[w] = len(index)
 
     def encode(self, text: bytes) -> np.ndarray:
-        if len(self.index) > CACHE_WORDS or self.bytes > CACHE_BYTES:
+        if len(self.index) > CACHE_PARTS or self.bytes > CACHE_BYTES:
             self.clear()
-        words = text.split()
-        found = list(map(self.index.get, words))
+        line = text.decode("utf-8", "replace")
+        parts = _RUNS(line.lower()) if _PLAIN(line) and "<|" not in line else text.split()
+        found = list(map(self.index.get, parts))
         if None in found:
-            self._learn(list(dict.fromkeys(w for w, k in zip(words, found) if k is None)))
-            found = list(map(self.index.__getitem__, words))
+            new = [i for i, k in enumerate(found) if k is None]
+            self._learn(dict.fromkeys([parts[i] for i in new]))
+            for i in new:
+                found[i] = self.index[parts[i]]
         which = np.array(found, np.int64)
         start = np.frombuffer(self.start, np.int64)
         first = start[which]
@@ -249,7 +240,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             if took:
                 yield flush()
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(cut, schema)
+    return small_batches(docs).select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(cut, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
