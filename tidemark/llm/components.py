@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the links of a task: every vertex that is not its smallest one, with that one."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -39,7 +40,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(vertex, component): the smallest vertex that each linked vertex reaches.  Vertices are longs."""
-    edges = links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").mapInArrow(_forest, "a long, b long")
+    edges = links.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").mapInArrow(forest, "a long, b long")
     edges = written(edges.filter("a <> b").repartition("b"), "forest")
     if edges.isEmpty():
         return edges.select(F.col("a").alias("vertex"), F.col("b").alias("component"))

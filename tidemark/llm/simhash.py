@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import small_batches, written
-from .components import components
+from .components import components, forest
 
 BITS = 64
 #: A bucket with more fingerprints than this is cut by further bits.
-CROWD = 256
+CROWD = 4096
 #: So is one with so many times more that ask for it.
 ASKS = 32
 
@@ -200,13 +200,19 @@ def probe_rows(planned: DataFrame, groups: list[list[int]], total: int, distance
 
 
 def linked(x: np.ndarray, y: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that tie together what pairs within ``distance`` tie together, at most one for each of ``x`` and ``y``."""
-    near = np.bitwise_count(x[:, None] ^ y[None, :]) <= distance
+    """Links that tie together what pairs within ``distance`` tie together, at most one for each of ``x`` and ``y``.
+
+    The table of pairs is walked in blocks of rows, again until no label changes."""
     top = len(y)
-    label = np.arange(top)
+    label, step = np.arange(top), max(1, (1 << 21) // max(top, 1))
+    of_x = np.full(len(x), top)
     while True:
-        of_x = np.where(near, label[None, :], top).min(axis=1, initial=top)
-        fresh = np.minimum(label, np.where(near, of_x[:, None], top).min(axis=0, initial=top))
+        fresh = label.copy()
+        for k in range(0, len(x), step):
+            near = np.bitwise_count(x[k : k + step, None] ^ y[None, :]) <= distance
+            mine = np.where(near, fresh[None, :], top).min(axis=1, initial=top)
+            of_x[k : k + step] = mine
+            np.minimum(fresh, np.where(near, mine[:, None], top).min(axis=0, initial=top), out=fresh)
         if (fresh == label).all():
             break
         label = fresh
@@ -216,18 +222,18 @@ def linked(x: np.ndarray, y: np.ndarray, distance: int) -> tuple[np.ndarray, np.
 
 
 def bucket_links(rows: DataFrame, distance: int) -> DataFrame:
-    """(a, b): links of buckets; each row holds the fingerprints that ask and those that are there."""
+    """(a, b): links of buckets; each row holds the fingerprints that ask and those that are there.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A task gives a spanning forest of all that its buckets tie, at most one link for each fingerprint it holds."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.empty((2, 0), np.uint64)]
             for asks, there in zip(batch.column(0), batch.column(1)):
                 x, y = (np.unique(np.asarray(v.values).astype(np.int64)).view(np.uint64) for v in (asks, there))
-                found.append(np.stack(linked(x, y, distance)))
-            a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+                a, b = linked(x, y, distance)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    return rows.select("asks", "there").mapInArrow(run, "a long, b long")
+    return rows.select("asks", "there").mapInArrow(lambda batches: forest(links(batches)), "a long, b long")
 
 
 def near_links(fps: DataFrame, distance: int = 2, m: int | None = None, crowd: int = CROWD) -> DataFrame:
