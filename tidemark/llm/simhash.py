@@ -40,21 +40,25 @@ CROWD = 4096
 ASKS = 32
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """Unsigned 64-bit SimHash of a text: the majority of each bit over the XXH64 of its word shingles."""
+def shingle_hashes(text: bytes, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of the word shingles of a text; fewer words than a shingle hash as one sequence, no words as none."""
     words = text.lower().split()
     n = len(words)
     if not n:
-        return 0
-    if n < shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
+        return np.empty(0, np.uint64)
     line = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    if n < shingle:
+        return np.array([digest(line, seed)], np.uint64)
     size = np.fromiter(map(len, words), np.int64, n) + 1
     ends = np.cumsum(size) - 1
     starts = (ends - size + 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    many = [digest(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
-    return majority(np.array(many, np.uint64))
+    return np.array([digest(line[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+    """Unsigned 64-bit SimHash of a text: the majority of each bit over the XXH64 of its word shingles."""
+    return majority(shingle_hashes(text, shingle, seed))
 
 
 def majority(hashes: np.ndarray) -> int:
