@@ -77,3 +77,19 @@ def test_articles_of_two_templates(spark):
         assert by[k] == want[k], k
     assert by[100] == by[101] == "" and by[102] == "no markup & a break" and by[104] == "deep" and by[None] == "n" and len(by[105]) == 999_999
     assert W.extract(df.limit(0)).count() == 0
+
+
+def test_constant_text_among_many_and_long_paragraphs(spark):
+    r = random.Random(4)
+    line = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    short, long, most = line(5), line(90), line(6)
+    rows, want = [], {}
+    for k in range(60):
+        paras = [line(r.randrange(4, 12)) for _ in range(30)]
+        fixed = [short, long] + [most] * (k % 5 > 0)
+        rows.append((k, f"http://h.example/{k}", "<article>" + "".join(f"<p>{p}</p>" for p in paras[:15] + fixed + paras[15:]) + "</article>"))
+        want[k] = "\n\n".join(paras)
+    rows += [(1000 + k, rows[0][1], rows[0][2]) for k in range(200)]  # copies of a page do not make its text constant
+    got = {x.page_id: x.text for x in W.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert all(got[k] == want[k] for k in want)
+    assert all(got[1000 + k] == want[0] for k in range(200))

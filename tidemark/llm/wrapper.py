@@ -3,8 +3,9 @@
 Pages of a host are made by one template.  A page is reduced to its tree of block elements, in which equal
 siblings are one repeated node; trees are aligned by simple tree matching (the largest common top-down tree in
 which order is kept), and merging aligned trees gives the host's template.  A template node carries
-sums over pages: how many have it, characters of text and of links, links, and a small summary of its most
-frequent block texts.  Text that stays constant over the pages is template; slots whose text varies are
+sums over pages: how many have it, characters of text and of links, and links.  Then each page is aligned to the
+template and the pages of every (node, block text) are counted exactly, whatever a text's length or the number of its
+siblings.  Text that stays constant over the pages is template; slots whose text varies are
 content, unless the slot is a menu, header, footer, sidebar, notice, advert, form or comment by its element,
 its class or id, or its link density.
 
@@ -31,10 +32,8 @@ from pyspark.sql import types as T
 from .common import small_batches, written
 
 GROUP = 400
-#: Counters of a node's summary of frequent texts.
-COUNTERS = 24
-#: A block text is template if it is on this share of a host's different pages, on at least so many, and short.
-CONSTANT, CONSTANT_PAGES, CONSTANT_CHARS = 0.8, 5, 300
+#: A block text is template if it is on this share of a node's different pages, which are at least so many.
+CONSTANT, CONSTANT_PAGES = 0.8, 5
 LINK_DENSITY, MENU_LINKS = 0.8, 3
 #: Elements nested deeper than this are read as siblings, as browsers do.
 DEPTH = 300
@@ -120,13 +119,13 @@ def parse(html: str) -> Node:
 
 
 class Tree:
-    """A template node: sums over the pages that have it."""
+    """A template node: sums over the pages that have it.  ``texts`` are hashes of the block texts of one page's node."""
 
     __slots__ = ("key", "n", "chars", "linked", "links", "texts", "children")
 
     def __init__(self, key, n=1, chars=0, linked=0, links=0, texts=None, children=None):
         self.key, self.n, self.chars, self.linked, self.links = key, n, chars, linked, links
-        self.texts, self.children = texts if texts is not None else {}, children if children is not None else []
+        self.texts, self.children = texts if texts is not None else [], children if children is not None else []
 
     def dump(self):
         return [self.key, self.n, self.chars, self.linked, self.links, self.texts, [c.dump() for c in self.children]]
@@ -199,24 +198,14 @@ def skeleton(page: Node) -> Tree:
         t.chars += len(line)
         t.linked += linked
         t.links += links
-        if len(line) <= CONSTANT_CHARS:
-            t.texts[xxhash.xxh32_hexdigest(line)] = 1
+        t.texts.append(xxhash.xxh3_64_hexdigest(line))
 
     blocks(page, visit)
     for t in of.values():
-        t.texts = summary(t.texts)
+        t.texts = sorted(set(t.texts))
     return root
 
 
-def summary(counts: dict[str, int]) -> dict[str, int]:
-    """The most frequent entries, each lessened by the first that is left out: no count is above the truth."""
-    if len(counts) <= COUNTERS:
-        return counts
-    top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
-    least = top[COUNTERS][1]
-    return {k: v - least for k, v in top[:COUNTERS] if v > least}
-
-
 def match(a: Tree, b: Tree, memo: dict) -> int:
     """Simple tree matching: nodes in the largest order-keeping common top-down tree."""
     if a.key != b.key:
@@ -258,13 +247,10 @@ def merge(a: Tree, b: Tree) -> Tree:
 
 
 def _merge(a: Tree, b: Tree, memo: dict) -> Tree:
-    texts = dict(a.texts)
-    for k, v in b.texts.items():
-        texts[k] = texts.get(k, 0) + v
     children = []
     for i, j in pairs(a.children, b.children, memo):
         children.append(a.children[i] if j is None else b.children[j] if i is None else _merge(a.children[i], b.children[j], memo))
-    return Tree(a.key, a.n + b.n, a.chars + b.chars, a.linked + b.linked, a.links + b.links, summary(texts), children)
+    return Tree(a.key, a.n + b.n, a.chars + b.chars, a.linked + b.linked, a.links + b.links, None, children)
 
 
 def merge_all(trees: list[Tree]) -> Tree:
@@ -279,38 +265,93 @@ def host_of(url: str) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, host: str = "host", html_col: str = "html") -> DataFrame:
-    """(host, template): one row per host, the template as JSON."""
+KINDS = "host string, template string"
+
+
+def page_trees(pages: DataFrame, host: str = "host", html_col: str = "html") -> DataFrame:
+    """(host, template): the different trees of each host's pages, with their block texts, as JSON."""
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [json.dumps(skeleton(parse(h.as_py() or "")).dump()) for h in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["host", "template"])
 
+    return pages.select(F.col(host), F.col(html_col)).mapInArrow(trees, KINDS).distinct()
+
+
+def templates(rows: DataFrame) -> DataFrame:
+    """(host, template): one row per host, the template as JSON."""
+
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [json.dumps(merge_all([Tree.load(json.loads(t)) for t in ts.as_py()]).dump()) for ts in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["host", "template"])
 
-    kinds = "host string, template string"
-    rows = pages.select(F.col(host), F.col(html_col)).mapInArrow(trees, kinds).distinct()
-    rows = written(rows, "page-trees")
     while True:
         most = rows.groupBy("host").count().agg(F.max("count")).first()[0] or 0
         # groups of at most about GROUP trees by a hash of the tree; smaller hosts are merged on the last level
         salted = rows.withColumn("s", F.pmod(F.xxhash64("template"), F.lit(-(-most // GROUP) or 1)))
         lists = salted.groupBy("host", "s").agg(F.array_sort(F.collect_list("template")).alias("ts"))
-        rows = lists.select("host", "ts").mapInArrow(merged, kinds)
+        rows = lists.select("host", "ts").mapInArrow(merged, KINDS)
         rows = written(rows, "templates")
         if most <= GROUP:
             return rows
 
 
+def nodes(t: Tree) -> list[Tree]:
+    """A tree's nodes, parents first."""
+    out, todo = [], [t]
+    while todo:
+        x = todo.pop()
+        out.append(x)
+        todo += reversed(x.children)
+    return out
+
+
+def constants(rows: DataFrame, induced: DataFrame) -> DataFrame:
+    """(host, constants): the block texts, as "node:hash", that are on ``CONSTANT`` of the different pages of a template node."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wrappers: dict[int, tuple] = {}
+        for batch in batches:
+            hosts, at, texts = [], [], []
+            for host, page, t in zip(*(c.to_pylist() for c in batch.columns)):
+                key = xxhash.xxh3_64_intdigest(t)
+                if key not in wrappers:
+                    if len(wrappers) > 200:
+                        wrappers.clear()
+                    w = Wrapper(Tree.load(json.loads(t)))
+                    wrappers[key] = w, {id(x): k for k, x in enumerate(nodes(w.template))}
+                w, number = wrappers[key]
+                tree = Tree.load(json.loads(page))
+                slots, seen = w.align(tree), set()
+                for x in nodes(tree):
+                    slot = slots.get(id(x))
+                    if slot is not None:
+                        # a row without a text counts the node's pages
+                        seen.update((number[id(slot)], h) for h in (None, *x.texts))
+                for k, h in seen:
+                    hosts.append(host)
+                    at.append(k)
+                    texts.append(h)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(at, pa.int32()), pa.array(texts, pa.string())], ["host", "node", "text"])
+
+    met = rows.join(induced.withColumnRenamed("template", "of_host"), "host").select("host", "template", "of_host")
+    counts = met.mapInArrow(places, "host string, node int, text string").groupBy("host", "node", "text").count()
+    # a text on fewer pages is on too few of any node that counts
+    counts = written(counts.filter(F.col("text").isNull() | (F.col("count") >= CONSTANT * CONSTANT_PAGES)), "text-counts")
+    pages_of = counts.filter(F.col("text").isNull() & (F.col("count") >= CONSTANT_PAGES)).select("host", "node", F.col("count").alias("n"))
+    kept = counts.filter(F.col("text").isNotNull()).join(pages_of, ["host", "node"]).filter(F.col("count") >= CONSTANT * F.col("n"))
+    return kept.groupBy("host").agg(F.array_sort(F.collect_list(F.concat_ws(":", "node", "text"))).alias("constants"))
+
+
 class Wrapper:
     """What a host's template says about its nodes; pages are aligned to it once for each shape."""
 
-    def __init__(self, template: Tree):
+    def __init__(self, template: Tree, constants: list[str] = ()):
         self.template = template
+        every = nodes(template) if constants else []
+        self.constants = {(id(every[int(k)]), h) for k, h in (c.split(":") for c in constants)}
         self.known: dict[tuple, dict] = {}
 
     def align(self, page: Tree) -> dict[int, Tree]:
@@ -386,9 +427,8 @@ def main_text(html: str, wrapper: Wrapper) -> str:
                 if menus[id(slot)]:
                     return
         slot = slots.get(id(of[id(path[-1])]))
-        if slot is not None and len(line) <= CONSTANT_CHARS and slot.n >= CONSTANT_PAGES:
-            if slot.texts.get(xxhash.xxh32_hexdigest(line), 0) >= CONSTANT * slot.n:
-                return
+        if slot is not None and wrapper.constants and (id(slot), xxhash.xxh3_64_hexdigest(line)) in wrapper.constants:
+            return
         kept.append((inside, line))
 
     blocks(page, visit)
@@ -400,20 +440,22 @@ def main_text(html: str, wrapper: Wrapper) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars): the main text of every page."""
     rows = small_batches(pages).select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(url_col).alias("host"))
-    induced = templates(rows)
+    trees = written(page_trees(rows), "page-trees")
+    induced = templates(trees)
+    induced = induced.join(constants(trees, induced), "host", "left").withColumn("constants", F.coalesce("constants", F.array().cast("array<string>")))
     schema = T.StructType([rows.schema["page_id"], rows.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrappers: dict[int, Wrapper] = {}
         for batch in batches:
             out = []
-            for h, t in zip(batch.column(2), batch.column(3).to_pylist()):
-                key = xxhash.xxh3_64_intdigest(t)
+            for h, t, fixed in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                key = xxhash.xxh3_64_intdigest(" ".join([t, *fixed]))
                 if key not in wrappers:
                     if len(wrappers) > 200:
                         wrappers.clear()
-                    wrappers[key] = Wrapper(Tree.load(json.loads(t)))
+                    wrappers[key] = Wrapper(Tree.load(json.loads(t)), fixed)
                 out.append(main_text(h.as_py() or "", wrappers[key]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], schema.names)
 
-    return rows.join(induced, "host").select("page_id", "url", "html", "template").mapInArrow(read, schema)
+    return rows.join(induced, "host").select("page_id", "url", "html", "template", "constants").mapInArrow(read, schema)
