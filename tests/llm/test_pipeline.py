@@ -62,6 +62,17 @@ def test_near_duplicates_equal_brute_force(spark, docs, rows):
     assert 40 not in got and 41 not in got
 
 
+def test_near_duplicates_keep_null_ids(spark, docs, rows):
+    t, u = rows[0][1], text(random.Random(12), "en", 90)
+    more = [(None, t), (None, u), (None, u), (None, u.replace(u.split()[0], "other", 1)), (300, u[::-1]), (None, u[::-1] + " ")]
+    df = docs.unionByName(spark.createDataFrame([(i, x, "en", "a", len(x), "y") for i, x in more], docs.schema))
+    before = Counter(x.doc_id for x in C.near_duplicates(spark, docs, "").collect())
+    got = C.near_duplicates(spark, df, "").collect()
+    assert Counter(x.doc_id for x in got) == before + Counter({None: 1, 300: 1})
+    kept = [x.text for x in got if x.doc_id is None]
+    assert kept[0] in (more[1][1], more[3][1])
+
+
 def test_passages_go_from_the_later_document(spark, docs, rows):
     by = {i: t for i, t, *_ in rows}
     got = {x.doc_id: x for x in C.passages(spark, docs.filter("doc_id not in (40, 41)"), "").collect()}
