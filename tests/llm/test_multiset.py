@@ -50,3 +50,14 @@ def test_edited_documents_equal_brute_force(spark):
     assert len(one) == 1 and one[0].near_next == 1.0
     assert M.edited_documents(df.limit(0)).count() == 0
     assert M.edited_documents(df.union(df)).count() == 2 * len(rows)
+
+
+def test_query_returns_hexadecimal_strings(spark, tmp_path):
+    from tidemark.llm.queries import op10_multiset_fingerprints
+
+    docs = spark.createDataFrame([(1, "some words here"), (2, None), (3, "")], "doc_id long, text string")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in op10_multiset_fingerprints(spark, f"file://{tmp_path}").collect()}
+    raw = {x.doc_id: x for x in M.edited_documents(docs).collect()}
+    for i, x in raw.items():
+        assert got[i].fingerprint == x.fingerprint.hex() and got[i].edited_fingerprint == x.edited_fingerprint.hex()

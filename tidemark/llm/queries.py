@@ -57,8 +57,9 @@ def op9_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document and its edited text with their fingerprints and likeness."""
-    return multiset.edited_documents(table(spark, sf_dir, "documents"))
+    """Every document and its edited text with their fingerprints, in hexadecimal, and likeness."""
+    rows = multiset.edited_documents(table(spark, sf_dir, "documents"))
+    return rows.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
 QUERIES = {
