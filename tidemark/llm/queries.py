@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, langid, mixing, multiset, packing, simhash, substring, warc, wrapper
+from . import ann, audit, chat, langid, mixing, multiset, packing, simhash, substring, warc, wrapper
 from .common import table
 
 
@@ -62,6 +62,11 @@ def op10_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every language, order of the five filters and step, with what is removed and kept."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,6 +80,7 @@ QUERIES = {
         op8_warc_round_trip,
         op9_shared_passages,
         op10_multiset_fingerprints,
+        op13_filter_interactions,
     )
 }
 
@@ -119,4 +125,38 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM p LEFT JOIN f USING (payload_digest)
     """,
+    "op13_filter_interactions": """
+        WITH letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+        orders AS (
+            SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+        w AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+        l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY ALL),
+        d AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                   (CASE WHEN len(words) < 100 THEN 'A' ELSE '' END)
+                   || (CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END)
+                   || (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END)
+                   || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+                   || (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS fails
+            FROM w LEFT JOIN l USING (doc_id)),
+        m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY ALL),
+        s AS (
+            SELECT part, filter_order, step, filter_order[step] AS f, filter_order[1:step - 1] AS earlier, m.*
+            FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step), m),
+        r AS (
+            SELECT part, filter_order, step, any_value(f) AS f,
+                   sum(CASE WHEN NOT regexp_matches(fails, '[' || earlier || f || ']') THEN n ELSE 0 END) AS kept,
+                   sum(CASE WHEN contains(fails, f) AND (earlier = '' OR NOT regexp_matches(fails, '[' || earlier || '_]')) THEN n ELSE 0 END) AS removed,
+                   sum(CASE WHEN contains(fails, f) AND earlier <> '' AND regexp_matches(fails, '[' || earlier || '_]') THEN n ELSE 0 END) AS redundant,
+                   sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails,
+                   sum(CASE WHEN contains(fails, f) AND (earlier = '' OR NOT regexp_matches(fails, '[' || earlier || '_]')) THEN good ELSE 0 END) AS good_lost,
+                   sum(CASE WHEN contains(fails, f) AND (earlier = '' OR NOT regexp_matches(fails, '[' || earlier || '_]')) THEN toxic ELSE 0 END) AS toxic_lost
+            FROM s GROUP BY part, filter_order, step)
+        SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+               CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+               CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+        FROM r
+    """,
 }
