@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audit, chat, langid, mixing, multiset, packing, simhash, substring, warc, wrapper
+from . import ann, audit, chat, langid, mixing, multiset, packing, repair, simhash, substring, warc, wrapper
 from .common import table
 
 
@@ -62,6 +62,11 @@ def op10_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
+def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged, with the audit and digest of its cheapest repair."""
+    return repair.repaired_damage(table(spark, sf_dir, "conversations"))
+
+
 def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every language, order of the five filters and step, with what is removed and kept."""
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -80,6 +85,7 @@ QUERIES = {
         op8_warc_round_trip,
         op9_shared_passages,
         op10_multiset_fingerprints,
+        op12_repair_conversations,
         op13_filter_interactions,
     )
 }
