@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audit, chat, langid, mixing, multiset, packing, repair, simhash, substring, warc, wrapper
+from . import ann, audit, chat, langid, lexicon, mixing, multiset, packing, repair, simhash, substring, warc, wrapper
 from .common import table
 
 
@@ -62,6 +62,11 @@ def op10_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
+def op11_lexicon_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by the transducer lexicon, and what they decode to, as digests."""
+    return lexicon.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, damaged, with the audit and digest of its cheapest repair."""
     return repair.repaired_damage(table(spark, sf_dir, "conversations"))
@@ -85,6 +90,7 @@ QUERIES = {
         op8_warc_round_trip,
         op9_shared_passages,
         op10_multiset_fingerprints,
+        op11_lexicon_tokens,
         op12_repair_conversations,
         op13_filter_interactions,
     )
