@@ -1,4 +1,4 @@
-"""Profiles, graded dominance, interstructure, hierarchy autocorrelation, text neighbours."""
+"""Profiles, graded dominance, interstructure, hierarchy autocorrelation."""
 
 from __future__ import annotations
 
@@ -426,57 +426,3 @@ def anova_r2(df: DataFrame, *, factor: str, value: str) -> DataFrame:
     t = g.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(F.col("s") ** 2 / F.col("n")).alias("b"), F.count(F.lit(1)).alias("n_groups"))
     c = F.col("s") ** 2 / F.col("n")
     return t.select(((F.col("b") - c) / (F.col("ss") - c)).alias("r2"), "n", "n_groups")
-
-
-# ------------------------------------------------------------------ text neighbours
-
-
-def tfidf_weights(df: DataFrame, *, id: str, text: str, ngrams: tuple[int, ...] = (1, 2)) -> DataFrame:
-    """(id, term, weight): 1-2 gram term frequency x smoothed inverse document frequency, unit length per document.
-
-    The whole text is tokenised; counts and document frequencies are grouped sums, and no vocabulary
-    is collected."""
-    from functools import reduce
-
-    tok = df.select(id, F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) > 1).alias("_w"))
-    grams = []
-    for n in ngrams:
-        if n == 1:
-            grams.append(F.col("_w"))
-        else:
-            idx = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1)).otherwise(F.array().cast("array<int>"))
-            grams.append(F.transform(idx, lambda i, n=n: F.array_join(F.slice("_w", i, n), " ")))
-    terms = tok.select(id, F.explode(reduce(lambda a, b: F.concat(a, b), grams)).alias("term"))
-    tf = terms.groupBy(id, "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = df.agg(F.count(F.lit(1))).scalar()
-    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("dfreq"))
-    w = tf.join(idf, "term").withColumn("_x", F.col("tf") * (F.log((1 + n) / (1 + F.col("dfreq"))) + 1))
-    norm = w.groupBy(id).agg(F.sqrt(F.sum(F.col("_x") ** 2)).alias("_n"))
-    return w.join(norm, id).select(id, "term", (F.col("_x") / F.col("_n")).alias("weight"))
-
-
-def tfidf_neighbours(weights: DataFrame, *, id: str, tables: int = 4, reach: int = 1, seed: int = 3) -> DataFrame:
-    """Best cosine neighbour of every document among sorted neighbours on several random projections.
-
-    Each table orders the documents by a hashed-sign projection and compares every document with the
-    next ``reach`` ones, so the work is linear in the documents even when a third of them are near
-    copies; the result is an approximate nearest neighbour, like a locality-sensitive hash join."""
-    from tidemark.functions.hashing import draw_int
-    from tidemark.operators.ranks import row_positions
-
-    # one draw per row: bit t of the term's hash is its sign on table t
-    signed = weights.withColumn("_h", draw_int(seed, F.col("term")))
-    sign = [F.sum(F.col("weight") * (2 * F.getbit("_h", F.lit(t)) - 1)) for t in range(tables)]
-    proj = cut_lineage(signed.groupBy(id).agg(*[s.alias(f"p{t}") for t, s in enumerate(sign)]), "projection")
-    cand = None
-    for t in range(tables):
-        o = row_positions(proj.select(id, f"p{t}"), [], f"p{t}", id, "pos").select(id, "pos")
-        nxt = o.select(F.col(id).alias("other"), F.explode(F.sequence(F.col("pos") - reach, F.col("pos") - 1)).alias("pos"))
-        c = o.join(nxt, "pos").select(id, "other")
-        cand = c if cand is None else cand.unionByName(c)
-    cand = cand.select(F.least(id, "other").alias("a"), F.greatest(id, "other").alias("b")).distinct()
-    va = weights.select(F.col(id).alias("a"), "term", F.col("weight").alias("wa"))
-    vb = weights.select(F.col(id).alias("b"), "term", F.col("weight").alias("wb"))
-    cos = cand.join(va, "a").join(vb, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
-    both = cos.select(F.col("a").alias(id), F.col("b").alias("neighbour"), "cosine").unionByName(cos.select(F.col("b").alias(id), F.col("a").alias("neighbour"), "cosine"))
-    return both.groupBy(id).agg(F.max_by("neighbour", F.struct(F.col("cosine"), -F.col("neighbour"))).alias("neighbour"), F.max("cosine").alias("cosine"))

@@ -10,6 +10,7 @@ from tidemark.operators import composition as K
 from tidemark.operators import events as E
 from tidemark.operators import resampling as RS
 from tidemark.operators import similarity as SM_
+from tidemark.operators import textjoin as TJ
 from tidemark.operators.calendar import lag_at, standardise
 from tidemark.operators.joins import cross_join_grid
 from tidemark.operators.ranks import quintile_symbols
@@ -476,8 +477,30 @@ def _(s, d):
     return SM_.anova_r2(table(s, d, "orders").select(F.col("o_orderpriority").alias("f"), (F.col("o_totalprice") / 1e5).alias("v")), factor="f", value="v")
 
 
-@query("tfidf_neighbours")
-def _(s, d):
+TFIDF_COSINE = 0.4
+TD = r"""w AS (SELECT min(doc_id) AS c, count(*) AS copies, coalesce(text, '') AS t, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}') AS w FROM documents GROUP BY coalesce(text, '')),
+tm AS (SELECT c, copies, unnest(w || [w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS term FROM w),
+f AS (SELECT c, copies, term, count(*) AS tf FROM tm GROUP BY ALL),
+d AS (SELECT term, sum(copies) AS df FROM f GROUP BY term HAVING sum(copies) >= 2),
+x AS (SELECT c, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS x FROM f JOIN d USING (term)),
+u AS (SELECT c, term, x / sqrt(sum(x * x) OVER (PARTITION BY c)) AS x FROM x),
+p AS (SELECT a.c AS a, b.c AS b, sum(a.x * b.x) AS cosine FROM u a JOIN u b ON a.term = b.term AND a.c < b.c GROUP BY ALL HAVING sum(a.x * b.x) >= 0.4)"""
+
+
+def _text_pairs(s, d):
     docs = spread(table(s, d, "documents").select("doc_id", "text"), "doc_id")
-    w = SM_.tfidf_weights(docs, id="doc_id", text="text")
-    return SM_.tfidf_neighbours(cut_lineage(w, "tfidf"), id="doc_id")
+    classes = cut_lineage(TJ.text_classes(docs, id="doc_id", text="text"), "text-classes")
+    return docs, classes, TJ.cosine_join(classes, threshold=TFIDF_COSINE)
+
+
+@query("tfidf_pairs", f"WITH {TD} SELECT a, b, cosine FROM p", "cosine:7")
+def _(s, d):
+    return _text_pairs(s, d)[2]
+
+
+@query("tfidf_neighbours", f"""WITH {TD}, e AS (SELECT a AS class_id, b AS other, cosine FROM p UNION ALL SELECT b, a, cosine FROM p), g AS (SELECT class_id, count(*) AS n_links, max(round(cosine, 9)) AS cosine FROM e GROUP BY ALL),
+h AS (SELECT class_id, min(other) AS neighbour FROM e JOIN g USING (class_id) WHERE round(e.cosine, 9) = g.cosine GROUP BY ALL)
+SELECT doc_id, c AS class_id, copies, coalesce(n_links, 0) AS n_links, neighbour, g.cosine FROM documents JOIN w ON coalesce(text, '') = t LEFT JOIN g ON c = g.class_id LEFT JOIN h ON c = h.class_id""", "cosine:7")
+def _(s, d):
+    docs, classes, pairs = _text_pairs(s, d)
+    return TJ.nearest_texts(docs, cut_lineage(pairs, "text-pairs"), classes, id="doc_id", text="text")
