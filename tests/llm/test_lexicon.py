@@ -62,7 +62,7 @@ def test_transducer_gives_outputs_and_is_minimal():
         root = lexicon.compile_words(entries)
         t = lexicon.Transducer(lexicon.pack(root))
         asked = [w for w, _ in entries] + [b"", b"zz", b"a" * 100] + ["".join(rng.choices("abc", k=rng.randint(1, 7))).encode() for _ in range(100)]
-        table = dict(entries)
+        table = {w: lexicon.packed_ids(o) for w, o in entries}
         assert t.look_up(asked) == [table.get(w) for w in asked]
         if n:
             assert count_states(root) == nerode_states(entries)
@@ -76,12 +76,19 @@ def test_suffixes_are_shared():
 def test_merger_equals_the_library(library):
     rng = random.Random(4)
     merger = lexicon.Merger(json.load(open(PATH)))
-    letters = lexicon.byte_letters()
+    letters, words, wanted = lexicon.byte_letters(), [], []
     alphabets = [string.ascii_lowercase, "aab", " the", "=-", "éàü日", string.printable]
-    for n in (1, 2, 3, 8, 39, 40, 41, 200, 4000):
+    for n in (1, 2, 3, 8, 39, 63, 64, 65, 200, 4000):
         for a in alphabets:
             word = "".join(rng.choices(a, k=n)).encode()
-            assert merger.merge(word) == [t.id for t in library.model.tokenize("".join(letters[b] for b in word))]
+            want = [t.id for t in library.model.tokenize("".join(letters[b] for b in word))]
+            assert lexicon.unpacked(merger.merge(word)) == want
+            words.append(word)
+            wanted.append(want)
+    for _ in range(3):
+        assert list(map(lexicon.unpacked, merger.merge_all(words))) == wanted
+        words, wanted = words + words[::-1], wanted + wanted[::-1]
+    assert merger.merge_all([]) == []
 
 
 def test_encoder_without_lexicon_on_odd_texts(library):

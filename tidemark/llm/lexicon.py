@@ -23,7 +23,6 @@ import json
 import mmap
 import os
 import re
-from array import array
 from collections import Counter
 from itertools import chain
 from typing import Iterable, Iterator
@@ -37,20 +36,23 @@ from pyspark.sql import types as T
 
 from tidemark.session import scratch_path
 
-from .common import small_batches
+from .common import small_batches, written
 
 #: Words of the lexicon, and bytes of its longest word: the file and the driver's work are bounded by these.
-LEXICON, LONGEST = 1 << 16, 64
+LEXICON, LONGEST = 1 << 17, 64
 #: Cached words of one Python worker and their bytes; a full cache starts anew.
 CACHE_WORDS, CACHE_BYTES = 300_000, 8_000_000
-#: Distinct words that a counting task holds.
-COUNTED = 200_000
+#: Characters of texts that are encoded together.
+TOGETHER = 1 << 19
+#: Distinct words that a counting task holds, and characters that it reads in between.
+COUNTED, COUNTED_CHARS = 200_000, 32 << 20
 #: A space beside other white space, where a word's cut must be looked for.
 _UNEVEN = re.compile(r" \s|\s ").search
 _CUTS = re.compile(r"(?<=\S)(?= \S)").split
 #: The rule of the tokenizer for text of ASCII and Latin-1 letters; other text is cut by the tokenizer itself.
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(f"[\x09-\x0d\x20-\x7e{_LATIN}]*").fullmatch
+_SIMPLE = re.compile(f" ?[\x21-\x7e{_LATIN}]+").fullmatch
 _RUNS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\x09-\x0d\x20{_LATIN}0-9]+|[\x09-\x0d\x20]+(?![^\x09-\x0d\x20])|[\x09-\x0d\x20]+").findall
 
 
@@ -61,35 +63,105 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in prints else chr(0x100 + hidden.index(b)) for b in range(256)}
 
 
+def packed_ids(ids) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers: small objects that need no garbage collection and join fast."""
+    return np.asarray(ids, "<u4").tobytes()
+
+
+def unpacked(ids: bytes) -> list[int]:
+    return np.frombuffer(ids, "<u4").tolist()
+
+
 class Merger:
-    """Exact byte-pair merging under the ranks of a tokenizer file."""
+    """Exact byte-pair merging under the ranks of a tokenizer file.
+
+    Words are merged together, a round at a time: in each word every leftmost occurrence of its pair of least rank.
+    That equals one merge after another, because merging makes pairs of higher rank only.  A long word is merged alone,
+    from a heap over linked symbols."""
+
+    BITS, LONG, FEW = 20, 64, 64
+    NONE = np.iinfo(np.int64).max
 
     def __init__(self, spec: dict):
         letters = byte_letters()
         vocab = spec["model"]["vocab"]
-        self.single = [vocab[letters[b]] for b in range(256)]
+        self.single = np.array([vocab[letters[b]] for b in range(256)], np.int64)
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.rules = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
-
-    def merge(self, word: bytes) -> list[int]:
-        ids, rules = [self.single[b] for b in word], self.rules
-        if len(ids) < 40:
-            while len(ids) > 1:
-                best = min((r for p in zip(ids, ids[1:]) if (r := rules.get(p))), default=None)
-                if best is None:
+        self.rules = {vocab[a] << self.BITS | vocab[b]: rank << self.BITS | vocab[a + b] for rank, (a, b) in enumerate(pairs)}
+        self.keys = np.array(sorted(self.rules), np.int64)
+        self.values = np.array([self.rules[k] for k in self.keys.tolist()], np.int64)
+
+    def merge(self, word: bytes) -> bytes:
+        return packed_ids(self._merge_one(self.single[list(word)].tolist()))
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, packed."""
+        out: list = [None] * len(words)
+        short = []
+        for k, w in enumerate(words):
+            if len(w) > self.LONG or not w:
+                out[k] = self.merge(w)
+            else:
+                short.append(k)
+        ids = self.single[np.frombuffer(b"".join(words[k] for k in short), np.uint8)]
+        word = np.repeat(np.array(short, np.int64), [len(words[k]) for k in short])
+        mask, done = (1 << self.BITS) - 1, []
+        while len(ids) > self.FEW:
+            rule = np.full(len(ids), self.NONE)
+            key = ids[:-1] << self.BITS | ids[1:]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = np.flatnonzero((self.keys[at] == key) & (word[:-1] == word[1:]))
+            rule[hit] = self.values[at[hit]]
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            size = np.diff(np.append(first, len(ids)))
+            least = np.repeat(np.minimum.reduceat(rule, first), size)
+            open_ = least != self.NONE
+            if not open_.all():
+                done.append((word[~open_], ids[~open_]))
+                ids, word, rule, least = ids[open_], word[open_], rule[open_], least[open_]
+                if not len(ids):
                     break
-                out, k, n = [], 0, len(ids)
-                while k < n:
-                    if k + 1 < n and rules.get((ids[k], ids[k + 1])) == best:
-                        out.append(best[1])
-                        k += 2
-                    else:
-                        out.append(ids[k])
-                        k += 1
-                ids = out
-            return ids
+            merged = rule == least
+            # of a run of one pair, as in a run of one letter, every second one
+            places = np.arange(len(ids))
+            starts = merged & ~np.append(False, merged[:-1])
+            merged &= (places - np.maximum.accumulate(np.where(starts, places, 0))) % 2 == 0
+            ids = np.where(merged, rule & mask, ids)
+            stay = ~np.append(False, merged[:-1])
+            ids, word = ids[stay], word[stay]
+        if len(ids):
+            cut = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(ids)]):
+                out[int(word[lo])] = packed_ids(self._merge_one(ids[lo:hi].tolist()))
+        for word, ids in done:
+            cut = np.flatnonzero(np.append(True, word[1:] != word[:-1])).tolist()
+            flat = packed_ids(ids)
+            for w, lo, hi in zip(word[cut].tolist(), cut, [*cut[1:], len(ids)]):
+                out[w] = flat[4 * lo : 4 * hi]
+        return out
+
+    def _merge_one(self, ids: list[int]) -> list[int]:
+        if len(ids) > self.LONG:
+            return self._merge_long(ids)
+        bits, rule, none = self.BITS, self.rules.get, self.NONE
+        ranks = [rule(a << bits | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            low = min(ranks)
+            if low == none:
+                break
+            k = ranks.index(low)
+            new = ids[k] = low & (1 << bits) - 1
+            del ids[k + 1], ranks[k]
+            if k < len(ranks):
+                ranks[k] = rule(new << bits | ids[k + 1], none)
+            if k:
+                ranks[k - 1] = rule(ids[k - 1] << bits | new, none)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        bits, rule, mask = self.BITS, self.rules.get, (1 << self.BITS) - 1
         right, left = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = [(r[0], k, ids[k], ids[k + 1], r[1]) for k in range(len(ids) - 1) if (r := rules.get((ids[k], ids[k + 1])))]
+        heap = [(r >> bits, k, ids[k], ids[k + 1], r & mask) for k in range(len(ids) - 1) if (r := rule(ids[k] << bits | ids[k + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             _, k, a, b, new = heapq.heappop(heap)
@@ -100,8 +172,8 @@ class Merger:
             if right[k] < len(ids):
                 left[right[k]] = k
             for i in (left[k], k):
-                if i >= 0 and right[i] < len(ids) and (r := rules.get((ids[i], ids[right[i]]))):
-                    heapq.heappush(heap, (r[0], i, ids[i], ids[right[i]], r[1]))
+                if i >= 0 and right[i] < len(ids) and (r := rule(ids[i] << bits | ids[right[i]])) is not None:
+                    heapq.heappush(heap, (r >> bits, i, ids[i], ids[right[i]], r & mask))
         return [i for i in ids if i >= 0]
 
 
@@ -215,36 +287,55 @@ class Transducer:
         with open(path, "rb") as f:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
-    def look_up(self, words: list[bytes]) -> list[tuple[int, ...] | None]:
-        """Ids of each word; None for those that are not in the lexicon."""
+    def look_up(self, words: list[bytes]) -> list[bytes | None]:
+        """Packed ids of each word; None for those that are not in the lexicon."""
         out: list = [None] * len(words)
-        short = [k for k, w in enumerate(words) if 0 < len(w) <= LONGEST]
-        if not short or not len(self.keys):
+        short = np.array([k for k, w in enumerate(words) if 0 < len(w) <= LONGEST], np.int64)
+        if not len(short) or not len(self.keys):
             return out
-        size = np.array([len(words[k]) for k in short], np.int64)
-        order = np.argsort(-size, kind="stable")  # words that have ended are at the end
-        short, size = [short[k] for k in order], size[order]
-        flat = np.frombuffer(b"".join(words[k] for k in short), np.uint8)
+        size = np.array([len(words[k]) for k in short.tolist()], np.int64)
+        flat = np.frombuffer(b"".join(words[k] for k in short.tolist()), np.uint8)
         start = np.cumsum(size) - size
-        state, alive = np.zeros(len(short), np.int64), np.arange(len(short))
-        found: list[list[int]] = [[] for _ in short]
-        for step in range(int(size[0])):
-            alive = alive[size[alive] > step]
-            key = state[alive] << 8 | flat[start[alive] + step]
+        alive, state, ends, paths = np.arange(len(short)), np.zeros(len(short), np.int64), [], []
+        for step in range(int(size.max())):
+            key = state << 8 | flat[start[alive] + step]
             arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             hit = self.keys[arc] == key
-            state[alive[~hit]] = -1
             alive, arc = alive[hit], arc[hit]
-            state[alive] = self.target[arc]
-            told = np.flatnonzero(self.size[arc])
-            for k, a, n in zip(alive[told].tolist(), self.at[arc[told]].tolist(), self.size[arc[told]].tolist()):
-                found[k] += self.pool[a : a + n].tolist()
-        ends = np.where(state >= 0, self.final_size[np.maximum(state, 0)], -1)
-        for k in np.flatnonzero(ends >= 0).tolist():
-            a = int(self.final_at[state[k]])
-            out[short[k]] = (*found[k], *self.pool[a : a + int(ends[k])].tolist())
+            state = self.target[arc].astype(np.int64)
+            paths.append((alive, arc))
+            ended = (size[alive] == step + 1) & (self.final_size[state] >= 0)
+            ends.append((alive[ended], state[ended]))
+            going = size[alive] > step + 1
+            alive, state = alive[going], state[going]
+        found, last = (np.concatenate(x) for x in zip(*ends))
+        if not len(found):
+            return out
+        # outputs of the arcs that found words went over, then those of their last states, in order
+        took = np.zeros(len(short), bool)
+        took[found] = True
+        who, at, n = [], [], []
+        for words_at, arcs in paths:
+            told = took[words_at] & (self.size[arcs] > 0)
+            who.append(words_at[told])
+            at.append(self.at[arcs[told]])
+            n.append(self.size[arcs[told]])
+        who, at, n = (np.concatenate([*x, y]).astype(np.int64) for x, y in ((who, found), (at, self.final_at[last]), (n, self.final_size[last])))
+        order = np.argsort(who, kind="stable")
+        who, at, n = who[order], at[order], n[order]
+        stop = np.cumsum(n)
+        ids = packed_ids(self.pool[np.arange(stop[-1]) + np.repeat(at - stop + n, n)])
+        cut = np.flatnonzero(np.append(who[1:] != who[:-1], True))
+        lo = 0
+        for k, hi in zip(short[who[cut]].tolist(), stop[cut].tolist()):
+            out[k] = ids[4 * lo : 4 * hi]
+            lo = hi
         return out
 
+    @property
+    def n_states(self) -> int:
+        return len(self.final_size)
+
 
 class Encoder:
     """Token ids of whole texts, as the tokenizers library has them for byte-level BPE without special tokens added."""
@@ -269,49 +360,66 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.words: dict[str, list[int]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {t: packed_ids([i]) for t, i in self.special.items()}
+        self.pieces: dict[str, bytes] = {}
         self.held = 0
 
-    def merged(self, word: str) -> list[int]:
-        """Ids of a word by the tokenizer's cuts and exact merging."""
-        out: list[int] = []
-        pieces = _RUNS(word) if _PLAIN(word) else [word[a:b] for _, (a, b) in self.cut(word)]
-        for p in pieces:
-            ids = self.pieces.get(p)
-            if ids is None:
-                ids = self.merger.merge(p.encode("utf-8", "replace"))
-                if len(p) <= LONGEST:
-                    self.pieces[p] = ids
-                    self.held += len(p)
-            out += ids
+    def cuts(self, words: list[str]) -> list[list[str]]:
+        """The tokenizer's own pieces of each word.  Words without other white space than a first space are cut together: a line end
+        before each is a piece of its own."""
+        out: list = [None] * len(words)
+        simple = [k for k, w in enumerate(words) if _SIMPLE(w)]
+        pieces = _RUNS("\n".join([words[k] for k in simple]))
+        ends = [k for k, p in enumerate(pieces) if p == "\n"]
+        for k, lo, hi in zip(simple, [-1, *ends], [*ends, len(pieces)]):
+            out[k] = pieces[lo + 1 : hi]
+        for k, w in enumerate(words):
+            if out[k] is None:
+                out[k] = _RUNS(w) if _PLAIN(w) else [w[a:b] for _, (a, b) in self.cut(w)]
+        return out
+
+    def merged(self, words: list[str]) -> list[bytes]:
+        """Packed ids of each word by the tokenizer's cuts and exact merging."""
+        cut = self.cuts(words)
+        known = self.pieces
+        new = list(set(chain.from_iterable(cut)).difference(known))
+        known.update(zip(new, self.merger.merge_all([p.encode("utf-8", "replace") for p in new])))
+        out = [known[p[0]] if len(p) == 1 else b"".join(map(known.__getitem__, p)) for p in cut]
+        for p in new:
+            self.held += len(p)
+            if len(p) > LONGEST:
+                del known[p]
         return out
 
     def learn(self, words: list[str]) -> None:
         """Ids of new words: those of the lexicon from the transducer, others merged."""
-        spelt = [w.encode("utf-8", "replace") for w in words]
-        known = self.transducer.look_up(spelt) if self.transducer else [None] * len(words)
-        for w, ids in zip(words, known):
-            self.words[w] = list(ids) if ids is not None else self.merged(w)
-            self.held += len(w) + 4 * len(self.words[w])
+        known = self.transducer.look_up([w.encode("utf-8", "replace") for w in words]) if self.transducer else [None] * len(words)
+        rest = [w for w, ids in zip(words, known) if ids is None]
+        self.words.update(zip(words, known))
+        self.words.update(zip(rest, self.merged(rest)))
+        self.held += sum(map(len, words)) + 8 * len(words)
 
     def encode(self, text: str) -> list[int]:
-        if self.split_special and "<" in text and any(s in text for s in self.special):
-            parts = self.split_special(text)
-            return list(chain.from_iterable([self.special[p]] if p in self.special else self._encode(p) for p in parts))
-        return self._encode(text)
+        return unpacked(self.encode_all([text])[0])
 
-    def _encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        words = cut_words(text)
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text; the new words of all of them go through the transducer together."""
         if len(self.words) > CACHE_WORDS or self.held > CACHE_BYTES:
             self.clear()
-        found = list(map(self.words.get, words))
-        if None in found:
-            self.learn(list(dict.fromkeys(w for w, ids in zip(words, found) if ids is None)))
-            found = list(map(self.words.__getitem__, words))
-        return list(chain.from_iterable(found))
+        cut = [self.parts(t) for t in texts]
+        new = set(chain.from_iterable(cut)).difference(self.words)
+        if new:
+            self.learn(list(new))
+        ids = self.words.__getitem__
+        return [b"".join(map(ids, words)) for words in cut]
+
+    def parts(self, text: str) -> list[str]:
+        """Words of a text; special tokens are words that are never cut."""
+        if not text:
+            return []
+        if "<" in text and any(s in text for s in self.special):
+            return list(chain.from_iterable([p] if p in self.special else cut_words(p) for p in self.split_special(text) if p))
+        return cut_words(text)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
@@ -330,18 +438,22 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        read = 0
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+            short = [(w, n) for w, n in seen.items() if len(w) < LONGEST]  # a longer one is never in the lexicon
+            out = pa.RecordBatch.from_arrays([pa.array([w for w, _ in short], pa.string()), pa.array([n for _, n in short], pa.int64())], ["word", "n"])
             seen.clear()
             return out
 
         for batch in batches:
             for t in batch.column(0):
-                # between two texts there is no word; long words are not counted, so a task's memory is bounded
-                seen.update(w for w in t.as_py().split() if len(w) < LONGEST)
-                if len(seen) > COUNTED:
+                text = t.as_py()
+                seen.update(text.split())
+                read += len(text)
+                if len(seen) > COUNTED or read > COUNTED_CHARS:
                     yield flush()
+                    read = 0
         if seen:
             yield flush()
 
@@ -349,21 +461,36 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, size: int) -> list[str]:
+    """At most ``size`` words of the most frequent: all that occur more often than the least count for which that holds.
+
+    The driver sees the number of words for each count up to 4096, and for each 64th of a power of two beyond."""
+    level = F.when(F.col("n") <= 4096, F.col("n").cast("double")).otherwise(F.floor(F.log2("n") * 64) * 100.0)
+    counts = counts.withColumn("level", level)
+    kept, floor = 0, float("inf")
+    for r in sorted(counts.groupBy("level").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["level"]):
+        kept += r["words"]
+        if kept > size:
+            break
+        floor = r["level"]
+    return sorted(r["word"] for r in counts.filter(F.col("level") >= floor).select("word").collect())
+
+
 def build(docs: DataFrame, tokenizer: str, size: int = LEXICON, text_col: str = "text") -> bytes:
-    """The packed transducer of the ``size`` most frequent words of ``docs``, each with the space before it.
+    """The packed transducer of the most frequent words of ``docs``, at most ``size``, each with the space before it.
 
     The driver gets at most ``size`` words of at most ``LONGEST`` bytes."""
-    top = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(size)
     encoder = Encoder(tokenizer)
-    words = sorted(" " + r["word"] for r in top.select("word").collect())
-    entries = sorted((w.encode(), tuple(encoder.merged(w))) for w in words)
+    words = frequent_words(written(word_counts(docs, text_col), "word-counts"), size)
+    spaced = [" " + w for w in words]
+    entries = sorted((w.encode(), tuple(unpacked(ids))) for w, ids in zip(spaced, encoder.merged(spaced)))
     return pack(compile_words([e for e in entries if len(e[0]) <= LONGEST]))
 
 
 def share(spark: SparkSession, packed: bytes) -> str:
     """Writes the file to the shared folder, from which each executor fetches it once, and gives its name there."""
-    name = f"lexicon-{hashlib.sha256(packed).hexdigest()[:16]}.bin"
-    path = f"{scratch_path(spark, 'llm-lexicon')}/{name}"
+    path = scratch_path(spark, "llm-lexicon") + ".bin"
+    name = path.rsplit("/", 1)[1]
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
     try:
@@ -387,7 +514,7 @@ def encoder(tokenizer: str, name: str) -> Encoder:
 
 def encode(docs: DataFrame, tokenizer: str, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): token ids of every text, little-endian unsigned 32-bit, as binary."""
-    return _mapped(docs, tokenizer, name, id_col, text_col, "ids binary", lambda enc, ids: (array("I", ids).tobytes(),))
+    return _mapped(docs, tokenizer, name, id_col, text_col, "ids binary", lambda enc, ids: (ids,))
 
 
 def decode(rows: DataFrame, tokenizer: str, name: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -396,7 +523,7 @@ def decode(rows: DataFrame, tokenizer: str, name: str, id_col: str = "doc_id", i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, name)
         for batch in batches:
-            texts = [enc.decode(np.frombuffer(b.as_py() or b"", "<u4").tolist()) for b in batch.column(1)]
+            texts = [enc.decode(unpacked(b.as_py() or b"")) for b in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
     schema = T.StructType([T.StructField(id_col, rows.schema[id_col].dataType), T.StructField("text", T.StringType())])
@@ -406,7 +533,8 @@ def decode(rows: DataFrame, tokenizer: str, name: str, id_col: str = "doc_id", i
 def round_trip(docs: DataFrame, tokenizer: str, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): digests of the ids and of the text that they decode to."""
 
-    def digests(enc: Encoder, ids: list[int]) -> tuple:
+    def digests(enc: Encoder, packed: bytes) -> tuple:
+        ids = unpacked(packed)
         decimal = ",".join(map(enc.decimal.__getitem__, ids)).encode()
         return len(ids), hashlib.sha256(decimal).hexdigest(), hashlib.sha256(enc.decode(ids).encode("utf-8", "replace")).hexdigest()
 
@@ -420,7 +548,13 @@ def _mapped(docs: DataFrame, tokenizer: str, name: str, id_col: str, text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, name)
         for batch in batches:
-            rows = [of(enc, enc.encode(t.as_py() or "")) for t in batch.column(1)]
+            rows, some, size = [], [], 0
+            for k, t in enumerate(batch.column(1)):
+                some.append(t.as_py() or "")
+                size += len(some[-1])
+                if size > TOGETHER or k == batch.num_rows - 1:
+                    rows += [of(enc, ids) for ids in enc.encode_all(some)]
+                    some, size = [], 0
             if rows:
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *cols], [id_col, *added.names])
