@@ -20,6 +20,22 @@ def left_join_flag(left: DataFrame, right: DataFrame, keys: list[str], value: st
     return out.withColumn(flag, F.col("_hit").isNull()).withColumn(value, F.coalesce(F.col("_v"), default)).drop("_v", "_hit")
 
 
+#: A key is hot if it holds more than 1 / HOT_KEYS of all rows; there are fewer than HOT_KEYS of these.
+HOT_KEYS = 1000
+
+
+def join_totals(rows: DataFrame, keys: list[str], totals: DataFrame, n: str) -> DataFrame:
+    """``rows`` inner-joined with ``totals``, which has one row per key and its number of rows in ``n``.
+
+    Rows of hot keys meet their total by a broadcast of fewer than ``HOT_KEYS`` rows and are not moved; the others by a
+    shuffle in which no key is large.  Keys hold no nulls."""
+    limit = float(totals.agg(F.sum(n)).first()[0] or 0) / HOT_KEYS
+    hot, cold = totals.where(F.col(n) > limit), totals.where(F.col(n) <= limit)
+    left = rows.join(F.broadcast(hot.select(*keys, F.lit(True).alias("_hot"))), keys, "left")
+    near = left.where("_hot").drop("_hot").join(F.broadcast(hot), keys)
+    return near.unionByName(left.where("_hot is null").drop("_hot").join(cold, keys))
+
+
 def validated_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", validate: str = "many_to_one") -> DataFrame:
     """Join that fails when the declared key uniqueness does not hold."""
     from tidemark.operators.quality import assert_unique_key

@@ -8,6 +8,7 @@ from tidemark.functions.hashing import sql_draw_int
 from tidemark.functions.periods import quarter_index
 from tidemark.operators import composition as K
 from tidemark.operators import events as E
+from tidemark.operators import pairs as PR
 from tidemark.operators import resampling as RS
 from tidemark.operators import similarity as SM_
 from tidemark.operators import textjoin as TJ
@@ -390,16 +391,24 @@ def _(s, d):
     return SM_.concordance(g, block=["y"], x="x", y="v")
 
 
-@query("pim_fit")
+def _newton_sql(x: str, y: str, source: str) -> str:
+    """Newton steps on all pairs: the difference of x, and 1, 1/2 or 0 for the order of y."""
+    return f"""pr AS (SELECT (b.{x} - a.{x}) * 1e0 AS z, CASE WHEN a.{y} < b.{y} THEN 1e0 WHEN a.{y} = b.{y} THEN 5e-1 ELSE 0e0 END AS s, a.entity AS ea, b.entity AS eb, a.y FROM {source} a JOIN {source} b ON a.y = b.y AND a.{x} < b.{x}),
+fit AS (SELECT 0 AS i, 0e0 AS beta UNION ALL SELECT i + 1, beta + (SELECT sum(z * (s - 1 / (1 + exp(-beta * z)))) / sum(z * z / (1 + exp(-beta * z)) / (1 + exp(beta * z))) FROM pr) FROM fit WHERE i < 25),
+be AS (SELECT beta FROM fit WHERE i = 25), u AS (SELECT pr.*, z * (s - 1 / (1 + exp(-beta * z))) AS u, z * z / (1 + exp(-beta * z)) / (1 + exp(beta * z)) AS w FROM pr, be),
+rw AS (SELECT y, e, sum(u) AS s FROM (SELECT y, ea AS e, u FROM u UNION ALL SELECT y, eb, u FROM u) GROUP BY ALL)"""
+
+
+# graded and continuous columns go the same way
+@query("pim_fit", f"WITH RECURSIVE {GR}, {_newton_sql('g2', 'o', 'gr')} SELECT beta, (SELECT sum(w) FROM u) AS information FROM be", "beta:7 information:4")
 def _(s, d):
-    b, t = SM_.pim_fit(graded(s, d), block=["y"], x="g2", y="o")
-    return t.withColumn("beta", F.lit(b))
+    return s.createDataFrame([PR.pim_fit(graded(s, d), block=["y"], x="g2", y="o")], "beta double, information double")
 
 
-@query("pim_vcov")
+@query("pim_vcov", f"WITH RECURSIVE {YR}, yc AS (SELECT entity, y, disc / n AS x, flow FROM yr), {_newton_sql('x', 'flow', 'yc')} SELECT beta, (SELECT sum(w) FROM u) AS information, ((SELECT sum(s * s) FROM rw) - (SELECT sum(u * u) FROM u)) / pow((SELECT sum(w) FROM u), 2) AS variance FROM be", "beta:7 information:4 variance:8")
 def _(s, d):
-    v = SM_.pim_vcov(graded(s, d), block=["y"], x="g2", y="o")
-    return graded(s, d).agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", *[F.lit(x).alias(k) for k, x in v.items()])
+    v = PR.pim_vcov(yearly(s, d).withColumn("x", F.col("disc") / F.col("n")), block=["y"], x="x", y="flow")
+    return s.createDataFrame([v], "beta double, information double, variance double")
 
 
 DOM = "a.g1 <= b.g1 AND a.g2 <= b.g2 AND (a.g1 < b.g1 OR a.g2 < b.g2)"
@@ -407,12 +416,32 @@ DOM = "a.g1 <= b.g1 AND a.g2 <= b.g2 AND (a.g1 < b.g1 OR a.g2 < b.g2)"
 
 @query("dominance_join", f"WITH {GR}, c AS (SELECT y, g1, g2, count(*) AS n FROM gr GROUP BY ALL) SELECT b.y, b.g1, b.g2, b.n, coalesce((SELECT sum(a.n) FROM c a WHERE a.y = b.y AND {DOM}), 0)::BIGINT AS below, coalesce((SELECT sum(a.n) FROM c a WHERE a.y = b.y AND a.g1 >= b.g1 AND a.g2 >= b.g2 AND (a.g1 > b.g1 OR a.g2 > b.g2)), 0)::BIGINT AS above FROM c b")
 def _(s, d):
-    return SM_.dominance_counts(graded(s, d), block=["y"], axes=["g1", "g2"]).where("n > 0")
+    return PR.dominance_counts(graded(s, d), block=["y"], axes=["g1", "g2"]).select("y", *[F.col(g).cast("int").alias(g) for g in ("g1", "g2")], "n", "below", "above")
 
 
 @query("dominance_summary", f"WITH {GR}, p AS (SELECT b.y, count(*) AS dp, avg(CASE WHEN b.o < a.o THEN 1e0 WHEN b.o = a.o THEN 5e-1 ELSE 0e0 END) AS c FROM gr a JOIN gr b ON a.y = b.y AND {DOM} GROUP BY ALL) SELECT y, (SELECT count(*) FROM gr WHERE gr.y = p.y) AS n, dp AS dominance_pairs, 2e0 * dp / ((SELECT count(*) FROM gr WHERE gr.y = p.y) * ((SELECT count(*) FROM gr WHERE gr.y = p.y) - 1)) AS comparable_share, c AS concordance FROM p", "comparable_share:7 concordance:7")
 def _(s, d):
-    return SM_.dominance_summary(graded(s, d), block=["y"], axes=["g1", "g2"], outcome="o").where("dominance_pairs > 0")
+    return PR.dominance_summary(graded(s, d), block=["y"], axes=["g1", "g2"], outcome="o").where("dominance_pairs > 0")
+
+
+CDOM = "a.stock <= b.stock AND a.r <= b.r AND (a.stock < b.stock OR a.r < b.r)"
+CY2 = f"{YR}, yx AS (SELECT entity, CAST(y AS INT) AS y, stock, flow / n AS r, disc / n AS o, stock / 1e3 + flow / n / 1e5 AS c FROM yr)"
+
+
+def _ungraded(s, d):
+    x = yearly(s, d).withColumns({"r": F.col("flow") / F.col("n"), "o": F.col("disc") / F.col("n")})
+    return x.withColumn("c", F.col("stock") / 1e3 + F.col("r") / 1e5)
+
+
+# continuous axes and outcome; a composite that rises with both axes orders the incomparable pairs
+@query("dominance_summary_continuous", f"WITH {CY2}, p AS (SELECT a.y, ({CDOM}) AS d, CASE WHEN b.o < a.o THEN 1e0 WHEN b.o = a.o THEN 5e-1 ELSE 0e0 END AS g FROM yx a JOIN yx b ON a.y = b.y AND a.c < b.c), m AS (SELECT y, count(*) AS n FROM yx GROUP BY y) SELECT y, any_value(n) AS n, count(*) FILTER (d) AS dominance_pairs, 2e0 * count(*) FILTER (d) / (any_value(n) * (any_value(n) - 1)) AS comparable_share, avg(g) FILTER (d) AS concordance, count(*) FILTER (NOT d) AS incomparable_pairs, avg(g) FILTER (NOT d) AS incomparable_agreement FROM p JOIN m USING (y) GROUP BY y", "comparable_share:7 concordance:7 incomparable_agreement:7")
+def _(s, d):
+    return PR.dominance_summary(_ungraded(s, d), block=["y"], axes=["stock", "r"], outcome="o", composite="c")
+
+
+@query("average_rank_continuous", f"WITH {CY2}, c AS (SELECT b.entity, b.y, count(*) FILTER ({CDOM}) AS below, count(*) FILTER (a.stock >= b.stock AND a.r >= b.r AND (a.stock > b.stock OR a.r > b.r)) AS above, count(*) AS n FROM yx b JOIN yx a ON a.y = b.y GROUP BY ALL) SELECT entity, y, below, above, n - 1 - below - above AS incomparable, (below + 1) * (n + 1) / (2e0 + below + above) AS avg_rank FROM c", "avg_rank:7")
+def _(s, d):
+    return PR.average_rank_local(_ungraded(s, d), block=["y"], axes=["stock", "r"], entity="entity").select("entity", "y", "below", "above", "incomparable", "avg_rank")
 
 
 @query("dominance_transitions", f"""WITH {GR}, b2 AS (SELECT a.y, a.entity, a.g1, a.g2, n.g1 AS h1, n.g2 AS h2 FROM gr a JOIN gr n ON a.entity = n.entity AND n.y = a.y + 1), p AS (SELECT a.y, ({DOM}) AS now, (a.h1 <= b.h1 AND a.h2 <= b.h2 AND (a.h1 < b.h1 OR a.h2 < b.h2)) AS up, (a.h1 >= b.h1 AND a.h2 >= b.h2 AND (a.h1 > b.h1 OR a.h2 > b.h2)) AS down FROM b2 a JOIN b2 b ON a.y = b.y)
@@ -423,7 +452,7 @@ def _(s, d):
 
 @query("average_rank_local", f"WITH {GR}, c AS (SELECT b.entity, b.y, count(*) FILTER ({DOM}) AS below, count(*) FILTER (a.g1 >= b.g1 AND a.g2 >= b.g2 AND (a.g1 > b.g1 OR a.g2 > b.g2)) AS above, count(*) AS n FROM gr b JOIN gr a ON a.y = b.y GROUP BY ALL) SELECT entity, y, below, above, n - 1 - below - above AS incomparable, (below + 1) * (n + 1) / (n + 1 - (n - 1 - below - above)) AS avg_rank FROM c", "avg_rank:7")
 def _(s, d):
-    return SM_.average_rank_local(graded(s, d), block=["y"], axes=["g1", "g2"], entity="entity").select("entity", "y", "below", "above", "incomparable", "avg_rank")
+    return PR.average_rank_local(graded(s, d), block=["y"], axes=["g1", "g2"], entity="entity").select("entity", "y", "below", "above", "incomparable", "avg_rank")
 
 
 @query("composite_score", f"WITH {YR}, z AS (SELECT entity, y, {', '.join(f'({v} - avg({v}) OVER w) / nullif(stddev_pop({v}) OVER w, 0) AS {v}' for v in VARS)} FROM yr WINDOW w AS (PARTITION BY y)) SELECT entity, y, (flow + stock + n + disc) / 4 AS composite FROM z", "composite:7")
