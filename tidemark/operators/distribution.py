@@ -247,44 +247,85 @@ def ar_map_forecast(q: DataFrame, *, period: str = "q") -> DataFrame:
     return al.select(period, "alpha", F.explode(F.arrays_zip(F.col("t").alias("tau"), fit.alias("qhat"))).alias("e")).select(period, "alpha", "e.tau", "e.qhat")
 
 
-def fpca_war(q: DataFrame, *, origin: int, period: str = "q", k: int = 2, h: int = 1) -> DataFrame:
-    """K-component functional autoregression at one origin.
+def _functional_forecast(now, m, lag, pairs, k: int):
+    """Forecast of a law from its moment tensors, or None where they have too little rank.
 
-    The periods up to the origin are reduced to a levels x levels Gram (19 x 19) by Spark; the
-    eigen solve and the K x K least squares are the driver step on those small matrices."""
+    ``m`` sums (1, inner) x (1, all) over past laws, ``pairs`` and ``lag`` sum (1, inner) x (1, inner) of a law with itself and with the next
+    one.  Components are eigenvectors of the centred inner moments; their dynamics are least squares on scores, which
+    are linear in the laws; the forecast is the mean plus the scores' weighted combination of past deviations."""
     import numpy as np
 
-    spark = q.sparkSession
-    past = q.where(F.col(period) <= origin)
-    mean = past.groupBy("tau").agg(F.avg("qv").alias("_m"))
-    dev = past.join(mean, "tau").select(period, "tau", (F.col("qv") - F.col("_m")).alias("v"))
-    inn = dev.where((F.round(F.col("tau") * 100) % 5) == 0)
-    gram = inn.alias("a").join(inn.alias("b"), period).groupBy(F.col("a.tau").alias("i"), F.col("b.tau").alias("j")).agg(F.sum(F.col("a.v") * F.col("b.v")).alias("g")).collect()
-    lev = sorted({r["i"] for r in gram})
-    at = {t: n for n, t in enumerate(lev)}
-    g = np.zeros((len(lev), len(lev)))
-    for r in gram:
-        g[at[r["i"]], at[r["j"]]] = r["g"]
-    lam, vec = np.linalg.eigh(g)
-    vec = vec[:, ::-1][:, :k]
-    lam = lam[::-1][:k]
-    for c in range(k):
-        if vec[np.argmax(np.abs(vec[:, c])), c] < 0:
-            vec[:, c] = -vec[:, c]
-    axes = spark.createDataFrame([(float(t), *[float(vec[at[t], c]) for c in range(k)]) for t in lev], ["tau", *[f"w{c}" for c in range(k)]])
-    sc = inn.join(F.broadcast(axes), "tau").groupBy(period).agg(*[F.sum(F.col("v") * F.col(f"w{c}")).alias(f"x{c}") for c in range(k)])
-    nxt = sc.select((F.col(period) - h).alias(period), *[F.col(f"x{c}").alias(f"y{c}") for c in range(k)])
-    pr = sc.join(nxt, period)
-    mom = pr.agg(*[F.sum(F.col(f"x{a}") * F.col(f"{s}{b}")).alias(f"{s}_{a}_{b}") for s in "xy" for a in range(k) for b in range(k)]).first()
-    xx = np.array([[mom[f"x_{a}_{b}"] for b in range(k)] for a in range(k)])
-    xy = np.array([[mom[f"y_{a}_{b}"] for b in range(k)] for a in range(k)])
-    now = sc.where(F.col(period) == origin).first()
-    step = np.linalg.solve(xx, xy).T @ np.array([now[f"x{c}"] for c in range(k)])
-    # eigenfunctions on every level: sum_s score_s V_s / eigenvalue
-    ext = dev.join(sc, period).groupBy("tau").agg(F.sum(sum(F.col("v") * F.col(f"x{c}") * float(step[c] / lam[c]) for c in range(k))).alias("_d"))
-    raw = mean.join(ext, "tau").select(F.struct("tau", (F.col("_m") + F.col("_d")).alias("x")).alias("e"))
-    a = raw.agg(F.sort_array(F.collect_list("e")).alias("a"))  # at most 99 levels
-    return a.select(F.explode(F.arrays_zip(F.col("a")["tau"].alias("tau"), isotonic(F.col("a")["x"]).alias("qhat"))).alias("e")).select("e.*")
+    n, n_pairs, p = m[0, 0], pairs[0, 0], m.shape[0] - 1
+    if n < k + 1 or n_pairs < k:
+        return None
+    mean = m[0, 1:] / n
+    inner = m[1:, 0] / n
+    cross = m[1:, 1:] - n * np.outer(inner, mean)  # inner x all
+    at = np.arange(m.shape[1] - 1)[_inner_places(m.shape[1] - 1)]
+    lam, vec = np.linalg.eigh(cross[:, at])
+    lam, w = lam[::-1][:k], vec[:, ::-1][:, :k]
+    if not lam[-1] > 1e-12 * max(lam[0], 1e-300):
+        return None
+    # scores of a law are w'(law - mean): an affine map of (1, inner)
+    to = np.vstack([-(w.T @ inner), w])
+    xx, xy = to.T @ pairs @ to, to.T @ lag @ to
+    if np.linalg.matrix_rank(xx) < k:
+        return None
+    step = np.linalg.solve(xx, xy).T @ (to.T @ np.append(1.0, now[at]))
+    return mean + (step / lam) @ (w.T @ cross)
+
+
+def _inner_places(n: int):
+    """Places of the 5 % levels among n = 99 levels of 1 %."""
+    return slice(4, n, 5)
+
+
+def fpca_war(q: DataFrame, *, period: str = "q", k: int = 2) -> DataFrame:
+    """K-component functional autoregression at every origin with enough past laws.
+
+    The sums of products that an origin needs are running sums over the calendar: one row per period and product, summed by
+    product, so each product is a series of its own.  The eigen and least-squares solves of all origins run side by side in
+    tasks, a row of moments each."""
+    import numpy as np
+    import pyarrow as pa
+
+    laws = q.groupBy(period).agg(F.transform(F.array_sort(F.collect_list(F.struct("tau", "qv"))), lambda e: e["qv"]).alias("x"))
+    laws = cut_lineage(laws.where(F.size("x") == 99).select(F.col(period).cast("long").alias("q"), "x"), "laws")
+    inner = lambda c: F.expr(f"concat(array(1D), filter({c}, (e, i) -> i % 5 = 4))")
+    one = laws.select("q", inner("x").alias("e"), F.concat(F.array(F.lit(1.0)), "x").alias("f"))
+    last = laws.select((F.col("q") + 1).alias("q"), inner("x").alias("d"))
+    both = one.join(last, "q", "left")
+
+    def products(kind: int, left: str, right: str) -> Column:
+        """(place, product) of an outer product; nulls where a side is missing."""
+        return F.flatten(F.transform(left, lambda a, i: F.transform(right, lambda b, j: F.struct(F.lit(kind).alias("kind"), (i * F.size(right) + j).alias("place"), (a * b).alias("v")))))
+
+    nothing = F.array().cast("array<struct<kind:int,place:int,v:double>>")
+    # a pair of laws belongs to the period of the second one
+    every = F.concat(products(0, "e", "f"), F.coalesce(products(1, "d", "e"), nothing), F.coalesce(products(2, "d", "d"), nothing))
+    cells = both.select("q", F.explode(every).alias("c")).select("q", "c.kind", "c.place", "c.v")
+    upto = Window.partitionBy("kind", "place").orderBy("q").rowsBetween(Window.unboundedPreceding, 0)
+    run = cells.select("q", "kind", "place", F.sum("v").over(upto).alias("v"))
+    # a period without a preceding law adds no pair: its pair sums are those of the period before
+    packed = run.groupBy("q").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == i, F.struct("place", "v")))), lambda e: e["v"]).alias(f"k{i}") for i in range(3)])
+    hold = Window.orderBy("q").rowsBetween(Window.unboundedPreceding, 0)  # one row per calendar period
+    filled = lambda c: F.last(F.when(F.size(c) > 0, F.col(c)), True).over(hold).alias(c)
+    packed = packed.select("q", "k0", filled("k1"), filled("k2")).join(laws, "q")
+
+    def solve(batches):
+        for batch in batches:
+            rows = []
+            for o, m, lag, pairs, x in zip(*(c.to_pylist() for c in batch.columns)):
+                if lag:
+                    p = 20
+                    got = _functional_forecast(np.array(x), np.array(m).reshape(p, -1), np.array(lag).reshape(p, p), np.array(pairs).reshape(p, p), k)
+                    if got is not None:
+                        rows.append((o, got.tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], ["q", "raw"])
+
+    raw = packed.select("q", "k0", "k1", "k2", "x").mapInArrow(solve, "q long, raw array<double>")
+    fit = raw.select("q", F.posexplode(isotonic(F.col("raw"))).alias("i", "qhat"))
+    return fit.select(F.col("q").cast(q.schema[period].dataType).alias(period), ((F.col("i") + 1) / 100.0).alias("tau"), "qhat")
 
 
 def frechet_regression(q: DataFrame, x: DataFrame, *, period: str = "q", xcol: str = "x", min_pairs: int = 4) -> DataFrame:

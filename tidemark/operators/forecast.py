@@ -316,84 +316,112 @@ def panel_quantile_regression(df: DataFrame, *, y: str, xs: list[str], levels: l
     return {t: [float(v) for v in b] for t, b in beta.items()}
 
 
-def eb_panel_moments(df: DataFrame, *, value: str, origin: int, window: int = 12, entity="entity", period="q"):
-    """Correlated-random-effects likelihood of y_t = rho y_{t-1} + s_t'a + lambda_i + e from second moments.
+#: Columns of the dynamic panel equation: the value, its lag and three centred seasons.
+PANEL = ("y", "l", "s1", "s2", "s3")
+PANEL_FIT = "n long, rho double, a1 double, a2 double, a3 double, sigma2 double, omega2 double, phi0 double, phi1 double, shrinkage double, loglik double"
 
-    Spark reduces complete windows to the within-entity and between-entity moment matrices; the
-    five-number likelihood is maximised on the driver; the posterior mean is formed back in Spark.
-    Returns (parameters, forecasts)."""
-    import numpy as np
 
+def _panel_windows(df: DataFrame, value: str, window: int, entity: str, period: str) -> DataFrame:
+    """Per entity and origin with a complete window: sums of the equation's columns and of their products over it, the value
+    before the window and the last one.  Running sums over the calendar, so every origin comes from one pass."""
     from tidemark.functions.periods import quarter_dummies
+    from tidemark.operators.calendar import lag_at
+
+    x = df.where(F.col(value).isNotNull()).select(entity, F.col(period).alias("q"), F.col(value).cast("double").alias("y"))
+    x = x.withColumns({"l": lag_at("y", 1, entity, "q"), "y0": lag_at("y", window, entity, "q")}).select("*", *quarter_dummies("q"))
+    use = F.col("l").isNotNull()
+    span = Window.partitionBy(entity).orderBy("q").rangeBetween(-(window - 1), 0)
+    over = lambda c: F.sum(F.when(use, c)).over(span)
+    sums = {f"m_{v}": over(F.col(v)) / window for v in PANEL}
+    sums |= {f"c_{i}_{j}": over(F.col(PANEL[i]) * F.col(PANEL[j])) for i in range(5) for j in range(i, 5)}
+    x = x.select(entity, "q", "y", "y0", over(F.lit(1)).alias("_n"), *[c.alias(k) for k, c in sums.items()])
+    return x.where((F.col("_n") == window) & F.col("y0").isNotNull()).drop("_n")
 
-    q = F.col(period)
-    win = df.where(q.between(origin - window, origin) & F.col(value).isNotNull())
-    full = win.groupBy(entity).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == window + 1).select(entity)
-    w = Window.partitionBy(entity).orderBy(period)
-    x = win.join(full, entity, "left_semi").withColumn("l", F.lag(value).over(w)).where("l IS NOT NULL")
-    x = x.select(entity, F.col(period).alias("t"), F.col(value).alias("y"), "l", *quarter_dummies(period))
-    v = ["y", "l", "s1", "s2", "s3"]
-    ent = x.groupBy(entity).agg(*[F.avg(c).alias(f"m_{c}") for c in v], F.min_by("l", "t").alias("y0"), F.max_by("y", "t").alias("last"))
-    tot, _, _, _ = gram_matrix(x, v)
-    bet = ent.withColumn("one", F.lit(1.0))
-    b, _, _, n = gram_matrix(bet, [f"m_{c}" for c in v] + ["one", "y0"])
-    if n < 3:
-        raise ValueError("fewer than three entities with a complete window")
-    within = tot - window * b[:5, :5]
-    z = b[5:, 5:]
-    mz = b[:5, 5:]
-    between = b[:5, :5] - mz @ np.linalg.solve(z, mz.T)
-
-    def pieces(theta):
-        k = np.concatenate([[1.0], -theta])
-        W, E = float(k @ within @ k), float(k @ between @ k)
-        s2, var = W / (n * (window - 1)), E / n
-        if var >= s2 / window:
-            om = var - s2 / window
-        else:
-            om, s2 = 0.0, (W + window * E) / (n * window)
-            var = s2 / window
-        ll = -n * (window - 1) / 2 * np.log(s2) - W / (2 * s2) - n / 2 * np.log(var) - E / (2 * var)
-        return ll, s2, om, var
-
-    f = lambda th: -pieces(th)[0] / (n * window)
-
-    def grad(th, h=1e-6):
-        return np.array([(f(th + h * e) - f(th - h * e)) / (2 * h) for e in np.eye(4)])
-
-    def climb(th):
-        H = np.eye(4)
-        g = grad(th)
-        for _ in range(400):
-            d = -H @ g
-            step = 1.0
-            while f(th + step * d) > f(th) + 1e-4 * step * float(g @ d) and step > 1e-12:
-                step /= 2
-            new = th + step * d
-            gn = grad(new)
-            s, yv = new - th, gn - g
-            if np.abs(gn).max() < 1e-7 or step <= 1e-12:
-                return new
-            if s @ yv > 1e-14:
-                r = 1 / (s @ yv)
-                A = np.eye(4) - r * np.outer(s, yv)
-                H = A @ H @ A.T + r * np.outer(s, s)
-            th, g = new, gn
-        return th
-
-    starts = [np.linalg.solve(within[1:, 1:], within[1:, 0]), np.linalg.lstsq(tot[1:, 1:], tot[1:, 0], rcond=None)[0]]
-    theta = min((climb(s) for s in starts), key=f)
-    ll, s2, om, _ = pieces(theta)
-    k = np.concatenate([[1.0], -theta])
-    phi = np.linalg.solve(z, mz.T @ k)
-    shrink = (s2 / window) / (om + s2 / window)
-    lam = F.col("m_y") - sum(F.lit(float(c)) * F.col(f"m_{m}") for c, m in zip(theta, v[1:]))
-    prior = F.lit(float(phi[0])) + F.lit(float(phi[1])) * F.col("y0")
-    nxt = [(1.0 if (origin + 1) % 4 == i else 0.0) - 0.25 for i in range(3)]
-    season = float(np.dot(theta[1:], nxt))
-    fc = ent.select(entity, ((1 - shrink) * lam + shrink * prior + F.lit(float(theta[0])) * F.col("last") + season).alias("forecast"))
-    par = dict(rho=float(theta[0]), alpha=[float(a) for a in theta[1:]], sigma2=s2, omega2=om, phi0=float(phi[0]), phi1=float(phi[1]), shrinkage=float(shrink), loglik=float(ll), n=n)
-    return par, fc
+
+def _gls_fit(total, means, n: int, window: int):
+    """Likelihood of the correlated-random-effects equation from its moments.
+
+    ``total`` holds the products summed over all rows, ``means`` those of entity means with (1, first value) summed over
+    entities.  Residual variance inside entities and variance of entity means are two clipped ratios given the slopes; given the
+    variances the slopes are a weighted least squares fit.  Each step raises the likelihood."""
+    import numpy as np
+
+    level = means[:5, :5]
+    within = total - window * level
+    z, mz = means[5:, 5:], means[:5, 5:]
+    between = level - mz @ np.linalg.solve(z, mz.T)
+
+    def variances(k):
+        w, e = float(k @ within @ k), float(k @ between @ k)
+        noise, mean = w / (n * (window - 1)), e / n
+        if mean < noise / window:  # no variance is left for the effects: pool both
+            noise = (w + window * e) / (n * window)
+            mean = noise / window
+        value = n * (window - 1) / 2 * np.log(noise) + w / (2 * noise) + n / 2 * np.log(mean) + e / (2 * mean)
+        return noise, mean, value
+
+    best = None
+    for first in (within, total):
+        theta = np.linalg.lstsq(first[1:, 1:], first[1:, 0], rcond=None)[0]
+        for _ in range(2000):
+            noise, mean, value = variances(np.append(1.0, -theta))
+            m = within / noise + between / mean
+            new = np.linalg.solve(m[1:, 1:], m[1:, 0])
+            moved = np.abs(new - theta).max()
+            theta = new
+            if moved < 1e-13:
+                break
+        k = np.append(1.0, -theta)
+        noise, mean, value = variances(k)
+        if best is None or value < best[0]:
+            best = (value, theta, noise, mean)
+    value, theta, noise, mean = best
+    phi = np.linalg.solve(z, mz.T @ np.append(1.0, -theta))
+    omega = max(mean - noise / window, 0.0)
+    return (n, *map(float, theta), float(noise), float(omega), *map(float, phi), float((noise / window) / (omega + noise / window)), -float(value))
+
+
+def eb_panel_moments(df: DataFrame, *, value: str, window: int = 12, entity="entity", period="q") -> tuple[DataFrame, DataFrame]:
+    """Correlated-random-effects forecasts y_t = rho y_{t-1} + s_t'a + lambda_i + e at every origin.
+
+    Returns (fits, forecasts).  A fit is one row per origin with at least three complete windows and enough rank; its moments are
+    one row of sums over entities, and the solves of many origins run side by side on those rows.  A forecast is one
+    row per origin and entity: the posterior mean of the effect, the slope on the last value and the next season."""
+    import numpy as np
+    import pyarrow as pa
+
+    win = cut_lineage(_panel_windows(df, value, window, entity, period), "windows")
+    means = [*[f"m_{v}" for v in PANEL], "one", "y0"]
+    pairs = [(i, j) for i in range(5) for j in range(i, 5)]
+    squares = [(i, j) for i in range(7) for j in range(i, 7)]
+    sums = [F.sum(f"c_{i}_{j}") for i, j in pairs] + [F.sum(F.col(means[i]) * F.col(means[j])) for i, j in squares]
+    moments = win.withColumn("one", F.lit(1.0)).groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("m"))
+
+    def solve(batches):
+        names = ["q", *[c.split()[0] for c in PANEL_FIT.split(", ")]]
+        for batch in batches:
+            rows = []
+            for q, n, m in zip(*(c.to_pylist() for c in batch.columns)):
+                total, mean = np.zeros((5, 5)), np.zeros((7, 7))
+                for (i, j), v in zip(pairs, m):
+                    total[i, j] = total[j, i] = v
+                for (i, j), v in zip(squares, m[len(pairs) :]):
+                    mean[i, j] = mean[j, i] = v
+                try:
+                    if n >= 3:
+                        rows.append((q, *_gls_fit(total, mean, n, window)))
+                except np.linalg.LinAlgError:
+                    continue  # an origin without enough rank has no fit
+            cols = list(zip(*rows)) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.float64()) for k, c in enumerate(cols)], names)
+
+    fits = cut_lineage(moments.select(F.col("q").cast("long").alias("q"), "n", "m").mapInArrow(solve, "q long, " + PANEL_FIT), "panel-fits")
+    lam = F.col("m_y") - F.col("rho") * F.col("m_l") - F.col("a1") * F.col("m_s1") - F.col("a2") * F.col("m_s2") - F.col("a3") * F.col("m_s3")
+    season = sum((F.when((F.col("q") + 1) % 4 == i, 1.0).otherwise(0.0) - 0.25) * F.col(f"a{i + 1}") for i in range(3))
+    prior = F.col("phi0") + F.col("phi1") * F.col("y0")
+    fc = win.join(fits, "q")
+    fc = fc.select(entity, F.col("q").cast(df.schema[period].dataType).alias(period), ((1 - F.col("shrinkage")) * lam + F.col("shrinkage") * prior + F.col("rho") * F.col("y") + season).alias("forecast"), "rho", "shrinkage")
+    return fits.withColumnRenamed("q", period), fc
 
 
 def eb_shrink_normal(df: DataFrame, *, x: str, s: str, group: str, min_group: int = 3) -> DataFrame:

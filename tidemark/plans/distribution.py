@@ -167,7 +167,7 @@ def _(s, d):
 
 @query("fpca_war")
 def _(s, d):
-    return D.fpca_war(quantile_functions(s, d), origin=8005)
+    return D.fpca_war(quantile_functions(s, d))
 
 
 ISO = """g AS (SELECT a.{k}, a.i AS lo, b.i AS hi, (SELECT avg(c.x) FROM v c WHERE c.{k} = a.{k} AND c.i BETWEEN a.i AND b.i) AS m FROM v a JOIN v b ON a.{k} = b.{k} AND a.i <= b.i),

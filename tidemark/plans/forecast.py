@@ -178,8 +178,12 @@ def _(s, d):
 
 @query("eb_panel_moments")
 def _(s, d):
-    par, fc = M.eb_panel_moments(cross_section(s, d), value="r", origin=8004)
-    return fc.withColumns({"rho": F.lit(par["rho"]), "shrinkage": F.lit(par["shrinkage"])})
+    return M.eb_panel_moments(cross_section(s, d), value="r")[1]
+
+
+@query("eb_panel_fits")
+def _(s, d):
+    return M.eb_panel_moments(cross_section(s, d), value="r")[0]
 
 
 @query("linear_baselines", f"""WITH {XS}, z AS (SELECT entity, q, r, max(r) OVER (PARTITION BY entity ORDER BY q RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS p FROM xs WHERE r IS NOT NULL), a AS (SELECT regr_slope(r, p) AS s, regr_intercept(r, p) AS i FROM z), f AS (SELECT z.*, a.i + a.s * p AS fit FROM z, a),
