@@ -79,7 +79,7 @@ class Merger:
     That equals one merge after another, because merging makes pairs of higher rank only.  A long word is merged alone,
     from a heap over linked symbols."""
 
-    BITS, LONG, FEW = 20, 64, 64
+    BITS, SLOTS, LONG, FEW = 20, 18, 64, 64
     NONE = np.iinfo(np.int64).max
 
     def __init__(self, spec: dict):
@@ -88,8 +88,34 @@ class Merger:
         self.single = np.array([vocab[letters[b]] for b in range(256)], np.int64)
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.rules = {vocab[a] << self.BITS | vocab[b]: rank << self.BITS | vocab[a + b] for rank, (a, b) in enumerate(pairs)}
-        self.keys = np.array(sorted(self.rules), np.int64)
-        self.values = np.array([self.rules[k] for k in self.keys.tolist()], np.int64)
+        self.tables = list(self._tables())
+
+    def _tables(self) -> Iterator[tuple[np.uint64, np.ndarray, np.ndarray]]:
+        """Hash tables of the rules, without probing: what finds its slot taken goes to the next table."""
+        keys = np.fromiter(self.rules, np.int64, len(self.rules))
+        values = np.fromiter(self.rules.values(), np.int64, len(self.rules))
+        for k in range(64):
+            if len(keys):
+                odd = np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
+                slot = self._slots(keys, odd)
+                _, first = np.unique(slot, return_index=True)
+                key, value = np.full(1 << self.SLOTS, -1, np.int64), np.zeros(1 << self.SLOTS, np.int64)
+                key[slot[first]], value[slot[first]] = keys[first], values[first]
+                yield odd, key, value
+                keys, values = np.delete(keys, first), np.delete(values, first)
+
+    def _slots(self, keys: np.ndarray, odd: np.uint64) -> np.ndarray:
+        return ((keys.view(np.uint64) * odd) >> np.uint64(64 - self.SLOTS)).view(np.int64)
+
+    def rules_of(self, ids: np.ndarray) -> np.ndarray:
+        """The rule of each id with the next one; NONE where there is none."""
+        pair = ids[:-1] << self.BITS | ids[1:]
+        out = np.full(len(ids), self.NONE)
+        for odd, key, value in self.tables:
+            slot = self._slots(pair, odd)
+            hit = np.flatnonzero(key[slot] == pair)
+            out[hit] = value[slot[hit]]
+        return out
 
     def merge(self, word: bytes) -> bytes:
         return packed_ids(self._merge_one(self.single[list(word)].tolist()))
@@ -107,12 +133,9 @@ class Merger:
         word = np.repeat(np.array(short, np.int64), [len(words[k]) for k in short])
         mask, done = (1 << self.BITS) - 1, []
         while len(ids) > self.FEW:
-            rule = np.full(len(ids), self.NONE)
-            key = ids[:-1] << self.BITS | ids[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = np.flatnonzero((self.keys[at] == key) & (word[:-1] == word[1:]))
-            rule[hit] = self.values[at[hit]]
+            rule = self.rules_of(ids)
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            rule[first[1:] - 1] = self.NONE  # no pair across two words
             size = np.diff(np.append(first, len(ids)))
             least = np.repeat(np.minimum.reduceat(rule, first), size)
             open_ = least != self.NONE
