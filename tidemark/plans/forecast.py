@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.periods import quarter_index
 from tidemark.operators import composition as K
 from tidemark.operators import forecast as M
+from tidemark.operators import partition as PT
 from tidemark.operators.calendar import lag_at
 from tidemark.plans.bindings import BM, CP, SP, SQ, brand_mix, customer_panel, segment_mix, supplier_panel, table
 from tidemark.plans.composition import MK, SH, _market
@@ -275,6 +276,43 @@ def _(s, d):
     return M.cusum_changepoint(x, value="v", index="q", by=["entity"])
 
 
+def _tree_sql(xs: list[str], depth: int, alpha: float, bucket: int) -> str:
+    """The levels of the tree as plain SQL over ``l0`` (y, candidates): tests, the strongest candidate, its best cut, children."""
+    from statistics import NormalDist
+
+    crit = NormalDist().inv_cdf(1 - alpha / (2 * len(xs)))
+    parts, rows = [], []
+    for k in range(depth):
+        tests = " UNION ALL ".join(f"SELECT node, '{x}' AS feature, count(*) AS n, avg(y) AS mean, corr(y, {x}) AS r FROM l{k} GROUP BY node" for x in xs)
+        value = "CASE feature " + " ".join(f"WHEN '{x}' THEN {x}" for x in xs) + " END"
+        parts.append(f"""b{k} AS (SELECT node, n, mean, feature FROM (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t, row_number() OVER (PARTITION BY node ORDER BY abs(r) DESC NULLS LAST) AS k FROM ({tests})) WHERE k = 1 AND abs(t) > {crit!r} AND n >= {2 * bucket}),
+v{k} AS (SELECT node, v, count(*) AS n, sum(y) AS s FROM (SELECT l{k}.node, y, {value} AS v FROM l{k} JOIN b{k} USING (node)) GROUP BY ALL),
+w{k} AS (SELECT node, v, sum(n) OVER a AS nl, sum(s) OVER a AS sl, sum(n) OVER (PARTITION BY node) AS n, sum(s) OVER (PARTITION BY node) AS s FROM v{k} WINDOW a AS (PARTITION BY node ORDER BY v)),
+c{k} AS (SELECT node, arg_max(v, g) AS cut, max(g) AS gain FROM (SELECT node, v, sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n AS g FROM w{k} WHERE nl >= {bucket} AND n - nl >= {bucket}) GROUP BY node),
+l{k + 1} AS (SELECT y, {', '.join(xs)}, CASE WHEN cut IS NULL THEN node ELSE 2 * node + ({value} > cut)::INT END AS node FROM l{k} LEFT JOIN b{k} USING (node) LEFT JOIN c{k} USING (node))""")
+        rows.append(f"SELECT node, n, mean, feature, cut, gain FROM b{k} JOIN c{k} USING (node)")
+    rows.append(f"SELECT node, count(*), avg(y), NULL, NULL, NULL FROM l{depth} GROUP BY node")
+    return ", ".join(parts) + " " + " UNION ALL ".join(rows)
+
+
+TREE = ["stock", "lines", "quarter", "entity"]
+
+
+@query("partition_tree", f"WITH {SP}, l0 AS (SELECT flow / 1e4 AS y, stock * 1e0 AS stock, n * 1e0 AS lines, q * 1e0 AS quarter, entity * 1e0 AS entity, 1 AS node FROM sp), {_tree_sql(TREE, 4, 0.001, 60)}", "mean:6 cut:6 gain:3")
+def _(s, d):
+    as_double = lambda c, name: F.col(c).cast("double").alias(name)
+    x = supplier_panel(s, d).select((F.col("flow") / 1e4).alias("y"), as_double("stock", "stock"), as_double("n", "lines"), as_double("q", "quarter"), as_double("entity", "entity"))
+    return PT.association_tree(x, y="y", xs=TREE, depth=4, alpha=0.001, min_bucket=60)[1].select("node", "n", "mean", "feature", "cut", "gain")
+
+
+@query("sparse_changepoint")
+def _(s, d):
+    """The quarter in which few suppliers' log flows change together, with every supplier's loading."""
+    x = supplier_panel(s, d).where("flow > 0").select("entity", "q", F.log("flow").alias("v"))
+    got, loadings = PT.sparse_changepoint(x, series="entity", index="q", value="v")
+    return loadings.withColumns({"split_at": F.lit(got["split_at"]).cast("long"), "stat": F.lit(got["stat"])})
+
+
 @query("binary_segmentation")
 def _(s, d):
     x = supplier_panel(s, d).where("flow > 0").select("entity", "q", F.log("flow").alias("v"))
