@@ -41,6 +41,9 @@ def test_noise_gives_a_single_leaf(spark):
     rows, nodes = PT.association_tree(df, y="y", xs=["x"], alpha=0.001)
     assert [r["node"] for r in nodes.collect()] == [1] and rows.where("node = 1").count() == 500
     assert PT.association_tree(df.limit(0), y="y", xs=["x"])[1].count() == 0
+    still = spark.createDataFrame([(float(k > 100), 2.0, float(k > 100)) for k in range(200)], "x double, c double, y double")
+    nodes = {r["node"]: r for r in PT.association_tree(still, y="y", xs=["c", "x"])[1].collect()}
+    assert set(nodes) == {1, 2, 3} and nodes[1]["feature"] == "x" and nodes[1]["cut"] == 0.0
 
 
 def panel(p=200, n=80, moved=10, at=30, seed=3):

@@ -32,6 +32,11 @@ def _strongest(row, xs: list[str]) -> tuple[str, float, float]:
     return best
 
 
+def _corr(x: str) -> Column:
+    """Correlation with the outcome; null where either is constant in a node."""
+    return F.try_divide(F.covar_pop("_y", x), F.sqrt(F.var_pop("_y") * F.var_pop(x)))
+
+
 def association_tree(df: DataFrame, *, y: str, xs: list[str], depth: int = 3, alpha: float = 0.05, min_bucket: int = 24) -> tuple[DataFrame, DataFrame]:
     """Recursive partitioning, a level of nodes at a time.  Returns (rows with their leaf as ``node``, nodes).
 
@@ -52,7 +57,7 @@ def association_tree(df: DataFrame, *, y: str, xs: list[str], depth: int = 3, al
         if not open_nodes:
             break
         now = slim.withColumn("_node", node_of(open_nodes)).where("_node is not null")
-        tests = now.groupBy("_node").agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("mean"), *[F.corr("_y", x).alias(f"r_{x}") for x in xs]).collect()
+        tests = now.groupBy("_node").agg(F.count(F.lit(1)).alias("n"), F.avg("_y").alias("mean"), *[_corr(x).alias(f"r_{x}") for x in xs]).collect()
         chosen, rows = {}, {r["_node"]: r for r in tests}
         for k, r in rows.items():
             feature, t, p = _strongest(r, xs)

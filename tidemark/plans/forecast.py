@@ -283,7 +283,7 @@ def _tree_sql(xs: list[str], depth: int, alpha: float, bucket: int) -> str:
     crit = NormalDist().inv_cdf(1 - alpha / (2 * len(xs)))
     parts, rows = [], []
     for k in range(depth):
-        tests = " UNION ALL ".join(f"SELECT node, '{x}' AS feature, count(*) AS n, avg(y) AS mean, corr(y, {x}) AS r FROM l{k} GROUP BY node" for x in xs)
+        tests = " UNION ALL ".join(f"SELECT node, '{x}' AS feature, count(*) AS n, avg(y) AS mean, CASE WHEN var_pop(y) > 0 AND var_pop({x}) > 0 THEN corr(y, {x}) END AS r FROM l{k} GROUP BY node" for x in xs)
         value = "CASE feature " + " ".join(f"WHEN '{x}' THEN {x}" for x in xs) + " END"
         parts.append(f"""b{k} AS (SELECT node, n, mean, feature FROM (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t, row_number() OVER (PARTITION BY node ORDER BY abs(r) DESC NULLS LAST) AS k FROM ({tests})) WHERE k = 1 AND abs(t) > {crit!r} AND n >= {2 * bucket}),
 v{k} AS (SELECT node, v, count(*) AS n, sum(y) AS s FROM (SELECT l{k}.node, y, {value} AS v FROM l{k} JOIN b{k} USING (node)) GROUP BY ALL),
