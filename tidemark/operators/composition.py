@@ -328,40 +328,10 @@ def episode_recovery(points: DataFrame, *, part=PT) -> DataFrame:
 
 
 def ca_axes(df: DataFrame, *, period=PD, part=PT, amount="amount", axes: int = 2) -> tuple[DataFrame, DataFrame, list[float]]:
-    """Correspondence analysis: row coordinates, column coordinates, inertia shares.
+    """Correspondence analysis: row coordinates, column coordinates, inertia shares."""
+    from tidemark.operators.seriation import correspondence_axes
 
-    Spark forms the standardised residuals and their parts x parts Gram; only that Gram comes
-    to the driver for an eigen solve, and rows are projected in Spark."""
-    import numpy as np
-
-    spark = df.sparkSession
-    df = cut_lineage(df.select(period, part, amount), "mix")  # the period x part table is read four times
-    n = df.agg(F.sum(amount)).first()[0]
-    r = df.groupBy(period).agg((F.sum(amount) / n).alias("_r"))
-    c = df.groupBy(part).agg((F.sum(amount) / n).alias("_c"))
-    s = df.join(r, period).join(c, part).withColumn("_s", (F.col(amount) / n - F.col("_r") * F.col("_c")) / F.sqrt(F.col("_r") * F.col("_c")))
-    packed = s.groupBy(period).agg(F.collect_list(F.struct(F.col(part).alias("p"), F.col("_s").alias("v"))).alias("_a"))
-    gram = (
-        packed.select("_a", F.explode("_a").alias("i")).select(F.col("i.p").alias("pi"), F.col("i.v").alias("vi"), F.explode("_a").alias("j"))
-        .groupBy("pi", F.col("j.p").alias("pj")).agg(F.sum(F.col("vi") * F.col("j.v")).alias("g")).collect()
-    )
-    parts = sorted({x["pi"] for x in gram})
-    pos = {p: i for i, p in enumerate(parts)}
-    g = np.zeros((len(parts), len(parts)))
-    for x in gram:
-        g[pos[x["pi"]], pos[x["pj"]]] = x["g"]
-    lam, vec = np.linalg.eigh(g)
-    order = np.argsort(lam)[::-1]
-    lam, vec = lam[order], vec[:, order]
-    for k in range(min(axes, len(parts))):
-        # sign convention: the largest-magnitude entry is positive
-        if vec[np.argmax(np.abs(vec[:, k])), k] < 0:
-            vec[:, k] = -vec[:, k]
-    share = [float(x) for x in lam / lam.sum()]
-    v = spark.createDataFrame([(p, *[float(vec[pos[p], k]) for k in range(axes)]) for p in parts], [part, *[f"_v{k + 1}" for k in range(axes)]])
-    rows = s.join(F.broadcast(v), part).groupBy(period).agg(*[(F.sum(F.col("_s") * F.col(f"_v{k + 1}")) / F.sqrt(F.max("_r"))).alias(f"axis{k + 1}") for k in range(axes)])
-    cols = c.join(F.broadcast(v), part).select(part, *[(F.col(f"_v{k + 1}") * float(max(lam[k], 0.0)) ** 0.5 / F.sqrt("_c")).alias(f"axis{k + 1}") for k in range(axes)])
-    return rows, cols, share[:axes]
+    return correspondence_axes(df, period=period, part=part, amount=amount, axes=axes)
 
 
 def seriate(rows: DataFrame, *, period=PD, axis="axis1") -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.periods import quarter_index
 from tidemark.operators import composition as K
+from tidemark.operators import seriation as SE
 from tidemark.operators.calendar import standardise
 from tidemark.plans.bindings import BM, SM, SP, SQ, brand_mix, segment_mix, supplier_panel, table
 from tidemark.plans.registry import query
@@ -227,16 +229,26 @@ def _(s, d):
     return K.seriate(rows).agg(F.corr("pos", "t").alias("spearman_with_calendar"), F.count(F.lit(1)).alias("n"))
 
 
+@query("seriate_significance")
+def _(s, d):
+    """Lines by quarter and brand: modes of the seriated table against 1,000 tables with its margins."""
+    parts = table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("part"))
+    lines = table(s, d, "lineitem").groupBy("l_partkey", quarter_index("l_shipdate").alias("period")).agg(F.count(F.lit(1)).alias("n"))
+    return SE.seriation_significance(lines.join(parts, "l_partkey"), period="period", part="part", count="n")
+
+
 @query("mix_clock")
 def _(s, d):
-    """Date on CA coordinates, fitted on the early periods and applied to the later ones."""
-    from tidemark.operators.forecast import ols_predict
+    """Quarter of each mix from the mixes before it, beside the naive date."""
+    return SE.mix_clock(brand_mix(s, d), period="period", part="part", amount="amount").select("period", "fit", F.col("last").cast("double").alias("last"))
 
-    rows, _, _ = K.ca_axes(brand_mix(s, d))
-    x = rows.withColumn("y", (F.col("period") / 4.0)).withColumn("train", F.col("period") < 8000)
-    p = ols_predict(x, y="y", xs=["axis1", "axis2"], train="train")
-    last = 7999 / 4.0
-    return p.where("NOT train").agg(F.avg(F.abs(F.col("fit") - F.col("y"))).alias("mae"), F.avg(F.abs(F.lit(last) - F.col("y"))).alias("mae_naive"), F.count(F.lit(1)).alias("n_test"))
+
+@query("mix_clock_errors")
+def _(s, d):
+    """Mean absolute error of the walked-forward dates, in years, and of the naive ones."""
+    p = SE.mix_clock(brand_mix(s, d), period="period", part="part", amount="amount")
+    err = lambda c: F.avg(F.abs(F.col(c) - F.col("period")) / 4.0)
+    return p.agg(err("fit").alias("mae"), err("last").alias("mae_naive"), F.count(F.lit(1)).alias("n_test"))
 
 
 @query("transfer_matrix_ls")
