@@ -364,35 +364,68 @@ def ot_recalibrate(q: DataFrame, pits: DataFrame, *, keys: list[str], pit: str =
 # ------------------------------------------------------------------ isotonic regression at scale
 
 
-def isotonic_fit(df: DataFrame, *, keys: list[str], x: str, y: str, increasing: bool = True) -> DataFrame:
-    """Isotonic regression per key as constant blocks (x_lo, x_hi, fit, weight).
+#: Blocks of one key that one task pools.
+POOL_BLOCKS = 20_000
 
-    Rows are first averaged per distinct x.  Slices of the x axis are pooled on their own, then
-    the surviving blocks of a key are pooled once more: only blocks, not rows, meet in one task."""
+
+def isotonic_blocks(points: DataFrame, keys: list[str], pool_size: int = POOL_BLOCKS) -> DataFrame:
+    """Isotonic regression per key of points (x, fit, weight), one per distinct x, as constant blocks (x_lo, x_hi, fit, weight).
+
+    Pooling adjacent violators may be done in any order.  The blocks of a key are numbered along x and cut into stacks of
+    ``pool_size``; each stack is pooled in its task, and the blocks that are left are numbered and cut anew, half a stack further
+    each second time.  When neither cut pools anything, no two neighbours anywhere violate the order, because any two share a stack
+    under one of the cuts.  A key that fits one stack needs one round, and no task ever holds more than a stack."""
     import pandas as pd
 
-    from tidemark.operators.ranks import slice_bounds, slice_of
+    from tidemark.operators.ranks import row_positions
 
-    sgn = 1.0 if increasing else -1.0
-    base = df.groupBy(*keys, F.col(x).cast("double").alias("x_lo")).agg((sgn * F.avg(y)).alias("fit"), F.count(F.lit(1)).cast("double").alias("weight"))
-    base = cut_lineage(base.withColumn("x_hi", F.col("x_lo")), "points")
-    base = base.withColumn("_s", slice_of(F.col("x_lo"), slice_bounds(base, "x_lo", 16)))
-    kt = ", ".join(f"`{k}` {base.schema[k].dataType.simpleString()}" for k in keys)
+    kt = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{kt + ', ' if kt else ''}x_lo double, x_hi double, fit double, weight double"
-
     pool_adjacent = make_pool_adjacent()
 
     def pool(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("x_lo")
-        rows = pool_adjacent(pdf["x_lo"], pdf["x_hi"], pdf["fit"], pdf["weight"])
-        out = pd.DataFrame(rows, columns=["x_lo", "x_hi", "fit", "weight"])
+        out = pd.DataFrame(pool_adjacent(pdf["x_lo"], pdf["x_hi"], pdf["fit"], pdf["weight"]), columns=["x_lo", "x_hi", "fit", "weight"])
         for k in reversed(keys):
             out.insert(0, k, pdf[k].iloc[0])
         return out
 
-    part = base.groupBy(*keys, "_s").applyInPandas(pool, schema)
-    full = part.groupBy(*keys).applyInPandas(pool, schema)
-    return full.withColumn("fit", sgn * F.col("fit"))
+    blocks = points.select(*keys, F.col("x").alias("x_lo"), F.col("x").alias("x_hi"), "fit", "weight")
+    shift, still, before = 0, 0, None
+    while True:
+        placed = row_positions(blocks, keys, "x_lo", "x_hi", "_p")
+        stacks = placed.groupBy(*keys, F.floor((F.col("_p") - 1 + shift) / pool_size).alias("_g"))
+        most = placed.agg(F.max("_p")).first()[0] or 0
+        blocks = cut_lineage(stacks.applyInPandas(pool, schema), "blocks")
+        if most <= pool_size and shift == 0:
+            return blocks
+        after = blocks.count()
+        still = still + 1 if after == before else 0
+        if still == 2:
+            return blocks
+        before, shift = after, pool_size // 2 - shift
+
+
+def fitted_points(points: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """``points`` (keys, x) with the fit of their block.
+
+    A block is marked in every slice of x that it reaches into, so inside a (key, slice) the last mark at or before a point
+    is its block: one running window, no range join and no list of blocks on a row."""
+    from tidemark.operators.ranks import slice_bounds, slice_of
+
+    cuts = slice_bounds(points, "x", 32)
+    at = F.explode(F.sequence(slice_of(F.col("x_lo"), cuts), slice_of(F.col("x_hi"), cuts)))
+    marks = blocks.select(*keys, at.alias("_s"), F.col("x_lo").alias("x"), F.lit(0).alias("_k"), "fit")
+    rows = points.select(*keys, slice_of(F.col("x"), cuts).alias("_s"), "x", F.lit(1).alias("_k"), F.lit(None).cast("double").alias("fit"))
+    run = Window.partitionBy(*keys, "_s").orderBy("x", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    return marks.unionByName(rows).withColumn("fit", F.last("fit", True).over(run)).where("_k = 1").select(*keys, "x", "fit")
+
+
+def isotonic_fit(df: DataFrame, *, keys: list[str], x: str, y: str, increasing: bool = True, pool_size: int = POOL_BLOCKS) -> DataFrame:
+    """Isotonic regression per key as constant blocks (x_lo, x_hi, fit, weight), of rows averaged per distinct x."""
+    sgn = 1.0 if increasing else -1.0
+    base = df.groupBy(*keys, F.col(x).cast("double").alias("x")).agg((sgn * F.avg(y)).alias("fit"), F.count(F.lit(1)).cast("double").alias("weight"))
+    return isotonic_blocks(cut_lineage(base, "points"), keys, pool_size).withColumn("fit", sgn * F.col("fit"))
 
 
 def isotonic_distribution(df: DataFrame, *, x: str, y: str, thresholds: list[float], held: str | None = None) -> DataFrame:
@@ -418,32 +451,9 @@ def isotonic_distribution(df: DataFrame, *, x: str, y: str, thresholds: list[flo
 
 def _weighted_isotonic(base: DataFrame, keys: list[str], x: str, y: str, w: str) -> DataFrame:
     """Antitonic fit of already averaged points, evaluated at every x."""
-    import pandas as pd
-
-    from tidemark.operators.ranks import slice_bounds, slice_of
-
-    b = base.select(*keys, F.col(x).cast("double").alias("x"), (-F.col(y)).alias("fit"), F.col(w).cast("double").alias("weight"))
-    b = cut_lineage(b, "points")
-    b = b.withColumn("_s", slice_of(F.col("x"), slice_bounds(b, "x", 16)))
-    kt = ", ".join(f"`{k}` {b.schema[k].dataType.simpleString()}" for k in keys)
-    schema = f"{kt}, x_lo double, x_hi double, fit double, weight double"
-
-    pool_adjacent = make_pool_adjacent()
-
-    def pool(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo = "x_lo" if "x_lo" in pdf else "x"
-        pdf = pdf.sort_values(lo)
-        hi = "x_hi" if "x_hi" in pdf else "x"
-        out = pd.DataFrame(pool_adjacent(pdf[lo], pdf[hi], pdf["fit"], pdf["weight"]), columns=["x_lo", "x_hi", "fit", "weight"])
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    blocks = b.groupBy(*keys, "_s").applyInPandas(pool, schema).groupBy(*keys).applyInPandas(pool, schema)
-    arr = blocks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x_lo", "fit"))).alias("_b"))
-    j = b.join(arr, keys)
-    fit = F.element_at("_b", F.size(F.filter("_b", lambda e: e["x_lo"] <= F.col("x"))))["fit"]
-    return j.select(*keys, "x", (-fit).alias("fit"))
+    b = cut_lineage(base.select(*keys, F.col(x).cast("double").alias("x"), (-F.col(y)).alias("fit"), F.col(w).cast("double").alias("weight")), "points")
+    out = fitted_points(b, isotonic_blocks(b, keys), keys)
+    return out.withColumn("fit", -F.col("fit"))
 
 
 # ------------------------------------------------------------------ line-series density
