@@ -4,8 +4,8 @@ A tree gives every vector a long hash string: the vector is turned by a random r
 are the axes it leans to most, with their signs, strongest first.  A tree is the sorted array of its strings, so
 the vectors that share a prefix are a range of it.  A query descends every tree to its longest prefix;
 then all trees ascend together, one symbol at a time, and every level adds the ranges of the
-shorter prefix, until the query has seen ``share`` of the vectors (and at least k).  Candidates are ranked by their exact
-inner product.
+shorter prefix, until the query has seen ``share`` of the vectors, at least ``LEAST`` (a shard of fewer is searched whole).
+Only candidates are multiplied with the query, and ranked by their exact inner product.
 
 Rows are spread over shards of bounded size by a hash of their id.  A shard keeps a forest of its own and
 is searched for its share, so equal and near-equal vectors spread evenly; queries visit all shards in
@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TREES, SYMBOLS, SHARE, K = 56, 3, 0.15, 20
+#: Candidates of a query in a shard at least.
+LEAST = 1024
 #: Floats of one shard or block of queries.
 SHARD_FLOATS = 1 << 19
 
@@ -89,22 +91,22 @@ class Forest:
 def search(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, share: float, trees: int, symbols: int):
     """(position of the query, id, score) of each query's best k in this shard.  ``ids`` ascend."""
     forest = Forest(x, trees, symbols)
-    wanted = min(len(x), max(k + 1, int(np.ceil(share * len(x)))))
+    wanted = min(len(x), max(k + 1, LEAST, int(np.ceil(share * len(x)))))
     at, found, scores = [], [], []
     step = max(1, (1 << 21) // len(x))
     for first in range(0, len(queries), step):
         q = queries[first : first + step]
         seen = forest.candidates(q, wanted) & (ids[None, :] != query_ids[first : first + step, None])
-        rough = np.where(seen, q @ x.T, -np.inf)
-        if rough.shape[1] > k:
-            least = np.partition(rough, -k, axis=1)[:, -k]
-        else:
-            least = np.full(len(q), -np.inf)
-        # products of equal vectors may differ in the last bit of a matrix product: take near ties, then rank exactly
-        keep = seen & (rough >= (least - 1e-9 * np.maximum(1.0, np.abs(least)))[:, None])
         for i in range(len(q)):
-            c = np.flatnonzero(keep[i])
-            exact = (x[c] * q[i]).sum(axis=1)
+            c = np.flatnonzero(seen[i])
+            near = x[c]
+            rough = near @ q[i]
+            if len(c) > k:
+                # products of equal vectors may differ in the last bit of a matrix product: take near ties, then rank exactly
+                least = np.partition(rough, -k)[-k]
+                keep = rough >= least - 1e-9 * max(1.0, abs(least))
+                c, near = c[keep], near[keep]
+            exact = (near * q[i]).sum(axis=1)
             best = np.lexsort((ids[c], -exact))[:k]
             at.append(np.full(len(best), first + i))
             found.append(ids[c[best]])
