@@ -598,23 +598,3 @@ def kmeans_baseline(df: DataFrame, *, features: str, ks: list[int], seed: int =
     ev = ClusteringEvaluator(featuresCol=features)
     rows = [(k, float(ev.evaluate(KMeans(k=k, seed=seed, featuresCol=features).fit(df).transform(df)))) for k in ks]
     return df.sparkSession.createDataFrame(rows, "k int, silhouette double")
-
-
-def gbt_baseline_ladder(task: DataFrame, *, label: str = "label", split: str = "split", iters: int = 10, seed: int = 5) -> DataFrame:
-    """Linear and boosted classifiers on the single-table (s_) and on all (s_ + r_) features, train -> val."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-
-    s = [c for c in task.columns if c.startswith("s_")]
-    r = [c for c in task.columns if c.startswith("r_")]
-    t = task.select(F.col(label).cast("double").alias("label"), split, *[F.col(c).cast("double").alias(c) for c in s + r])
-    train, val = t.where(F.col(split) == "train"), t.where(F.col(split) == "val")
-    ev = BinaryClassificationEvaluator(labelCol="label")
-    rows = []
-    for name, cols, boosted in (("linear_own", s, False), ("boosted_own", s, True), ("boosted_relational", s + r, True)):
-        prep = [Imputer(inputCols=cols, outputCols=[f"i_{c}" for c in cols], strategy="median"), VectorAssembler(inputCols=[f"i_{c}" for c in cols], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features")]
-        model = GBTClassifier(maxIter=iters, seed=seed) if boosted else LogisticRegression(elasticNetParam=0.0, regParam=0.01)
-        rows.append((name, len(cols), float(ev.evaluate(Pipeline(stages=[*prep, model]).fit(train).transform(val)))))
-    return task.sparkSession.createDataFrame(rows, "model string, n_features int, auc double")

@@ -184,13 +184,45 @@ def _(s, d):
     return D.w2sq_discrete(fc.join(out, ["kind", "target"]), "forecast", "outcome", _xpos(), "w2").select("kind", "target", "w2")
 
 
+RUNGS = [("boosted_relational", "boosted_own"), ("linear_relational", "linear_own")]
+
+
 @query("gbt_baseline_ladder")
 def _(s, d):
-    from tidemark.operators.forecast import gbt_baseline_ladder
+    """Deposit decline: area under the curve of six rungs with joint intervals, and paired differences of all to own features."""
+    from tidemark.operators import ladder as L
     from tidemark.session import cut_lineage
 
     t = cut_lineage(deposit_task(s, d), "task").withColumn("split", F.when(F.col("q") < 7998, "train").otherwise("val"))
-    return gbt_baseline_ladder(t, iters=5)
+    preds = L.ladder_predictions(t, kind="clf", entity="entity", naive=-F.coalesce("s_dep_g", F.lit(0.0)), iters=5)
+    return L.ladder_scores(preds, kind="clf", pairs=RUNGS)
+
+
+@query("growth_baseline_ladder")
+def _(s, d):
+    """Growth of holdings by state: mean absolute error of seven rungs with joint intervals, and paired differences."""
+    from tidemark.operators import ladder as L
+    from tidemark.session import cut_lineage
+
+    h = table(s, d, "lineitem").groupBy((F.col("l_suppkey") % 50).alias("holdco"), (F.col("l_partkey") % 8).alias("state"), F.year("l_shipdate").alias("year")).agg((F.sum(line_units()).cast("double") / 10000.0).alias("dep"))
+    t = cut_lineage(TB.task_growth_regression(h, 1e4), "task")
+    years = [r[0] for r in t.select("year").distinct().orderBy("year").collect()]
+    t = t.withColumn("split", F.when(F.col("year") < years[-2], "train").otherwise("val"))
+    last = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce("s_g1", F.lit(0.0))))
+    preds = L.ladder_predictions(t, kind="reg", entity="holdco", naive=F.lit(0.0), last=last, iters=5)
+    return L.ladder_scores(preds, kind="reg", pairs=RUNGS)
+
+
+@query("ladder_naive_scores", f"""WITH {SP}, g AS (SELECT entity, q, flow / nullif(lag(flow) OVER w, 0) - 1 AS g, lead(flow) OVER w < flow AS y FROM sp WINDOW w AS (PARTITION BY entity ORDER BY q)), v AS (SELECT q, -coalesce(g, 0) AS s, y FROM g WHERE y IS NOT NULL AND q >= 7998)
+SELECT 'naive' AS model, (SELECT sum(CASE WHEN p.s > n.s THEN 1e0 WHEN p.s = n.s THEN 5e-1 ELSE 0e0 END) / count(*) FROM v p JOIN v n ON p.y AND NOT n.y) AS value""", "value:8")
+def _(s, d):
+    """The naive rung alone, from stored predictions."""
+    from tidemark.operators import ladder as L
+    from tidemark.session import cut_lineage
+
+    t = cut_lineage(deposit_task(s, d), "task").where("q >= 7998")
+    preds = t.select("row_id", F.col("entity").cast("string").alias("entity"), F.lit("naive").alias("model"), "label", (-F.coalesce("s_dep_g", F.lit(0.0))).alias("score"))
+    return L.auc_replicates(cut_lineage(preds, "predictions"), reps=1).select("model", "value")
 
 
 @query("register_forecaster", f"""WITH {SP}, h AS (SELECT entity, q, flow, avg(flow) OVER (PARTITION BY entity ORDER BY q ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS f FROM sp) SELECT entity, q AS origin, f AS forecast FROM h""", "forecast:3")
