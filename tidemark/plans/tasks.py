@@ -144,6 +144,63 @@ def _(s, d):
     return s.read.parquet(f"{root}/wide").select("entity", "q", "ytd", "flow_q").unpivot(["entity", "q"], ["ytd", "flow_q"], "item", "value")
 
 
+def _zipped_filings(s, d):
+    """The year-to-date panel as one ZIP per quarter with two members, each with a header and a description line."""
+    from tidemark.functions.periods import quarter_end
+    from tidemark.plans.sources import HEADER
+    from tidemark.sources.archives import write_zips
+    from tidemark.sources.readers import MISSING
+
+    p = customer_ytd(s, d)
+    ytd = F.when(F.col("n") > 1, F.col("ytd").cast("decimal(20,2)").cast("string")).otherwise(F.lit(MISSING))
+    line = F.concat_ws("^", F.col("entity").cast("string"), F.date_format(quarter_end("q"), "yyyyMMdd"), ytd, F.col("n").cast("string"), F.lit('café "x"'))
+    rows = p.select(F.concat(F.lit("q="), F.col("q").cast("string")).alias("archive"), F.concat(F.lit("part"), (F.col("entity") % 2).cast("string"), F.lit(".txt")).alias("member"), line.alias("line"))
+    root = scratch_path(s, "filings")
+    done = write_zips(rows, root, archive="archive", member="member", header=["^".join(HEADER), "id text^date^amount^count^free"])
+    return root, done
+
+
+FZ = f"""{CY}, z AS (SELECT entity, q, CASE WHEN n > 1 THEN ytd END AS ytd FROM cy), fl AS (SELECT entity, q, ytd, max(ytd) OVER (PARTITION BY entity ORDER BY q RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS prev FROM z),
+fq AS (SELECT entity, q, ytd, CASE WHEN q % 4 = 0 THEN ytd ELSE ytd - prev END AS flow_q FROM fl)"""
+
+
+def _filed_panel(s, d):
+    from tidemark.operators.calendar import decumulate
+    from tidemark.plans.sources import HEADER
+    from tidemark.sources import readers as RD
+
+    root, _ = _zipped_filings(s, d)
+    raw = RD.read_caret_zip(s, root, items=["ytd"], ids=["entity", "report_date"], entity="entity", header=HEADER)
+    raw = RD.check_file_period(raw.withColumn("q", quarter_index(F.to_date("report_date", "yyyyMMdd"))), file_period="file_q", row_period="q")
+    return decumulate(Q.assert_unique_key(raw.select("entity", F.col("q").cast("long").alias("q"), "ytd"), ["entity", "q"]))
+
+
+@query("panel_from_archives", f"WITH {FZ} SELECT entity, q, ytd, flow_q FROM fq", "ytd:2 flow_q:2")
+def _(s, d):
+    """Archives of filings, written from the orders, read back member by member, checked and decumulated."""
+    return _filed_panel(s, d).select("entity", "q", "ytd", "flow_q")
+
+
+@query("panel_coverage", f"""WITH {FZ} SELECT q, count(*) AS n_records, count(ytd) AS n_ytd, count(flow_q) AS n_flow, count(*) FILTER (flow_q < 0) AS n_negative, count(*) FILTER (ytd IS NOT NULL AND flow_q IS NULL) AS n_missing_prior,
+(SELECT min(v) FROM (SELECT ytd AS v FROM fq b WHERE b.q = a.q AND ytd IS NOT NULL ORDER BY ytd DESC LIMIT 50)) AS top50_cutoff FROM fq a GROUP BY q""", "top50_cutoff:2")
+def _(s, d):
+    """Coverage of every filed quarter: records, values, flows, negative flows, flows without a prior, the fiftieth largest value."""
+    from tidemark.operators.calendar import topk_per_group
+    from tidemark.session import cut_lineage
+
+    p = cut_lineage(_filed_panel(s, d), "panel")
+    cut = topk_per_group(p.where("ytd IS NOT NULL"), by="q", value="ytd", k=50).groupBy("q").agg(F.min("ytd").alias("top50_cutoff"))
+    yes = lambda c: F.count(F.when(c, 1))
+    g = p.groupBy("q").agg(F.count(F.lit(1)).alias("n_records"), F.count("ytd").alias("n_ytd"), F.count("flow_q").alias("n_flow"), yes(F.col("flow_q") < 0).alias("n_negative"), yes(F.col("ytd").isNotNull() & F.col("flow_q").isNull()).alias("n_missing_prior"))
+    return g.join(cut, "q", "left")
+
+
+@query("panel_vintage", f"WITH {CY} SELECT 'q=' || q || '.zip' AS file, count(DISTINCT entity % 2) AS n_members, count(*) AS n_lines FROM cy GROUP BY q")
+def _(s, d):
+    """What was filed: members and lines of every archive."""
+    return _zipped_filings(s, d)[1]
+
+
 @query("prepare_panel", f"""WITH {SP}, l AS (SELECT *, max(stock) OVER (PARTITION BY entity ORDER BY q RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS p FROM sp), r AS (SELECT entity, q, stock, CASE WHEN NOT coalesce(q % 4 > 0 AND stock < p, FALSE) THEN flow END AS flow FROM l)
 SELECT entity, q, CASE WHEN q > 7983 THEN flow END AS flow, CASE WHEN q >= 7983 THEN stock END AS stock FROM r WHERE NOT (entity % 9 = 4 AND q = 7990)""", "flow:4 stock:0")
 def _(s, d):

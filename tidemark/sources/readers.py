@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,39 +38,14 @@ def read_caret_text(spark: SparkSession, path: str, *, items: list[str], ids: li
     return _caret_columns(raw, header, items, [*ids, "file_q"], entity).withColumn("file_q", F.col("file_q").cast("int"))
 
 
-def unzip_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of every member of every ZIP below ``path``: (file, member, line_no, line).
-
-    One ZIP is one task (the format cannot be split); its lines stream out in batches, and
-    parsing then runs on all cores."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-
-    def lines(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for p, blob in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(blob)) as z:
-                    for m in z.namelist():
-                        with io.TextIOWrapper(z.open(m), encoding="latin-1", newline="\n") as fh:
-                            buf, start = [], 0
-                            for line in fh:
-                                buf.append(line.rstrip("\r\n"))
-                                if len(buf) == 20000:
-                                    yield pd.DataFrame({"file": p, "member": m, "line_no": range(start, start + len(buf)), "line": buf})
-                                    start += len(buf)
-                                    buf = []
-                            if buf:
-                                yield pd.DataFrame({"file": p, "member": m, "line_no": range(start, start + len(buf)), "line": buf})
-
-    return files.mapInPandas(lines, "file string, member string, line_no long, line string")
-
-
 def read_caret_zip(spark: SparkSession, path: str, *, items: list[str], ids: list[str], entity: str, header: list[str]) -> DataFrame:
-    """The same layout inside ZIP members."""
+    """The same layout inside ZIP members, which are read side by side.  The period is taken from the archive's name: ``file_q``."""
+    from tidemark.sources.archives import zip_lines
+
     parts = F.split("line", r"\^")
-    raw = unzip_lines(spark, path).select(*[F.get(parts, i).alias(h) for i, h in enumerate(header)])
-    return _caret_columns(raw, header, items, ids, entity)
+    period = F.regexp_extract("file", r"q=([0-9]+)", 1).cast("int").alias("file_q")
+    raw = zip_lines(spark, path).select(*[F.get(parts, i).alias(h) for i, h in enumerate(header)], period)
+    return _caret_columns(raw, header, items, [*ids, "file_q"], entity).withColumn("file_q", F.col("file_q").cast("int"))
 
 
 def check_file_period(df: DataFrame, *, file_period: str, row_period: str) -> DataFrame:
