@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.plans.bindings import DE, daily_events, table
 from tidemark.plans.registry import query
-from tidemark.session import scratch_path
 from tidemark.streaming import jobs as J
 
 
@@ -23,10 +21,14 @@ BSQL = "CAST(floor(least(value, 299) / 50) AS INT)"
 WM = "(SELECT max(ts) FROM events)"
 
 
+#: Batches of a replay.
+SLICES = 5
+
+
 def events(s, d):
-    """The whole events table as one stream (the table is one file, hence one batch plus the final one)."""
-    e = J.file_stream(s, d, table(s, d, "events").schema, glob="events.parquet")
-    return e.withColumn("ts", F.col("ts").cast("timestamp"))
+    """The whole events table as a stream of several batches, in order of time."""
+    e = table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return J.file_stream(s, J.time_slices(e, "events", "ts", SLICES), e.schema, max_files=1)
 
 
 def ts(c):
@@ -71,10 +73,9 @@ def _(s, d):
 
 @query("stream_exp_smoothing", f"""WITH {DE}, o AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY date) AS j FROM de) SELECT a.series AS key, CAST(a.date AS VARCHAR) AS ord, sum(b.value * CASE WHEN b.j = 1 THEN pow(0.7e0, a.j - 1) ELSE 0.3e0 * pow(0.7e0, a.j - b.j) END) AS level FROM o a JOIN o b ON a.series = b.series AND b.j <= a.j GROUP BY ALL""", "level:7")
 def _(s, d):
-    path = scratch_path(s, "daily")
-    daily_events(s, d).select("series", F.col("date").cast("timestamp").alias("date"), "value").write.parquet(path)
-    st = J.file_stream(s, path, T.StructType([T.StructField("series", T.StringType()), T.StructField("date", T.TimestampType()), T.StructField("value", T.DoubleType())]))
-    levels = J.drain(J.exp_smoothing(st, key="series", order="date", value="value", alpha=0.3), "smoothing")
+    daily = daily_events(s, d).select("series", F.col("date").cast("timestamp").alias("date"), "value")
+    st = J.file_stream(s, J.time_slices(daily, "daily", "date", SLICES), daily.schema, max_files=1)
+    levels = J.exp_smoothing(st, "smoothing", key="series", order="date", value="value", alpha=0.3)
     return levels.withColumn("ord", F.date_format("ord", "yyyy-MM-dd"))
 
 

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.session import scratch_path
 
@@ -23,6 +25,20 @@ def file_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet
     return r.parquet(folder)
 
 
+def time_slices(df: DataFrame, name: str, time: str, slices: int = 5) -> str:
+    """Writes ``df`` as one file per range of event time and dates the files in that order, so that a file stream over the
+    folder with ``max_files`` = 1 meets one range a batch.  More data need more slices, not larger ones."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.repartitionByRange(slices, time).sortWithinPartitions(time).write.parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    store = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted(str(f.getPath()) for f in store.listStatus(hadoop.Path(path)) if f.getPath().getName().startswith("part-"))
+    for k, f in enumerate(files):  # part numbers follow the ranges
+        store.setTimes(hadoop.Path(f), 1_000_000_000_000 + 1000 * k, -1)
+    return path
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process everything available, append the results to a table, read it back."""
     spark = stream.sparkSession
@@ -112,34 +128,85 @@ def rolling_rate(stream: DataFrame, *, time: str, kind: str, hit, width: str, st
     )
 
 
-def exp_smoothing(stream: DataFrame, *, key: str, order: str, value: str, alpha: float, delay: str = "7 days", idle: str = "400 days") -> DataFrame:
-    """Keyed state = current level; unchanged on a missing value, started at the first observed one.
+def smooth(values: np.ndarray, level: float | None, alpha: float, width: int = 64) -> np.ndarray:
+    """Exponential smoothing from ``level`` on; missing values leave it as it is, and before the first value it is missing.
+
+    A block of values is one triangular product: weights of a block are the same for every block."""
+    out = np.full(len(values), np.nan)
+    seen = np.flatnonzero(~np.isnan(values))
+    if not len(seen):
+        return out if level is None else np.full(len(values), level)
+    x, start = values[seen], level
+    if start is None:
+        start = x[0]  # the first value is the first level
+    lags = np.arange(width)[:, None] - np.arange(width)[None, :]
+    weights = np.where(lags >= 0, alpha * (1 - alpha) ** np.maximum(lags, 0), 0.0)
+    levels = np.empty(len(x))
+    for lo in range(0, len(x), width):
+        block = x[lo : lo + width]
+        n = len(block)
+        levels[lo : lo + n] = weights[:n, :n] @ block + start * (1 - alpha) ** np.arange(1, n + 1)
+        start = levels[lo + n - 1]
+    at = np.searchsorted(seen, np.arange(len(values)), side="right")
+    out[at > 0] = levels[at[at > 0] - 1]
+    if level is not None:
+        out[at == 0] = level
+    return out
+
+
+class Smoother(StatefulProcessor):
+    """Level of a key, with an event-time timer that forgets it after ``idle`` without a row."""
+
+    def __init__(self, order: str, value: str, alpha: float, idle_ms: int):
+        self.order, self.value, self.alpha, self.idle = order, value, alpha, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("level", "level double, last long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frames = [f for f in rows if len(f)]
+        if not frames:
+            return
+        f = pd.concat(frames).sort_values(self.order)  # rows of one key in one micro-batch
+        level, before = self.state.get() if self.state.exists() else (None, None)
+        levels = smooth(f[self.value].to_numpy(float), level, self.alpha)
+        if not np.isnan(levels[-1]):
+            last = max(int(pd.Timestamp(f[self.order].iloc[-1]).timestamp() * 1000), before or 0)
+            if before is not None:
+                self.handle.deleteTimer(before + self.idle)
+            self.state.update((float(levels[-1]), last))
+            self.handle.registerTimer(last + self.idle)
+        yield pd.DataFrame({"key": [key[0]] * len(f), "ord": f[self.order].to_numpy(), "level": levels})
 
-    ``order`` is the event time.  A key that stays silent for ``idle`` of event time loses its level."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
 
-    keep = int(pd.Timedelta(idle).total_seconds() * 1000)
+    def close(self) -> None:
+        pass
 
-    def step(k: tuple, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        level = state.get[0] if state.exists else None
-        rows = pd.concat(list(chunks)).sort_values(order)  # rows of one key in one micro-batch
-        out = []
-        for o, v in zip(rows[order], rows[value]):
-            if v == v and v is not None:
-                level = float(v) if level is None else alpha * float(v) + (1 - alpha) * level
-            out.append((k[0], o, level))
-        if level is not None:
-            state.update((level,))
-            last = int(pd.Timestamp(rows[order].iloc[-1]).timestamp() * 1000)
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + keep)
-        yield pd.DataFrame(out, columns=["key", "ord", "level"])
 
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def exp_smoothing(stream: DataFrame, name: str, *, key: str, order: str, value: str, alpha: float, delay: str = "7 days", idle: str = "400 days") -> DataFrame:
+    """(key, ord, level) of every row, drained: keyed state = current level, unchanged on a missing value, started at the first
+    observed one.
+
+    ``order`` is the event time.  A key that stays silent for ``idle`` of event time loses its level; rows behind the watermark
+    are dropped.  The state lives in the RocksDB store, which timers need; the session's own choice is put back."""
+    spark = stream.sparkSession
+    keep = int(pd.Timedelta(idle).total_seconds() * 1000)
     kt, ot = stream.schema[key].dataType.simpleString(), stream.schema[order].dataType.simpleString()
-    timed = stream.withWatermark(order, delay)
-    return timed.groupBy(key).applyInPandasWithState(step, f"key {kt}, ord {ot}, level double", "level double", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = stream.withWatermark(order, delay).groupBy(key).transformWithStateInPandas(
+        Smoother(order, value, alpha, keep), outputStructType=f"key {kt}, ord {ot}, level double", outputMode="Append", timeMode="EventTime")
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        return drain(rows, name)
+    finally:
+        spark.conf.set(STORE, before)
 
 
 def late_data_audit(stream: DataFrame, name: str, *, stamped: str, deadline) -> tuple[DataFrame, DataFrame]:
