@@ -6,6 +6,7 @@ import itertools
 import json
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,24 +21,26 @@ def _series(df: DataFrame, n: int, entity: str, index: str, value: str) -> DataF
     return g.dropna().select(entity, F.array(*[F.col(f"v{i}") for i in range(n)]).alias("x"))
 
 
-def _corr(x: Column, profile: list[float]) -> Column:
-    """Correlation of a packed series with a constant profile; -2 when undefined."""
+def _likeness(x: Column, profile: list[float]) -> Column:
+    """Correlation of a packed series with a constant profile, to nine decimals; null where either does not vary."""
     n = len(profile)
-    m = sum(profile) / n
-    dev = [p - m for p in profile]
-    norm = math.sqrt(sum(v * v for v in dev))
-    mean = arr_sum(x) / n
-    num = sum((F.element_at(x, i + 1) * v for i, v in enumerate(dev)), F.lit(0.0))
-    sd = F.sqrt(F.greatest(arr_sum(F.transform(x, lambda e: e * e)) - n * mean * mean, F.lit(0.0)))
-    return F.coalesce(F.try_divide(num, sd * norm), F.lit(-2.0)) if norm > 0 else F.lit(-2.0)
+    middle = sum(profile) / n
+    offsets = [p - middle for p in profile]
+    length = math.sqrt(sum(v * v for v in offsets))
+    if length == 0:
+        return F.lit(None).cast("double")
+    along = sum((F.element_at(x, k) * (v / length) for k, v in enumerate(offsets, 1)), F.lit(0.0))
+    spread = arr_sum(F.transform(x, lambda e: e * e)) - arr_sum(x) * arr_sum(x) / n
+    return F.round(F.when(spread > 0, along / F.sqrt(spread)), 9)
 
 
-def _assign(series: DataFrame, profiles: dict[str, list[float]], eps: float = 1e-9) -> DataFrame:
-    cs = F.array(*[F.struct(_corr(F.col("x"), p).alias("r"), F.lit(k).alias("p")) for k, p in profiles.items()])
-    s = series.withColumn("_c", cs)
-    top = F.array_max(F.transform("_c", lambda e: e["r"]))
-    s = s.withColumn("_t", F.filter("_c", lambda e: e["r"] >= top - eps))
-    return s.select("*", F.explode("_t").alias("_e")).withColumns({"profile": F.col("_e.p"), "weight": 1.0 / F.size("_t")})
+def _assign(series: DataFrame, profiles: dict[str, list[float]]) -> DataFrame:
+    """Each series with the profiles it is most like, in equal parts; a series that is like none has no row."""
+    scored = series.withColumn("_c", F.array(*[F.struct(_likeness(F.col("x"), p).alias("r"), F.lit(k).alias("p")) for k, p in profiles.items()]))
+    highest = F.array_max(F.col("_c")["r"])
+    first = F.filter("_c", lambda e: e["r"] == highest)
+    each = scored.withColumn("_t", first).select("*", F.explode("_t").alias("_e"))
+    return each.withColumns({"profile": F.col("_e.p"), "weight": 1.0 / F.size("_t")})
 
 
 def profile_assign(df: DataFrame, profiles: dict[str, list[float]], *, entity: str, index: str, value: str) -> DataFrame:
@@ -135,7 +138,6 @@ def rank_pair_counts(df: DataFrame, *, block: list[str], x: str, y: str) -> Data
     counted on the grid of slices; a pair in one slice of x, or in one of y only, is counted inside that slice by
     merging, so no task holds a block and no pair is formed."""
     import numpy as np
-    import pandas as pd
 
     from tidemark.operators.ranks import slice_bounds, slice_of
 
@@ -264,29 +266,62 @@ def rv_coefficient(m: DataFrame, *, block: str, modified: bool = False) -> DataF
     return p.where("b1 < b2").join(o1, "b1").join(o2, "b2").select("b1", "b2", (F.col("s") / F.sqrt(F.col("s1") * F.col("s2"))).alias("rv"))
 
 
-def statis_compromise(m: DataFrame, *, block: str) -> tuple[DataFrame, DataFrame]:
-    """Weights of the blocks (first eigenvector of the RV matrix) and the weighted compromise matrix.
+def _first_directions(table: dict[tuple, float], labels: list, k: int) -> tuple[list[list[float]], list[float]]:
+    """Leading unit vectors and values of a small symmetric table of pairs, the first with a positive sum."""
+    import numpy as np
+
+    values, vectors = np.linalg.eigh([[table.get((p, q), table.get((q, p), 0.0)) for q in labels] for p in labels])
+    top = [vectors[:, -1 - d] for d in range(min(k, len(labels)))]
+    return [(v if v.sum() >= 0 else -v).tolist() for v in top], [float(values[-1 - d]) for d in range(len(top))]
 
-    The K x K RV table and the V x V block norms are the driver step; the compromise is summed in Spark."""
+
+def _largest_values(entries: DataFrame, block: str) -> DataFrame:
+    """Largest eigenvalue of every block's table, each solved in the task that holds its row."""
     import numpy as np
 
+    rows = entries.groupBy(block).agg(F.array_sort(F.collect_list(F.struct("i", "j", "c"))).alias("t"))
+    flat = rows.select(block, F.transform("t", lambda e: e["c"]).alias("t"))
+
+    def solve(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: float(np.linalg.eigvalsh(np.reshape(t, (round(len(t) ** 0.5), -1))).max()))
+
+    return flat.select(block, F.pandas_udf(solve, "double")("t").alias("scale"))
+
+
+def statis_compromise(m: DataFrame, *, block: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The table that blocks agree on most: (blocks, compromise, movement).
+
+    Tables are centred, scaled to a largest eigenvalue of one and weighted by the leading direction of their RV table.
+    ``blocks`` has each block's weight, its RV with the compromise and its distance from it; ``movement`` has for each variable how far
+    its place in the first two directions of the compromise moves, summed over blocks.  Entries stay in Spark; the driver sees the
+    RV of pairs of blocks and the compromise, blocks x blocks and variables x variables numbers."""
     spark = m.sparkSession
-    c = double_center(m, block=block)
-    ent = c.collect()  # blocks x V x V numbers
-    blocks = sorted({r[block] for r in ent})
-    names = sorted({r["i"] for r in ent})
-    at = {v: k for k, v in enumerate(names)}
-    mats = {b: np.zeros((len(names), len(names))) for b in blocks}
-    for r in ent:
-        mats[r[block]][at[r["i"]], at[r["j"]]] = r["c"]
-    norm = {b: float(np.linalg.eigvalsh(mats[b])[-1]) for b in blocks}
-    rv = np.array([[np.sum(mats[a] * mats[b]) / math.sqrt(np.sum(mats[a] ** 2) * np.sum(mats[b] ** 2)) for b in blocks] for a in blocks])
-    u = np.linalg.eigh(rv)[1][:, -1]
-    alpha = u * np.sign(u.sum()) / abs(u.sum())
-    w = spark.createDataFrame([(b, float(a), norm[b]) for b, a in zip(blocks, alpha)], f"`{block}` {m.schema[block].dataType.simpleString()}, weight double, norm double")
-    comp = c.join(F.broadcast(w), block).groupBy("i", "j").agg(F.sum(F.col("weight") * F.col("c") / F.col("norm")).alias("compromise"))
-    dist = c.join(F.broadcast(w), block).join(comp, ["i", "j"]).groupBy(block).agg(F.first("weight").alias("weight"), F.sqrt(F.sum((F.col("c") / F.col("norm") - F.col("compromise")) ** 2)).alias("distance"))
-    return dist, comp
+    kind = m.schema[block].dataType.simpleString()
+    entries = cut_lineage(double_center(m, block=block), "centred")
+    alike = {(r["b1"], r["b2"]): r["rv"] for r in rv_coefficient(entries, block=block).collect()}
+    labels = sorted(r[0] for r in entries.select(block).distinct().collect())
+    alike |= {(b, b): 1.0 for b in labels}
+    direction = _first_directions(alike, labels, 1)[0][0]
+    total = sum(direction)
+    weights = F.broadcast(spark.createDataFrame([(b, v / total) for b, v in zip(labels, direction)], f"`{block}` {kind}, weight double"))
+    scaled = entries.join(_largest_values(entries, block), block).select(block, "i", "j", (F.col("c") / F.col("scale")).alias("c")).join(weights, block)
+    scaled = cut_lineage(scaled, "scaled")
+    agreed = cut_lineage(scaled.groupBy("i", "j").agg(F.sum(F.col("weight") * F.col("c")).alias("compromise")), "compromise")
+    both = scaled.join(agreed, ["i", "j"])
+    product = lambda p, q: F.sum(F.col(p) * F.col(q))
+    rv = product("c", "compromise") / F.sqrt(product("c", "c") * product("compromise", "compromise"))
+    gap = F.col("c") - F.col("compromise")
+    blocks = both.groupBy(block).agg(F.first("weight").alias("weight"), rv.alias("rv"), F.sqrt(F.sum(gap * gap)).alias("distance"))
+
+    cells = {(r["i"], r["j"]): r["compromise"] for r in agreed.collect()}
+    names = sorted({i for i, _ in cells})
+    axes, values = _first_directions(cells, names, 2)
+    # a table's places are its rows along the directions, each over the root of its value
+    places = [(n, [axes[d][k] / math.sqrt(values[d]) for d in range(len(axes)) if values[d] > 1e-12]) for k, n in enumerate(names)]
+    along = F.broadcast(spark.createDataFrame(places, "j string, w array<double>"))
+    moved = both.withColumn("gap", gap).join(along, "j").select(block, "i", F.posexplode(F.transform("w", lambda w: w * F.col("gap"))).alias("d", "v"))
+    steps = moved.groupBy(block, "i", "d").agg(F.sum("v").alias("v")).groupBy(block, "i").agg(F.sqrt(product("v", "v")).alias("step"))
+    return blocks, agreed, steps.groupBy(F.col("i").alias("variable")).agg(F.sum("step").alias("movement"))
 
 
 def composite_score(df: DataFrame, *, block: list[str], values: list[str], out: str = "composite") -> DataFrame:

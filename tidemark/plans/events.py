@@ -148,6 +148,11 @@ def _(s, d):
     return SM_.statis_compromise(_matrix(s, d), block="y")[0]
 
 
+@query("statis_movement")
+def _(s, d):
+    return SM_.statis_compromise(_matrix(s, d), block="y")[2]
+
+
 @query("exact_relabel", f"""WITH {RVT}, pa AS (SELECT b1 - 1995 AS i, b2 - 1995 AS j, rv FROM rv), mk AS (SELECT m FROM range(128) t(m) WHERE bit_count(m::INTEGER) = 3), ds AS (SELECT m, avg(rv) FILTER ((m >> i) & 1 = (m >> j) & 1) - avg(rv) FILTER ((m >> i) & 1 <> (m >> j) & 1) AS st FROM mk, pa GROUP BY m), o AS (SELECT st AS o FROM ds WHERE m = 112)
 SELECT max(o) AS observed, avg((st >= o - 1e-12)::INT) AS p, count(*) AS n_assignments, count(*) FILTER (st > o + 1e-12) AS n_better FROM ds, o""", "observed:7 p:7")
 def _(s, d):
