@@ -27,6 +27,13 @@ def test_likeness_follows_the_share_of_common_shingles():
     assert M.likeness(M.fingerprint(a), M.fingerprint(other)) < 0.2
 
 
+def test_long_texts_of_one_shingle_do_not_wrap():
+    for n in (600, 60_000, 600_000):
+        a, b = M.fingerprint(b"x " * n), M.fingerprint(b"x " * (3 * n // 4))
+        assert abs(M.likeness(a, b) - 12 / 13) < 0.01  # (n n + m m - (n - m)(n - m)) / (n n + m m + (n - m)(n - m)) at m = 3 n / 4
+        assert not any(M.update(a, deleted=[b"x " * n]))
+
+
 def expected(rows):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     out = {}

@@ -4,9 +4,9 @@ A paragraph (a line) is hashed to a wide vector, and a document's fingerprint is
 paragraphs' vectors modulo powers of two: the order of paragraphs does not matter, and a paragraph is
 inserted or deleted by adding or subtracting its vector.  A vector has two parts.  ``EXACT`` lanes of 64 bits are
 a uniform hash of the whole paragraph: sums that agree in all of them are equal multisets but for chance.
-``WIDE`` lanes of 16 bits are a signed sketch of the paragraph's word shingles: each shingle adds +1 or -1
+``WIDE`` lanes of 32 bits are a signed sketch of the paragraph's word shingles: each shingle adds +1 or -1
 to one lane, so the inner product of two fingerprints estimates that of the shingle multisets, and
-likeness is the estimated weighted overlap.
+likeness is the estimated weighted overlap.  A lane wraps only beyond 2^31 shingles of one document.
 
 Edge cases: null text is empty; an empty text has the fingerprint of zeros; empty lines are paragraphs of
 no shingles, they count in the exact lanes only; repeated ids are ordered by the hash of their text and null
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import shuffle_width, small_batches
 
 EXACT, WIDE, SHINGLE = 4, 256, 3
-BYTES = EXACT * 8 + WIDE * 2
+BYTES = EXACT * 8 + WIDE * 4
 _BLANK = np.zeros(WIDE, np.int64)
 
 
@@ -63,11 +63,11 @@ def paragraph_sums(paragraphs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(exact: np.ndarray, wide: np.ndarray) -> bytes:
-    return exact.astype("<u8").tobytes() + (wide & 0xFFFF).astype("<u2").tobytes()
+    return exact.astype("<u8").tobytes() + (wide & 0xFFFFFFFF).astype("<u4").tobytes()
 
 
 def unpack(fp: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(fp[: EXACT * 8], "<u8"), np.frombuffer(fp[EXACT * 8 :], "<i2").astype(np.int64)
+    return np.frombuffer(fp[: EXACT * 8], "<u8"), np.frombuffer(fp[EXACT * 8 :], "<i4").astype(np.int64)
 
 
 def fingerprint(text: bytes) -> bytes:
