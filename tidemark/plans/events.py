@@ -73,7 +73,8 @@ def _(s, d):
     return RS.cluster_bootstrap(x, unit="entity", num="nu", den="de", n_units=n, seed=21, reps=40)
 
 
-@query("row_bootstrap")
+@query("row_bootstrap", f"""WITH {XS}, x AS (SELECT q, entity, r, row_number() OVER (PARTITION BY q ORDER BY {DR(31, 'entity')}, CAST(entity AS VARCHAR)) AS p, count(*) OVER (PARTITION BY q) AS n FROM xs WHERE r IS NOT NULL),
+b AS (SELECT rep, q, {DR(32, 'rep', 'q', 'p')} % n + 1 AS p FROM x, range(3) t(rep)) SELECT rep, q, avg(r) AS mean_r, count(*) AS n, count(DISTINCT entity) AS n_distinct FROM b JOIN x USING (q, p) GROUP BY ALL""", "mean_r:8")
 def _(s, d):
     b = RS.row_bootstrap(cross_section(s, d), block=["q"], ids=["entity"], seed=31, reps=3)
     return b.groupBy("rep", "q").agg(F.avg("r").alias("mean_r"), F.count(F.lit(1)).alias("n"), F.count_distinct("entity").alias("n_distinct"))

@@ -241,7 +241,11 @@ def _(s, d):
     return M.noise_sd_estimate(o.join(c, "e"), entity="e", group="grp", gap="gap")
 
 
-@query("local_level_decompose")
+@query("local_level_decompose", f"""WITH {SH}, {MK}, a AS (SELECT part, period, clr AS v, x1 AS x FROM sh JOIN mk USING (period)), m AS (SELECT part, avg(v) AS my, avg(x) AS mx, covar_pop(x, v) / var_pop(x) AS b FROM a GROUP BY part),
+z AS (SELECT part, period, b * (x - mx) AS market, v - my - b * (x - mx) AS z, row_number() OVER (PARTITION BY part ORDER BY period) AS j FROM a JOIN m USING (part)), g AS (SELECT unnest([1e-1, 3e-1, 5e-1, 7e-1, 9e-1]) AS gain),
+l AS (SELECT c.part, c.period, c.j, gain, c.market, c.z, sum(p.z * CASE WHEN p.j = 1 THEN pow(1 - gain, c.j - 1) ELSE gain * pow(1 - gain, c.j - p.j) END) AS sticky FROM z c JOIN z p ON p.part = c.part AND p.j <= c.j, g GROUP BY ALL),
+e AS (SELECT *, z - lag(sticky) OVER (PARTITION BY part, gain ORDER BY j) AS e FROM l), s AS (SELECT part, gain, sum(e * e) AS sse FROM e GROUP BY ALL), b AS (SELECT part, arg_min(gain, (sse, gain)) AS gain FROM s GROUP BY part)
+SELECT part, period, gain, market, sticky, z - sticky AS transient FROM l JOIN b USING (part, gain)""", "gain:3 market:7 sticky:7 transient:7")
 def _(s, d):
     mix = brand_mix(s, d)
     x = K.clr(mix).join(_market(mix).select("period", "x1"), "period")
@@ -313,7 +317,17 @@ def _(s, d):
     return loadings.withColumns({"split_at": F.lit(got["split_at"]).cast("long"), "stat": F.lit(got["stat"])})
 
 
-@query("binary_segmentation")
+def _segments_sql(depth: int, threshold: float) -> str:
+    """Levels of splits over ``g0`` (entity, q, v, segment)."""
+    parts = []
+    for k in range(depth):
+        parts.append(f"""c{k} AS (SELECT *, count(v) OVER w AS i, sum(v) OVER w AS s, count(v) OVER (PARTITION BY entity, segment) AS n, sum(v) OVER (PARTITION BY entity, segment) AS t FROM g{k} WINDOW w AS (PARTITION BY entity, segment ORDER BY q)),
+k{k} AS (SELECT entity, segment, arg_max(q, (st, -i)) AS cut FROM (SELECT *, abs(s - i * t / n) * sqrt(n / (i * (n - i))::DOUBLE) AS st FROM c{k} WHERE i >= 5 AND n - i >= 5) GROUP BY ALL HAVING max(st) > {threshold}),
+g{k + 1} AS (SELECT entity, q, v, segment || CASE WHEN cut IS NULL THEN '' WHEN q <= cut THEN 'L' ELSE 'R' END AS segment FROM g{k} LEFT JOIN k{k} USING (entity, segment))""")
+    return ", ".join(parts)
+
+
+@query("binary_segmentation", f"WITH {SP}, g0 AS (SELECT entity, q, ln(flow) AS v, '0' AS segment FROM sp WHERE flow > 0), {_segments_sql(2, 1.0)} SELECT entity, segment, count(*) AS n, min(q) AS from_q, max(q) AS to_q FROM g2 GROUP BY ALL")
 def _(s, d):
     x = supplier_panel(s, d).where("flow > 0").select("entity", "q", F.log("flow").alias("v"))
     return M.binary_segmentation(x, value="v", index="q", by=["entity"], threshold=1.0, depth=2).groupBy("entity", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("q").alias("from_q"), F.max("q").alias("to_q"))
