@@ -30,7 +30,7 @@ def test_caret_members_with_description_missing_marks_and_absent_items(spark):
         z.writestr("one.txt", "id^date^v\nwords^words^words\n1^20000331^2.5\n2^20000331^--------\n".encode("latin-1"))
         z.writestr("two.txt", "id^date^v\r\n3^20000331^ \r\n".encode("latin-1"))
         z.writestr("empty.txt", b"")
-    df = RD.read_caret_zip(spark, root, items=["v", "w"], ids=["date"], entity="id", header=["id", "date", "v"])
+    df = RD.read_caret_zip(spark, root, items=["v", "w"], ids=["date", "file_q"], entity="id", header=["id", "date", "v"])
     assert {tuple(r) for r in df.select("id", "date", "file_q", "v", "w").collect()} == {(1, "20000331", 8001, 2.5, None), (2, "20000331", 8001, None, None), (3, "20000331", 8001, None, None)}
 
 

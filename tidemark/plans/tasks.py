@@ -170,7 +170,7 @@ def _filed_panel(s, d):
     from tidemark.sources import readers as RD
 
     root, _ = _zipped_filings(s, d)
-    raw = RD.read_caret_zip(s, root, items=["ytd"], ids=["entity", "report_date"], entity="entity", header=HEADER)
+    raw = RD.read_caret_zip(s, root, items=["ytd"], ids=["entity", "report_date", "file_q"], entity="entity", header=HEADER)
     raw = RD.check_file_period(raw.withColumn("q", quarter_index(F.to_date("report_date", "yyyyMMdd"))), file_period="file_q", row_period="q")
     return decumulate(Q.assert_unique_key(raw.select("entity", F.col("q").cast("long").alias("q"), "ytd"), ["entity", "q"]))
 

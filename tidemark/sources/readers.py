@@ -39,13 +39,15 @@ def read_caret_text(spark: SparkSession, path: str, *, items: list[str], ids: li
 
 
 def read_caret_zip(spark: SparkSession, path: str, *, items: list[str], ids: list[str], entity: str, header: list[str]) -> DataFrame:
-    """The same layout inside ZIP members, which are read side by side.  The period is taken from the archive's name: ``file_q``."""
+    """The same layout inside ZIP members, which are read side by side.  If ``ids`` names ``file_q``, it is the period in the archive's
+    name, NULL where that has none."""
     from tidemark.sources.archives import zip_lines
 
     parts = F.split("line", r"\^")
-    period = F.regexp_extract("file", r"q=([0-9]+)", 1).cast("int").alias("file_q")
+    period = F.nullif(F.regexp_extract("file", r"q=([0-9]+)", 1), F.lit("")).cast("int").alias("file_q")
     raw = zip_lines(spark, path).select(*[F.get(parts, i).alias(h) for i, h in enumerate(header)], period)
-    return _caret_columns(raw, header, items, [*ids, "file_q"], entity).withColumn("file_q", F.col("file_q").cast("int"))
+    out = _caret_columns(raw, header, items, ids, entity)
+    return out.withColumn("file_q", F.col("file_q").cast("int")) if "file_q" in ids else out
 
 
 def check_file_period(df: DataFrame, *, file_period: str, row_period: str) -> DataFrame:
