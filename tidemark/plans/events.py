@@ -251,10 +251,13 @@ def _(s, d):
     return E.self_clustering(binary(s, d), by=["series"], index="h", event="event")
 
 
-@query("storm_segments", f"""WITH {HR}, rt AS (SELECT series, h, n, n / nullif(CASE WHEN count(n) OVER w >= 20 THEN median(n) OVER w END, 0) AS r FROM hr WINDOW w AS (PARTITION BY series ORDER BY h ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING)),
+STORMS = f"""{HR}, rt AS (SELECT series, h, n, n / nullif(CASE WHEN count(n) OVER w >= 20 THEN median(n) OVER w END, 0) AS r FROM hr WINDOW w AS (PARTITION BY series ORDER BY h ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING)),
 q9 AS (SELECT series, quantile_cont(r, 0.9) AS t FROM rt WHERE r IS NOT NULL GROUP BY series), pk AS (SELECT rt.*, t, n = max(n) OVER (PARTITION BY series ORDER BY h ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS lm, (min((n, h)) OVER (PARTITION BY series ORDER BY h ROWS BETWEEN 8 PRECEDING AND CURRENT ROW))[2] AS lo, (min((n, h)) OVER (PARTITION BY series ORDER BY h ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING))[2] AS hi FROM rt JOIN q9 USING (series)),
-p AS (SELECT * FROM pk WHERE lm AND r >= greatest(1.5, t) AND h - lo >= 2 AND hi - h >= 2), g AS (SELECT *, max(hi) OVER (PARTITION BY series ORDER BY lo, h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ph FROM p), i AS (SELECT *, sum(CASE WHEN ph IS NULL OR lo > ph THEN 1 ELSE 0 END) OVER (PARTITION BY series ORDER BY lo, h) AS storm FROM g)
-SELECT series, storm::BIGINT AS storm, min(lo) AS start, arg_min(h, (-n, h)) AS peak, max(hi) AS "end", max(n) AS peak_value FROM i GROUP BY ALL""")
+p AS (SELECT * FROM pk WHERE lm AND r >= greatest(1.5, t) AND h - lo >= 2 AND hi - h >= 2), g AS (SELECT *, max(hi) OVER (PARTITION BY series ORDER BY lo, h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ph FROM p), i AS (SELECT *, sum(CASE WHEN ph IS NULL OR lo > ph THEN 1 ELSE 0 END) OVER (PARTITION BY series ORDER BY lo, h) AS storm FROM g),
+st AS (SELECT series, storm::BIGINT AS storm, min(lo) AS start, arg_min(h, (-n, h)) AS peak, max(hi) AS "end", max(n) AS peak_value FROM i GROUP BY ALL)"""
+
+
+@query("storm_segments", f"WITH {STORMS} SELECT * FROM st")
 def _(s, d):
     return storms(s, d)
 
@@ -266,7 +269,12 @@ def storms(s, d):
     return E.storm_segments(x, by=["series"], index="h", value="n", ratio_col="ratio", min_ratio=1.5)
 
 
-@query("hysteresis_index")
+@query("hysteresis_index", f"""WITH {STORMS}, sn AS (SELECT series, storm, unnest(generate_series(start, "end")) AS h FROM st), oc AS (SELECT CASE series WHEN 'error' THEN 'click' WHEN 'purchase' THEN 'error' WHEN 'signup' THEN 'purchase' WHEN 'view' THEN 'signup' ELSE 'view' END AS series, h, n AS c FROM hr),
+d AS (SELECT series, storm, h, n AS q, c FROM sn JOIN hr USING (series, h) JOIN oc USING (series, h)), ex AS (SELECT series, storm, min(q) AS q0, max(q) AS q1, min(c) AS c0, max(c) AS c1, arg_min(h, (-q, h)) AS k, count(*) FILTER (c IS NULL) AS miss FROM d GROUP BY ALL),
+x AS (SELECT series, storm, h, k, (q - q0) / (q1 - q0) AS qn, (c - c0) / (c1 - c0) AS cn FROM d JOIN ex USING (series, storm) WHERE miss = 0 AND q1 > q0 AND c1 > c0), sg AS (SELECT *, lead(qn) OVER w AS q2, lead(cn) OVER w AS c2 FROM x WINDOW w AS (PARTITION BY series, storm ORDER BY h)),
+cr AS (SELECT series, storm, l, h < k AS rise, h, cn + (c2 - cn) * (l - qn) / (q2 - qn) AS va FROM sg, (SELECT (v + 1) * 5e-2 AS l FROM range(19) t(v)) WHERE q2 IS NOT NULL AND q2 <> qn AND (qn - l) * (q2 - l) <= 0),
+lm AS (SELECT series, storm, l, arg_min(va, h) FILTER (rise) AS r, arg_min(va, h) FILTER (NOT rise) AS f FROM cr GROUP BY ALL), hi AS (SELECT series, storm, avg(r - f) AS hysteresis, count(*) AS n_levels FROM lm WHERE r IS NOT NULL AND f IS NOT NULL GROUP BY ALL),
+fi AS (SELECT series, storm, max(CASE WHEN h = k THEN cn END) - arg_min(cn, h) AS flushing FROM x GROUP BY ALL) SELECT series, storm, flushing, hysteresis, n_levels FROM fi LEFT JOIN hi USING (series, storm)""", "flushing:6 hysteresis:6")
 def _(s, d):
     """Storms of each series against the count of the next series in the alphabet."""
     st = storms(s, d)
