@@ -154,3 +154,20 @@ def test_json_safe(spark):
 
     df = spark.createDataFrame([(float("nan"), [1.0, float("inf")])], "a double, b array<double>")
     assert json_safe_export(df).first()[0] == '{"a":null,"b":[1.0,null]}'
+
+
+def test_rank_average_reads_its_values_once(spark):
+    """A sum of doubles may differ when it is computed again; a random number always does."""
+    import random
+
+    draw = F.udf(lambda i: random.random(), "double").asNondeterministic()
+    got = R.rank_average(spark.range(40).select((F.col("id") % 2).alias("k"), draw("id").alias("v")), ["k"], "v", "r").collect()
+    assert sorted(r.r for r in got if r.k == 0) == sorted(r.r for r in got if r.k == 1) == [i + 1.0 for i in range(20)]
+
+
+def test_mean_rank_shift_ties_at_their_smallest_rank(spark):
+    from tidemark.operators import composition as K
+
+    data = [(1, p, 1.0) for p in "abc"] + [(2, p, x) for p, x in zip("abc", (0.2, 0.3, 0.5))]
+    got = K.mean_rank_shift(spark.createDataFrame(data, "period int, part string, share double")).collect()
+    assert [tuple(r) for r in got] == [(2, 1.0, 3)]

@@ -142,12 +142,14 @@ def turnover(df: DataFrame, *, amount="amount", period=PD, part=PT) -> DataFrame
 
 
 def mean_rank_shift(df: DataFrame, *, share="share", period=PD, part=PT) -> DataFrame:
-    """Mean absolute rank change of the parts present in two consecutive periods (ranked within the shared set)."""
-    a = df.where(F.col(share) > 0).select(part, period, F.col(share).alias("_a"))
+    """Mean absolute rank change of the parts present in two consecutive periods (ranked within the shared set,
+    ties at their smallest rank)."""
+    # read for both periods: the same share in each
+    a = cut_lineage(df.where(F.col(share) > 0).select(part, period, F.col(share).alias("_a")), "shares")
     b = a.select(part, (F.col(period) + 1).alias(period), F.col("_a").alias("_b"))
     both = a.join(b, [period, part])
-    r = rank_average(both, [period], "_a", "_ra")
-    r = rank_average(r, [period], "_b", "_rb")
+    r = rank_average(both, [period], "_a", "_ra", ties="min")
+    r = rank_average(r, [period], "_b", "_rb", ties="min")
     return r.groupBy(period).agg(F.avg(F.abs(F.col("_ra") - F.col("_rb"))).alias("mrs"), F.count(F.lit(1)).alias("n_shared"))
 
 

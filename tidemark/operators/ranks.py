@@ -85,15 +85,18 @@ def prefix_totals(
     return out.drop("_s")
 
 
-def rank_average(df: DataFrame, keys: list[str], value: str, out: str = "rank", pct: str | None = None) -> DataFrame:
-    """Average ranks for ties; ``pct`` adds the plotting position (rank - 0.5) / n."""
+def rank_average(df: DataFrame, keys: list[str], value: str, out: str = "rank", pct: str | None = None, ties: str = "average") -> DataFrame:
+    """Average ranks for ties, or with ``ties`` = "min" the smallest; ``pct`` adds the plotting position (rank - 0.5) / n.
+
+    Ranks are joined back on the value, so it is written once: sums of doubles differ in the last digit when computed again."""
+    df = cut_lineage(df, "ranked")
     counts = prefix_totals(
         df.where(F.col(value).isNotNull()).select(*keys, value).withColumn("_n", F.lit(1).cast("long")),
         keys,
         value,
         ["_n"],
     )
-    rk = F.col("before__n") + (F.col("_n") + 1) / 2.0
+    rk = F.col("before__n") + (F.lit(1) if ties == "min" else (F.col("_n") + 1) / 2.0)
     cols = [*keys, value, rk.alias(out)]
     if pct:
         cols.append(((rk - 0.5) / F.col("total__n")).alias(pct))
