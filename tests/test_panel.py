@@ -171,3 +171,24 @@ def test_mean_rank_shift_ties_at_their_smallest_rank(spark):
     data = [(1, p, 1.0) for p in "abc"] + [(2, p, x) for p, x in zip("abc", (0.2, 0.3, 0.5))]
     got = K.mean_rank_shift(spark.createDataFrame(data, "period int, part string, share double")).collect()
     assert [tuple(r) for r in got] == [(2, 1.0, 3)]
+
+
+def test_asof_join_deals_rows_to_more_tasks_than_the_session_has(spark, monkeypatch):
+    monkeypatch.setattr(J, "PART_ROWS", 20)
+    rng = np.random.default_rng(3)
+    day = lambda n: [dt.date(2020, 1, 1) + dt.timedelta(int(x)) for x in rng.integers(0, 1500, n)]
+    # one key has most rows; a null key and a null time are left rows too
+    lk = [None if i % 29 == 0 else 1 if i % 3 else i % 7 for i in range(300)]
+    left = [(i, k, None if i % 37 == 0 else t) for i, (k, t) in enumerate(zip(lk, day(300)))]
+    right = [(i, None if i % 23 == 0 else 1 if i % 2 else i % 7, t) for i, t in enumerate(day(200))]
+    L, Rt = spark.createDataFrame(left, "id int, k int, t date"), spark.createDataFrame(right, "rid int, k int, a date")
+    got = J.asof_join(L, Rt, on="t", right_on="a", cols=["rid"], by=["k"], bucket="year", order_tie="rid")
+    assert got.rdd.getNumPartitions() >= 500 // 20
+    every = J.asof_join(L, Rt, on="t", right_on="a", cols=["rid"], bucket="month", order_tie="rid")
+
+    def want(k, t, by):
+        hits = [(a, i) for i, rk, a in right if t is not None and a <= t and (not by or rk == k)]
+        return max(hits)[1] if hits else None
+
+    assert {r.id: r.rid for r in got.collect()} == {i: want(k, t, True) for i, k, t in left}
+    assert {r.id: r.rid for r in every.collect()} == {i: want(k, t, False) for i, k, t in left}

@@ -6,11 +6,15 @@ key spreads over its buckets instead of landing in one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+#: Rows of an as-of join that one task sorts.
+PART_ROWS = 500_000
 
 
 def left_join_flag(left: DataFrame, right: DataFrame, keys: list[str], value: str, default: Column, flag: str = "fallback") -> DataFrame:
@@ -61,45 +65,34 @@ def asof_join(
 ) -> DataFrame:
     """For every left row the latest right row with ``right_on <= on`` (inclusive), by key or globally.
 
-    Both sides are cut into (key, calendar bucket).  Inside a bucket one sort finds the
-    latest right row so far; for rows before the first right row of their bucket the last
-    right row of the earlier buckets is carried in from a table with one row per bucket.
+    Both sides are cut into (key, calendar bucket).  The last right row of the earlier buckets is a row at the start of a
+    bucket (one per key and bucket), so one sort inside the bucket finds the latest right row so far.
     No range join, no nested loop, and a hot key is spread over its buckets.  Left rows of a bucket are spread over
-    ``salts`` parts more (16 without a key, else 1), each of which gets the right rows of the bucket."""
+    ``salts`` parts more (16 without a key, else 1), each of which gets the right rows of the bucket.  The sort is dealt out to as many
+    parts as hold ``PART_ROWS`` rows each, whatever the session's number of shuffle partitions."""
     keys = by or []
     salts = salts or (1 if keys else 16)
     fields = [F.col(c) for c in cols]
     tie = F.col(order_tie) if order_tie else F.lit(0)
-    lt = left.select("*", F.col(on).alias("_t"), F.lit(1).alias("_side"), F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int").alias("_z"))
-    r = right.select(
-        *keys,
-        F.col(right_on).alias("_t"),
-        F.lit(0).alias("_side"),
-        tie.alias("_tie"),
-        F.struct(*fields).alias("_r"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_z"),
-    ).where(F.col("_t").isNotNull())
-    u = lt.unionByName(r, allowMissingColumns=True).withColumn("_b", F.date_trunc(bucket, F.col("_t")))
-    w = (
-        Window.partitionBy(*keys, "_b", "_z")
-        .orderBy("_t", "_side", "_tie")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
+    start = F.date_trunc(bucket, F.col("_t"))
+    lt = left.select("*", F.col(on).alias("_t"), F.lit(1).alias("_side"), F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int").alias("_z")).withColumn("_b", start)
+    r = right.select(*keys, F.col(right_on).alias("_t"), F.lit(0).alias("_side"), tie.alias("_tie"), F.struct(*fields).alias("_r")).where(F.col("_t").isNotNull()).withColumn("_b", start)
+    parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((lt.count() + salts * r.count()) / PART_ROWS))
+    # every bucket of either side with its last right row; a bucket without one takes none.  With keys there are too many
+    # buckets to reduce them where they lie: one split of a small table may be exploded to all of them
+    cells = lt.where("_b is not null").select(*keys, "_b")
+    cells = (cells if keys else cells.distinct()).withColumns({"_r": F.lit(None).cast(r.schema["_r"].dataType), "_at": F.lit(None).cast(T.StructType([T.StructField("_t", r.schema["_t"].dataType), T.StructField("_tie", r.schema["_tie"].dataType)]))})
+    spine = cells.unionByName(r.select(*keys, "_b", "_r", F.struct("_t", "_tie").alias("_at")))
+    spine = (spine.repartition(parts, *keys, "_b") if keys else spine).groupBy(*keys, "_b").agg(F.max_by("_r", "_at").alias("_lastr"))
+    spine = spine.repartition(parts, *keys) if keys else spine
     wk = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    spine = u.groupBy(*keys, "_b").agg(
-        F.max_by("_r", F.when(F.col("_side") == 0, F.struct("_t", "_tie"))).alias("_lastr")
-    )
-    carry = spine.select(
-        *keys,
-        "_b",
-        F.last("_lastr", True).over(wk.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"),
-    )
-    hit = u.withColumn("_here", F.last("_r", True).over(w)).where(F.col("_side") == 1)
-    cond = [hit["_b"].eqNullSafe(carry["_b"])] + [hit[k].eqNullSafe(carry[k]) for k in keys]
-    out = hit.join(carry, cond, "left").select(
-        *[hit[c] for c in left.columns],
-        F.coalesce(hit["_here"], carry["_carry"]).alias("_m"),
-    )
+    carried = F.last("_lastr", True).over(wk.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    carry = spine.select(*keys, "_b", F.lit(-1).alias("_side"), carried.alias("_r")).where("_r is not null")
+    here = r.unionByName(carry, allowMissingColumns=True).withColumn("_z", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    u = lt.unionByName(here, allowMissingColumns=True).repartition(parts, *keys, "_b", "_z")
+    # the row that is carried in has no time and comes first
+    w = Window.partitionBy(*keys, "_b", "_z").orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    out = u.withColumn("_m", F.last("_r", True).over(w)).where(F.col("_side") == 1)
     return out.select(*left.columns, *[F.col(f"_m.{c}").alias(c) for c in cols])
 
 
