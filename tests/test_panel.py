@@ -192,3 +192,19 @@ def test_asof_join_deals_rows_to_more_tasks_than_the_session_has(spark, monkeypa
 
     assert {r.id: r.rid for r in got.collect()} == {i: want(k, t, True) for i, k, t in left}
     assert {r.id: r.rid for r in every.collect()} == {i: want(k, t, False) for i, k, t in left}
+
+
+def test_register_forecaster_moves_each_row_once(spark, capfd):
+    from tidemark.operators.callbacks import register_forecaster
+
+    def model(history):
+        out = float(history["value"].sum()) + 1000 * len(history) + int(history["origin"].iloc[0])
+        history["value"] = -1e9  # stays its own
+        return out
+
+    data = [(1, q, float(q)) for q in (3, 1, 2)] + [(None, 2, 5.0), (2, 9, 1.0), (1, None, 7.0)]
+    got = register_forecaster(spark.createDataFrame(data, "entity int, q int, v double"), model, origins=[4, 1, 2, 2], value="v")
+    want = {(1, 1): 1002.0, (1, 2): 2005.0, (1, 4): 3010.0, (None, 2): 1007.0, (None, 4): 1009.0}
+    assert {(r.entity, r.origin): r.forecast for r in got.collect()} == want
+    got.explain()
+    assert "Generate" not in capfd.readouterr().out

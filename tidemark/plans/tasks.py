@@ -286,11 +286,12 @@ def _(s, d):
 def _(s, d):
     """A user-supplied model over every (entity, origin) history: grouped map on calendar-bounded groups."""
     from tidemark.operators.callbacks import register_forecaster
+    from tidemark.session import cut_lineage
 
     def last_four(history):
         return float(history["value"].tail(4).mean())
 
-    p = supplier_panel(s, d)
+    p = cut_lineage(supplier_panel(s, d).select("entity", "q", "flow"), "panel")
     r = p.agg(F.min("q").alias("lo"), F.max("q").alias("hi")).first()
     every = register_forecaster(p, last_four, origins=list(range(r.lo, r.hi + 1)), value="flow")
     return every.join(p.select("entity", F.col("q").alias("origin")), ["entity", "origin"], "left_semi")
