@@ -156,23 +156,6 @@ def test_json_safe(spark):
     assert json_safe_export(df).first()[0] == '{"a":null,"b":[1.0,null]}'
 
 
-def test_rank_average_reads_its_values_once(spark):
-    """A sum of doubles may differ when it is computed again; a random number always does."""
-    import random
-
-    draw = F.udf(lambda i: random.random(), "double").asNondeterministic()
-    got = R.rank_average(spark.range(40).select((F.col("id") % 2).alias("k"), draw("id").alias("v")), ["k"], "v", "r").collect()
-    assert sorted(r.r for r in got if r.k == 0) == sorted(r.r for r in got if r.k == 1) == [i + 1.0 for i in range(20)]
-
-
-def test_mean_rank_shift_ties_at_their_smallest_rank(spark):
-    from tidemark.operators import composition as K
-
-    data = [(1, p, 1.0) for p in "abc"] + [(2, p, x) for p, x in zip("abc", (0.2, 0.3, 0.5))]
-    got = K.mean_rank_shift(spark.createDataFrame(data, "period int, part string, share double")).collect()
-    assert [tuple(r) for r in got] == [(2, 1.0, 3)]
-
-
 def test_asof_join_deals_rows_to_more_tasks_than_the_session_has(spark, monkeypatch):
     monkeypatch.setattr(J, "PART_ROWS", 20)
     rng = np.random.default_rng(3)
@@ -194,6 +177,23 @@ def test_asof_join_deals_rows_to_more_tasks_than_the_session_has(spark, monkeypa
     assert {r.id: r.rid for r in every.collect()} == {i: want(k, t, False) for i, k, t in left}
 
 
+def test_rank_average_reads_its_values_once(spark):
+    """A sum of doubles may differ when it is computed again; a random number always does."""
+    import random
+
+    draw = F.udf(lambda i: random.random(), "double").asNondeterministic()
+    got = R.rank_average(spark.range(40).select((F.col("id") % 2).alias("k"), draw("id").alias("v")), ["k"], "v", "r").collect()
+    assert sorted(r.r for r in got if r.k == 0) == sorted(r.r for r in got if r.k == 1) == [i + 1.0 for i in range(20)]
+
+
+def test_mean_rank_shift_ties_at_their_smallest_rank(spark):
+    from tidemark.operators import composition as K
+
+    data = [(1, p, 1.0) for p in "abc"] + [(2, p, x) for p, x in zip("abc", (0.2, 0.3, 0.5))]
+    got = K.mean_rank_shift(spark.createDataFrame(data, "period int, part string, share double")).collect()
+    assert [tuple(r) for r in got] == [(2, 1.0, 3)]
+
+
 def test_register_forecaster_moves_each_row_once(spark, capfd):
     from tidemark.operators.callbacks import register_forecaster
 
@@ -208,3 +208,14 @@ def test_register_forecaster_moves_each_row_once(spark, capfd):
     assert {(r.entity, r.origin): r.forecast for r in got.collect()} == want
     got.explain()
     assert "Generate" not in capfd.readouterr().out
+
+
+def test_pit_meets_packed_curves(spark):
+    from tidemark.operators import scoring
+
+    tau = [0.25, 0.5, 0.75]
+    curves = [(1, t, x) for t, x in zip(tau, (10.0, 20.0, 40.0))] + [(2, t, x) for t, x in zip(tau, (5.0, 5.0, 6.0))]
+    ys = [(1, 9.0, 0.0), (1, 10.0, 0.25), (1, 15.0, 0.375), (1, 20.0, 0.5), (1, 40.0, 0.75), (1, 41.0, 1.0), (2, 5.0, 0.25), (2, 6.0, 0.75)]
+    obs = spark.createDataFrame([(i, q, y) for i, (q, y, _) in enumerate(ys)], "entity int, q int, y double")
+    got = scoring.pit(obs, spark.createDataFrame(curves, "q int, tau double, qv double"), keys=["entity", "q"], on="q")
+    assert {r.entity: pytest.approx(r.pit) for r in got.collect()} == {i: p for i, (_, _, p) in enumerate(ys)}

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tidemark.functions.arrays import arr_sum, interp
 from tidemark.functions.scalars import normal_cdf, normal_pdf, ratio, two_sided_p
 from tidemark.operators.ranks import exact_quantiles, prefix_totals, rank_average
+from tidemark.session import cut_lineage
 
 
 def point_metrics(cases: DataFrame, *, by: list[str], actual="actual", forecast="forecast") -> DataFrame:
@@ -44,19 +45,21 @@ def coverage(df: DataFrame, *, keys: list[str], level: float, y: str = "y", q: s
     return g.select(*keys, ((F.col("_y") >= F.col("_lo")) & (F.col("_y") <= F.col("_hi"))).cast("int").alias("covered"))
 
 
-def pit(df: DataFrame, *, keys: list[str], y: str = "y", q: str = "qv", tau: str = "tau") -> DataFrame:
-    """Interpolated CDF value, 0 or 1 beyond the grid, the end level on an exact hit."""
-    a = df.groupBy(*keys).agg(F.first(y).alias("_y"), F.sort_array(F.collect_list(F.struct(F.col(tau).alias("t"), F.col(q).alias("x")))).alias("_a"))
+def pit(obs: DataFrame, curves: DataFrame, *, keys: list[str], on: str, y: str = "y", q: str = "qv", tau: str = "tau") -> DataFrame:
+    """Interpolated CDF value, 0 or 1 beyond the grid, the end level on an exact hit.
+
+    ``curves`` has the level grid of each ``on``, a row a level; it is packed to a row a curve, so an observation meets one row
+    and is never copied to its levels."""
+    a = curves.groupBy(on).agg(F.sort_array(F.collect_list(F.struct(F.col(tau).alias("t"), F.col(q).alias("x")))).alias("_a"))
     a = a.withColumns({"_x": F.col("_a")["x"], "_t": F.col("_a")["t"]})
     keep = F.filter("_a", lambda e, i: (i == 0) | (F.element_at(F.col("_x"), F.greatest(i, F.lit(1))) < e["x"]))
-    a = a.withColumn("_k", keep).withColumns({"_kx": F.col("_k")["x"], "_kt": F.col("_k")["t"]})
-    lo, hi = F.element_at("_x", 1), F.element_at("_x", -1)
+    a = a.withColumn("_k", keep).select(on, F.col("_k")["x"].alias("_kx"), F.col("_k")["t"].alias("_kt"), *[F.element_at(c, k).alias(f"{c}{n}") for c in ("_x", "_t") for k, n in ((1, "lo"), (-1, "hi"))])
     p = (
-        F.when(F.col("_y") < lo, 0.0).when(F.col("_y") == lo, F.element_at("_t", 1))
-        .when(F.col("_y") > hi, 1.0).when(F.col("_y") == hi, F.element_at("_t", -1))
-        .otherwise(interp(F.col("_y"), F.col("_kx"), F.col("_kt")))
+        F.when(F.col(y) < F.col("_xlo"), 0.0).when(F.col(y) == F.col("_xlo"), F.col("_tlo"))
+        .when(F.col(y) > F.col("_xhi"), 1.0).when(F.col(y) == F.col("_xhi"), F.col("_thi"))
+        .otherwise(interp(F.col(y), F.col("_kx"), F.col("_kt")))
     )
-    return a.select(*keys, p.alias("pit"))
+    return obs.join(cut_lineage(a, "curves"), on).select(*keys, p.alias("pit"))
 
 
 def energy_score(samples: DataFrame, *, keys: list[str], index: str, dims: list[str], ys: list[str]) -> DataFrame:

@@ -60,7 +60,8 @@ def _(s, d):
 @query("pit", f"""WITH {FQ}, e AS (SELECT entity, q, y, max(CASE WHEN qv <= y THEN tau END) AS t0, arg_max(qv, qv) FILTER (qv <= y) AS x0, min(CASE WHEN qv > y THEN tau END) AS t1, min(qv) FILTER (qv > y) AS x1, min(qv) AS lo, max(qv) AS hi FROM j GROUP BY ALL)
 SELECT entity, q, CASE WHEN y < lo THEN 0e0 WHEN y = lo THEN 1e-2 WHEN y > hi THEN 1e0 WHEN y = hi THEN 99e-2 ELSE t0 + (t1 - t0) * (y - x0) / (x1 - x0) END AS pit FROM e""", "pit:7")
 def _(s, d):
-    return S.pit(scored(s, d), keys=["entity", "q"])
+    y = cross_section(s, d).select("entity", "q", F.col("r").alias("y"))
+    return S.pit(y, quantile_functions(s, d).withColumn("q", F.col("q") + 1), keys=["entity", "q"], on="q")
 
 
 @query("energy_score", f"""WITH e AS (SELECT event_type AS k, value / 100 AS a, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 AS b, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
