@@ -139,3 +139,17 @@ def test_dominance_equals_a_double_loop(spark, graded):
         high = sum(a[j] >= a[i] and b[j] >= b[i] and (a[j] > a[i] or b[j] > b[i]) for j in at)
         assert (ranks[i]["below"], ranks[i]["above"]) == (low, high)
         assert ranks[i]["avg_rank"] == pytest.approx((low + 1) * (len(at) + 1) / (low + high + 2))
+
+
+def test_merged_sums_equal_brute_force_and_walk_levels_not_points():
+    import time
+
+    rng = np.random.default_rng(2)
+    for n, k in ((1, 2), (40, 3), (300, 50), (300, 10**6)):
+        a, b, w = rng.integers(-k, k, n).astype(float), rng.integers(-k, k, n).astype(float), rng.integers(0, 5, n)
+        want = ((a[None] <= a[:, None]) & (b[None] <= b[:, None])) @ w
+        assert (PR._merged_sums(a, b, w) == want).all()
+    n = 400_000
+    start = time.process_time()
+    PR._merged_sums(rng.random(n), rng.random(n), np.ones(n, np.int64))
+    assert time.process_time() - start < 6  # before: 46 us a point

@@ -297,26 +297,38 @@ def _far(m: np.ndarray, kernel: np.ndarray) -> np.ndarray:
 
 
 def _merged_sums(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """For each point the weights of the points with a' <= a and b' <= b, by halving the ranks of a."""
+    """For each point the weights of the points with a' <= a and b' <= b, by halving the ranks of a.
+
+    All halves of one level are met at once: points stay sorted by b, equal ones by a, inside the ranks that agree above a bit, and those with the
+    bit set take the running total of those without."""
     rank = np.unique(a, return_inverse=True)[1]
-    order = np.lexsort((b, rank))
-    rank, b, w = rank[order], b[order], w[order]
-    got = np.zeros(len(w), w.dtype)
-    todo = [(0, len(w))]
-    while todo:
-        lo, hi = todo.pop()
-        if rank[lo] == rank[hi - 1]:  # one value of a, sorted by b
-            run = np.concatenate([[0], np.cumsum(w[lo:hi])])
-            got[lo:hi] += run[np.searchsorted(b[lo:hi], b[lo:hi], "right")]
-            continue
-        mid = lo + int(np.searchsorted(rank[lo:hi], (rank[lo] + rank[hi - 1]) // 2, "right"))
-        left = np.argsort(b[lo:mid], kind="stable")
-        run = np.concatenate([[0], np.cumsum(w[lo:mid][left])])
-        got[mid:hi] += run[np.searchsorted(b[lo:mid][left], b[mid:hi], "right")]
-        todo += [(lo, mid), (mid, hi)]
-    out = np.empty_like(got)
-    out[order] = got
-    return out
+    n = len(rank)
+    got, order = np.zeros(n, w.dtype), np.lexsort((rank, b))
+    for bit in range(int(rank.max(initial=0)).bit_length() - 1, -1, -1):
+        r = rank[order]
+        low = (r >> bit) & 1 == 0
+        starts = np.flatnonzero(np.diff(r >> (bit + 1), prepend=-1))
+        group = np.repeat(starts, np.diff(np.append(starts, n)))
+        run = np.append(0, np.cumsum(np.where(low, w[order], 0)))
+        high = ~low
+        got[order[high]] += (run[1:] - run[group])[high]
+        # stable: those without the bit first
+        zeros = np.append(0, np.cumsum(low))
+        size = np.repeat(np.diff(np.append(zeros[starts], zeros[-1])), np.diff(np.append(starts, n)))
+        before = zeros[:-1] - zeros[group]
+        to = np.where(low, group + before, size + np.arange(n) - before)
+        moved = np.empty_like(order)
+        moved[to] = order
+        order = moved
+    # one value of a, sorted by b: equal points take each other
+    r, y = rank[order], b[order]
+    run = np.append(0, np.cumsum(w[order]))
+    starts = np.flatnonzero(np.diff(r, prepend=-1))
+    first = np.repeat(starts, np.diff(np.append(starts, n)))
+    ends = np.flatnonzero(np.append((r[1:] != r[:-1]) | (y[1:] != y[:-1]), True)[:n])
+    last = np.repeat(ends, np.diff(np.append(-1, ends))) + 1
+    got[order] += run[last] - run[first]
+    return got
 
 
 def _block_sums(g: pd.DataFrame, block: list[str], a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
